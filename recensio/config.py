@@ -99,6 +99,8 @@ class Config:
     # A theme table is broadcast into the substring join only below this many
     # rows; above it the exact word-index join is used instead.
     theme_broadcast_rows: int = 20000
+    # Bucket width (in seq units) of the running word offsets.
+    offset_bucket: int = 1 << 16
 
     @staticmethod
     def italian() -> "Config":

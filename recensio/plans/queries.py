@@ -71,3 +71,280 @@ def q_theme_frequency(spark, sf_dir):
        where p.example <= 2""", **THEME_CTES))
 def q_theme_examples(spark, sf_dir):
     return TH.theme_examples(reviews_df(spark, sf_dir), SRC.fixed_themes(spark), CFG)
+
+
+# --- text and review table -------------------------------------------------------
+
+from recensio.functions import text as T  # noqa: E402
+
+
+@register("clean_text", S.with_ctes("select seq, testo_pulito from reviews"))
+def q_clean_text(spark, sf_dir):
+    return reviews_df(spark, sf_dir).select("seq", "testo_pulito")
+
+
+@register("rating_from_text", S.with_ctes(f"select seq, {S.rating_from_text_sql('testo')} as rating_text from raw_reviews"))
+def q_rating_from_text(spark, sf_dir):
+    raw = SRC.raw_reviews_from_documents(spark, sf_dir)
+    return raw.select("seq", T.rating_from_text(F.col("testo")).alias("rating_text"))
+
+
+@register("review_date_text", S.with_ctes("select seq, data from reviews"))
+def q_review_date_text(spark, sf_dir):
+    return reviews_df(spark, sf_dir).select("seq", "data")
+
+
+@register("review_link", S.with_ctes("select seq, review_id, link from reviews"))
+def q_review_link(spark, sf_dir):
+    return reviews_df(spark, sf_dir).select("seq", "review_id", "link")
+
+
+@register("min_length", S.with_ctes("select seq, cast(length(testo) as integer) as n_chars from raw_reviews where length(testo) >= 50"))
+def q_min_length(spark, sf_dir):
+    raw = RV.min_length(SRC.raw_reviews_from_documents(spark, sf_dir), CFG)
+    return raw.select("seq", F.length("testo").alias("n_chars"))
+
+
+@register("reviews_table", S.with_ctes(
+    "select company, seq, pagina, pos, review_id, testo, testo_pulito, rating, data, link from reviews"))
+def q_reviews_table(spark, sf_dir):
+    return reviews_df(spark, sf_dir).drop("parole")
+
+
+VARIANT_RAW = """
+select company, seq, pagina, pos, page_url, review_id,
+       case when seq % 11 = 0 then 'five' when seq % 11 in (1, 2) then '' when seq % 11 = 3 then null
+            else rating_attr end as rating_attr,
+       case when seq % 11 = 1 then '4' when seq % 11 = 2 then '' when seq % 11 = 3 then 'x' end as rating_div,
+       testo
+from raw_docs
+"""
+
+
+def variant_raw(spark, sf_dir):
+    """Raw records with container / nested rating attributes of every kind."""
+    raw = SRC.raw_reviews_from_documents(spark, sf_dir)
+    m = F.col("seq") % 11
+    return raw.withColumn(
+        "rating_attr",
+        F.when(m == 0, F.lit("five")).when(m.isin(1, 2), F.lit("")).when(m == 3, F.lit(None)).otherwise(F.col("rating_attr")),
+    ).withColumn(
+        "rating_div",
+        F.when(m == 1, F.lit("4")).when(m == 2, F.lit("")).when(m == 3, F.lit("x")),
+    )
+
+
+@register("rating_resolve", S.with_ctes("select seq, rating from reviews", raw=VARIANT_RAW))
+def q_rating_resolve(spark, sf_dir):
+    return RV.to_reviews(variant_raw(spark, sf_dir), CFG).select("seq", "rating")
+
+
+@register("rejected_rows", S.with_ctes("""
+select seq, case when coalesce(rating_attr, '') <> '' then 'rating attribute is not an integer'
+                 else 'nested rating attribute is not an integer' end as reason
+from raw_reviews
+where length(testo) >= 50
+  and ((coalesce(rating_attr, '') <> '' and try_cast(rating_attr as integer) is null)
+       or (coalesce(rating_attr, '') = '' and rating_div is not null and try_cast(rating_div as integer) is null))
+""", raw=VARIANT_RAW))
+def q_rejected_rows(spark, sf_dir):
+    return RV.rejected(variant_raw(spark, sf_dir), CFG).select("seq", "reason")
+
+
+@register("corpus_stats", S.with_ctes("""
+select count(*) as n_recensioni,
+       count(*) filter (where rating is not null and rating <> 0) as n_con_rating,
+       round(avg(rating) filter (where rating <> 0), 6) as rating_medio
+from reviews"""))
+def q_corpus_stats(spark, sf_dir):
+    from recensio.plans import report as RP
+    return RP.corpus_stats(reviews_df(spark, sf_dir)).withColumn("rating_medio", r6("rating_medio"))
+
+
+@register("rating_band", S.with_ctes(f"select seq, {S.BAND} as tipo from reviews where ({S.BAND}) is not null"))
+def q_rating_band(spark, sf_dir):
+    r = reviews_df(spark, sf_dir)
+    return r.select("seq", TH.rating_band(F.col("rating"), CFG).alias("tipo")).filter(F.col("tipo").isNotNull())
+
+
+@register("theme_match", S.with_ctes("select tipo, theme_pos, seq from matches", **THEME_CTES))
+def q_theme_match(spark, sf_dir):
+    m = TH.theme_matches(reviews_df(spark, sf_dir), SRC.fixed_themes(spark), CFG)
+    return m.select("tipo", "theme_pos", "seq")
+
+
+@register("theme_frequency_word_index", ORACLE["theme_frequency"])
+def q_theme_frequency_word_index(spark, sf_dir):
+    """Same result through the word-index plan used for large theme tables."""
+    from dataclasses import replace
+    cfg = replace(CFG, theme_broadcast_rows=0)
+    f = TH.theme_frequency(reviews_df(spark, sf_dir), SRC.fixed_themes(spark), cfg)
+    return f.withColumn("percentuale", r6("percentuale"))
+
+
+# --- features and topics ---------------------------------------------------------
+
+from recensio.operators import features as FT  # noqa: E402
+from recensio.operators import topics as TP  # noqa: E402
+
+FEATURE_CTES = dict(
+    toks="""select seq, unnest(list_filter(parole, lambda w: regexp_full_match(w, '[a-zA-Z]{3,}'))) as term from reviews""",
+    tf="select seq, term, count(*) as tf from toks group by all",
+    nd="select count(*) as n from reviews",
+    stats="select term, count(*) as df, sum(tf) as cf from tf group by term",
+    vocab="""select cast(row_number() over (order by term) - 1 as integer) as idx, term, df, cf,
+                    ln((1.0 + nd.n) / (df + 1.0)) + 1.0 as idf
+             from (select * from stats, nd where df >= 2 and df <= 0.8 * nd.n order by cf desc, term limit 100), nd""",
+    w="select tf.seq, v.idx, v.term, tf.tf * v.idf as w from tf join vocab v on tf.term = v.term",
+    tfidf="select seq, idx, term, w / sqrt(sum(w * w) over (partition by seq)) as tfidf from w",
+)
+
+
+def vocab_df(spark, sf_dir):
+    r = reviews_df(spark, sf_dir)
+    return r, FT.vocabulary(r, CFG)
+
+
+@register("feature_tokens", S.with_ctes(
+    "select seq, list_filter(parole, lambda w: regexp_full_match(w, '[a-zA-Z]{3,}')) as tokens from reviews"))
+def q_feature_tokens(spark, sf_dir):
+    return reviews_df(spark, sf_dir).select("seq", T.feature_tokens(F.col("parole")).alias("tokens"))
+
+
+@register("vocabulary", S.with_ctes("select idx, term, df, cast(cf as bigint) as cf, round(idf, 6) as idf from vocab", **FEATURE_CTES))
+def q_vocabulary(spark, sf_dir):
+    _, v = vocab_df(spark, sf_dir)
+    return v.withColumn("idf", r6("idf"))
+
+
+@register("tfidf", S.with_ctes("select seq, idx, term, round(tfidf, 6) as tfidf from tfidf", **FEATURE_CTES))
+def q_tfidf(spark, sf_dir):
+    r, v = vocab_df(spark, sf_dir)
+    return FT.tfidf(r, CFG, vocab=v).withColumn("tfidf", r6("tfidf"))
+
+
+@register("auto_k", S.with_ctes(
+    "select count(*) as n_recensioni, cast(least(8, greatest(3, count(*) // 10)) as integer) as k from reviews"))
+def q_auto_k(spark, sf_dir):
+    r = reviews_df(spark, sf_dir)
+    return r.agg(F.count(F.lit(1)).alias("n_recensioni")).select("n_recensioni", TP.auto_k(F.col("n_recensioni")).alias("k"))
+
+
+@register("topics_guard", S.with_ctes(
+    "select nd.n as n_recensioni, (select count(*) from vocab) as n_terms, nd.n >= 5 and (select count(*) from vocab) > 0 as clusters from nd",
+    **FEATURE_CTES))
+def q_topics_guard(spark, sf_dir):
+    r, v = vocab_df(spark, sf_dir)
+    n = r.agg(F.count(F.lit(1)).alias("n_recensioni"))
+    t = v.agg(F.count(F.lit(1)).alias("n_terms"))
+    return n.join(t, how="inner").select(
+        "n_recensioni", "n_terms", ((F.col("n_recensioni") >= 5) & (F.col("n_terms") > 0)).alias("clusters"))
+
+
+@register("topic_labels")
+def q_topic_labels(spark, sf_dir):
+    """k-means labels (not comparable across libraries: rows-only check)."""
+    labelled, _, _, _ = TP.assign_topics(reviews_df(spark, sf_dir), None, CFG)
+    return labelled.select("seq", "cluster")
+
+
+LABEL_SQL = "case when review_id is null then 0 else ascii(substring(review_id, 32, 1)) % 8 end"
+K_FIXED = 8
+
+
+def labelled_df(spark, sf_dir):
+    """Reviews with a deterministic topic label taken from the identity, so
+    the per-topic operators can be checked exactly."""
+    r = reviews_df(spark, sf_dir)
+    lab = F.when(F.col("review_id").isNull(), F.lit(0)).otherwise(F.ascii(F.substring("review_id", 32, 1)) % 8)
+    return r.withColumn("cluster", lab.cast("int"))
+
+
+TOPIC_CTES = dict(
+    FEATURE_CTES,
+    lab=f"select *, cast({LABEL_SQL} as integer) as cluster from reviews",
+    sizes="select cluster, count(*) as size from lab group by cluster",
+    cw="""select s.cluster, v.idx, v.term,
+                 round(coalesce((select sum(t.tfidf) from tfidf t join lab l on t.seq = l.seq
+                                 where l.cluster = s.cluster and t.idx = v.idx), 0) / s.size, 9) as w
+          from sizes s, vocab v""",
+    top10="""select cluster, list(term order by rk) as top_terms from (
+               select cluster, term, row_number() over (partition by cluster order by w desc, term desc) as rk from cw)
+             where rk <= 10 group by cluster""",
+)
+
+
+@register("topic_terms", S.with_ctes(
+    """select cluster, top_terms,
+              list_slice(list_filter(top_terms, lambda t: length(t) > 3 and not regexp_full_match(t, '\\p{Nd}+')), 1, 5) as parole_chiave
+       from top10""", **TOPIC_CTES))
+def q_topic_terms(spark, sf_dir):
+    lab = labelled_df(spark, sf_dir)
+    v = FT.vocabulary(lab, CFG)
+    n_terms = v.count()
+    w = FT.tfidf(lab, CFG, vocab=v)
+    cents = TP.centroids_from_labels(lab, w, n_terms, K_FIXED)
+    return TP.topic_terms(cents, v)
+
+
+@register("topic_summary", S.with_ctes(f"""
+select id, n_recensioni, round(n_recensioni / sum(n_recensioni) over () * 100, 6) as percentuale,
+       round(rating_medio, 6) as rating_medio,
+       cast(row_number() over (order by n_recensioni desc, id) as integer) as rank
+from (select cast(g.id as integer) as id, coalesce(s.n, 0) as n_recensioni, s.m as rating_medio
+      from range({K_FIXED}) g(id)
+      left join (select cluster, count(*) as n, avg(rating) filter (where rating <> 0) as m from lab group by cluster) s
+      on g.id = s.cluster)""", **TOPIC_CTES))
+def q_topic_summary(spark, sf_dir):
+    s = TP.order_topics(TP.topic_summary(labelled_df(spark, sf_dir), K_FIXED))
+    return s.withColumn("percentuale", r6("percentuale")).withColumn("rating_medio", r6("rating_medio"))
+
+
+@register("topic_examples", S.with_ctes("""
+select p.cluster as id, cast(p.rn as integer) as example, p.seq, r.review_id, r.testo, r.rating, r.data, r.link
+from (select *, row_number() over (partition by cluster order by seq) as rn
+      from (select cluster, coalesce(review_id, '~null') as ident, min(seq) as seq from lab group by all)) p
+join reviews r on p.seq = r.seq
+where p.rn <= 3""", **TOPIC_CTES))
+def q_topic_examples(spark, sf_dir):
+    return TP.topic_examples(labelled_df(spark, sf_dir), K_FIXED, CFG)
+
+
+# --- blocks ----------------------------------------------------------------------
+
+from recensio.operators import blocks as BL  # noqa: E402
+
+BLOCK_CTES = dict(
+    offs="""select seq, cast(len(parole) as integer) as n_words,
+                   coalesce(sum(len(parole)) over (order by seq rows between unbounded preceding and 1 preceding), 0) as "offset",
+                   parole
+            from reviews""",
+    words="""select seq, "offset", unnest(parole) as word, unnest(generate_series(0, n_words - 1)) as i
+             from offs where n_words > 0""",
+    blocks=f"""select cast(("offset" + i) // {CFG.block_words} as bigint) as block_id, cast(count(*) as bigint) as n_words,
+                      string_agg(word, ' ' order by "offset" + i) as testo
+               from words group by 1""",
+)
+
+
+@register("word_offsets", S.with_ctes('select seq, n_words, cast("offset" as bigint) as "offset" from offs', **BLOCK_CTES))
+def q_word_offsets(spark, sf_dir):
+    return BL.word_offsets(reviews_df(spark, sf_dir), CFG).select(
+        "seq", F.col("n_words").cast("int").alias("n_words"), F.col("offset").cast("long").alias("offset"))
+
+
+@register("text_blocks", S.with_ctes("select block_id, n_words, testo from blocks", **BLOCK_CTES))
+def q_text_blocks(spark, sf_dir):
+    return BL.text_blocks(reviews_df(spark, sf_dir), CFG)
+
+
+@register("block_count", S.with_ctes(
+    f"select cast(coalesce(sum(len(parole)), 0) as bigint) as n_words, cast(ceil(coalesce(sum(len(parole)), 0) / {CFG.block_words}) as bigint) as n_blocks from reviews"))
+def q_block_count(spark, sf_dir):
+    return BL.block_count(reviews_df(spark, sf_dir), CFG)
+
+
+@register("prompts", S.with_ctes(
+    f"select block_id, concat({S.q(BL.PROMPT_HEAD)}, testo, {S.q(BL.PROMPT_TAIL)}) as prompt from blocks", **BLOCK_CTES))
+def q_prompts(spark, sf_dir):
+    return BL.prompts(BL.text_blocks(reviews_df(spark, sf_dir), CFG))

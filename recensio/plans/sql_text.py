@@ -119,8 +119,9 @@ THEMES = "select * from (values " + ", ".join(
 ) + ") t(tipo, theme_pos, punto)"
 
 
-def with_ctes(body: str, **extra: str) -> str:
-    """Prefix a query with the review CTEs (and any extra named CTEs)."""
-    ctes = {"raw_reviews": RAW_REVIEWS, "reviews": REVIEWS}
+def with_ctes(body: str, raw: str | None = None, **extra: str) -> str:
+    """Prefix a query with the review CTEs (and any extra named CTEs).
+    ``raw`` replaces the raw records, reading the base ones as ``raw_docs``."""
+    ctes = {"raw_docs": RAW_REVIEWS, "raw_reviews": raw or "select * from raw_docs", "reviews": REVIEWS}
     ctes.update(extra)
     return "with " + ",\n".join(f"{k} as ({v})" for k, v in ctes.items()) + "\n" + body

@@ -76,3 +76,51 @@ FIXED_THEMES = (
 
 def fixed_themes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(FIXED_THEMES), "tipo string, theme_pos int, punto string")
+
+
+def responses_from_blocks(blocks: DataFrame) -> DataFrame:
+    """Model answers derived from the text blocks, as the answer table
+    ``responses(block_id, attempt, content)`` the merge step reads.
+
+    Each list category holds up to five two-word items taken from the block
+    (so items repeat across blocks and match reviews); some answers are
+    fenced, some first attempts are broken, some blocks never get a valid
+    answer, one keyword is blacklisted and some lists or counts are missing.
+    """
+    from recensio.config import INSIGHT_CATEGORIES
+
+    b = F.col("block_id")
+    words = F.split(F.col("testo"), " ")
+
+    def items(ci: int):
+        arr = F.transform(
+            F.sequence(F.lit(0), F.lit(4)),
+            lambda i: F.concat_ws(" ", F.get(words, i + ci * 5), F.get(words, i + ci * 5 + 1)),
+        )
+        return F.filter(arr, lambda x: x != "")
+
+    fields = []
+    for ci, c in enumerate(INSIGHT_CATEGORIES):
+        it = items(ci)
+        if c == "parole_chiave":
+            it = F.when(b % 2 == 0, F.concat(F.array(F.lit("Offerte Maggio")), it)).otherwise(it)
+        if c == "leve_marketing":
+            it = F.when(b % 6 != 5, it)
+        fields.append(it.alias(c))
+    sc = F.struct(
+        (b % 7 + 1).alias("positivo"),
+        F.when(b % 4 != 1, b % 3).alias("neutro"),
+        (b % 2).alias("negativo"),
+    )
+    js = F.to_json(F.struct(*fields, sc.alias("sentiment_counts")))
+    shown = F.when(b % 2 == 0, F.concat(F.lit("```json\n"), js, F.lit("\n```"))).otherwise(js)
+    att = lambda n, c: F.struct(F.lit(n).alias("attempt"), c.alias("content"))
+    trailing = F.concat(js, F.lit(" trailing"))
+    tries = (
+        F.when(b % 5 == 4, F.array(att(1, trailing), att(2, trailing), att(3, trailing)))
+        .when(b % 3 == 0, F.array(att(1, F.lit("{bad")), att(2, shown)))
+        .otherwise(F.array(att(1, shown)))
+    )
+    return blocks.select("block_id", F.explode(tries).alias("t")).select(
+        "block_id", F.col("t.attempt").cast("int").alias("attempt"), F.col("t.content").alias("content")
+    )
