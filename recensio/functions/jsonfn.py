@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 
 import pandas as pd
@@ -29,9 +30,17 @@ def _valid(s: str | None) -> bool:
     return True
 
 
-@pandas_udf("boolean")
-def is_valid_json(s: pd.Series) -> pd.Series:
+def _valid_series(s: pd.Series) -> pd.Series:
+    return s.map(_valid).astype(bool)
+
+
+@functools.cache
+def _valid_udf():
+    return pandas_udf(_valid_series, "boolean")
+
+
+def is_valid_json(col: Column) -> Column:
     """Strict parse check (text after the value is an error).  Spark's own
     JSON readers accept trailing text, so this one check runs in Python,
     Arrow-batched, on the (few) answer rows only."""
-    return s.map(_valid).astype(bool)
+    return _valid_udf()(col)

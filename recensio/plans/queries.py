@@ -348,3 +348,249 @@ def q_block_count(spark, sf_dir):
     f"select block_id, concat({S.q(BL.PROMPT_HEAD)}, testo, {S.q(BL.PROMPT_TAIL)}) as prompt from blocks", **BLOCK_CTES))
 def q_prompts(spark, sf_dir):
     return BL.prompts(BL.text_blocks(reviews_df(spark, sf_dir), CFG))
+
+
+# --- model answers and insight merge ---------------------------------------------
+
+from recensio.config import INSIGHT_CATEGORIES, KEYWORD_BLACKLIST  # noqa: E402
+from recensio.functions.text import SPACE  # noqa: E402
+from recensio.operators import insights as IN  # noqa: E402
+from recensio.plans import report as RP  # noqa: E402
+
+
+def _items_sql(ci: int) -> str:
+    return (f"list_filter(list_transform(range(0, 5), lambda i: concat_ws(' ', words[{ci * 5} + i + 1], "
+            f"words[{ci * 5} + i + 2])), lambda x: x <> '')")
+
+
+def _answer_sql() -> str:
+    fields = []
+    for ci, c in enumerate(INSIGHT_CATEGORIES):
+        it = _items_sql(ci)
+        if c == "parole_chiave":
+            it = f"case when block_id % 2 = 0 then list_concat(['Offerte Maggio'], {it}) else {it} end"
+        if c == "leve_marketing":
+            it = f"case when block_id % 6 <> 5 then {it} end"
+        fields.append(f"{c} := {it}")
+    fields.append("sentiment_counts := struct_pack(positivo := block_id % 7 + 1, "
+                  "neutro := case when block_id % 4 <> 1 then block_id % 3 end, negativo := block_id % 2)")
+    return "to_json(struct_pack(" + ", ".join(fields) + "))"
+
+
+_SHOWN = "case when block_id % 2 = 0 then concat('```json' || chr(10), js, chr(10) || '```') else js end"
+_STRIP = ("regexp_replace(regexp_replace(content, '```json\\n?|```', '', 'g'), "
+          + S.q(f"^[{SPACE}]+|[{SPACE}]+$") + ", '', 'g')")
+
+INSIGHT_CTES = dict(
+    BLOCK_CTES,
+    resp_js=f"select block_id, cast({_answer_sql()} as varchar) as js from (select block_id, string_split(testo, ' ') as words from blocks)",
+    responses=f"""
+      select block_id, a.attempt, js || ' trailing' as content from resp_js, (values (1), (2), (3)) a(attempt) where block_id % 5 = 4
+      union all select block_id, 1, '{{bad' from resp_js where block_id % 5 <> 4 and block_id % 3 = 0
+      union all select block_id, 2, {_SHOWN} from resp_js where block_id % 5 <> 4 and block_id % 3 = 0
+      union all select block_id, 1, {_SHOWN} from resp_js where block_id % 5 <> 4 and block_id % 3 <> 0""",
+    parsed=f"select block_id, attempt, cleaned, json_valid(cleaned) as valid from (select *, {_STRIP} as cleaned from responses)",
+    answers="""select p.block_id, p.attempt, p.cleaned from parsed p
+               join (select block_id, min(attempt) as attempt from parsed where valid and attempt <= 3 group by block_id) f
+               on p.block_id = f.block_id and p.attempt = f.attempt""",
+    items=" union all ".join(
+        f"""select block_id, '{c}' as categoria, unnest(generate_series(0, len(l) - 1)) as item_pos, unnest(l) as elemento
+            from (select block_id, json_extract_string(cleaned, '$.{c}[*]') as l from answers)"""
+        for c in INSIGHT_CATEGORIES),
+    firsts="select categoria, elemento, min(block_id * 1000000 + item_pos) as k from items where elemento is not null group by all",
+    kw_flag=f"""select *, not list_bool_or(list_transform({S.sql_list(KEYWORD_BLACKLIST)}, lambda t: contains(lower(elemento), t))) as allowed
+                from firsts""",
+    merged="""select categoria, cast(row_number() over (partition by categoria order by k) - 1 as bigint) as pos, elemento
+              from kw_flag where categoria <> 'parole_chiave' or allowed""",
+)
+
+
+def answers_df(spark, sf_dir, reviews=None):
+    r = reviews if reviews is not None else reviews_df(spark, sf_dir)
+    resp = SRC.responses_from_blocks(BL.text_blocks(r, CFG))
+    return IN.first_valid(IN.parse_responses(resp), CFG)
+
+
+def insights_df(spark, sf_dir, reviews=None):
+    return IN.merge_insights(answers_df(spark, sf_dir, reviews), CFG)
+
+
+@register("responses_parsed", S.with_ctes("select block_id, attempt, valid from parsed", **INSIGHT_CTES))
+def q_responses_parsed(spark, sf_dir):
+    resp = SRC.responses_from_blocks(BL.text_blocks(reviews_df(spark, sf_dir), CFG))
+    return IN.parse_responses(resp).select("block_id", "attempt", "valid")
+
+
+@register("first_valid_attempt", S.with_ctes("select block_id, attempt from answers", **INSIGHT_CTES))
+def q_first_valid_attempt(spark, sf_dir):
+    return answers_df(spark, sf_dir).select("block_id", "attempt")
+
+
+@register("insight_merge", S.with_ctes("select categoria, pos, elemento from merged", **INSIGHT_CTES))
+def q_insight_merge(spark, sf_dir):
+    return insights_df(spark, sf_dir)
+
+
+@register("keyword_blacklist", S.with_ctes(
+    "select elemento, allowed from kw_flag where categoria = 'parole_chiave'", **INSIGHT_CTES))
+def q_keyword_blacklist(spark, sf_dir):
+    m = IN.merge_insights(answers_df(spark, sf_dir), CFG, blacklist=False).filter(F.col("categoria") == "parole_chiave")
+    return m.select("elemento", IN.keyword_allowed(F.col("elemento"), CFG.keyword_blacklist).alias("allowed"))
+
+
+_SENT_SQL = ", ".join(
+    f"cast(coalesce(sum(coalesce(json_extract(cleaned, '$.sentiment_counts.{s}')::bigint, 0)), 0) as bigint) as {s}"
+    for s in ("positivo", "neutro", "negativo"))
+
+
+@register("sentiment_distribution", S.with_ctes(f"select {_SENT_SQL} from answers", **INSIGHT_CTES))
+def q_sentiment_distribution(spark, sf_dir):
+    return IN.sentiment_distribution(answers_df(spark, sf_dir))
+
+
+@register("sentiment_share", S.with_ctes(f"""
+select {', '.join(f"round(case when t > 0 then {s} / t * 100 else 0 end, 6) as {s}_pct" for s in ('positivo', 'neutro', 'negativo'))}
+from (select *, positivo + neutro + negativo as t from (select {_SENT_SQL} from answers)) where positivo > 0""", **INSIGHT_CTES))
+def q_sentiment_share(spark, sf_dir):
+    s = IN.sentiment_share(IN.sentiment_distribution(answers_df(spark, sf_dir)))
+    return s.select(*[r6(c).alias(c) for c in s.columns])
+
+
+# Themes taken from the merged answers: the full analysis chain.
+MERGED_THEME_CTES = dict(
+    INSIGHT_CTES,
+    themes="select categoria as tipo, cast(pos as integer) as theme_pos, elemento as punto from merged where categoria in ('punti_forza', 'punti_debolezza')",
+    th=THEME_CTES["th"], band=THEME_CTES["band"], matches=THEME_CTES["matches"], sizes=THEME_CTES["sizes"],
+)
+
+
+def merged_themes(insights):
+    return insights.filter(F.col("categoria").isin(TH.STRENGTHS, TH.WEAKNESSES)).select(
+        F.col("categoria").alias("tipo"), F.col("pos").cast("int").alias("theme_pos"), F.col("elemento").alias("punto"))
+
+
+@register("theme_keywords", S.with_ctes("select tipo, theme_pos, kw from th", **MERGED_THEME_CTES))
+def q_theme_keywords(spark, sf_dir):
+    th = TH.theme_keywords(merged_themes(insights_df(spark, sf_dir)))
+    return th.select("tipo", "theme_pos", "kw")
+
+
+FREQ_SQL = """select c.tipo, c.theme_pos, c.punto, c."count", round(c."count" / s.band_rows * 100, 6) as percentuale
+       from (select tipo, theme_pos, punto, count(distinct ident) as "count" from matches group by all) c
+       join sizes s on c.tipo = s.tipo"""
+
+
+@register("analysis_theme_frequency", S.with_ctes(FREQ_SQL, **MERGED_THEME_CTES))
+def q_analysis_theme_frequency(spark, sf_dir):
+    """Reviews -> blocks -> answers -> merged strengths/weaknesses -> how
+    often each is mentioned."""
+    r = reviews_df(spark, sf_dir)
+    f = TH.theme_frequency(r, merged_themes(insights_df(spark, sf_dir, r)), CFG)
+    return f.withColumn("percentuale", r6("percentuale"))
+
+
+# --- report tables ---------------------------------------------------------------
+
+REPORT_CTES = dict(
+    MERGED_THEME_CTES,
+    freq=FREQ_SQL,
+    lab=TOPIC_CTES["lab"],
+)
+
+
+@register("top_insights", S.with_ctes(
+    "select categoria, pos, elemento from merged m join (values " +
+    ", ".join(f"('{k}', {v})" for k, v in CFG.top_n.items() if k != "topics") +
+    ") n(c, lim) on m.categoria = n.c where pos < lim", **REPORT_CTES))
+def q_top_insights(spark, sf_dir):
+    return RP.top_insights(insights_df(spark, sf_dir), CFG)
+
+
+@register("report_general", S.with_ctes("""
+select 'Leve Marketing' as categoria, coalesce(string_agg(elemento, ' | ' order by pos), '') as insights from merged where categoria = 'leve_marketing' and pos < 10
+union all
+select 'Parole Chiave', coalesce(string_agg(elemento, ' | ' order by pos), '') from merged where categoria = 'parole_chiave' and pos < 20""",
+    **REPORT_CTES))
+def q_report_general(spark, sf_dir):
+    return RP.report_general(insights_df(spark, sf_dir), CFG)
+
+
+@register("report_channels", S.with_ctes(
+    "select cast(c.ord as integer) as ord, c.canale, coalesce(s.s, '') as suggerimenti from (values " +
+    ", ".join(f"({i}, '{lab}', '{cat}')" for i, (lab, cat) in enumerate(RP.CHANNELS)) +
+    ") c(ord, canale, categoria) left join (select categoria, string_agg(elemento, ' | ' order by pos) as s from merged group by categoria) s "
+    "on c.categoria = s.categoria", **REPORT_CTES))
+def q_report_channels(spark, sf_dir):
+    return RP.report_channels(insights_df(spark, sf_dir))
+
+
+@register("report_themes", S.with_ctes("""
+select tipo, cast(row_number() over (partition by tipo order by "count" desc, theme_pos) as integer) as rank, punto, "count", percentuale
+from freq""", **REPORT_CTES))
+def q_report_themes(spark, sf_dir):
+    r = reviews_df(spark, sf_dir)
+    f = TH.theme_frequency(r, merged_themes(insights_df(spark, sf_dir, r)), CFG).withColumn("percentuale", r6("percentuale"))
+    return RP.report_themes(f).drop("percentuale_txt")
+
+
+@register("themes_with_fallback", S.with_ctes("""
+select tipo, rank, punto, 'frequenza' as source from (
+  select tipo, cast(row_number() over (partition by tipo order by "count" desc, theme_pos) as integer) as rank, punto from freq) where rank <= 10
+union all
+select categoria, cast(pos + 1 as integer), elemento, 'elenco' from merged
+where categoria in ('punti_forza', 'punti_debolezza') and pos < 10 and categoria not in (select tipo from freq)""", **REPORT_CTES))
+def q_themes_with_fallback(spark, sf_dir):
+    r = reviews_df(spark, sf_dir)
+    ins = insights_df(spark, sf_dir, r)
+    f = TH.theme_frequency(r, merged_themes(ins), CFG)
+    return RP.themes_with_fallback(f, ins, CFG)
+
+
+@register("headline", S.with_ctes(f"""
+select (select count(*) from reviews) as n_recensioni,
+       (select round(avg(rating) filter (where rating <> 0), 6) from reviews) as rating_medio,
+       (select count(*) from merged where categoria = 'punti_forza') as n_punti_forza,
+       (select count(*) from merged where categoria = 'punti_debolezza') as n_punti_debolezza,
+       {K_FIXED} as n_cluster""", **REPORT_CTES))
+def q_headline(spark, sf_dir):
+    r = reviews_df(spark, sf_dir)
+    h = RP.headline(r, insights_df(spark, sf_dir, r), K_FIXED)
+    return h.withColumn("rating_medio", r6("rating_medio"))
+
+
+@register("report_reviews", S.with_ctes(
+    "select seq, testo, rating, data, cast(cluster as varchar) as cluster, link from lab", **REPORT_CTES))
+def q_report_reviews(spark, sf_dir):
+    return RP.report_reviews(labelled_df(spark, sf_dir))
+
+
+@register("report_topics", S.with_ctes("""
+select s.id, array_to_string(t.parole_chiave, ', ') as tematica, s.n_recensioni, s.percentuale, s.rating_medio
+from (select id, n_recensioni, round(n_recensioni / sum(n_recensioni) over () * 100, 6) as percentuale, round(rating_medio, 6) as rating_medio
+      from (select cast(g.id as integer) as id, coalesce(s.n, 0) as n_recensioni, s.m as rating_medio
+            from range(8) g(id) left join (select cluster, count(*) as n, avg(rating) filter (where rating <> 0) as m from lab group by cluster) s
+            on g.id = s.cluster)) s
+left join (select cluster, list_slice(list_filter(top_terms, lambda t: length(t) > 3), 1, 5) as parole_chiave from top10) t on s.id = t.cluster""",
+    **TOPIC_CTES))
+def q_report_topics(spark, sf_dir):
+    lab = labelled_df(spark, sf_dir)
+    v = FT.vocabulary(lab, CFG)
+    n_terms = v.count()
+    terms = TP.topic_terms(TP.centroids_from_labels(lab, FT.tfidf(lab, CFG, vocab=v), n_terms, K_FIXED), v)
+    s = TP.topic_summary(lab, K_FIXED).withColumn("percentuale", r6("percentuale")).withColumn("rating_medio", r6("rating_medio"))
+    return RP.report_topics(s, terms).select("id", "tematica", "n_recensioni", "percentuale", "rating_medio")
+
+
+@register("example_cards", S.with_ctes("""
+select p.tipo, p.theme_pos, p.punto, cast(p.example as integer) as example,
+       repeat('⭐', case when r.rating is not null and r.rating <> 0 then r.rating else 3 end) as stelle,
+       case when length(r.testo) > 200 then left(r.testo, 200) || '...' else r.testo end as testo_breve,
+       r.data, r.link,
+       case when p.tipo = 'punti_forza' then 'positive-review' else 'negative-review' end as classe
+from (select *, row_number() over (partition by tipo, theme_pos, punto order by seq) as example
+      from (select tipo, theme_pos, punto, ident, min(seq) as seq from matches where nkw > 0 group by all)) p
+join reviews r on p.seq = r.seq
+where p.example <= 2""", **THEME_CTES))
+def q_example_cards(spark, sf_dir):
+    ex = TH.theme_examples(reviews_df(spark, sf_dir), SRC.fixed_themes(spark), CFG)
+    return RP.example_cards(ex)
