@@ -594,3 +594,121 @@ where p.example <= 2""", **THEME_CTES))
 def q_example_cards(spark, sf_dir):
     ex = TH.theme_examples(reviews_df(spark, sf_dir), SRC.fixed_themes(spark), CFG)
     return RP.example_cards(ex)
+
+
+# --- pages: scan, predicates, crawl prefix, HTML walk ----------------------------
+
+from dataclasses import replace as _replace  # noqa: E402
+
+from recensio.sources import pages as PG  # noqa: E402
+
+# The driver pages hold plain <article> elements without review attributes:
+# read them with one more fallback selector, any article.
+PAGES_CFG = _replace(CFG, fallback_selectors=CFG.fallback_selectors + (("article", None, None),))
+PAGES_SQL = """
+select 'c' || cast(floor(page_id / 10) as bigint) as company, cast(page_id % 10 + 1 as integer) as pagina, url,
+       cast(case when page_id % 23 = 7 then 404 when page_id % 19 = 4 then null else 200 end as integer) as status, html, page_id
+from pages"""
+PAGE_CTES = dict(
+    lp=PAGES_SQL,
+    stops="select company, min(pagina) filter (where status is not null and status <> 200) as stop_at from lp group by company",
+    kept="""select lp.* from lp join stops using (company)
+            where status is not null and (stop_at is null or pagina < stop_at)""",
+)
+
+
+@register("company_key", f"select page_id, regexp_extract(url, {S.q('/review/([^/?]+)')}, 1) as company_key from pages")
+def q_company_key(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return p.select("page_id", PG.company_key(F.col("url")).alias("company_key"))
+
+
+@register("url_filter", "select page_id, url from pages where length(url) > 0 and contains(url, 'example.com')")
+def q_url_filter(spark, sf_dir):
+    return PG.url_filter(spark.read.parquet(f"{sf_dir}/pages.parquet"), "example.com").select("page_id", "url")
+
+
+@register("crawl_prefix", S.with_ctes("select company, pagina, status from kept", **PAGE_CTES))
+def q_crawl_prefix(spark, sf_dir):
+    return PG.crawl_prefix(PG.pages_from_table(spark, sf_dir)).select("company", "pagina", "status")
+
+
+@register("review_containers")
+def q_review_containers(spark, sf_dir):
+    """HTML walk over the kept pages (Python parser: rows-only check)."""
+    kept = PG.crawl_prefix(PG.pages_from_table(spark, sf_dir))
+    return PG.extract_containers(kept, PAGES_CFG).select("company", "pagina", "pos", "testo")
+
+
+@register("first_page_guard")
+def q_first_page_guard(spark, sf_dir):
+    kept = PG.crawl_prefix(PG.pages_from_table(spark, sf_dir))
+    c = PG.extract_containers(kept, PAGES_CFG)
+    return PG.first_page_guard(c, kept).select("company", "pagina", "pos")
+
+
+@register("html_reviews")
+def q_html_reviews(spark, sf_dir):
+    """pages -> reviews through the whole extraction path."""
+    raw = PG.raw_from_pages(PG.pages_from_table(spark, sf_dir), PAGES_CFG)
+    return RV.to_reviews(raw, PAGES_CFG).select("company", "seq", "pagina", "pos", "review_id", "rating", "data", "link", "testo_pulito")
+
+
+ID_COLS_SQL = """
+select page_id,
+       case when page_id % 7 = 0 then url when page_id % 7 = 1 then 'x/' end as m1_url,
+       case when page_id % 7 in (1, 2) then 'svc' || cast(page_id as varchar) end as m2_id,
+       case when page_id % 7 = 3 then '/reviews/t' || cast(page_id as varchar) || '?a=1' when page_id % 7 = 4 then url end as m3_href,
+       case when page_id % 7 in (4, 5) then '/it/reviews/h' || cast(page_id as varchar) || '?b#c' end as m4_href,
+       case when page_id % 7 = 6 and page_id % 2 = 0 then 'cons' || cast(page_id as varchar) when page_id % 7 = 6 then '' end as m5_id
+from pages"""
+
+
+def _id_cols(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    pid, m = F.col("page_id"), F.col("page_id") % 7
+    s = pid.cast("string")
+    return p.select(
+        "page_id",
+        F.when(m == 0, F.col("url")).when(m == 1, F.lit("x/")).alias("m1_url"),
+        F.when(m.isin(1, 2), F.concat(F.lit("svc"), s)).alias("m2_id"),
+        F.when(m == 3, F.concat(F.lit("/reviews/t"), s, F.lit("?a=1"))).when(m == 4, F.col("url")).alias("m3_href"),
+        F.when(m.isin(4, 5), F.concat(F.lit("/it/reviews/h"), s, F.lit("?b#c"))).alias("m4_href"),
+        F.when((m == 6) & (pid % 2 == 0), F.concat(F.lit("cons"), s)).when(m == 6, F.lit("")).alias("m5_id"),
+    )
+
+
+@register("review_id_chain", f"""
+with ids as ({ID_COLS_SQL})
+select page_id, coalesce(
+  nullif(case when coalesce(m1_url, '') <> '' then string_split(m1_url, '/')[-1] end, ''),
+  nullif(m2_id, ''),
+  nullif(case when contains(m3_href, '/reviews/') then string_split(string_split(m3_href, '/reviews/')[-1], '?')[1] end, ''),
+  nullif(case when contains(m4_href, '/reviews/') then string_split(string_split(string_split(m4_href, '/reviews/')[-1], '?')[1], '#')[1] end, ''),
+  m5_id) as review_id
+from ids""")
+def q_review_id_chain(spark, sf_dir):
+    c = _id_cols(spark, sf_dir)
+    return c.select("page_id", PG.review_id_chain(*[F.col(x) for x in ("m1_url", "m2_id", "m3_href", "m4_href", "m5_id")]).alias("review_id"))
+
+
+@register("topic_cards", S.with_ctes("""
+select s.id, s.id + 1 as titolo, array_to_string(list_slice(t.parole_chiave, 1, 3), ', ') as tematiche, s.percentuale,
+       cast(e.example as integer) as example,
+       repeat('⭐', case when r.rating is not null and r.rating <> 0 then r.rating else 3 end) as stelle,
+       case when length(r.testo) > 150 then left(r.testo, 150) || '...' else r.testo end as testo_breve, r.link
+from (select cast(g.id as integer) as id, round(coalesce(n, 0) / sum(coalesce(n, 0)) over () * 100, 6) as percentuale
+      from range(8) g(id) left join (select cluster, count(*) as n from lab group by cluster) c on g.id = c.cluster) s
+left join (select cluster, list_slice(list_filter(top_terms, lambda t: length(t) > 3), 1, 5) as parole_chiave from top10) t on s.id = t.cluster
+left join (select * from (select *, row_number() over (partition by cluster order by seq) as example
+                          from (select cluster, coalesce(review_id, '~null') as ident, min(seq) as seq from lab group by all)) where example <= 2) e
+  on s.id = e.cluster
+left join reviews r on e.seq = r.seq""", **TOPIC_CTES))
+def q_topic_cards(spark, sf_dir):
+    lab = labelled_df(spark, sf_dir)
+    v = FT.vocabulary(lab, CFG)
+    n_terms = v.count()
+    terms = TP.topic_terms(TP.centroids_from_labels(lab, FT.tfidf(lab, CFG, vocab=v), n_terms, K_FIXED), v)
+    s = TP.topic_summary(lab, K_FIXED).withColumn("percentuale", r6("percentuale"))
+    ex = TP.topic_examples(lab, K_FIXED, CFG)
+    return RP.topic_cards(s, terms, ex)
