@@ -96,9 +96,11 @@ class Config:
     topic_examples: int = 3
     theme_examples: int = 2
     top_n: dict = field(default_factory=lambda: dict(TOP_N))
-    # A theme table is broadcast into the substring join only below this many
-    # rows; above it the exact word-index join is used instead.
-    theme_broadcast_rows: int = 20000
+    # A theme table is broadcast into the substring join only up to this many
+    # rows: the broadcast plan scans every review text once per keyword, the
+    # word-index plan once in all.  Measured at sf0.1: 3,057 themes take 52 s
+    # broadcast and 9 s through the index; 8 themes are faster broadcast.
+    theme_broadcast_rows: int = 64
     # Bucket width (in seq units) of the running word offsets.
     offset_bucket: int = 1 << 16
 

@@ -6,9 +6,16 @@ the vocabulary when it occurs in at least ``min_df`` reviews and in at most
 total count are kept (ties by term).  Weights are raw count times the
 smoothed idf ``ln((1+n)/(1+df)) + 1``, scaled to unit L2 norm per review.
 
-Plan: one shuffle on (seq, term) for term counts, one partial aggregate on
-term for document frequencies, a top-k of at most ``max_features`` rows
-(broadcast: its size is bounded by the parameter), then map-side joins.
+Plan: the corpus is never shuffled by (review, term).
+* ``term_stats``: one pass; each review emits its distinct terms (for df)
+  and all its tokens (for cf); both counts are aggregated per term, partial
+  aggregation first, so a task ships at most one row per distinct term.
+* ``vocabulary``: a top-k of at most ``max_features`` rows.
+* ``with_vectors``: the vocabulary (bounded by ``max_features``) is a
+  literal of ``CountVectorizerModel`` -> ``ElementwiseProduct(idf)`` ->
+  ``Normalizer``: sparse vectors, map-only, JVM-side.
+* ``tfidf``: the long table (seq, idx, term, tfidf) exploded from those
+  vectors, still map-only.
 """
 
 from __future__ import annotations
@@ -20,17 +27,24 @@ from recensio.config import Config
 from recensio.functions import text as T
 
 
-def term_counts(reviews: DataFrame) -> DataFrame:
-    """(seq, term, tf) for every feature token of every review."""
-    tokens = reviews.select("seq", F.explode(T.feature_tokens(F.col("parole"))).alias("term"))
-    return tokens.groupBy("seq", "term").agg(F.count(F.lit(1)).alias("tf"))
+def term_stats(reviews: DataFrame) -> DataFrame:
+    """(term, df, cf): reviews containing the term, total occurrences."""
+    toks = T.feature_tokens(F.col("parole"))
+    marks = F.concat(
+        F.transform(F.array_distinct(toks), lambda t: F.struct(t.alias("term"), F.lit(1).alias("d"), F.lit(0).alias("c"))),
+        F.transform(toks, lambda t: F.struct(t.alias("term"), F.lit(0).alias("d"), F.lit(1).alias("c"))),
+    )
+    return (
+        reviews.select(F.explode(marks).alias("m"))
+        .groupBy(F.col("m.term").alias("term"))
+        .agg(F.sum("m.d").cast("long").alias("df"), F.sum("m.c").cast("long").alias("cf"))
+    )
 
 
-def vocabulary(reviews: DataFrame, cfg: Config = Config(), n_docs: int | None = None, tf: DataFrame | None = None) -> DataFrame:
+def vocabulary(reviews: DataFrame, cfg: Config = Config(), n_docs: int | None = None) -> DataFrame:
     """(idx, term, df, cf, idf): the kept terms, idx in term order."""
     n = reviews.count() if n_docs is None else n_docs
-    tf = term_counts(reviews) if tf is None else tf
-    stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    stats = term_stats(reviews)
     kept = stats.filter((F.col("df") >= cfg.min_df) & (F.col("df") <= F.lit(cfg.max_df * n)))
     top = kept.orderBy(F.desc("cf"), "term").limit(cfg.max_features)
     # At most max_features rows: a single-partition window is fine here.
@@ -39,25 +53,43 @@ def vocabulary(reviews: DataFrame, cfg: Config = Config(), n_docs: int | None =
     return top.select(idx.cast("int").alias("idx"), "term", "df", "cf", idf.alias("idf"))
 
 
-def tfidf(reviews: DataFrame, cfg: Config = Config(), vocab: DataFrame | None = None, tf: DataFrame | None = None) -> DataFrame:
-    """(seq, idx, term, tfidf) for the vocabulary terms of each review;
-    reviews without any vocabulary term have no rows."""
-    tf = term_counts(reviews) if tf is None else tf
-    vocab = vocabulary(reviews, cfg, tf=tf) if vocab is None else vocab
-    w = tf.join(F.broadcast(vocab.select("term", "idx", "idf")), "term").withColumn("w", F.col("tf") * F.col("idf"))
-    norms = w.groupBy("seq").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return w.join(norms, "seq").select("seq", "idx", "term", (F.col("w") / F.col("norm")).alias("tfidf"))
+def vocab_rows(vocab: DataFrame) -> list[tuple[str, float]]:
+    """(term, idf) in idx order.  The vocabulary holds at most
+    ``max_features`` rows, so it is read to the driver and becomes a literal
+    of the vector transformers."""
+    return [(r["term"], float(r["idf"])) for r in vocab.orderBy("idx").select("term", "idf").collect()]
 
 
-def dense_features(reviews: DataFrame, weights: DataFrame, n_terms: int) -> DataFrame:
-    """(seq, features): one dense vector per review (zeros when it has no
-    vocabulary term), ready for MLlib."""
-    from pyspark.ml.functions import array_to_vector
+def with_vectors(reviews: DataFrame, vocab: list[tuple[str, float]], out: str = "features") -> DataFrame:
+    """``reviews`` plus ``out``: the L2-normalised TF-IDF vector (sparse,
+    size = vocabulary size; all zeros when no vocabulary term occurs)."""
+    from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+    from pyspark.ml.linalg import Vectors
 
-    per_doc = weights.groupBy("seq").agg(F.map_from_entries(F.collect_list(F.struct("idx", "tfidf"))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(n_terms - 1)), lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0.0)))
-    return (
-        reviews.select("seq")
-        .join(per_doc, "seq", "left")
-        .select("seq", array_to_vector(dense).alias("features"))
-    )
+    terms = [t for t, _ in vocab]
+    # Words outside the vocabulary are ignored by the counter, so the cleaned
+    # words can be counted directly (vocabulary terms are all feature tokens).
+    cv = CountVectorizerModel.from_vocabulary(terms, inputCol="parole", outputCol="_tf")
+    ep = ElementwiseProduct(scalingVec=Vectors.dense([w for _, w in vocab]), inputCol="_tf", outputCol="_w")
+    nz = Normalizer(p=2.0, inputCol="_w", outputCol=out)
+    return nz.transform(ep.transform(cv.transform(reviews))).drop("_tf", "_w")
+
+
+def tfidf_from_vectors(vectors: DataFrame, vocab: list[tuple[str, float]], keep: tuple[str, ...] = ("seq",),
+                       col: str = "features") -> DataFrame:
+    """(*keep, idx, term, tfidf): one row per non-zero weight."""
+    from pyspark.ml.functions import vector_to_array
+
+    terms = F.array(*[F.lit(t) for t, _ in vocab])
+    long = vectors.select(*keep, F.posexplode(vector_to_array(col)).alias("idx", "tfidf")).filter(F.col("tfidf") != 0)
+    return long.select(*keep, F.col("idx").cast("int").alias("idx"), F.element_at(terms, F.col("idx") + 1).alias("term"), "tfidf")
+
+
+def tfidf(reviews: DataFrame, cfg: Config = Config(), vocab: DataFrame | None = None) -> DataFrame:
+    """(seq, idx, term, tfidf) for the vocabulary terms of each review;
+    reviews without any vocabulary term have no rows."""
+    vocab = vocabulary(reviews, cfg) if vocab is None else vocab
+    rows = vocab_rows(vocab)
+    if not rows:
+        return reviews.sparkSession.createDataFrame([], "seq bigint, idx int, term string, tfidf double")
+    return tfidf_from_vectors(with_vectors(reviews.select("seq", "parole"), rows), rows)

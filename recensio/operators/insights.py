@@ -26,6 +26,9 @@ ANSWER_SCHEMA = StructType(
 
 def parse_responses(responses: DataFrame) -> DataFrame:
     """(block_id, attempt, valid, answer struct)."""
+    from recensio.session import ship_package
+
+    ship_package(responses.sparkSession)
     cleaned = responses.withColumn("cleaned", strip_fences(F.col("content")))
     valid = is_valid_json(F.col("cleaned"))
     answer = F.when(valid, F.from_json("cleaned", ANSWER_SCHEMA))

@@ -11,6 +11,7 @@ that many rows, however large or skewed the data.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,14 +32,23 @@ def running_offset(
     key and be unique); ``partition`` restarts the sum per group.
     """
     part = list(partition or [])
+    # The input is read twice (bucket totals, then the rows themselves):
+    # keep it (memory, spilling to disk; lost blocks are recomputed from the
+    # lineage) so the upstream work runs once.
     b = df.withColumn("_bucket", F.floor(F.col(key) / width)).withColumn("_w", weight)
-    totals = b.groupBy(*part, "_bucket").agg(F.sum("_w").alias("_t"))
+    b = b.persist(StorageLevel.MEMORY_AND_DISK)
+    # The same window pass gives the running sum inside the bucket and the
+    # bucket total; only the (few) bucket totals are summed across buckets.
+    bucket = Window.partitionBy(*part, "_bucket")
+    inside = bucket.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = b.withColumn("_local", F.coalesce(F.sum("_w").over(inside), F.lit(0))).withColumn(
+        "_t", F.sum("_w").over(bucket)
+    )
+    totals = local.groupBy(*part, "_bucket").agg(F.max("_t").alias("_t"))
     before = Window.partitionBy(*part).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.withColumn("_base", F.coalesce(F.sum("_t").over(before), F.lit(0))).drop("_t")
-    inside = Window.partitionBy(*part, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    local = b.withColumn("_local", F.coalesce(F.sum("_w").over(inside), F.lit(0)))
     return (
         local.join(bases, [*part, "_bucket"])
         .withColumn(out, F.col("_base") + F.col("_local"))
-        .drop("_bucket", "_w", "_base", "_local")
+        .drop("_bucket", "_w", "_t", "_base", "_local")
     )

@@ -127,8 +127,12 @@ def _matches_no_keyword(band: DataFrame, themes: DataFrame) -> DataFrame:
 
 def theme_matches(reviews: DataFrame, themes: DataFrame, cfg: Config = Config()) -> DataFrame:
     """(tipo, theme_pos, punto, nkw, seq, ident) for every matching pair."""
+    from recensio.session import materialize
+
     band = band_reviews(reviews, cfg)
-    th = theme_keywords(themes)
+    # The theme table decides the plan (its size, its keyword lengths) and is
+    # then joined: written once so those reads do not recompute its lineage.
+    th = materialize(theme_keywords(themes))
     n_themes = th.count()
     if n_themes <= cfg.theme_broadcast_rows:
         return _matches_broadcast(band, th)

@@ -4,6 +4,7 @@
 seeded starts, vectors cached for the restarts).  The per-topic operators
 take *any* review table with a ``cluster`` column:
 
+* ``topic_centroids``: mean TF-IDF vector per topic (one partial aggregate);
 * ``topic_terms``: the 10 heaviest centroid weights of each topic, then
   terms longer than 3 chars that are not digits, first 5;
 * ``topic_summary``: size, share, mean of the non-zero ratings;
@@ -34,69 +35,94 @@ def auto_k(n_reviews: Column | int) -> Column:
     return F.least(F.lit(8), F.greatest(F.lit(3), F.floor(n / 10))).cast("int")
 
 
+def _fit_best(feats: DataFrame, k: int, cfg: Config):
+    """Best of ``cfg.n_init`` seeded k-means starts (lowest cost, then the
+    lowest seed).  The starts are independent Spark jobs over the same
+    cached vectors and are submitted from threads, so their many small
+    per-iteration jobs share the cluster instead of queueing one start
+    after another."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark.ml.clustering import KMeans
+
+    def fit(i):
+        km = KMeans(k=k, seed=cfg.kmeans_seed + i, maxIter=cfg.kmeans_max_iter, tol=cfg.kmeans_tol,
+                    featuresCol="features", predictionCol="cluster")
+        model = km.fit(feats)
+        return model.summary.trainingCost, i, model
+
+    with ThreadPoolExecutor(max_workers=max(1, cfg.n_init)) as pool:
+        fits = list(pool.map(fit, range(cfg.n_init)))
+    return min(fits, key=lambda f: (f[0], f[1]))[2]
+
+
 def assign_topics(reviews: DataFrame, k: int | None = None, cfg: Config = Config()):
     """Returns (labelled reviews, centroids, vocab, k_used).
 
     ``labelled`` is ``reviews`` plus ``cluster`` (NULL for every row when the
     guard trips: fewer than 5 reviews or an empty vocabulary);
     ``centroids`` is (cluster, weights array<double>) in vocabulary order.
+    Only the sparse vectors (seq, features) are cached for the iterations.
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import vector_to_array
-
     spark = reviews.sparkSession
     n = reviews.count()
     empty_c = spark.createDataFrame([], "cluster int, weights array<double>")
     if n < 5:
         return reviews.withColumn("cluster", F.lit(None).cast("int")), empty_c, None, 0
-    tf = FT.term_counts(reviews)
-    vocab = FT.vocabulary(reviews, cfg, n_docs=n, tf=tf).persist()
-    n_terms = vocab.count()
-    if n_terms == 0:
+    vocab = FT.vocabulary(reviews, cfg, n_docs=n)
+    rows = FT.vocab_rows(vocab)
+    if not rows:
         return reviews.withColumn("cluster", F.lit(None).cast("int")), empty_c, vocab, 0
     k = int(min(8, max(3, n // 10))) if k is None else int(k)
-    weights = FT.tfidf(reviews, cfg, vocab=vocab, tf=tf)
-    feats = FT.dense_features(reviews, weights, n_terms).persist(StorageLevel.MEMORY_AND_DISK)
-    best = None
-    for i in range(cfg.n_init):
-        km = KMeans(k=k, seed=cfg.kmeans_seed + i, maxIter=cfg.kmeans_max_iter, tol=cfg.kmeans_tol,
-                    featuresCol="features", predictionCol="cluster")
-        model = km.fit(feats)
-        cost = model.summary.trainingCost
-        if best is None or cost < best[0]:
-            best = (cost, model)
-    model = best[1]
+    feats = FT.with_vectors(reviews.select("seq", "parole"), rows).select("seq", "features")
+    feats = feats.persist(StorageLevel.MEMORY_AND_DISK)
+    model = _fit_best(feats, k, cfg)
     labels = model.transform(feats).select("seq", F.col("cluster").cast("int").alias("cluster"))
     labelled = reviews.join(labels, "seq", "left")
+    # k x |vocabulary| numbers, bounded by the parameters.
     centers = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
     centroids = spark.createDataFrame(centers, "cluster int, weights array<double>")
     return labelled, centroids, vocab, k
 
 
-def centroids_from_labels(labelled: DataFrame, weights: DataFrame, n_terms: int, k: int) -> DataFrame:
+def topic_centroids(labelled: DataFrame, vocab: list[tuple[str, float]]) -> DataFrame:
     """Mean TF-IDF vector of each topic, (cluster, weights) in vocabulary
-    order, from a labelled table and the long TF-IDF table."""
-    sizes = labelled.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    order, from a labelled review table.  One pass: every review emits its
+    non-zero weights plus one size marker (idx -1), summed per (cluster,
+    idx) with partial aggregation, so a task ships at most
+    k * (|vocabulary| + 1) rows."""
+    n_terms = len(vocab)
+    vec = FT.with_vectors(labelled.filter(F.col("cluster").isNotNull()).select("cluster", "parole"), vocab)
+    from pyspark.ml.functions import vector_to_array
+
+    arr = vector_to_array("features")
+    entries = F.concat(
+        F.array(F.struct(F.lit(-1).alias("idx"), F.lit(1.0).alias("v"))),
+        F.filter(
+            F.transform(arr, lambda x, i: F.struct(i.alias("idx"), x.alias("v"))),
+            lambda e: e["v"] != 0,
+        ),
+    )
     sums = (
-        weights.join(labelled.select("seq", "cluster"), "seq")
-        .groupBy("cluster", "idx")
-        .agg(F.sum("tfidf").alias("s"))
+        vec.select("cluster", F.explode(entries).alias("e"))
+        .groupBy("cluster", F.col("e.idx").alias("idx"))
+        .agg(F.sum("e.v").alias("s"))
         .groupBy("cluster")
         .agg(F.map_from_entries(F.collect_list(F.struct("idx", "s"))).alias("m"))
     )
+    size = F.col("m")[-1]
     dense = F.transform(
         F.sequence(F.lit(0), F.lit(n_terms - 1)),
-        lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0.0)) / F.col("size"),
+        lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0.0)) / size,
     )
-    return sizes.join(sums, "cluster", "left").select("cluster", dense.alias("weights"))
+    return sums.select("cluster", dense.alias("weights"))
 
 
-def topic_terms(centroids: DataFrame, vocab: DataFrame) -> DataFrame:
+def topic_terms(centroids: DataFrame, vocab: list[tuple[str, float]]) -> DataFrame:
     """(cluster, top_terms, parole_chiave): 10 heaviest terms (weight
     descending, ties by later term first), then the kept keywords."""
-    # The vocabulary has at most max_features terms: ship it as a literal.
-    vocab_terms = [r[0] for r in vocab.orderBy("idx").select("term").collect()]
-    lit_terms = F.array(*[F.lit(t) for t in vocab_terms])
+    # The vocabulary has at most max_features terms: it is a literal here.
+    lit_terms = F.array(*[F.lit(t) for t, _ in vocab])
     pairs = F.arrays_zip(F.transform("weights", lambda x: F.round(x, 9)).alias("w"), lit_terms.alias("t"))
     ranked = F.array_sort(
         pairs,

@@ -280,11 +280,8 @@ TOPIC_CTES = dict(
        from top10""", **TOPIC_CTES))
 def q_topic_terms(spark, sf_dir):
     lab = labelled_df(spark, sf_dir)
-    v = FT.vocabulary(lab, CFG)
-    n_terms = v.count()
-    w = FT.tfidf(lab, CFG, vocab=v)
-    cents = TP.centroids_from_labels(lab, w, n_terms, K_FIXED)
-    return TP.topic_terms(cents, v)
+    rows = FT.vocab_rows(FT.vocabulary(lab, CFG))
+    return TP.topic_terms(TP.topic_centroids(lab, rows), rows)
 
 
 @register("topic_summary", S.with_ctes(f"""
@@ -574,9 +571,8 @@ left join (select cluster, list_slice(list_filter(top_terms, lambda t: length(t)
     **TOPIC_CTES))
 def q_report_topics(spark, sf_dir):
     lab = labelled_df(spark, sf_dir)
-    v = FT.vocabulary(lab, CFG)
-    n_terms = v.count()
-    terms = TP.topic_terms(TP.centroids_from_labels(lab, FT.tfidf(lab, CFG, vocab=v), n_terms, K_FIXED), v)
+    rows = FT.vocab_rows(FT.vocabulary(lab, CFG))
+    terms = TP.topic_terms(TP.topic_centroids(lab, rows), rows)
     s = TP.topic_summary(lab, K_FIXED).withColumn("percentuale", r6("percentuale")).withColumn("rating_medio", r6("rating_medio"))
     return RP.report_topics(s, terms).select("id", "tematica", "n_recensioni", "percentuale", "rating_medio")
 
@@ -706,9 +702,8 @@ left join (select * from (select *, row_number() over (partition by cluster orde
 left join reviews r on e.seq = r.seq""", **TOPIC_CTES))
 def q_topic_cards(spark, sf_dir):
     lab = labelled_df(spark, sf_dir)
-    v = FT.vocabulary(lab, CFG)
-    n_terms = v.count()
-    terms = TP.topic_terms(TP.centroids_from_labels(lab, FT.tfidf(lab, CFG, vocab=v), n_terms, K_FIXED), v)
+    rows = FT.vocab_rows(FT.vocabulary(lab, CFG))
+    terms = TP.topic_terms(TP.topic_centroids(lab, rows), rows)
     s = TP.topic_summary(lab, K_FIXED).withColumn("percentuale", r6("percentuale"))
     ex = TP.topic_examples(lab, K_FIXED, CFG)
     return RP.topic_cards(s, terms, ex)

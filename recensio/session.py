@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -53,3 +54,40 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="recensio-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``recensio`` importable in the Python workers of a local session.
+
+    Operators that run Python on executors (the HTML walk, the strict JSON
+    check) call this first.  On a cluster the launcher ships the package
+    (``--py-files``); here, once per SparkContext, the package is zipped on
+    the driver and added with ``addPyFile``, so workers import it whatever
+    their working directory.
+    """
+    sc = spark.sparkContext
+    if not sc.master.startswith("local") or sc.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="recensio-pkg-"), "recensio.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, dirnames, files in os.walk(root):
+            dirnames[:] = [d for d in dirnames if d != "__pycache__"]
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.join("recensio", os.path.relpath(full, root)))
+    sc.addPyFile(out)
+    _SHIPPED.add(sc.applicationId)
+
+
+def materialize(df):
+    """Write ``df`` to the session's checkpoint folder and read it back:
+    later actions and joins start from the written rows instead of
+    recomputing the lineage (used for small intermediate tables that
+    decide a plan and are then joined)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -72,6 +72,9 @@ def _walk(cfg: Config):
 
 def extract_containers(pages: DataFrame, cfg: Config = Config()) -> DataFrame:
     """One row per review container, ``pos`` = place on its page."""
+    from recensio.session import ship_package
+
+    ship_package(pages.sparkSession)
     return pages.select("company", "pagina", "url", "html").mapInPandas(_walk(cfg), CONTAINER_SCHEMA)
 
 
@@ -121,7 +124,9 @@ def raw_from_pages(pages: DataFrame, cfg: Config = Config(), max_pages: int | No
 def pages_from_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The driver's ``pages(page_id, url, html)`` as listing pages: ten
     pages per company, some failed requests and some error statuses."""
-    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    from recensio.sources.tables import spread
+
+    p = spread(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     pid = F.col("page_id")
     status = F.when(pid % 23 == 7, F.lit(404)).when(pid % 19 == 4, F.lit(None)).otherwise(F.lit(200))
     return p.select(

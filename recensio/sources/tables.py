@@ -19,6 +19,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin the rows over the session's task slots when the scan
+    yields fewer splits than slots (e.g. one file with one row group, which
+    Parquet cannot split).  A large input already has many more splits than
+    slots and is left alone: no shuffle is added at scale."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        return df.repartition(slots)
+    return df
+
+
 def raw_reviews_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw review records (before the >= 50 chars filter and cleaning).
 
@@ -27,7 +38,8 @@ def raw_reviews_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     position); exact copies of a text share an id, some reviews have none,
     and Italian date/rating phrases are mixed into the text.
     """
-    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    # Text cleaning is the heavy per-row work: give it every task slot.
+    d = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     lab = read_table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     j = d.join(lab, "doc_id", "left")
     did = F.col("doc_id")
@@ -90,7 +102,12 @@ def responses_from_blocks(blocks: DataFrame) -> DataFrame:
     from recensio.config import INSIGHT_CATEGORIES
 
     b = F.col("block_id")
-    words = F.split(F.col("testo"), " ")
+    n_items = 5 * len(INSIGHT_CATEGORIES)
+    # Only the first n_items + 1 words are read: cut them once per block, in
+    # their own projection, instead of splitting the 8,000-word text for
+    # every item.
+    blocks = blocks.select("block_id", F.split(F.substring_index("testo", " ", n_items + 1), " ").alias("words"))
+    words = F.col("words")
 
     def items(ci: int):
         arr = F.transform(
@@ -112,7 +129,8 @@ def responses_from_blocks(blocks: DataFrame) -> DataFrame:
         F.when(b % 4 != 1, b % 3).alias("neutro"),
         (b % 2).alias("negativo"),
     )
-    js = F.to_json(F.struct(*fields, sc.alias("sentiment_counts")))
+    blocks = blocks.select("block_id", F.to_json(F.struct(*fields, sc.alias("sentiment_counts"))).alias("js"))
+    js = F.col("js")
     shown = F.when(b % 2 == 0, F.concat(F.lit("```json\n"), js, F.lit("\n```"))).otherwise(js)
     att = lambda n, c: F.struct(F.lit(n).alias("attempt"), c.alias("content"))
     trailing = F.concat(js, F.lit(" trailing"))
