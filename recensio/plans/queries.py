@@ -707,3 +707,17 @@ def q_topic_cards(spark, sf_dir):
     s = TP.topic_summary(lab, K_FIXED).withColumn("percentuale", r6("percentuale"))
     ex = TP.topic_examples(lab, K_FIXED, CFG)
     return RP.topic_cards(s, terms, ex)
+
+
+@register("report_json")
+def q_report_json(spark, sf_dir):
+    """The JSON Lines report over the whole chain (labels from the identity;
+    rows-only check: JSON text is not compared across engines)."""
+    lab = labelled_df(spark, sf_dir)
+    r = reviews_df(spark, sf_dir)
+    ins = insights_df(spark, sf_dir, r)
+    rows = FT.vocab_rows(FT.vocabulary(lab, CFG))
+    terms = TP.topic_terms(TP.topic_centroids(lab, rows), rows)
+    summary = TP.topic_summary(lab, K_FIXED)
+    freq = TH.theme_frequency(r, merged_themes(ins), CFG)
+    return RP.report_json(RP.corpus_stats(r), summary, terms, ins, freq)

@@ -146,3 +146,64 @@ def topic_cards(summary: DataFrame, terms: DataFrame, examples: DataFrame, per_c
     stars = F.repeat(F.lit("⭐"), F.when(_truthy(F.col("rating")), F.col("rating")).otherwise(F.lit(3)))
     text = F.when(F.length("testo") > width, F.concat(F.substring("testo", 1, width), F.lit("..."))).otherwise(F.col("testo"))
     return head.join(ex.select("id", "example", stars.alias("stelle"), text.alias("testo_breve"), "link"), "id", "left")
+
+
+# --- sinks ---------------------------------------------------------------------
+
+def write_report(tables: dict[str, DataFrame], path: str, fmt: str = "parquet", mode: str = "overwrite") -> list[str]:
+    """The multi-sheet export: each table is written by the executors to
+    ``<path>/<name>`` (one directory per sheet, nothing goes through the
+    driver).  Returns the directories written."""
+    out = []
+    for name, df in tables.items():
+        target = f"{path.rstrip('/')}/{name}"
+        w = df.write.mode(mode)
+        if fmt == "csv":
+            w = w.option("header", "true")
+        w.format(fmt).save(target)
+        out.append(target)
+    return out
+
+
+def _entries(df: DataFrame, section: str, key_order: list[str]) -> DataFrame:
+    """One JSON object per row, tagged with its section; NULL fields are
+    written as null, NaN is turned into null first."""
+    cols = []
+    for c in key_order:
+        dt = dict(df.dtypes)[c]
+        v = F.col(c)
+        if dt in ("double", "float"):
+            v = F.when(F.isnan(v), F.lit(None)).otherwise(v)
+        cols.append(v.alias(c))
+    body = F.struct(F.lit(section).alias("sezione"), *cols)
+    return df.select(F.to_json(body, {"ignoreNullFields": "false"}).alias("json"))
+
+
+def report_json(stats: DataFrame, summary: DataFrame, terms: DataFrame, insights: DataFrame,
+                freq: DataFrame, n_themes: int = 20) -> DataFrame:
+    """The JSON report as JSON Lines, one object per entry, key ``sezione``:
+    ``metadati`` (review count, mean rating, topics), ``tematica`` (one per
+    topic: id, keywords, share, mean), ``insight`` (categoria, pos,
+    elemento) and ``tema`` (first ``n_themes`` per type, no examples).
+    Merged insights grow with the corpus, so the report is a distributed
+    set of lines rather than one document built in one task."""
+    meta = stats.join(summary.agg(F.count(F.lit(1)).alias("n_cluster")), how="inner")
+    topics = summary.join(terms.select(F.col("cluster").alias("id"), "parole_chiave"), "id", "left").select(
+        "id", F.coalesce("parole_chiave", F.array().cast("array<string>")).alias("tematiche"),
+        "n_recensioni", "percentuale", "rating_medio")
+    themes = report_themes(freq).filter(F.col("rank") <= n_themes)
+    parts = [
+        _entries(meta, "metadati", ["n_recensioni", "n_con_rating", "rating_medio", "n_cluster"]),
+        _entries(topics, "tematica", ["id", "tematiche", "n_recensioni", "percentuale", "rating_medio"]),
+        _entries(insights, "insight", ["categoria", "pos", "elemento"]),
+        _entries(themes, "tema", ["tipo", "rank", "punto", "count", "percentuale"]),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def write_report_json(report: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Write the JSON Lines report as text files (UTF-8, not ASCII-escaped)."""
+    report.write.mode(mode).text(path)
