@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The analysis being reproduced is one synchronous batch pass (no watermark,
+window, state or late data anywhere in it), so there is no streaming
+operator to build.  Every operator in ``recensio.operators`` is a plain
+DataFrame function and also runs inside ``foreachBatch`` of a Structured
+Streaming query if reviews ever arrive as a stream.
+"""
