@@ -18,24 +18,29 @@ from pyspark.sql import functions as F
 
 def running_offset(
     df: DataFrame,
-    key: str,
-    order: list[str],
+    key: str | None,
+    order: list,
     weight: Column,
     width: int = 1 << 16,
     partition: list[str] | None = None,
     out: str = "offset",
+    bucket: Column | None = None,
 ) -> DataFrame:
     """Adds ``out`` = sum of ``weight`` over rows strictly before each row.
 
     ``key`` is a non-negative integer column whose value determines the
     bucket (``key div width``); ``order`` sorts rows (must start with the
     key and be unique); ``partition`` restarts the sum per group.
+    ``bucket`` replaces ``key div width`` with any orderable expression
+    that sorts like ``order`` and holds a bounded number of rows per value.
     """
     part = list(partition or [])
     # The input is read twice (bucket totals, then the rows themselves):
     # keep it (memory, spilling to disk; lost blocks are recomputed from the
     # lineage) so the upstream work runs once.
-    b = df.withColumn("_bucket", F.floor(F.col(key) / width)).withColumn("_w", weight)
+    if bucket is None:
+        bucket = F.floor(F.col(key) / width)
+    b = df.withColumn("_bucket", bucket).withColumn("_w", weight)
     b = b.persist(StorageLevel.MEMORY_AND_DISK)
     # The same window pass gives the running sum inside the bucket and the
     # bucket total; only the (few) bucket totals are summed across buckets.

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from recensio.config import Config
 from recensio.functions import text as T
+from recensio.operators.ordering import running_offset
 from recensio.operators.reviews import with_identity
 
 THEME_KEYS = ("tipo", "theme_pos", "punto")
@@ -150,10 +151,24 @@ def theme_frequency(reviews: DataFrame, themes: DataFrame, cfg: Config = Config(
     )
 
 
-def order_themes(freq: DataFrame) -> DataFrame:
-    """Rank themes within each type: count descending, then theme order."""
+def order_themes(freq: DataFrame, width: int = 1024) -> DataFrame:
+    """Rank (1..) of every theme within its type: count descending, then
+    theme order.  The theme table grows with the answers, so no window holds
+    a whole type: themes are bucketed by (count, theme_pos div width), each
+    bucket ranks its <= width rows, and only bucket totals are summed in
+    order (``running_offset``)."""
+    bucket = F.struct((-F.col("count")).alias("c"), F.floor(F.col("theme_pos") / width).alias("p"))
+    ranked = running_offset(freq, None, [F.desc("count"), "theme_pos"], F.lit(1), partition=["tipo"],
+                            out="_r", bucket=bucket)
+    return ranked.withColumn("rank", (F.col("_r") + 1).cast("int")).drop("_r")
+
+
+def top_themes(freq: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` themes of each type with their rank; ``row_number()
+    <= n`` is planned as a WindowGroupLimit, so each task keeps n rows per
+    type before the shuffle."""
     w = Window.partitionBy("tipo").orderBy(F.desc("count"), "theme_pos")
-    return freq.withColumn("rank", F.row_number().over(w))
+    return freq.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
 def theme_examples(reviews: DataFrame, themes: DataFrame, cfg: Config = Config(), matches: DataFrame | None = None) -> DataFrame:

@@ -513,10 +513,9 @@ def q_report_general(spark, sf_dir):
 
 
 @register("report_channels", S.with_ctes(
-    "select cast(c.ord as integer) as ord, c.canale, coalesce(s.s, '') as suggerimenti from (values " +
+    "select cast(c.ord as integer) as ord, c.canale, m.pos, coalesce(m.elemento, '') as suggerimento from (values " +
     ", ".join(f"({i}, '{lab}', '{cat}')" for i, (lab, cat) in enumerate(RP.CHANNELS)) +
-    ") c(ord, canale, categoria) left join (select categoria, string_agg(elemento, ' | ' order by pos) as s from merged group by categoria) s "
-    "on c.categoria = s.categoria", **REPORT_CTES))
+    ") c(ord, canale, categoria) left join merged m on c.categoria = m.categoria", **REPORT_CTES))
 def q_report_channels(spark, sf_dir):
     return RP.report_channels(insights_df(spark, sf_dir))
 

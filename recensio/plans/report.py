@@ -65,16 +65,28 @@ def report_topics(summary: DataFrame, terms: DataFrame) -> DataFrame:
     )
 
 
-def report_themes(freq: DataFrame) -> DataFrame:
-    """Strengths and weaknesses sheets (column ``tipo`` tells which), in
-    rank order."""
-    w = Window.partitionBy("tipo").orderBy(F.desc("count"), "theme_pos")
-    return freq.select(
-        "tipo", F.row_number().over(w).alias("rank"), "punto", "count", "percentuale",
+def _theme_rows(ranked: DataFrame) -> DataFrame:
+    return ranked.select(
+        "tipo", F.col("rank").cast("int").alias("rank"), "punto", "count", "percentuale",
         F.concat(F.format_string("%.1f", "percentuale"), F.lit("%")).alias("percentuale_txt"),
     )
 
 
+def report_themes(freq: DataFrame) -> DataFrame:
+    """Strengths and weaknesses sheets (column ``tipo`` tells which), every
+    theme with its rank (distributed ranking, ``order_themes``)."""
+    from recensio.operators.themes import order_themes
+
+    return _theme_rows(order_themes(freq))
+
+
+def report_top_themes(freq: DataFrame, n: int) -> DataFrame:
+    """The same rows for the first ``n`` themes of each type only."""
+    from recensio.operators.themes import top_themes
+
+    return _theme_rows(top_themes(freq, n))
+
+
 def _joined(insights: DataFrame, categoria: str, limit: int | None) -> DataFrame:
     it = insights.filter(F.col("categoria") == categoria)
     if limit is not None:
@@ -91,15 +103,18 @@ def report_general(insights: DataFrame, cfg: Config = Config()) -> DataFrame:
 
 
 def report_channels(insights: DataFrame) -> DataFrame:
-    """Channel sheet: one row per channel, all its items ' | '-joined."""
+    """Channel sheet in long form: (ord, canale, pos, suggerimento), every
+    item of each channel in merge order; a channel without items has one
+    row with pos NULL and ''.  The lists grow with the corpus, so they are
+    not folded into one string per channel (that would put a whole channel
+    in one task); a reader joins ``suggerimento`` by ' | ' in ``pos`` order."""
     spark = insights.sparkSession
     chans = spark.createDataFrame([(i, lab, cat) for i, (lab, cat) in enumerate(CHANNELS)], "ord int, canale string, categoria string")
-    per = (
-        insights.filter(F.col("categoria").isin(*[c for _, c in CHANNELS]))
-        .groupBy("categoria")
-        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "elemento"))), lambda x: x["elemento"]), " | ").alias("s"))
-    )
-    return chans.join(per, "categoria", "left").select("ord", "canale", F.coalesce("s", F.lit("")).alias("suggerimenti"))
+    items = insights.join(F.broadcast(chans), "categoria").select("ord", "canale", "pos", F.col("elemento").alias("suggerimento"))
+    present = insights.select("categoria").distinct()
+    empty = chans.join(present, "categoria", "left_anti").select(
+        "ord", "canale", F.lit(None).cast("long").alias("pos"), F.lit("").alias("suggerimento"))
+    return items.unionByName(empty)
 
 
 def top_insights(insights: DataFrame, cfg: Config = Config()) -> DataFrame:
@@ -113,7 +128,7 @@ def top_insights(insights: DataFrame, cfg: Config = Config()) -> DataFrame:
 def themes_with_fallback(freq: DataFrame, insights: DataFrame, cfg: Config = Config()) -> DataFrame:
     """Ranked themes per type (first 10); a type without any frequency
     shows its first 10 raw themes instead, ``source`` tells which."""
-    ranked = report_themes(freq).filter(F.col("rank") <= cfg.top_n["punti_forza"]).select(
+    ranked = report_top_themes(freq, cfg.top_n["punti_forza"]).select(
         "tipo", "rank", "punto", F.lit("frequenza").alias("source"))
     present = freq.select("tipo").distinct()
     raw = (
@@ -191,7 +206,7 @@ def report_json(stats: DataFrame, summary: DataFrame, terms: DataFrame, insights
     topics = summary.join(terms.select(F.col("cluster").alias("id"), "parole_chiave"), "id", "left").select(
         "id", F.coalesce("parole_chiave", F.array().cast("array<string>")).alias("tematiche"),
         "n_recensioni", "percentuale", "rating_medio")
-    themes = report_themes(freq).filter(F.col("rank") <= n_themes)
+    themes = report_top_themes(freq, n_themes)
     parts = [
         _entries(meta, "metadati", ["n_recensioni", "n_con_rating", "rating_medio", "n_cluster"]),
         _entries(topics, "tematica", ["id", "tematiche", "n_recensioni", "percentuale", "rating_medio"]),

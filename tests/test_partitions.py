@@ -61,3 +61,16 @@ def test_merge_insights_partition_independent(spark, parts):
                 seen.add(e)
                 expected.append((len(expected), e))
     assert got == expected
+
+
+@pytest.mark.parametrize("parts,width", [(1, 2), (4, 3), (16, 1024)])
+def test_order_themes_equals_sort(spark, parts, width):
+    from recensio.operators.themes import order_themes
+
+    rnd = random.Random(width)
+    rows = [(t, p, f"p{p}", rnd.choice([1, 1, 1, 2, 3, 7])) for t in ("punti_forza", "punti_debolezza") for p in range(70)]
+    freq = spark.createDataFrame(rows, "tipo string, theme_pos int, punto string, count bigint").repartition(parts)
+    got = {(x.tipo, x.theme_pos): x.rank for x in order_themes(freq, width=width).collect()}
+    for t in ("punti_forza", "punti_debolezza"):
+        ordered = sorted((r for r in rows if r[0] == t), key=lambda r: (-r[3], r[1]))
+        assert [got[(t, r[1])] for r in ordered] == list(range(1, len(ordered) + 1))
