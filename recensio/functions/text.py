@@ -30,7 +30,10 @@ def clean_steps(col: Column, months=ITALIAN_MONTHS) -> Column:
     t = F.regexp_replace(t, rf"pubblicata il {DIGIT}{{1,2}} [{WORD}]+ {DIGIT}{{4}}", "")
     t = F.regexp_replace(t, r"data dell'esperienza:[^\n]*", "")
     t = F.regexp_replace(t, rf"{DIGIT}{{1,2}}[{SPACE}]+({m})[{SPACE}]+{DIGIT}{{4}}", "")
-    t = F.regexp_replace(t, rf"({m})[{SPACE}]+{DIGIT}{{4}}", "")
+    # The lookahead on the months' first letters only lets the alternation be
+    # tried where a month can start (same matches, far fewer attempts).
+    first = "".join(sorted({x[0] for x in months}))
+    t = F.regexp_replace(t, rf"(?=[{first}])({m})[{SPACE}]+{DIGIT}{{4}}", "")
     t = F.regexp_replace(t, r"(?U)\bverificat[aoe]\b", "")
     t = F.regexp_replace(t, r"(?U)\bverifica\b", "")
     t = F.regexp_replace(t, "stelle su 5", "")

@@ -20,6 +20,7 @@ Plan: the corpus is never shuffled by (review, term).
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,8 +89,11 @@ def tfidf_from_vectors(vectors: DataFrame, vocab: list[tuple[str, float]], keep:
 def tfidf(reviews: DataFrame, cfg: Config = Config(), vocab: DataFrame | None = None) -> DataFrame:
     """(seq, idx, term, tfidf) for the vocabulary terms of each review;
     reviews without any vocabulary term have no rows."""
-    vocab = vocabulary(reviews, cfg) if vocab is None else vocab
+    # Words are read twice (vocabulary, then vectors): keep the narrow
+    # projection so the text is cleaned once.
+    words = reviews.select("seq", "parole").persist(StorageLevel.MEMORY_AND_DISK)
+    vocab = vocabulary(words, cfg) if vocab is None else vocab
     rows = vocab_rows(vocab)
     if not rows:
         return reviews.sparkSession.createDataFrame([], "seq bigint, idx int, term string, tfidf double")
-    return tfidf_from_vectors(with_vectors(reviews.select("seq", "parole"), rows), rows)
+    return tfidf_from_vectors(with_vectors(words, rows), rows)

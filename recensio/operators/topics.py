@@ -72,12 +72,14 @@ def assign_topics(reviews: DataFrame, k: int | None = None, cfg: Config = Config
     empty_c = spark.createDataFrame([], "cluster int, weights array<double>")
     if n < 5:
         return reviews.withColumn("cluster", F.lit(None).cast("int")), empty_c, None, 0
-    vocab = FT.vocabulary(reviews, cfg, n_docs=n)
+    # Words are read twice (vocabulary, then vectors): cleaned once.
+    words = reviews.select("seq", "parole").persist(StorageLevel.MEMORY_AND_DISK)
+    vocab = FT.vocabulary(words, cfg, n_docs=n)
     rows = FT.vocab_rows(vocab)
     if not rows:
         return reviews.withColumn("cluster", F.lit(None).cast("int")), empty_c, vocab, 0
     k = int(min(8, max(3, n // 10))) if k is None else int(k)
-    feats = FT.with_vectors(reviews.select("seq", "parole"), rows).select("seq", "features")
+    feats = FT.with_vectors(words, rows).select("seq", "features")
     feats = feats.persist(StorageLevel.MEMORY_AND_DISK)
     model = _fit_best(feats, k, cfg)
     labels = model.transform(feats).select("seq", F.col("cluster").cast("int").alias("cluster"))

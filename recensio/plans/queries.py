@@ -219,8 +219,7 @@ def q_vocabulary(spark, sf_dir):
 
 @register("tfidf", S.with_ctes("select seq, idx, term, round(tfidf, 6) as tfidf from tfidf", **FEATURE_CTES))
 def q_tfidf(spark, sf_dir):
-    r, v = vocab_df(spark, sf_dir)
-    return FT.tfidf(r, CFG, vocab=v).withColumn("tfidf", r6("tfidf"))
+    return FT.tfidf(reviews_df(spark, sf_dir), CFG).withColumn("tfidf", r6("tfidf"))
 
 
 @register("auto_k", S.with_ctes(
