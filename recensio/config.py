@@ -103,6 +103,11 @@ class Config:
     theme_broadcast_rows: int = 64
     # Bucket width (in seq units) of the running word offsets.
     offset_bucket: int = 1 << 16
+    # Target size of one partition of the cached k-means vectors.  Every
+    # k-means iteration is a job over all partitions, so tiny partitions cost
+    # scheduling, not work (measured at sf0.1: 10 starts take 31 s on 8
+    # partitions, 7 s on 1).
+    kmeans_partition_bytes: int = 64 << 20
 
     @staticmethod
     def italian() -> "Config":

@@ -80,6 +80,13 @@ def assign_topics(reviews: DataFrame, k: int | None = None, cfg: Config = Config
         return reviews.withColumn("cluster", F.lit(None).cast("int")), empty_c, vocab, 0
     k = int(min(8, max(3, n // 10))) if k is None else int(k)
     feats = FT.with_vectors(words, rows).select("seq", "features")
+    # Partitions sized by the data: at most seq + one (index, value) pair per
+    # vocabulary term per row.  Only ever fewer partitions (coalesce, no
+    # shuffle); the words are already cached, so no upstream work is narrowed.
+    row_bytes = 16 + 12 * len(rows)
+    parts = max(1, -(-n * row_bytes // cfg.kmeans_partition_bytes))
+    if parts < feats.rdd.getNumPartitions():
+        feats = feats.coalesce(parts)
     feats = feats.persist(StorageLevel.MEMORY_AND_DISK)
     model = _fit_best(feats, k, cfg)
     labels = model.transform(feats).select("seq", F.col("cluster").cast("int").alias("cluster"))
