@@ -36,6 +36,16 @@ def reviews_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     return RV.to_reviews(SRC.raw_reviews_from_documents(spark, sf_dir), CFG)
 
 
+def chain_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns the whole-chain queries read twice (blocks, then the
+    theme match and band sizes), kept so the text is cleaned once."""
+    from pyspark import StorageLevel
+
+    cols = ["seq", "review_id", "testo_pulito", "parole", "rating"] + (["testo"] if CFG.identity == "text50" else [])
+    r = reviews_df(spark, sf_dir).select(*cols)
+    return r.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def r6(c):
     return F.round(c, 6)
 
@@ -480,7 +490,7 @@ FREQ_SQL = """select c.tipo, c.theme_pos, c.punto, c."count", round(c."count" /
 def q_analysis_theme_frequency(spark, sf_dir):
     """Reviews -> blocks -> answers -> merged strengths/weaknesses -> how
     often each is mentioned."""
-    r = reviews_df(spark, sf_dir)
+    r = chain_reviews(spark, sf_dir)
     f = TH.theme_frequency(r, merged_themes(insights_df(spark, sf_dir, r)), CFG)
     return f.withColumn("percentuale", r6("percentuale"))
 
@@ -523,7 +533,7 @@ def q_report_channels(spark, sf_dir):
 select tipo, cast(row_number() over (partition by tipo order by "count" desc, theme_pos) as integer) as rank, punto, "count", percentuale
 from freq""", **REPORT_CTES))
 def q_report_themes(spark, sf_dir):
-    r = reviews_df(spark, sf_dir)
+    r = chain_reviews(spark, sf_dir)
     f = TH.theme_frequency(r, merged_themes(insights_df(spark, sf_dir, r)), CFG).withColumn("percentuale", r6("percentuale"))
     return RP.report_themes(f).drop("percentuale_txt")
 
@@ -535,7 +545,7 @@ union all
 select categoria, cast(pos + 1 as integer), elemento, 'elenco' from merged
 where categoria in ('punti_forza', 'punti_debolezza') and pos < 10 and categoria not in (select tipo from freq)""", **REPORT_CTES))
 def q_themes_with_fallback(spark, sf_dir):
-    r = reviews_df(spark, sf_dir)
+    r = chain_reviews(spark, sf_dir)
     ins = insights_df(spark, sf_dir, r)
     f = TH.theme_frequency(r, merged_themes(ins), CFG)
     return RP.themes_with_fallback(f, ins, CFG)
