@@ -42,8 +42,9 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "recen
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder, creating a scratch one only
-    when the session names none (local runs)."""
+    """Return the session's checkpoint folder.  A scratch folder is created
+    only for a local session that names none (tests, the benchmark); a
+    cluster session must name a shared one."""
     conf = spark.sparkContext.getConf()
     path = conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if path:
@@ -51,6 +52,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             path = path[5:]
         spark.sparkContext.setCheckpointDir(path)
         return path
+    if not spark.sparkContext.master.startswith("local"):
+        # A folder on one machine is useless to executors elsewhere.
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
     path = tempfile.mkdtemp(prefix="recensio-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.sparkContext.setCheckpointDir(path)
     return path
