@@ -74,3 +74,14 @@ def test_order_themes_equals_sort(spark, parts, width):
     for t in ("punti_forza", "punti_debolezza"):
         ordered = sorted((r for r in rows if r[0] == t), key=lambda r: (-r[3], r[1]))
         assert [got[(t, r[1])] for r in ordered] == list(range(1, len(ordered) + 1))
+
+
+def test_spread_only_when_fewer_splits_than_slots(spark):
+    from recensio.sources.tables import spread
+
+    slots = spark.sparkContext.defaultParallelism
+    one = spark.range(100).coalesce(1)
+    assert spread(one).rdd.getNumPartitions() == slots
+    many = spark.range(100).repartition(slots * 2)
+    assert spread(many).rdd.getNumPartitions() == slots * 2
+    assert sorted(r.id for r in spread(one).collect()) == list(range(100))
