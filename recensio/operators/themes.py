@@ -133,7 +133,9 @@ def theme_matches(reviews: DataFrame, themes: DataFrame, cfg: Config = Config())
     band = band_reviews(reviews, cfg)
     # The theme table decides the plan (its size, its keyword lengths) and is
     # then joined: written once so those reads do not recompute its lineage.
-    th = materialize(theme_keywords(themes))
+    th = theme_keywords(themes)
+    if not themes.isLocal():
+        th = materialize(th)
     n_themes = th.count()
     if n_themes <= cfg.theme_broadcast_rows:
         return _matches_broadcast(band, th)

@@ -91,10 +91,11 @@ def assign_topics(reviews: DataFrame, k: int | None = None, cfg: Config = Config
     model = _fit_best(feats, k, cfg)
     labels = model.transform(feats).select("seq", F.col("cluster").cast("int").alias("cluster"))
     labelled = reviews.join(labels, "seq", "left")
-    # k x |vocabulary| numbers, bounded by the parameters.
+    # k x |vocabulary| numbers, bounded by the parameters.  With fewer
+    # distinct vectors than k, k-means returns fewer centres: k_used says so.
     centers = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
     centroids = spark.createDataFrame(centers, "cluster int, weights array<double>")
-    return labelled, centroids, vocab, k
+    return labelled, centroids, vocab, len(centers)
 
 
 def topic_centroids(labelled: DataFrame, vocab: list[tuple[str, float]]) -> DataFrame:

@@ -111,3 +111,11 @@ def test_topic_summary_empty_topic(spark):
     s = {x.id: x for x in TP.topic_summary(df, 3).collect()}
     assert s[1].n_recensioni == 0 and s[1].rating_medio is None
     assert s[0].rating_medio == 5.0 and abs(s[0].percentuale - 200 / 3) < 1e-9
+
+
+def test_fewer_distinct_vectors_than_k(spark):
+    rows = [(i, f"id{i}", "x", ["pacco", "corriere"] if i % 2 else ["prezzo", "sconto"], 5) for i in range(12)]
+    r = spark.createDataFrame(rows, "seq bigint, review_id string, testo string, parole array<string>, rating int")
+    labelled, cents, _, k = TP.assign_topics(r, 5, Config(n_init=2, kmeans_max_iter=20, min_df=1, max_df=1.0))
+    assert k == cents.count() <= 2
+    assert all(0 <= x.cluster < k for x in labelled.collect())
