@@ -74,3 +74,22 @@ def test_word_index_plan_equals_broadcast_plan(spark):
     b = TH.theme_frequency(reviews, th, replace(Q.CFG, theme_broadcast_rows=0))
     key = lambda x: (x.tipo, x.theme_pos, x["count"])
     assert sorted(map(key, a.collect())) == sorted(map(key, b.collect()))
+
+
+@pytest.mark.parametrize("parts", [1, 3, 16])
+def test_theme_examples_partition_independent(spark, parts):
+    rnd = random.Random(parts)
+    words = ["consegna", "veloce", "pacco", "rotto", "prezzo", "ottimo"]
+    rows = [(s, f"id{rnd.randrange(15)}", " ".join(rnd.sample(words, 3)), rnd.choice([1, 2, 4, 5])) for s in range(120)]
+    r = _reviews(spark, rows).repartition(parts)
+    th = _themes(spark, [("punti_forza", 0, "consegna veloce"), ("punti_debolezza", 0, "pacco rotto")])
+    got = sorted((x.tipo, x.example, x.seq) for x in TH.theme_examples(r, th).collect())
+    expected = []
+    for tipo, kws, band in (("punti_forza", ("consegna", "veloce"), (4, 5)), ("punti_debolezza", ("pacco", "rotto"), (1, 2))):
+        seen, n = set(), 0
+        for s, rid, txt, rating in rows:
+            if rating in band and all(k in txt for k in kws) and rid not in seen and n < 2:
+                seen.add(rid)
+                n += 1
+                expected.append((tipo, n, s))
+    assert got == sorted(expected)

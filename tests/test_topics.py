@@ -94,14 +94,14 @@ def _greedy(rows, k, per):
     return sorted(out)
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3, 4])
-def test_topic_examples_crossing_identities(spark, seed):
+@pytest.mark.parametrize("seed,parts", [(1, 1), (2, 3), (3, 16), (4, 5)])
+def test_topic_examples_crossing_identities(spark, seed, parts):
     rnd = random.Random(seed)
     k = 4
     rows = [(rnd.randrange(k), s, f"id{rnd.randrange(12)}") for s in range(80)]
     df = spark.createDataFrame(
         [(c, s, i, "t", 3, None, "l") for c, s, i in rows],
-        "cluster int, seq bigint, review_id string, testo string, rating int, data string, link string")
+        "cluster int, seq bigint, review_id string, testo string, rating int, data string, link string").repartition(parts)
     got = sorted((x.id, x.seq) for x in TP.topic_examples(df, k, Config()).collect())
     assert got == _greedy(rows, k, 3)
 
