@@ -93,3 +93,20 @@ def test_theme_examples_partition_independent(spark, parts):
                 n += 1
                 expected.append((tipo, n, s))
     assert got == sorted(expected)
+
+
+def test_all_ratings_null_gives_no_rows(spark):
+    r = _reviews(spark, [(1, "a", "consegna veloce", None), (2, "b", "consegna veloce", 0)])
+    th = _themes(spark, [("punti_forza", 0, "consegna veloce"), ("punti_forza", 1, "a of")])
+    assert TH.theme_frequency(r, th).count() == 0
+    assert TH.theme_examples(r, th).count() == 0
+
+
+def test_all_ids_null_count_once_and_text50(spark):
+    rows = [(1, None, "consegna veloce uno", 5), (2, None, "consegna veloce due", 5), (3, None, "consegna veloce uno", 4)]
+    r = _reviews(spark, rows)
+    th = _themes(spark, [("punti_forza", 0, "consegna veloce")])
+    strict = TH.theme_frequency(r, th).first()
+    assert (strict["count"], strict.percentuale) == (1, pytest.approx(100 / 3))
+    loose = TH.theme_frequency(r, th, replace(Config(), identity="text50")).first()
+    assert loose["count"] == 2

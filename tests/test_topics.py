@@ -119,3 +119,11 @@ def test_fewer_distinct_vectors_than_k(spark):
     labelled, cents, _, k = TP.assign_topics(r, 5, Config(n_init=2, kmeans_max_iter=20, min_df=1, max_df=1.0))
     assert k == cents.count() <= 2
     assert all(0 <= x.cluster < k for x in labelled.collect())
+
+
+def test_empty_vocabulary_guard(spark):
+    rows = [(i, f"id{i}", "x", [f"unico{i}"], 5) for i in range(8)]  # every term in one review only
+    r = spark.createDataFrame(rows, "seq bigint, review_id string, testo string, parole array<string>, rating int")
+    labelled, cents, vocab, k = TP.assign_topics(r, None, Config())
+    assert k == 0 and cents.count() == 0 and vocab.count() == 0
+    assert all(x.cluster is None for x in labelled.collect())
