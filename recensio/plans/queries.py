@@ -644,7 +644,15 @@ def q_review_containers(spark, sf_dir):
     return PG.extract_containers(kept, PAGES_CFG).select("company", "pagina", "pos", "testo")
 
 
-@register("first_page_guard")
+# Driver pages hold plain <article> elements (read with the extra "article"
+# selector), so container positions follow from the article start tags.
+ARTICLES = "len(regexp_extract_all(html, " + S.q(r"(?i)<article[\s>/]") + "))"
+
+
+@register("first_page_guard", S.with_ctes(f"""
+select company, pagina, cast(unnest(generate_series(0, n - 1)) as integer) as pos from arts
+where n > 0 and company not in (select company from arts where pagina = 1 and status = 200 and n = 0)""",
+    **PAGE_CTES, arts=f"select company, pagina, status, {ARTICLES} as n from kept"))
 def q_first_page_guard(spark, sf_dir):
     kept = PG.crawl_prefix(PG.pages_from_table(spark, sf_dir))
     c = PG.extract_containers(kept, PAGES_CFG)
