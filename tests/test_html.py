@@ -96,3 +96,16 @@ def test_unclosed_tags_parse(spark):
     html = f'<article data-service-review-rating="5"><b>{LONG}<br><p>altro testo</article>'
     r = _reviews(spark, [("c", 1, "u1", 200, html)]).collect()
     assert r[0].testo == LONG + " altro testo"
+
+
+def test_review_id_methods_from_markup(spark):
+    cfg = Config()
+    m1 = (f'<article data-service-review-rating="5" data-service-review-id="svc">'
+          f'<a data-review-url="/it/reviews/m1id">x</a><p>{LONG}</p></article>')
+    m3 = (f'<article data-service-review-rating="4"><a href="/it/reviews/m3id?p=2"><span><time datetime="2024-01-01">1 gen</time>'
+          f'</span></a><a href="/it/reviews/other">y</a><p>{LONG2}</p></article>')
+    m3_not_review = (f'<article data-service-review-rating="4"><a href="/users/9"><time datetime="2024">t</time></a>'
+                     f'<a href="/it/reviews/m4id?q#f">z</a><p>{LONG}</p></article>')
+    m5 = f'<article data-service-review-rating="3" data-consumer-review-id="m5id"><p>{LONG2}</p></article>'
+    r = _reviews(spark, [("c", 1, "u1", 200, m1 + m3 + m3_not_review + m5)], cfg).collect()
+    assert [x.review_id for x in r] == ["m1id", "m3id", "m4id", "m5id"]
