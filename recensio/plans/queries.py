@@ -244,9 +244,8 @@ def q_auto_k(spark, sf_dir):
     **FEATURE_CTES))
 def q_topics_guard(spark, sf_dir):
     r, v = vocab_df(spark, sf_dir)
-    n = r.agg(F.count(F.lit(1)).alias("n_recensioni"))
-    t = v.agg(F.count(F.lit(1)).alias("n_terms"))
-    return n.join(t, how="inner").select(
+    rows = r.select(F.lit(1).alias("_review")).unionByName(v.select(F.lit(1).alias("_term")), allowMissingColumns=True)
+    return rows.agg(F.count("_review").alias("n_recensioni"), F.count("_term").alias("n_terms")).select(
         "n_recensioni", "n_terms", ((F.col("n_recensioni") >= 5) & (F.col("n_terms") > 0)).alias("clusters"))
 
 

@@ -29,14 +29,17 @@ def corpus_stats(reviews: DataFrame) -> DataFrame:
 
 
 def headline(reviews: DataFrame, insights: DataFrame, n_topics: int) -> DataFrame:
-    """One row: reviews, mean rating, strengths, weaknesses, topics."""
-    counts = insights.agg(
+    """One row: reviews, mean rating, strengths, weaknesses, topics.  The
+    two inputs are stacked and counted in one aggregate (no join)."""
+    r = F.col("rating")
+    rows = reviews.select(F.lit(1).alias("_review"), "rating").unionByName(
+        insights.select("categoria"), allowMissingColumns=True)
+    return rows.agg(
+        F.count("_review").alias("n_recensioni"),
+        F.avg(F.when(_truthy(r), r)).alias("rating_medio"),
         F.count(F.when(F.col("categoria") == "punti_forza", 1)).alias("n_punti_forza"),
         F.count(F.when(F.col("categoria") == "punti_debolezza", 1)).alias("n_punti_debolezza"),
-    )
-    return corpus_stats(reviews).join(counts, how="inner").select(
-        "n_recensioni", "rating_medio", "n_punti_forza", "n_punti_debolezza", F.lit(n_topics).alias("n_cluster")
-    )
+    ).select("n_recensioni", "rating_medio", "n_punti_forza", "n_punti_debolezza", F.lit(n_topics).alias("n_cluster"))
 
 
 def report_reviews(labelled: DataFrame) -> DataFrame:
@@ -202,7 +205,10 @@ def report_json(stats: DataFrame, summary: DataFrame, terms: DataFrame, insights
     elemento) and ``tema`` (first ``n_themes`` per type, no examples).
     Merged insights grow with the corpus, so the report is a distributed
     set of lines rather than one document built in one task."""
-    meta = stats.join(summary.agg(F.count(F.lit(1)).alias("n_cluster")), how="inner")
+    # The one stats row and the topic rows, stacked and folded into one row.
+    meta = stats.unionByName(summary.select(F.lit(1).alias("_topic")), allowMissingColumns=True).agg(
+        *[F.max(c).alias(c) for c in ("n_recensioni", "n_con_rating", "rating_medio")],
+        F.count("_topic").alias("n_cluster"))
     topics = summary.join(terms.select(F.col("cluster").alias("id"), "parole_chiave"), "id", "left").select(
         "id", F.coalesce("parole_chiave", F.array().cast("array<string>")).alias("tematiche"),
         "n_recensioni", "percentuale", "rating_medio")
