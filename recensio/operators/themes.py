@@ -126,27 +126,48 @@ def _matches_no_keyword(band: DataFrame, themes: DataFrame) -> DataFrame:
     return band.join(empty, "tipo").select("tipo", "theme_pos", "punto", "nkw", "seq", "ident")
 
 
-def theme_matches(reviews: DataFrame, themes: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """(tipo, theme_pos, punto, nkw, seq, ident) for every matching pair."""
+def _prepared_themes(themes: DataFrame) -> DataFrame:
+    """Themes with keywords.  The table decides the plan (its size, its
+    keyword lengths) and is then joined: a distributed one is written once so
+    those reads do not recompute its lineage."""
     from recensio.session import materialize
 
-    band = band_reviews(reviews, cfg)
-    # The theme table decides the plan (its size, its keyword lengths) and is
-    # then joined: written once so those reads do not recompute its lineage.
     th = theme_keywords(themes)
-    if not themes.isLocal():
-        th = materialize(th)
-    n_themes = th.count()
-    if n_themes <= cfg.theme_broadcast_rows:
-        return _matches_broadcast(band, th)
-    return _matches_word_index(band, th).unionByName(_matches_no_keyword(band, th))
+    return th if themes.isLocal() else materialize(th)
+
+
+def _keyword_matches(band: DataFrame, th: DataFrame, cfg: Config) -> DataFrame:
+    """Matching (review, theme) pairs for themes with at least one keyword."""
+    with_kw = th.filter(F.col("nkw") > 0)
+    if th.count() <= cfg.theme_broadcast_rows:
+        return _matches_broadcast(band, with_kw)
+    return _matches_word_index(band, with_kw)
+
+
+def theme_matches(reviews: DataFrame, themes: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """(tipo, theme_pos, punto, nkw, seq, ident) for every matching pair
+    (a theme without keywords is paired with every review of its band)."""
+    band = band_reviews(reviews, cfg)
+    th = _prepared_themes(themes)
+    return _keyword_matches(band, th, cfg).unionByName(_matches_no_keyword(band, th))
 
 
 def theme_frequency(reviews: DataFrame, themes: DataFrame, cfg: Config = Config(), matches: DataFrame | None = None) -> DataFrame:
     """(tipo, theme_pos, punto, count, percentuale); themes with no match
-    are left out.  Sort with ``order_themes`` for the ranked view."""
-    m = matches if matches is not None else theme_matches(reviews, themes, cfg)
-    counts = m.groupBy(*THEME_KEYS).agg(F.countDistinct("ident").alias("count"))
+    are left out.  Sort with ``order_themes`` for the ranked view.
+
+    Pairs are only formed for themes with keywords; a theme without any
+    matches its whole band, so its count is the band's number of distinct
+    identities, counted once per band instead of once per theme."""
+    if matches is not None:
+        counts = matches.groupBy(*THEME_KEYS).agg(F.countDistinct("ident").alias("count"))
+    else:
+        band = band_reviews(reviews, cfg)
+        th = _prepared_themes(themes)
+        counts = _keyword_matches(band, th, cfg).groupBy(*THEME_KEYS).agg(F.countDistinct("ident").alias("count"))
+        idents = band.groupBy("tipo").agg(F.countDistinct("ident").alias("count"))
+        no_kw = th.filter(F.col("nkw") == 0).select(*THEME_KEYS).join(idents, "tipo")
+        counts = counts.unionByName(no_kw.select(*THEME_KEYS, "count"))
     sizes = band_sizes(reviews, cfg)
     return counts.join(sizes, "tipo").select(
         *THEME_KEYS, "count", (F.col("count") / F.col("band_rows") * 100).alias("percentuale")
@@ -176,7 +197,10 @@ def top_themes(freq: DataFrame, n: int) -> DataFrame:
 def theme_examples(reviews: DataFrame, themes: DataFrame, cfg: Config = Config(), matches: DataFrame | None = None) -> DataFrame:
     """First ``cfg.theme_examples`` matching reviews of distinct identity per
     theme (by review order), for themes with at least one keyword."""
-    m = matches if matches is not None else theme_matches(reviews, themes, cfg)
+    if matches is None:
+        m = _keyword_matches(band_reviews(reviews, cfg), _prepared_themes(themes), cfg)
+    else:
+        m = matches
     firsts = (
         m.filter(F.col("nkw") > 0)
         .groupBy(*THEME_KEYS, "ident")
