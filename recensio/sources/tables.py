@@ -4,7 +4,7 @@ The benchmark tables hold invented multilingual prose (``documents``) with
 quality/toxicity ``labels``; this module turns them into the raw review
 records the extraction step would produce from crawled pages, so every
 operator downstream runs on data that grows with the tables.  The same
-derivation is written in SQL in ``recensio.plans.oracle`` for DuckDB.
+derivation is written in SQL in ``recensio.plans.sql_text`` for DuckDB.
 """
 
 from __future__ import annotations
