@@ -15,12 +15,18 @@ Two exact plans for the match:
   whitespace, so it is a substring of the text iff it is a substring of one
   of its words.  Substrings of every distinct word (only of the keyword
   lengths in use) are equi-joined with the distinct keywords; the result is
-  joined back to (review, word) pairs.  All joins are equi-joins on
-  shuffled keys, so nothing has to fit in one task.
+  joined back to (review, word) pairs.  Themes then meet reviews only
+  through their rarest keywords (prefix filter) and each candidate is
+  verified.  All joins are equi-joins on shuffled keys, so nothing has to
+  fit in one task.
+
+Themes without keywords are counted per band (distinct identities of the
+band), never paired with each review.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,12 +116,32 @@ def _matches_word_index(band: DataFrame, themes: DataFrame) -> DataFrame:
         ).alias("kw"),
     ).filter(F.length("kw") > 0)
     word_kw = subs.join(keywords, "kw").select("word", "kw").distinct()
+    # (review, keyword) presence: one row per keyword a review contains.
+    # Read three times below (frequencies, candidates, verification): kept.
     present = review_words.join(word_kw, "word").select("seq", "ident", "tipo", "kw").distinct()
-    hits = present.join(kw_rows, ["tipo", "kw"])
+    present = present.persist(StorageLevel.MEMORY_AND_DISK)
+    # Prefix filter: a match hits >= need = min(2, nkw) of the nkw keyword
+    # slots, so it hits at least one of the nkw - need + 1 rarest slots
+    # (rarity = reviews of the band containing the keyword).  Only those
+    # probe slots are joined with the reviews; each candidate is then checked
+    # against all of its theme's (<= 3) slots.  Exact, and a keyword common to
+    # many themes and reviews is joined only where it is a theme's rarest.
+    need = F.least(F.lit(2), F.col("nkw"))
+    freq = present.groupBy("tipo", "kw").agg(F.count(F.lit(1)).alias("kdf"))
+    slot_order = Window.partitionBy(*THEME_KEYS).orderBy("kdf", "k_idx")  # <= 3 rows per theme
+    ranked = (
+        kw_rows.join(freq, ["tipo", "kw"], "left")
+        .withColumn("kdf", F.coalesce("kdf", F.lit(0)))
+        .withColumn("slot", F.row_number().over(slot_order))
+    )
+    probes = ranked.filter(F.col("slot") <= F.col("nkw") - need + 1).select("tipo", "kw", *THEME_KEYS[1:], "nkw")
+    cand = present.join(probes, ["tipo", "kw"]).select(*THEME_KEYS, "nkw", "seq", "ident").distinct()
+    checks = cand.join(kw_rows.select(*THEME_KEYS, "kw", "k_idx"), list(THEME_KEYS))
+    hits = checks.join(present.select("seq", "tipo", "kw"), ["seq", "tipo", "kw"])
     return (
-        hits.groupBy("tipo", "theme_pos", "punto", "nkw", "seq", "ident")
+        hits.groupBy(*THEME_KEYS, "nkw", "seq", "ident")
         .agg(F.count(F.lit(1)).alias("hits"))
-        .filter(F.col("hits") >= F.least(F.lit(2), F.col("nkw")))
+        .filter(F.col("hits") >= need)
         .drop("hits")
     )
 

@@ -69,11 +69,25 @@ def test_word_index_plan_equals_broadcast_plan(spark):
             n = rnd.choice([1, 2, 3, 4])
             ws = [rnd.choice(words)[: rnd.choice([4, 5, 8, 20])] for _ in range(n)]
             rows.append((tipo, i, " ".join(ws)))
+    # Repeated keywords, three keywords, partial and absent keywords.
+    common = [x[0] for x in reviews.select(F.explode("parole").alias("w")).filter(F.length("w") > 3)
+              .groupBy("w").count().orderBy(F.desc("count"), "w").limit(3).collect()]
+    rows += [("punti_forza", 100, f"{common[0]} {common[0]}"),
+             ("punti_forza", 101, f"{common[0]} {common[1]} {common[2]}"),
+             ("punti_forza", 102, f"{common[0]} zzzzqq {common[1]}"),
+             ("punti_debolezza", 100, f"{common[1]} {common[1]} zzzzqq"),
+             ("punti_debolezza", 101, "zzzzqq {0}".format(common[2]))]
     th = _themes(spark, rows)
     a = TH.theme_frequency(reviews, th, replace(Q.CFG, theme_broadcast_rows=10 ** 6))
     b = TH.theme_frequency(reviews, th, replace(Q.CFG, theme_broadcast_rows=0))
     key = lambda x: (x.tipo, x.theme_pos, x["count"])
-    assert sorted(map(key, a.collect())) == sorted(map(key, b.collect()))
+    got = sorted(map(key, a.collect()))
+    assert got == sorted(map(key, b.collect()))
+    assert {(t, p) for t, p, _ in got} >= {("punti_forza", 100), ("punti_forza", 101), ("punti_debolezza", 100)}
+    ea = TH.theme_examples(reviews, th, replace(Q.CFG, theme_broadcast_rows=10 ** 6))
+    eb = TH.theme_examples(reviews, th, replace(Q.CFG, theme_broadcast_rows=0))
+    ekey = lambda x: (x.tipo, x.theme_pos, x.example, x.seq)
+    assert sorted(map(ekey, ea.collect())) == sorted(map(ekey, eb.collect()))
 
 
 @pytest.mark.parametrize("parts", [1, 3, 16])
