@@ -87,16 +87,21 @@ def _matches_broadcast(band: DataFrame, themes: DataFrame) -> DataFrame:
     return j.select(themes["tipo"], "theme_pos", "punto", "nkw", "seq", "ident")
 
 
-def _matches_word_index(band: DataFrame, themes: DataFrame) -> DataFrame:
-    spark = band.sparkSession
-    kw_rows = themes.filter(F.col("nkw") > 0).select(
+def _kw_rows(themes: DataFrame) -> DataFrame:
+    """(tipo, theme_pos, punto, nkw, k_idx, kw): one row per keyword slot."""
+    return themes.filter(F.col("nkw") > 0).select(
         "tipo", "theme_pos", "punto", "nkw", F.posexplode("kw").alias("k_idx", "kw")
     )
+
+
+def _presence(band: DataFrame, kw_rows: DataFrame) -> DataFrame | None:
+    """(seq, ident, tipo, kw): one row per keyword a band review contains
+    (None when there is no keyword at all)."""
     keywords = kw_rows.select("kw").distinct()
     # Distinct keyword lengths: a handful of small integers.
     lengths = sorted(r[0] for r in keywords.select(F.length("kw")).distinct().collect())
     if not lengths:
-        return spark.createDataFrame([], "tipo string, theme_pos int, punto string, nkw int, seq long, ident string")
+        return None
     review_words = band.select("seq", "ident", "tipo", F.explode(F.array_distinct("parole")).alias("word"))
     words = review_words.select("word").distinct()
     subs = words.select(
@@ -117,9 +122,13 @@ def _matches_word_index(band: DataFrame, themes: DataFrame) -> DataFrame:
     ).filter(F.length("kw") > 0)
     word_kw = subs.join(keywords, "kw").select("word", "kw").distinct()
     # (review, keyword) presence: one row per keyword a review contains.
-    # Read three times below (frequencies, candidates, verification): kept.
+    # Read three times (frequencies, candidates, verification): kept.
     present = review_words.join(word_kw, "word").select("seq", "ident", "tipo", "kw").distinct()
-    present = present.persist(StorageLevel.MEMORY_AND_DISK)
+    return present.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _pairs(present: DataFrame, kw_rows: DataFrame) -> DataFrame:
+    """(tipo, theme_pos, punto, nkw, seq, ident) for every match."""
     # Prefix filter: a match hits >= need = min(2, nkw) of the nkw keyword
     # slots, so it hits at least one of the nkw - need + 1 rarest slots
     # (rarity = reviews of the band containing the keyword).  Only those
@@ -146,6 +155,14 @@ def _matches_word_index(band: DataFrame, themes: DataFrame) -> DataFrame:
     )
 
 
+def _matches_word_index(band: DataFrame, themes: DataFrame) -> DataFrame:
+    kw_rows = _kw_rows(themes)
+    present = _presence(band, kw_rows)
+    if present is None:
+        return band.sparkSession.createDataFrame([], "tipo string, theme_pos int, punto string, nkw int, seq long, ident string")
+    return _pairs(present, kw_rows)
+
+
 def _matches_no_keyword(band: DataFrame, themes: DataFrame) -> DataFrame:
     """Themes without any keyword match every review of their band."""
     empty = themes.filter(F.col("nkw") == 0).select("tipo", "theme_pos", "punto", "nkw")
@@ -170,6 +187,28 @@ def _keyword_matches(band: DataFrame, th: DataFrame, cfg: Config) -> DataFrame:
     return _matches_word_index(band, with_kw)
 
 
+def _keyword_counts(band: DataFrame, th: DataFrame, cfg: Config) -> DataFrame:
+    """(tipo, theme_pos, punto, count) for themes with keywords.  In the
+    word-index plan a one-keyword theme matches exactly the reviews holding
+    its keyword, so it is counted once per (band, keyword), however many
+    themes share that keyword; only themes with 2+ keywords form pairs."""
+    distinct_idents = F.countDistinct("ident").alias("count")
+    if th.count() <= cfg.theme_broadcast_rows:
+        return _matches_broadcast(band, th.filter(F.col("nkw") > 0)).groupBy(*THEME_KEYS).agg(distinct_idents)
+    kw_rows = _kw_rows(th)
+    present = _presence(band, kw_rows)
+    if present is None:
+        return band.sparkSession.createDataFrame([], "tipo string, theme_pos int, punto string, count bigint")
+    single = kw_rows.filter(F.col("nkw") == 1).select("tipo", "kw", "theme_pos", "punto")
+    per_kw = (
+        present.join(single.select("tipo", "kw").distinct(), ["tipo", "kw"], "left_semi")
+        .groupBy("tipo", "kw").agg(distinct_idents)
+    )
+    one = per_kw.join(single, ["tipo", "kw"]).select(*THEME_KEYS, "count")
+    many = _pairs(present, kw_rows.filter(F.col("nkw") >= 2)).groupBy(*THEME_KEYS).agg(distinct_idents)
+    return one.unionByName(many)
+
+
 def theme_matches(reviews: DataFrame, themes: DataFrame, cfg: Config = Config()) -> DataFrame:
     """(tipo, theme_pos, punto, nkw, seq, ident) for every matching pair
     (a theme without keywords is paired with every review of its band)."""
@@ -190,7 +229,7 @@ def theme_frequency(reviews: DataFrame, themes: DataFrame, cfg: Config = Config(
     else:
         band = band_reviews(reviews, cfg)
         th = _prepared_themes(themes)
-        counts = _keyword_matches(band, th, cfg).groupBy(*THEME_KEYS).agg(F.countDistinct("ident").alias("count"))
+        counts = _keyword_counts(band, th, cfg)
         idents = band.groupBy("tipo").agg(F.countDistinct("ident").alias("count"))
         no_kw = th.filter(F.col("nkw") == 0).select(*THEME_KEYS).join(idents, "tipo")
         counts = counts.unionByName(no_kw.select(*THEME_KEYS, "count"))
