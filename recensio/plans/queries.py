@@ -364,8 +364,10 @@ from recensio.plans import report as RP  # noqa: E402
 
 
 def _items_sql(ci: int) -> str:
-    return (f"list_filter(list_transform(range(0, 5), lambda i: concat_ws(' ', words[{ci * 5} + i + 1], "
-            f"words[{ci * 5} + i + 2])), lambda x: x <> '')")
+    n_items = 5 * len(INSIGHT_CATEGORIES)
+    at = f"cast(floor(({ci * 5} + i) * len(words) / {n_items}) as integer)"
+    return (f"list_filter(list_transform(range(0, 5), lambda i: concat_ws(' ', words[{at} + 1], "
+            f"words[{at} + 2])), lambda x: x <> '')")
 
 
 def _answer_sql() -> str:

@@ -94,8 +94,9 @@ def responses_from_blocks(blocks: DataFrame) -> DataFrame:
     """Model answers derived from the text blocks, as the answer table
     ``responses(block_id, attempt, content)`` the merge step reads.
 
-    Each list category holds up to five two-word items taken from the block
-    (so items repeat across blocks and match reviews); some answers are
+    Each list category holds up to five two-word items taken from places
+    spread over the whole block (so items repeat across blocks and match
+    reviews); some answers are
     fenced, some first attempts are broken, some blocks never get a valid
     answer, one keyword is blacklisted and some lists or counts are missing.
     """
@@ -103,16 +104,19 @@ def responses_from_blocks(blocks: DataFrame) -> DataFrame:
 
     b = F.col("block_id")
     n_items = 5 * len(INSIGHT_CATEGORIES)
-    # Only the first n_items + 1 words are read: cut them once per block, in
-    # their own projection, instead of splitting the 8,000-word text for
-    # every item.
-    blocks = blocks.select("block_id", F.split(F.substring_index("testo", " ", n_items + 1), " ").alias("words"))
+    # Item j is the word pair at position floor(j * n / n_items) of the
+    # block's n words, so the items are drawn from the whole block.  The
+    # block is split once, in its own projection.
+    blocks = blocks.select("block_id", F.split("testo", " ").alias("words"))
     words = F.col("words")
 
+    def at(j):
+        return F.floor(j * F.size(words) / n_items).cast("int")
+
     def items(ci: int):
         arr = F.transform(
             F.sequence(F.lit(0), F.lit(4)),
-            lambda i: F.concat_ws(" ", F.get(words, i + ci * 5), F.get(words, i + ci * 5 + 1)),
+            lambda i: F.concat_ws(" ", F.get(words, at(i + ci * 5)), F.get(words, at(i + ci * 5) + 1)),
         )
         return F.filter(arr, lambda x: x != "")
 
