@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .suffix import op5_suffix_dedup
 from .simhash import op6_simhash
 
 QUERIES = {
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_simhash": op6_simhash,
 }
 
