@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .suffix import op5_suffix_dedup
+from .packing import op9_best_fit_packing
 from .simhash import op6_simhash
 
 QUERIES = {
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_simhash": op6_simhash,
+    "op9_best_fit_packing": op9_best_fit_packing,
 }
 
 ORACLE: dict[str, str] = {}
