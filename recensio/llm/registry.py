@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from .suffix import op5_suffix_dedup
 from .packing import op9_best_fit_packing
+from .quality import op8_quality_rules
+from .neighbours import op3_quality_votes
+from .bpe import op1_bpe
 from .simhash import op6_simhash
 
 QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op3_quality_votes": op3_quality_votes,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_simhash": op6_simhash,
+    "op8_quality_rules": op8_quality_rules,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 
