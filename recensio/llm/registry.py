@@ -7,6 +7,7 @@ from .packing import op9_best_fit_packing
 from .quality import op8_quality_rules
 from .neighbours import op3_quality_votes
 from .bpe import op1_bpe
+from .nearest import OP7_SQL, op7_nearest_blocks
 from .simhash import op6_simhash
 
 QUERIES = {
@@ -14,8 +15,11 @@ QUERIES = {
     "op3_quality_votes": op3_quality_votes,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_simhash": op6_simhash,
+    "op7_nearest_blocks": op7_nearest_blocks,
     "op8_quality_rules": op8_quality_rules,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op7_nearest_blocks": OP7_SQL,
+}
