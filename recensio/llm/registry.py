@@ -8,11 +8,13 @@ from .quality import op8_quality_rules
 from .neighbours import op3_quality_votes
 from .bpe import op1_bpe
 from .nearest import OP7_SQL, op7_nearest_blocks
+from .warc import OP4_SQL, op4_warc
 from .simhash import op6_simhash
 
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op3_quality_votes": op3_quality_votes,
+    "op4_warc": op4_warc,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_simhash": op6_simhash,
     "op7_nearest_blocks": op7_nearest_blocks,
@@ -21,5 +23,6 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op4_warc": OP4_SQL,
     "op7_nearest_blocks": OP7_SQL,
 }
