@@ -9,10 +9,12 @@ from .neighbours import op3_quality_votes
 from .bpe import op1_bpe
 from .nearest import OP7_SQL, op7_nearest_blocks
 from .warc import OP4_SQL, op4_warc
+from .pii import op2_pii_surrogates
 from .simhash import op6_simhash
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_pii_surrogates": op2_pii_surrogates,
     "op3_quality_votes": op3_quality_votes,
     "op4_warc": op4_warc,
     "op5_suffix_dedup": op5_suffix_dedup,
