@@ -10,6 +10,7 @@ from .bpe import op1_bpe
 from .nearest import OP7_SQL, op7_nearest_blocks
 from .warc import OP4_SQL, op4_warc
 from .pii import op2_pii_surrogates
+from .binary import op10_token_shards
 from .simhash import op6_simhash
 
 QUERIES = {
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_nearest_blocks": op7_nearest_blocks,
     "op8_quality_rules": op8_quality_rules,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_token_shards": op10_token_shards,
 }
 
 ORACLE: dict[str, str] = {
