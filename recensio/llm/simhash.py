@@ -65,16 +65,18 @@ def fingerprint(text: str, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint of each whole text as a signed long.
-    A null text counts as empty; a null id is kept as null."""
+    """(doc_id, h, fp): the fingerprint of each whole text as a signed long,
+    and a hash of the text that tells rows sharing an id apart.  A null text
+    counts as empty; a null id is kept as null."""
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
             fp = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp)], ["doc_id", "h", "fp"])
 
-    return keyed_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    rows = keyed_text(docs, id_col, text_col).withColumn("h", F.xxhash64("text"))
+    return rows.mapInArrow(run, "doc_id long, h long, fp long")
 
 
 # ---- covering code --------------------------------------------------------
@@ -186,9 +188,9 @@ def links(fps: DataFrame, max_bits: int) -> DataFrame:
 
 
 def simhash_components(docs: DataFrame, shingle: int = 3, max_bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id), one row per row of ``docs``.
+    """(doc_id, h, fp, root, component_id), one row per row of ``docs``.
 
-    component_id is the smallest id reachable over links of at most
+    root is the group's smallest fingerprint and names it.  component_id is the smallest id reachable over links of at most
     ``max_bits`` differing bits.  Equal fingerprints link.  Null and empty
     texts have fingerprint zero and link like any other.  Rows with a null id
     link others but never name a component (null only if all its ids are
@@ -199,8 +201,20 @@ def simhash_components(docs: DataFrame, shingle: int = 3, max_bits: int = 2, id_
     root = connected_components(links(one, max_bits))
     rooted = one.join(root, one.fp == root.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    of = rooted.join(named, "root").select("fp", "component_id")
-    return f.join(of, "fp").select("doc_id", "fp", "component_id")
+    of = rooted.join(named, "root").select("fp", "root", "component_id")
+    return f.join(of, "fp").select("doc_id", "h", "fp", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
+    """The rows of ``docs`` that stay when one document of each group does:
+    that of the smallest id (of rows without any id, that of the smallest text
+    hash).  Of repeated rows, one stays."""
+    sim = simhash_components(docs, shingle, max_bits)
+    keep = sim.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("k")).select(F.col("k.doc_id").alias("_i"), F.col("k.h").alias("_h"))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    keyed = row.select("row", F.col("row.doc_id").cast("long").alias("i"), F.xxhash64(F.coalesce(F.col("row.text").cast("string"), F.lit(""))).alias("h"))
+    kept = keyed.join(keep.hint("merge"), F.col("i").eqNullSafe(F.col("_i")) & (F.col("h") == F.col("_h")), "left_semi")
+    return kept.groupBy("i", "h").agg(F.first("row").alias("row")).select("row.*")
 
 
 def hex_fingerprint(fp):

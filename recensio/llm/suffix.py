@@ -117,7 +117,7 @@ def _row_key(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> D
     """(doc_id, h, data, rest): h tells rows apart that share an id; equal
     rows share both, and then also what is removed."""
     data = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    rest = F.struct(*[F.col(c) for c in carry]) if carry else F.struct(F.lit(None).cast("int").alias("none"))
+    rest = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.struct(F.lit(None).cast("int").alias("none"))
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(data).alias("h"), data.alias("data"), rest.alias("rest"))
 
 
@@ -263,9 +263,10 @@ def repeated_spans(docs: DataFrame, packed: DataFrame, threshold: int = THRESHOL
     return full.unionByName(near).unionByName(far)
 
 
-def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, block: int = BLOCK, crowd: int = CROWD, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of ``docs``: doc_id, kept (binary: the remaining bytes),
-    n_bytes, spans (array of start, stop: the maximal removed runs) and rest
+def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, block: int = BLOCK, crowd: int = CROWD, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
+    """One row per row of ``docs``: doc_id, kept (binary: the remaining bytes;
+    or, ``as_text``, the remaining text without characters that were cut
+    apart), n_bytes, spans (array of start, stop: the maximal removed runs) and rest
     (a struct of the ``carry`` columns).
 
     Null and empty texts, and texts under ``threshold`` bytes, have nothing
@@ -281,7 +282,7 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, block: int = BLO
     joined = packed.join(mine.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left").select("doc_id", "z", "rest", "spans")
     rest = joined.schema["rest"]
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("kept", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("spans", span), rest])
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("kept", T.StringType() if as_text else T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("spans", span), rest])
 
     def run(batches):
         span_type = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
@@ -301,9 +302,10 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, block: int = BLO
                     stop = e[np.concatenate((np.flatnonzero(first)[1:], [len(a)])) - 1]
                     merged = list(zip(a[first].tolist(), stop.tolist()))
                 edge = [0, *(v for s in merged for v in s), len(data)]
-                kept.append(b"".join(data[x:y] for x, y in zip(edge[::2], edge[1::2])) if merged else data)
+                left = b"".join(data[x:y] for x, y in zip(edge[::2], edge[1::2])) if merged else data
+                kept.append(left.decode("utf-8", "ignore") if as_text else left)
                 out.append([{"start": s, "stop": e} for s, e in merged])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.binary()), pa.array(size, pa.int64()), pa.array(out, span_type), b.column(2)], ["doc_id", "kept", "n_bytes", "spans", "rest"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(size, pa.int64()), pa.array(out, span_type), b.column(2)], ["doc_id", "kept", "n_bytes", "spans", "rest"])
 
     return joined.mapInArrow(run, schema)
 
