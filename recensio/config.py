@@ -66,6 +66,9 @@ TOP_N = {
     "suggerimenti_sinergie": 5,
     "parole_chiave": 15,
 }
+# The review site's host and the prefix of a direct link to a review.
+SITE_HOST = "trustpilot.com"
+SITE_LINK_BASE = "https://it.trustpilot.com/reviews/"
 # -----------------------------------------------------------------------------
 
 
@@ -73,8 +76,8 @@ TOP_N = {
 class Config:
     """Parameters of one analysis run."""
 
-    host: str = "trustpilot.com"                 # URL predicate of the input check
-    link_base: str = "https://it.trustpilot.com/reviews/"
+    host: str = SITE_HOST                        # URL predicate of the input check
+    link_base: str = SITE_LINK_BASE
     stopwords: tuple[str, ...] = ITALIAN_STOPWORDS
     months: tuple[str, ...] = ITALIAN_MONTHS
     keyword_blacklist: tuple[str, ...] = KEYWORD_BLACKLIST
@@ -96,18 +99,16 @@ class Config:
     topic_examples: int = 3
     theme_examples: int = 2
     top_n: dict = field(default_factory=lambda: dict(TOP_N))
-    # A theme table is broadcast into the substring join only up to this many
-    # rows: the broadcast plan scans every review text once per keyword, the
-    # word-index plan once in all.  Measured at sf0.1: 3,057 themes take 52 s
-    # broadcast and 9 s through the index; 8 themes are faster broadcast.
-    theme_broadcast_rows: int = 64
-    # Bucket width (in seq units) of the running word offsets.
-    offset_bucket: int = 1 << 16
-    # Target size of one partition of the cached k-means vectors.  Every
-    # k-means iteration is a job over all partitions, so tiny partitions cost
-    # scheduling, not work (measured at sf0.1: 10 starts take 31 s on 8
-    # partitions, 7 s on 1).
-    kmeans_partition_bytes: int = 64 << 20
+    # How themes meet reviews: "index" (word index, themes from data of any
+    # number) or "broadcast" (a theme table that is a literal of the caller:
+    # it scans every review text once per keyword).  Measured at sf0.1: 3,057
+    # themes take 52 s broadcast and 9 s through the index.
+    theme_plan: str = "index"
+    # Partitions of the k-means vectors.  They are dealt by review key and
+    # sorted, so labels follow from the data and this number alone.  Every
+    # iteration is a job over all partitions: raise it with the corpus, to
+    # about one per 64 MB of vectors.
+    kmeans_partitions: int = 4
 
     @staticmethod
     def italian() -> "Config":

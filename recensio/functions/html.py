@@ -66,7 +66,7 @@ class _TreeBuilder(HTMLParser):
     def handle_starttag(self, tag, attrs):
         a = {}
         for k, v in attrs:
-            a.setdefault(k, "" if v is None else v)
+            a[k] = "" if v is None else v  # of repeated attributes the last counts
         n = Node(tag, a, self.cur)
         self.cur.children.append(n)
         if tag not in VOID:
@@ -143,13 +143,18 @@ def container_record(c: Node, primary_attr: str) -> dict:
     }
 
 
-def page_records(html: str | None, primary_attr: str, fallback) -> list[dict]:
-    """Container records of one page; a page that cannot be parsed gives
-    none."""
-    if not html:
-        return []
+def page_records(html: str | None, primary_attr: str, fallback) -> list[tuple[int | None, dict | None, str | None]]:
+    """(pos, record, error) of each container of one page.  A container that
+    cannot be read has an error instead of a record; a page without containers
+    gives one row without pos, with an error if it could not be parsed."""
     try:
-        root = parse(html)
-        return [container_record(c, primary_attr) for c in containers(root, primary_attr, fallback)]
-    except Exception:  # a malformed page is skipped, the crawl goes on
-        return []
+        found = containers(parse(html or ""), primary_attr, fallback)
+    except Exception as e:  # a malformed page is reported, the crawl goes on
+        return [(None, None, f"page: {type(e).__name__}: {e}")]
+    out = []
+    for pos, c in enumerate(found):
+        try:
+            out.append((pos, container_record(c, primary_attr), None))
+        except Exception as e:
+            out.append((pos, None, f"container: {type(e).__name__}: {e}"))
+    return out or [(None, None, None)]

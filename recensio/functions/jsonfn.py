@@ -13,10 +13,14 @@ from pyspark.sql.functions import pandas_udf
 from recensio.functions.text import SPACE
 
 
+# Fixed value: the fences around a model answer.
+FENCE = "```json\n?|```"
+
+
 def strip_fences(content: Column) -> Column:
     """Remove an opening ```json fence (with its newline) and every bare
     ``` fence, then trim surrounding whitespace."""
-    t = F.regexp_replace(content, "```json\n?|```", "")
+    t = F.regexp_replace(content, FENCE, "")
     return F.regexp_replace(t, rf"^[{SPACE}]+|[{SPACE}]+$", "")
 
 
@@ -24,10 +28,12 @@ def _valid(s: str | None) -> bool:
     if s is None:
         return False
     try:
-        json.loads(s)
-    except ValueError:
+        value = json.loads(s)
+    except (ValueError, RecursionError):
         return False
-    return True
+    # An answer is searched for its keys: an object, a list or a string can
+    # be, a number, a truth value or null cannot and counts as invalid.
+    return isinstance(value, (dict, list, str))
 
 
 def _valid_series(s: pd.Series) -> pd.Series:

@@ -1,9 +1,9 @@
-"""Fixed-size word blocks of the whole corpus (the model's input).
+"""Fixed-size word blocks of each company's corpus (the model's input).
 
-All cleaned texts in review order form one word stream, cut every
+All cleaned texts of a company in review order form one word stream, cut every
 ``block_words`` words (blocks cross review borders, the last one is
 short).  The corpus is never assembled: each review learns its global word
-offset from a bucketed running sum, emits one slice per block it touches,
+offset from a running sum over (key, word count) rows, emits one slice per block it touches,
 and each block gathers at most ``block_words`` words.
 """
 
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from recensio.config import Config
 from recensio.operators.ordering import running_offset
+from recensio.operators.reviews import company_of, review_key
 
 # Our own request wording; the block text goes between head and tail.
 PROMPT_HEAD = (
@@ -26,45 +27,45 @@ PROMPT_TAIL = "\n\nIgnore dates, months, weekdays and the word 'verificata'."
 
 
 def word_offsets(reviews: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """(seq, n_words, offset): the position of each review's first word in
-    the corpus word stream."""
-    r = reviews.select("seq", F.size("parole").alias("n_words"))
-    return running_offset(r, key="seq", order=["seq"], weight=F.col("n_words"), width=cfg.offset_bucket)
+    """(company, seq, n_words, offset): the position of each review's first
+    word in its company's word stream."""
+    r = reviews.select(*review_key(reviews), F.size("parole").alias("n_words"))
+    return running_offset(r, order=["seq"], weight=F.col("n_words"), partition=company_of(reviews))
 
 
 def text_blocks(reviews: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """(block_id, n_words, testo)."""
-    n = cfg.block_words
-    r = reviews.select("seq", "parole", F.size("parole").alias("n_words"))
-    o = running_offset(r, key="seq", order=["seq"], weight=F.col("n_words"), width=cfg.offset_bucket)
-    o = o.filter(F.col("n_words") > 0)
+    """(company, block_id, n_words, testo); blocks are numbered per company."""
+    n, by, key = cfg.block_words, company_of(reviews), review_key(reviews)
+    # The words meet their offsets only now: none pass through the window.
+    o = word_offsets(reviews, cfg).filter(F.col("n_words") > 0).join(reviews.select(*key, "parole"), key)
     first = F.floor(F.col("offset") / n)
     last = F.floor((F.col("offset") + F.col("n_words") - 1) / n)
-    pieces = o.select("seq", "offset", "n_words", "parole", F.explode(F.sequence(first, last)).alias("block_id"))
+    pieces = o.select(*key, "offset", "n_words", "parole", F.explode(F.sequence(first, last)).alias("block_id"))
     start = F.greatest(F.col("offset"), F.col("block_id") * n) - F.col("offset")
     end = F.least(F.col("offset") + F.col("n_words"), (F.col("block_id") + 1) * n) - F.col("offset")
     pieces = pieces.select(
-        "block_id", "seq", (end - start).alias("k"), F.slice("parole", start + 1, end - start).alias("piece")
+        *by, "block_id", "seq", (end - start).alias("k"), F.slice("parole", start + 1, end - start).alias("piece")
     )
-    grouped = pieces.groupBy("block_id").agg(
+    grouped = pieces.groupBy(*by, "block_id").agg(
         F.sum("k").alias("n_words"),
         F.array_sort(F.collect_list(F.struct("seq", "piece"))).alias("ps"),
     )
     return grouped.select(
-        F.col("block_id").cast("long").alias("block_id"),
+        *by, F.col("block_id").cast("long").alias("block_id"),
         F.col("n_words").cast("long").alias("n_words"),
         F.array_join(F.flatten(F.transform("ps", lambda p: p["piece"])), " ").alias("testo"),
     )
 
 
 def block_count(reviews: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """One row: total words and number of blocks."""
+    """One row per company: total words and number of blocks."""
     total = F.coalesce(F.sum(F.size("parole")), F.lit(0)).cast("long")
-    return reviews.agg(total.alias("n_words")).select(
-        "n_words", F.ceil(F.col("n_words") / cfg.block_words).cast("long").alias("n_blocks")
+    by = company_of(reviews)
+    return reviews.groupBy(*by).agg(total.alias("n_words")).select(
+        *by, "n_words", F.ceil(F.col("n_words") / cfg.block_words).cast("long").alias("n_blocks")
     )
 
 
 def prompts(blocks: DataFrame, head: str = PROMPT_HEAD, tail: str = PROMPT_TAIL) -> DataFrame:
-    """(block_id, prompt): the request text for each block."""
-    return blocks.select("block_id", F.concat(F.lit(head), F.col("testo"), F.lit(tail)).alias("prompt"))
+    """(company, block_id, prompt): the request text for each block."""
+    return blocks.select(*company_of(blocks), "block_id", F.concat(F.lit(head), F.col("testo"), F.lit(tail)).alias("prompt"))

@@ -20,12 +20,12 @@ Plan: the corpus is never shuffled by (review, term).
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recensio.config import Config
 from recensio.functions import text as T
+from recensio.operators.reviews import review_key
 
 
 def term_stats(reviews: DataFrame) -> DataFrame:
@@ -89,11 +89,11 @@ def tfidf_from_vectors(vectors: DataFrame, vocab: list[tuple[str, float]], keep:
 def tfidf(reviews: DataFrame, cfg: Config = Config(), vocab: DataFrame | None = None) -> DataFrame:
     """(seq, idx, term, tfidf) for the vocabulary terms of each review;
     reviews without any vocabulary term have no rows."""
-    # Words are read twice (vocabulary, then vectors): keep the narrow
-    # projection so the text is cleaned once.
-    words = reviews.select("seq", "parole").persist(StorageLevel.MEMORY_AND_DISK)
+    key = review_key(reviews)
+    words = reviews.select(*key, "parole")
     vocab = vocabulary(words, cfg) if vocab is None else vocab
     rows = vocab_rows(vocab)
     if not rows:
-        return reviews.sparkSession.createDataFrame([], "seq bigint, idx int, term string, tfidf double")
-    return tfidf_from_vectors(with_vectors(words, rows), rows)
+        none = lambda t: F.lit(None).cast(t)
+        return words.filter(F.lit(False)).select(*key, none("int").alias("idx"), none("string").alias("term"), none("double").alias("tfidf"))
+    return tfidf_from_vectors(with_vectors(words, rows), rows, tuple(key))

@@ -1,59 +1,39 @@
 """Global running sums without a global window.
 
 ``running_offset`` gives every row the sum of a weight over all rows before
-it in a total order (e.g. the word offset of a review in the whole corpus,
-or the rank of an element).  Rows are cut into buckets of an order key;
-bucket totals are summed by a window over the (few) bucket rows, and the
-running sum inside each bucket by a window partitioned by bucket.  A bucket
-holds at most ``width`` distinct key values, so no task ever sees more than
-that many rows, however large or skewed the data.
+it in a total order (e.g. the word offset of a review in its company's word
+stream, or the rank of an element).  Rows are range-partitioned in that
+order, so every partition holds about the same number of rows whatever the
+key values are; a window per partition gives the local sum, and only the
+partition totals are summed in order, one row per (group, partition).
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recensio.session import materialize
 
-def running_offset(
-    df: DataFrame,
-    key: str | None,
-    order: list,
-    weight: Column,
-    width: int = 1 << 16,
-    partition: list[str] | None = None,
-    out: str = "offset",
-    bucket: Column | None = None,
-) -> DataFrame:
+
+def running_offset(df: DataFrame, order: list, weight: Column, partition: list[str] | None = None, out: str = "offset") -> DataFrame:
     """Adds ``out`` = sum of ``weight`` over rows strictly before each row.
 
-    ``key`` is a non-negative integer column whose value determines the
-    bucket (``key div width``); ``order`` sorts rows (must start with the
-    key and be unique); ``partition`` restarts the sum per group.
-    ``bucket`` replaces ``key div width`` with any orderable expression
-    that sorts like ``order`` and holds a bounded number of rows per value.
+    ``order`` sorts rows within a group and must be unique there;
+    ``partition`` names the group columns (the sum restarts per group).
+    ``df`` should be narrow: it is range-partitioned and written once, so
+    that the partition numbers its sums rest on cannot change.
     """
     part = list(partition or [])
-    # The input is read twice (bucket totals, then the rows themselves):
-    # keep it (memory, spilling to disk; lost blocks are recomputed from the
-    # lineage) so the upstream work runs once.
-    if bucket is None:
-        bucket = F.floor(F.col(key) / width)
-    b = df.withColumn("_bucket", bucket).withColumn("_w", weight)
-    b = b.persist(StorageLevel.MEMORY_AND_DISK)
-    # The same window pass gives the running sum inside the bucket and the
-    # bucket total; only the (few) bucket totals are summed across buckets.
-    bucket = Window.partitionBy(*part, "_bucket")
-    inside = bucket.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    local = b.withColumn("_local", F.coalesce(F.sum("_w").over(inside), F.lit(0))).withColumn(
-        "_t", F.sum("_w").over(bucket)
-    )
-    totals = local.groupBy(*part, "_bucket").agg(F.max("_t").alias("_t"))
-    before = Window.partitionBy(*part).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    rows = df.withColumn("_w", weight).repartitionByRange(*part, *order)
+    rows = materialize(rows.withColumn("_part", F.spark_partition_id()))
+    inside = Window.partitionBy(*part, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = rows.withColumn("_local", F.coalesce(F.sum("_w").over(inside), F.lit(0)))
+    totals = rows.groupBy(*part, "_part").agg(F.sum("_w").alias("_t"))
+    before = Window.partitionBy(*part).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.withColumn("_base", F.coalesce(F.sum("_t").over(before), F.lit(0))).drop("_t")
     return (
-        local.join(bases, [*part, "_bucket"])
+        local.join(bases, [*part, "_part"])
         .withColumn(out, F.col("_base") + F.col("_local"))
-        .drop("_bucket", "_w", "_t", "_base", "_local")
+        .drop("_part", "_w", "_base", "_local")
     )

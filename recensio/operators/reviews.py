@@ -22,6 +22,17 @@ REVIEW_COLUMNS = (
 )
 
 
+def company_of(df: DataFrame) -> list[str]:
+    """The grouping columns of a table: an analysis covers one company, a
+    table may hold many.  A table without the column is one company."""
+    return ["company"] if "company" in df.columns else []
+
+
+def review_key(df: DataFrame) -> list[str]:
+    """What names a review: its place in its company's review order."""
+    return [*company_of(df), "seq"]
+
+
 def _nonempty(c: Column) -> Column:
     return c.isNotNull() & (c != "")
 
@@ -77,11 +88,13 @@ def to_reviews(raw: DataFrame, cfg: Config = Config()) -> DataFrame:
 
 
 def rejected(raw: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """Records long enough to be kept but dropped for a malformed rating."""
-    reason = reject_reason(F.col("rating_attr"), F.col("rating_div"))
+    """Records long enough to be kept but dropped for a malformed rating, and
+    pages and containers that could not be read."""
+    reason = F.when(F.length("testo") >= cfg.min_text_len, reject_reason(F.col("rating_attr"), F.col("rating_div")))
+    if "error" in raw.columns:
+        reason = F.coalesce(F.col("error"), reason)
     return (
-        min_length(raw, cfg)
-        .withColumn("reason", reason)
+        raw.withColumn("reason", reason)
         .filter(F.col("reason").isNotNull())
         .select("company", "seq", "pagina", "pos", "rating_attr", "rating_div", "reason")
     )

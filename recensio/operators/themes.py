@@ -1,17 +1,18 @@
 """How often each strength / weakness is mentioned (theme frequency).
 
-A theme (``tipo``, ``theme_pos``, ``punto``) matches a review of its rating
-band when at least min(2, #keywords) of its keywords (first three words
+A theme (``company``, ``tipo``, ``theme_pos``, ``punto``) matches a review of
+its company and rating band when at least min(2, #keywords) of its keywords (first three words
 longer than 3 chars) are substrings of the review's cleaned text; a theme
 without keywords matches the whole band.  The count is the number of
 distinct review identities among the matches, the share divides it by all
 rows of the band.
 
 Two exact plans for the match:
-* themes below ``cfg.theme_broadcast_rows`` are broadcast and the substring
-  condition is evaluated inside a broadcast hash join on ``tipo`` (reviews
-  are never shuffled before the aggregate);
-* a larger theme table is matched through a word index: a keyword has no
+* ``plan="broadcast"``, for a theme table that is a literal of the caller:
+  the substring condition is evaluated inside a broadcast hash join on
+  company and band (reviews are never shuffled before the aggregate);
+* ``plan="index"`` (the default), for themes from data, of any number: they
+  are matched through a word index: a keyword has no
   whitespace, so it is a substring of the text iff it is a substring of one
   of its words.  Substrings of every distinct word (only of the keyword
   lengths in use) are equi-joined with the distinct keywords; the result is
@@ -26,20 +27,24 @@ band), never paired with each review.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recensio.config import Config
 from recensio.functions import text as T
 from recensio.operators.ordering import running_offset
-from recensio.operators.reviews import with_identity
+from recensio.operators.reviews import company_of, review_key, with_identity
+from recensio.session import materialize
 
-THEME_KEYS = ("tipo", "theme_pos", "punto")
+THEME = ("tipo", "theme_pos", "punto")
 STRENGTHS = "punti_forza"
 WEAKNESSES = "punti_debolezza"
 
 
+def theme_keys(df: DataFrame) -> list[str]:
+    return [*company_of(df), *THEME]
+
+
 def rating_band(rating: Column, cfg: Config = Config()) -> Column:
     """'punti_forza' for positive ratings, 'punti_debolezza' for negative
     ones, NULL otherwise (missing and 0 ratings are in no band)."""
@@ -56,20 +61,21 @@ def theme_keywords(themes: DataFrame) -> DataFrame:
 
 
 def band_reviews(reviews: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """Reviews in a rating band: seq, ident, tipo, txt (lower-cased clean
+    """Reviews in a rating band: company, seq, ident, tipo, txt (lower-cased clean
     text) and parole.  Only these columns travel through the match."""
     r = with_identity(reviews, cfg).withColumn("tipo", rating_band(F.col("rating"), cfg))
     return r.filter(F.col("tipo").isNotNull()).select(
-        "seq", "ident", "tipo", F.lower("testo_pulito").alias("txt"), "parole"
+        *review_key(r), "ident", "tipo", F.lower("testo_pulito").alias("txt"), "parole"
     )
 
 
 def band_sizes(reviews: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """Rows per band (the denominator of the share), one row per band."""
+    """Rows per company and band (the denominator of the share)."""
+    by = company_of(reviews)
     return (
-        reviews.select(rating_band(F.col("rating"), cfg).alias("tipo"))
+        reviews.select(*by, rating_band(F.col("rating"), cfg).alias("tipo"))
         .filter(F.col("tipo").isNotNull())
-        .groupBy("tipo")
+        .groupBy(*by, "tipo")
         .agg(F.count(F.lit(1)).alias("band_rows"))
     )
 
@@ -80,29 +86,27 @@ def _match_condition(kw: Column, nkw: Column, txt: Column) -> Column:
 
 
 def _matches_broadcast(band: DataFrame, themes: DataFrame) -> DataFrame:
-    j = band.join(
-        F.broadcast(themes),
-        (band["tipo"] == themes["tipo"]) & _match_condition(themes["kw"], themes["nkw"], band["txt"]),
-    )
-    return j.select(themes["tipo"], "theme_pos", "punto", "nkw", "seq", "ident")
+    j = band.join(F.broadcast(themes), [*company_of(band), "tipo"])
+    return j.filter(_match_condition(F.col("kw"), F.col("nkw"), F.col("txt"))).select(*theme_keys(band.select(*company_of(band))), "nkw", "seq", "ident")
 
 
 def _kw_rows(themes: DataFrame) -> DataFrame:
-    """(tipo, theme_pos, punto, nkw, k_idx, kw): one row per keyword slot."""
+    """(company, tipo, theme_pos, punto, nkw, k_idx, kw): one row per keyword slot."""
     return themes.filter(F.col("nkw") > 0).select(
-        "tipo", "theme_pos", "punto", "nkw", F.posexplode("kw").alias("k_idx", "kw")
+        *theme_keys(themes), "nkw", F.posexplode("kw").alias("k_idx", "kw")
     )
 
 
 def _presence(band: DataFrame, kw_rows: DataFrame) -> DataFrame | None:
-    """(seq, ident, tipo, kw): one row per keyword a band review contains
-    (None when there is no keyword at all)."""
+    """(company, seq, ident, tipo, kw): one row per keyword a band review
+    contains (None when there is no keyword at all)."""
+    key = review_key(band)
     keywords = kw_rows.select("kw").distinct()
     # Distinct keyword lengths: a handful of small integers.
     lengths = sorted(r[0] for r in keywords.select(F.length("kw")).distinct().collect())
     if not lengths:
         return None
-    review_words = band.select("seq", "ident", "tipo", F.explode(F.array_distinct("parole")).alias("word"))
+    review_words = band.select(*key, "ident", "tipo", F.explode(F.array_distinct("parole")).alias("word"))
     words = review_words.select("word").distinct()
     subs = words.select(
         "word",
@@ -122,13 +126,14 @@ def _presence(band: DataFrame, kw_rows: DataFrame) -> DataFrame | None:
     ).filter(F.length("kw") > 0)
     word_kw = subs.join(keywords, "kw").select("word", "kw").distinct()
     # (review, keyword) presence: one row per keyword a review contains.
-    # Read three times (frequencies, candidates, verification): kept.
-    present = review_words.join(word_kw, "word").select("seq", "ident", "tipo", "kw").distinct()
-    return present.persist(StorageLevel.MEMORY_AND_DISK)
+    # Read three times (frequencies, candidates, verification): written once.
+    return materialize(review_words.join(word_kw, "word").select(*key, "ident", "tipo", "kw").distinct())
 
 
 def _pairs(present: DataFrame, kw_rows: DataFrame) -> DataFrame:
-    """(tipo, theme_pos, punto, nkw, seq, ident) for every match."""
+    """(company, tipo, theme_pos, punto, nkw, seq, ident) for every match."""
+    keys, key = theme_keys(kw_rows), review_key(present)
+    by = company_of(present)
     # Prefix filter: a match hits >= need = min(2, nkw) of the nkw keyword
     # slots, so it hits at least one of the nkw - need + 1 rarest slots
     # (rarity = reviews of the band containing the keyword).  Only those
@@ -136,19 +141,19 @@ def _pairs(present: DataFrame, kw_rows: DataFrame) -> DataFrame:
     # against all of its theme's (<= 3) slots.  Exact, and a keyword common to
     # many themes and reviews is joined only where it is a theme's rarest.
     need = F.least(F.lit(2), F.col("nkw"))
-    freq = present.groupBy("tipo", "kw").agg(F.count(F.lit(1)).alias("kdf"))
-    slot_order = Window.partitionBy(*THEME_KEYS).orderBy("kdf", "k_idx")  # <= 3 rows per theme
+    freq = present.groupBy(*by, "tipo", "kw").agg(F.count(F.lit(1)).alias("kdf"))
+    slot_order = Window.partitionBy(*keys).orderBy("kdf", "k_idx")  # <= 3 rows per theme
     ranked = (
-        kw_rows.join(freq, ["tipo", "kw"], "left")
+        kw_rows.join(freq, [*by, "tipo", "kw"], "left")
         .withColumn("kdf", F.coalesce("kdf", F.lit(0)))
         .withColumn("slot", F.row_number().over(slot_order))
     )
-    probes = ranked.filter(F.col("slot") <= F.col("nkw") - need + 1).select("tipo", "kw", *THEME_KEYS[1:], "nkw")
-    cand = present.join(probes, ["tipo", "kw"]).select(*THEME_KEYS, "nkw", "seq", "ident").distinct()
-    checks = cand.join(kw_rows.select(*THEME_KEYS, "kw", "k_idx"), list(THEME_KEYS))
-    hits = checks.join(present.select("seq", "tipo", "kw"), ["seq", "tipo", "kw"])
+    probes = ranked.filter(F.col("slot") <= F.col("nkw") - need + 1).select(*keys, "kw", "nkw")
+    cand = present.join(probes, [*by, "tipo", "kw"]).select(*keys, "nkw", "seq", "ident").distinct()
+    checks = cand.join(kw_rows.select(*keys, "kw", "k_idx"), keys)
+    hits = checks.join(present.select(*key, "tipo", "kw"), [*key, "tipo", "kw"])
     return (
-        hits.groupBy(*THEME_KEYS, "nkw", "seq", "ident")
+        hits.groupBy(*keys, "nkw", "seq", "ident")
         .agg(F.count(F.lit(1)).alias("hits"))
         .filter(F.col("hits") >= need)
         .drop("hits")
@@ -159,30 +164,26 @@ def _matches_word_index(band: DataFrame, themes: DataFrame) -> DataFrame:
     kw_rows = _kw_rows(themes)
     present = _presence(band, kw_rows)
     if present is None:
-        return band.sparkSession.createDataFrame([], "tipo string, theme_pos int, punto string, nkw int, seq long, ident string")
+        return themes.join(band.select(*company_of(band), "seq", "ident", "tipo"), [*company_of(band), "tipo"]).filter(F.lit(False)).select(*theme_keys(themes), "nkw", "seq", "ident")
     return _pairs(present, kw_rows)
 
 
 def _matches_no_keyword(band: DataFrame, themes: DataFrame) -> DataFrame:
     """Themes without any keyword match every review of their band."""
-    empty = themes.filter(F.col("nkw") == 0).select("tipo", "theme_pos", "punto", "nkw")
-    return band.join(empty, "tipo").select("tipo", "theme_pos", "punto", "nkw", "seq", "ident")
+    empty = themes.filter(F.col("nkw") == 0).select(*theme_keys(themes), "nkw")
+    return band.join(empty, [*company_of(band), "tipo"]).select(*theme_keys(themes), "nkw", "seq", "ident")
 
 
 def _prepared_themes(themes: DataFrame) -> DataFrame:
-    """Themes with keywords.  The table decides the plan (its size, its
-    keyword lengths) and is then joined: a distributed one is written once so
-    those reads do not recompute its lineage."""
-    from recensio.session import materialize
-
-    th = theme_keywords(themes)
-    return th if themes.isLocal() else materialize(th)
+    """Themes with keywords, written once: they are read for their keyword
+    lengths and joined several times."""
+    return materialize(theme_keywords(themes))
 
 
 def _keyword_matches(band: DataFrame, th: DataFrame, cfg: Config) -> DataFrame:
     """Matching (review, theme) pairs for themes with at least one keyword."""
     with_kw = th.filter(F.col("nkw") > 0)
-    if th.count() <= cfg.theme_broadcast_rows:
+    if cfg.theme_plan == "broadcast":
         return _matches_broadcast(band, with_kw)
     return _matches_word_index(band, with_kw)
 
@@ -192,20 +193,20 @@ def _keyword_counts(band: DataFrame, th: DataFrame, cfg: Config) -> DataFrame:
     word-index plan a one-keyword theme matches exactly the reviews holding
     its keyword, so it is counted once per (band, keyword), however many
     themes share that keyword; only themes with 2+ keywords form pairs."""
-    distinct_idents = F.countDistinct("ident").alias("count")
-    if th.count() <= cfg.theme_broadcast_rows:
-        return _matches_broadcast(band, th.filter(F.col("nkw") > 0)).groupBy(*THEME_KEYS).agg(distinct_idents)
+    distinct_idents, by, keys = F.countDistinct("ident").alias("count"), company_of(band), theme_keys(th)
+    if cfg.theme_plan == "broadcast":
+        return _matches_broadcast(band, th.filter(F.col("nkw") > 0)).groupBy(*keys).agg(distinct_idents)
     kw_rows = _kw_rows(th)
     present = _presence(band, kw_rows)
     if present is None:
-        return band.sparkSession.createDataFrame([], "tipo string, theme_pos int, punto string, count bigint")
-    single = kw_rows.filter(F.col("nkw") == 1).select("tipo", "kw", "theme_pos", "punto")
+        return th.filter(F.lit(False)).select(*keys, F.lit(0).cast("long").alias("count"))
+    single = kw_rows.filter(F.col("nkw") == 1).select(*keys, "kw")
     per_kw = (
-        present.join(single.select("tipo", "kw").distinct(), ["tipo", "kw"], "left_semi")
-        .groupBy("tipo", "kw").agg(distinct_idents)
+        present.join(single.select(*by, "tipo", "kw").distinct(), [*by, "tipo", "kw"], "left_semi")
+        .groupBy(*by, "tipo", "kw").agg(distinct_idents)
     )
-    one = per_kw.join(single, ["tipo", "kw"]).select(*THEME_KEYS, "count")
-    many = _pairs(present, kw_rows.filter(F.col("nkw") >= 2)).groupBy(*THEME_KEYS).agg(distinct_idents)
+    one = per_kw.join(single, [*by, "tipo", "kw"]).select(*keys, "count")
+    many = _pairs(present, kw_rows.filter(F.col("nkw") >= 2)).groupBy(*keys).agg(distinct_idents)
     return one.unionByName(many)
 
 
@@ -218,36 +219,33 @@ def theme_matches(reviews: DataFrame, themes: DataFrame, cfg: Config = Config())
 
 
 def theme_frequency(reviews: DataFrame, themes: DataFrame, cfg: Config = Config(), matches: DataFrame | None = None) -> DataFrame:
-    """(tipo, theme_pos, punto, count, percentuale); themes with no match
+    """(company, tipo, theme_pos, punto, count, percentuale); themes with no match
     are left out.  Sort with ``order_themes`` for the ranked view.
 
     Pairs are only formed for themes with keywords; a theme without any
     matches its whole band, so its count is the band's number of distinct
     identities, counted once per band instead of once per theme."""
+    by, keys = company_of(reviews), theme_keys(reviews)
     if matches is not None:
-        counts = matches.groupBy(*THEME_KEYS).agg(F.countDistinct("ident").alias("count"))
+        counts = matches.groupBy(*keys).agg(F.countDistinct("ident").alias("count"))
     else:
         band = band_reviews(reviews, cfg)
         th = _prepared_themes(themes)
         counts = _keyword_counts(band, th, cfg)
-        idents = band.groupBy("tipo").agg(F.countDistinct("ident").alias("count"))
-        no_kw = th.filter(F.col("nkw") == 0).select(*THEME_KEYS).join(idents, "tipo")
-        counts = counts.unionByName(no_kw.select(*THEME_KEYS, "count"))
+        idents = band.groupBy(*by, "tipo").agg(F.countDistinct("ident").alias("count"))
+        no_kw = th.filter(F.col("nkw") == 0).select(*keys).join(idents, [*by, "tipo"])
+        counts = counts.unionByName(no_kw.select(*keys, "count"))
     sizes = band_sizes(reviews, cfg)
-    return counts.join(sizes, "tipo").select(
-        *THEME_KEYS, "count", (F.col("count") / F.col("band_rows") * 100).alias("percentuale")
+    return counts.join(sizes, [*by, "tipo"]).select(
+        *keys, "count", (F.col("count") / F.col("band_rows") * 100).alias("percentuale")
     )
 
 
-def order_themes(freq: DataFrame, width: int = 1024) -> DataFrame:
-    """Rank (1..) of every theme within its type: count descending, then
-    theme order.  The theme table grows with the answers, so no window holds
-    a whole type: themes are bucketed by (count, theme_pos div width), each
-    bucket ranks its <= width rows, and only bucket totals are summed in
-    order (``running_offset``)."""
-    bucket = F.struct((-F.col("count")).alias("c"), F.floor(F.col("theme_pos") / width).alias("p"))
-    ranked = running_offset(freq, None, [F.desc("count"), "theme_pos"], F.lit(1), partition=["tipo"],
-                            out="_r", bucket=bucket)
+def order_themes(freq: DataFrame) -> DataFrame:
+    """Rank (1..) of every theme within its company and type: count
+    descending, then theme order.  The theme table grows with the answers, so
+    no window holds a whole type (``running_offset``)."""
+    ranked = running_offset(freq, [F.desc("count"), F.col("theme_pos")], F.lit(1), partition=[*company_of(freq), "tipo"], out="_r")
     return ranked.withColumn("rank", (F.col("_r") + 1).cast("int")).drop("_r")
 
 
@@ -255,26 +253,27 @@ def top_themes(freq: DataFrame, n: int) -> DataFrame:
     """The first ``n`` themes of each type with their rank; ``row_number()
     <= n`` is planned as a WindowGroupLimit, so each task keeps n rows per
     type before the shuffle."""
-    w = Window.partitionBy("tipo").orderBy(F.desc("count"), "theme_pos")
+    w = Window.partitionBy(*company_of(freq), "tipo").orderBy(F.desc("count"), "theme_pos")
     return freq.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
 def theme_examples(reviews: DataFrame, themes: DataFrame, cfg: Config = Config(), matches: DataFrame | None = None) -> DataFrame:
     """First ``cfg.theme_examples`` matching reviews of distinct identity per
     theme (by review order), for themes with at least one keyword."""
+    keys, key = theme_keys(reviews), review_key(reviews)
     if matches is None:
         m = _keyword_matches(band_reviews(reviews, cfg), _prepared_themes(themes), cfg)
     else:
         m = matches
     firsts = (
         m.filter(F.col("nkw") > 0)
-        .groupBy(*THEME_KEYS, "ident")
+        .groupBy(*keys, "ident")
         .agg(F.min("seq").alias("seq"))
     )
     # row_number() <= n becomes a WindowGroupLimit, applied before the
     # shuffle too, so a theme matched by millions of reviews ships n rows
     # per map task.
-    w = Window.partitionBy(*THEME_KEYS).orderBy("seq")
+    w = Window.partitionBy(*keys).orderBy("seq")
     picked = firsts.withColumn("example", F.row_number().over(w)).filter(F.col("example") <= cfg.theme_examples)
-    cols = reviews.select("seq", "review_id", "testo", "rating", "data", "link")
-    return picked.join(cols, "seq").select(*THEME_KEYS, "example", "seq", "review_id", "testo", "rating", "data", "link")
+    cols = reviews.select(*key, "review_id", "testo", "rating", "data", "link")
+    return picked.join(cols, key).select(*keys, "example", "seq", "review_id", "testo", "rating", "data", "link")

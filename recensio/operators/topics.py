@@ -1,8 +1,11 @@
 """Topics: k-means over TF-IDF vectors and per-topic aggregates.
 
-``assign_topics`` labels every review (MLlib KMeans, best of ``n_init``
-seeded starts, vectors cached for the restarts).  The per-topic operators
-take *any* review table with a ``cluster`` column:
+``assign_topics`` labels every review of one analysis (MLlib KMeans, best of
+``n_init`` seeded starts).  The vectors are dealt by review key into a fixed
+number of partitions and sorted there, so the labels follow from the data, not
+from how the input was laid out or how many cores there are.  The per-topic
+operators take *any* review table with a ``cluster`` column; sizes, shares,
+ranks and examples are per company:
 
 * ``topic_centroids``: mean TF-IDF vector per topic (one partial aggregate);
 * ``topic_terms``: the 10 heaviest centroid weights of each topic, then
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 
 from recensio.config import Config
 from recensio.operators import features as FT
-from recensio.operators.reviews import with_identity
+from recensio.operators.reviews import company_of, review_key, with_identity
 
 TOP_TERMS = 10
 KEPT_TERMS = 5
@@ -65,32 +68,36 @@ def assign_topics(reviews: DataFrame, k: int | None = None, cfg: Config = Config
     ``labelled`` is ``reviews`` plus ``cluster`` (NULL for every row when the
     guard trips: fewer than 5 reviews or an empty vocabulary);
     ``centroids`` is (cluster, weights array<double>) in vocabulary order.
-    Only the sparse vectors (seq, features) are cached for the iterations.
+    Only the sparse vectors (key, features) are cached for the iterations,
+    and released with the words when the model stands; the labels are the
+    model's prediction on each row, without a join.
     """
     spark = reviews.sparkSession
     n = reviews.count()
     empty_c = spark.createDataFrame([], "cluster int, weights array<double>")
     if n < 5:
         return reviews.withColumn("cluster", F.lit(None).cast("int")), empty_c, None, 0
+    key = review_key(reviews)
     # Words are read twice (vocabulary, then vectors): cleaned once.
-    words = reviews.select("seq", "parole").persist(StorageLevel.MEMORY_AND_DISK)
-    vocab = FT.vocabulary(words, cfg, n_docs=n)
-    rows = FT.vocab_rows(vocab)
-    if not rows:
-        return reviews.withColumn("cluster", F.lit(None).cast("int")), empty_c, vocab, 0
-    k = int(min(8, max(3, n // 10))) if k is None else int(k)
-    feats = FT.with_vectors(words, rows).select("seq", "features")
-    # Partitions sized by the data: at most seq + one (index, value) pair per
-    # vocabulary term per row.  Only ever fewer partitions (coalesce, no
-    # shuffle); the words are already cached, so no upstream work is narrowed.
-    row_bytes = 16 + 12 * len(rows)
-    parts = max(1, -(-n * row_bytes // cfg.kmeans_partition_bytes))
-    if parts < feats.rdd.getNumPartitions():
-        feats = feats.coalesce(parts)
-    feats = feats.persist(StorageLevel.MEMORY_AND_DISK)
-    model = _fit_best(feats, k, cfg)
-    labels = model.transform(feats).select("seq", F.col("cluster").cast("int").alias("cluster"))
-    labelled = reviews.join(labels, "seq", "left")
+    words = reviews.select(*key, "parole").persist(StorageLevel.MEMORY_AND_DISK)
+    feats = None
+    try:
+        # At most max_features rows.
+        vocab = spark.createDataFrame([tuple(r) for r in FT.vocabulary(words, cfg, n_docs=n).orderBy("idx").collect()],
+                                      "idx int, term string, df long, cf long, idf double")
+        rows = FT.vocab_rows(vocab)
+        if not rows:
+            return reviews.withColumn("cluster", F.lit(None).cast("int")), empty_c, vocab, 0
+        k = int(min(8, max(3, n // 10))) if k is None else int(k)
+        feats = FT.with_vectors(words, rows).select(*key, "features")
+        feats = feats.repartition(cfg.kmeans_partitions, *key).sortWithinPartitions(*key).persist(StorageLevel.MEMORY_AND_DISK)
+        model = _fit_best(feats, k, cfg)
+    finally:
+        words.unpersist()
+        if feats is not None:
+            feats.unpersist()
+    labelled = model.transform(FT.with_vectors(reviews, rows)).drop("features")
+    labelled = labelled.withColumn("cluster", F.col("cluster").cast("int"))
     # k x |vocabulary| numbers, bounded by the parameters.  With fewer
     # distinct vectors than k, k-means returns fewer centres: k_used says so.
     centers = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
@@ -98,6 +105,23 @@ def assign_topics(reviews: DataFrame, k: int | None = None, cfg: Config = Config
     return labelled, centroids, vocab, len(centers)
 
 
+def assign_nearest(reviews: DataFrame, centroids: DataFrame, vocab: list[tuple[str, float]]) -> DataFrame:
+    """``reviews`` plus ``cluster``: the nearest of the given centroids (at
+    most k rows, a literal here), ties (to 9 places) to the lower id."""
+    from pyspark.ml.functions import vector_to_array
+
+    cents = sorted((r["cluster"], [float(x) for x in r["weights"]]) for r in centroids.collect())
+    if not cents:
+        return reviews.withColumn("cluster", F.lit(None).cast("int"))
+    vec = FT.with_vectors(reviews, vocab).withColumn("_x", vector_to_array("features"))
+    dist = [
+        F.struct(F.round(F.aggregate(F.zip_with("_x", F.array(*[F.lit(w) for w in ws]), lambda x, y: (x - y) * (x - y)),
+                                     F.lit(0.0), lambda s, d: s + d), 9).alias("d"), F.lit(c).alias("c"))
+        for c, ws in cents
+    ]
+    return vec.withColumn("cluster", F.array_min(F.array(*dist))["c"].cast("int")).drop("features", "_x")
+
+
 def topic_centroids(labelled: DataFrame, vocab: list[tuple[str, float]]) -> DataFrame:
     """Mean TF-IDF vector of each topic, (cluster, weights) in vocabulary
     order, from a labelled review table.  One pass: every review emits its
@@ -148,33 +172,35 @@ def topic_terms(centroids: DataFrame, vocab: list[tuple[str, float]]) -> DataFra
 
 
 def topic_summary(labelled: DataFrame, k: int) -> DataFrame:
-    """(id, n_recensioni, percentuale, rating_medio) for topics 0..k-1;
-    an empty topic has size 0 and mean NULL."""
-    spark = labelled.sparkSession
-    total = F.sum("n_recensioni").over(Window.partitionBy())  # k rows only
-    stats = labelled.filter(F.col("cluster").isNotNull()).groupBy("cluster").agg(
+    """(company, id, n_recensioni, percentuale, rating_medio) for topics
+    0..k-1 of every company; an empty topic has size 0 and mean NULL."""
+    by = company_of(labelled)
+    total = F.sum("n_recensioni").over(Window.partitionBy(*by))  # k rows
+    stats = labelled.filter(F.col("cluster").isNotNull()).groupBy(*by, "cluster").agg(
         F.count(F.lit(1)).alias("n_recensioni"),
         F.avg(F.when(F.col("rating") != 0, F.col("rating"))).alias("rating_medio"),
     )
-    ids = spark.range(k).select(F.col("id").cast("int").alias("cluster"))
-    s = ids.join(stats, "cluster", "left").select(
-        F.col("cluster").alias("id"),
+    # A company's k topics, also where it has no review in one.
+    companies = stats.select(*by).distinct() if by else labelled.sparkSession.range(1).select()
+    ids = companies.select(*by, F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("cluster"))
+    s = ids.join(stats, [*by, "cluster"], "left").select(
+        *by, F.col("cluster").alias("id"),
         F.coalesce("n_recensioni", F.lit(0)).alias("n_recensioni"),
         "rating_medio",
     )
     return s.withColumn("percentuale", F.col("n_recensioni") / total * 100).select(
-        "id", "n_recensioni", "percentuale", "rating_medio"
+        *by, "id", "n_recensioni", "percentuale", "rating_medio"
     )
 
 
 def topic_examples(labelled: DataFrame, k: int, cfg: Config = Config()) -> DataFrame:
-    """(id, example, seq, review_id, testo, rating, data, link)."""
-    per = cfg.topic_examples
+    """(company, id, example, seq, review_id, testo, rating, data, link)."""
+    per, by, key = cfg.topic_examples, company_of(labelled), review_key(labelled)
     r = with_identity(labelled.filter(F.col("cluster").isNotNull()), cfg)
-    firsts = r.groupBy("cluster", "ident").agg(F.min("seq").alias("seq"))
-    w = Window.partitionBy("cluster").orderBy("seq")
+    firsts = r.groupBy(*by, "cluster", "ident").agg(F.min("seq").alias("seq"))
+    w = Window.partitionBy(*by, "cluster").orderBy("seq")
     cand = firsts.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= per * k)
-    # <= per*k*k rows: one group, folded in topic-then-review order.
+    # <= per*k*k rows a company, folded in topic-then-review order.
     items = F.array_sort(F.collect_list(F.struct("cluster", "seq", "ident")))
     init = F.struct(
         F.array().cast("array<string>").alias("used"),
@@ -192,14 +218,29 @@ def topic_examples(labelled: DataFrame, k: int, cfg: Config = Config()) -> DataF
             ),
         ).otherwise(acc)
 
-    picked = cand.agg(F.aggregate(items, init, step)["picked"].alias("p")).select(F.explode("p").alias("p"))
-    picked = picked.select(F.col("p.cluster").alias("id"), F.col("p.seq").alias("seq"))
-    ex = picked.withColumn("example", F.row_number().over(Window.partitionBy("id").orderBy("seq")))
-    cols = labelled.select("seq", "review_id", "testo", "rating", "data", "link")
-    return F.broadcast(ex).join(cols, "seq").select("id", "example", "seq", "review_id", "testo", "rating", "data", "link")
+    picked = cand.groupBy(*by).agg(F.aggregate(items, init, step)["picked"].alias("p")).select(*by, F.explode("p").alias("p"))
+    picked = picked.select(*by, F.col("p.cluster").alias("id"), F.col("p.seq").alias("seq"))
+    ex = picked.withColumn("example", F.row_number().over(Window.partitionBy(*by, "id").orderBy("seq")))
+    cols = labelled.select(*key, "review_id", "testo", "rating", "data", "link")
+    return ex.join(cols, key).select(*by, "id", "example", "seq", "review_id", "testo", "rating", "data", "link")
 
 
 def order_topics(summary: DataFrame) -> DataFrame:
     """Size descending, ties by id (``rank`` 1..k)."""
-    w = Window.orderBy(F.desc("n_recensioni"), "id")  # k rows only
+    w = Window.partitionBy(*company_of(summary)).orderBy(F.desc("n_recensioni"), "id")  # k rows a company
     return summary.withColumn("rank", F.row_number().over(w))
+
+
+def topic_rows(labelled: DataFrame, centroids: DataFrame, vocab: list[tuple[str, float]], k: int, cfg: Config = Config()) -> DataFrame:
+    """The topics as one table: (company, rank, id, parole_chiave,
+    n_recensioni, percentuale, rating_medio, esempi), esempi being an array of
+    at most ``cfg.topic_examples`` reviews."""
+    by = company_of(labelled)
+    ranked = order_topics(topic_summary(labelled, k))
+    terms = topic_terms(centroids, vocab).select(F.col("cluster").alias("id"), "parole_chiave")
+    shown = F.struct("example", "seq", "review_id", "testo", "rating", "data", "link")
+    examples = topic_examples(labelled, k, cfg).groupBy(*by, "id").agg(F.array_sort(F.collect_list(shown)).alias("esempi"))
+    none = examples.schema["esempi"].dataType
+    return ranked.join(terms, "id", "left").join(examples, [*by, "id"], "left").select(
+        *by, "rank", "id", F.coalesce("parole_chiave", F.array().cast("array<string>")).alias("parole_chiave"),
+        "n_recensioni", "percentuale", "rating_medio", F.coalesce("esempi", F.array().cast(none)).alias("esempi"))

@@ -8,6 +8,7 @@ parquet files.  Doubles are rounded to 6 places on both sides.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,9 +17,12 @@ from recensio.config import Config
 from recensio.operators import reviews as RV
 from recensio.operators import themes as TH
 from recensio.plans import sql_text as S
+from recensio.session import materialize
 from recensio.sources import tables as SRC
 
 CFG = Config()
+# The fixed themes are a literal table: matched by broadcast.
+LITERAL_THEMES = replace(CFG, theme_plan="broadcast")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -37,13 +41,10 @@ def reviews_df(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chain_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The columns the whole-chain queries read twice (blocks, then the
-    theme match and band sizes), kept so the text is cleaned once."""
-    from pyspark import StorageLevel
-
-    cols = ["seq", "review_id", "testo_pulito", "parole", "rating"] + (["testo"] if CFG.identity == "text50" else [])
-    r = reviews_df(spark, sf_dir).select(*cols)
-    return r.persist(StorageLevel.MEMORY_AND_DISK)
+    """The columns the whole-chain queries read several times (blocks, theme
+    match, band sizes), written once so the text is cleaned once."""
+    cols = ["company", "seq", "review_id", "testo_pulito", "parole", "rating"] + (["testo"] if CFG.identity == "text50" else [])
+    return materialize(reviews_df(spark, sf_dir).select(*cols))
 
 
 def r6(c):
@@ -55,32 +56,32 @@ def r6(c):
 THEME_CTES = dict(
     themes=S.THEMES,
     th=f"select *, len(kw) as nkw from (select *, {S.theme_keywords_sql('punto')} as kw from themes)",
-    band=f"""select seq, coalesce(review_id, '~null') as ident, {S.BAND} as tipo, lower(testo_pulito) as txt
+    band=f"""select company, seq, coalesce(review_id, '~null') as ident, {S.BAND} as tipo, lower(testo_pulito) as txt
              from reviews where ({S.BAND}) is not null""",
-    matches="""select th.tipo, th.theme_pos, th.punto, th.nkw, band.seq, band.ident
-               from band join th on band.tipo = th.tipo
+    matches="""select th.company, th.tipo, th.theme_pos, th.punto, th.nkw, band.seq, band.ident
+               from band join th on band.company = th.company and band.tipo = th.tipo
                and len(list_filter(th.kw, lambda k: contains(band.txt, k))) >= least(2, th.nkw)""",
-    sizes="select tipo, count(*) as band_rows from band group by tipo",
+    sizes="select company, tipo, count(*) as band_rows from band group by all",
 )
 
 
 @register("theme_frequency", S.with_ctes(
-    """select c.tipo, c.theme_pos, c.punto, c."count", round(c."count" / s.band_rows * 100, 6) as percentuale
-       from (select tipo, theme_pos, punto, count(distinct ident) as "count" from matches group by all) c
-       join sizes s on c.tipo = s.tipo""", **THEME_CTES))
+    """select c.company, c.tipo, c.theme_pos, c.punto, c."count", round(c."count" / s.band_rows * 100, 6) as percentuale
+       from (select company, tipo, theme_pos, punto, count(distinct ident) as "count" from matches group by all) c
+       join sizes s on c.company = s.company and c.tipo = s.tipo""", **THEME_CTES))
 def q_theme_frequency(spark, sf_dir):
-    f = TH.theme_frequency(reviews_df(spark, sf_dir), SRC.fixed_themes(spark), CFG)
+    f = TH.theme_frequency(reviews_df(spark, sf_dir), SRC.fixed_themes(spark), LITERAL_THEMES)
     return f.withColumn("percentuale", r6("percentuale"))
 
 
 @register("theme_examples", S.with_ctes(
-    """select p.tipo, p.theme_pos, p.punto, cast(p.example as integer) as example, p.seq, r.review_id, r.testo, r.rating, r.data, r.link
-       from (select *, row_number() over (partition by tipo, theme_pos, punto order by seq) as example
-             from (select tipo, theme_pos, punto, ident, min(seq) as seq from matches where nkw > 0 group by all)) p
+    """select p.company, p.tipo, p.theme_pos, p.punto, cast(p.example as integer) as example, p.seq, r.review_id, r.testo, r.rating, r.data, r.link
+       from (select *, row_number() over (partition by company, tipo, theme_pos, punto order by seq) as example
+             from (select company, tipo, theme_pos, punto, ident, min(seq) as seq from matches where nkw > 0 group by all)) p
        join reviews r on p.seq = r.seq
        where p.example <= 2""", **THEME_CTES))
 def q_theme_examples(spark, sf_dir):
-    return TH.theme_examples(reviews_df(spark, sf_dir), SRC.fixed_themes(spark), CFG)
+    return TH.theme_examples(reviews_df(spark, sf_dir), SRC.fixed_themes(spark), LITERAL_THEMES)
 
 
 # --- text and review table -------------------------------------------------------
@@ -162,10 +163,10 @@ def q_rejected_rows(spark, sf_dir):
 
 
 @register("corpus_stats", S.with_ctes("""
-select count(*) as n_recensioni,
+select company, count(*) as n_recensioni,
        count(*) filter (where rating is not null and rating <> 0) as n_con_rating,
        round(avg(rating) filter (where rating <> 0), 6) as rating_medio
-from reviews"""))
+from reviews group by company"""))
 def q_corpus_stats(spark, sf_dir):
     from recensio.plans import report as RP
     return RP.corpus_stats(reviews_df(spark, sf_dir)).withColumn("rating_medio", r6("rating_medio"))
@@ -177,18 +178,16 @@ def q_rating_band(spark, sf_dir):
     return r.select("seq", TH.rating_band(F.col("rating"), CFG).alias("tipo")).filter(F.col("tipo").isNotNull())
 
 
-@register("theme_match", S.with_ctes("select tipo, theme_pos, seq from matches", **THEME_CTES))
+@register("theme_match", S.with_ctes("select company, tipo, theme_pos, seq from matches", **THEME_CTES))
 def q_theme_match(spark, sf_dir):
-    m = TH.theme_matches(reviews_df(spark, sf_dir), SRC.fixed_themes(spark), CFG)
-    return m.select("tipo", "theme_pos", "seq")
+    m = TH.theme_matches(reviews_df(spark, sf_dir), SRC.fixed_themes(spark), LITERAL_THEMES)
+    return m.select("company", "tipo", "theme_pos", "seq")
 
 
 @register("theme_frequency_word_index", ORACLE["theme_frequency"])
 def q_theme_frequency_word_index(spark, sf_dir):
-    """Same result through the word-index plan used for large theme tables."""
-    from dataclasses import replace
-    cfg = replace(CFG, theme_broadcast_rows=0)
-    f = TH.theme_frequency(reviews_df(spark, sf_dir), SRC.fixed_themes(spark), cfg)
+    """Same result through the word-index plan, the one for themes from data."""
+    f = TH.theme_frequency(reviews_df(spark, sf_dir), SRC.fixed_themes(spark), CFG)
     return f.withColumn("percentuale", r6("percentuale"))
 
 
@@ -229,7 +228,7 @@ def q_vocabulary(spark, sf_dir):
 
 @register("tfidf", S.with_ctes("select seq, idx, term, round(tfidf, 6) as tfidf from tfidf", **FEATURE_CTES))
 def q_tfidf(spark, sf_dir):
-    return FT.tfidf(reviews_df(spark, sf_dir), CFG).withColumn("tfidf", r6("tfidf"))
+    return FT.tfidf(reviews_df(spark, sf_dir).drop("company"), CFG).withColumn("tfidf", r6("tfidf"))
 
 
 @register("auto_k", S.with_ctes(
@@ -251,8 +250,9 @@ def q_topics_guard(spark, sf_dir):
 
 @register("topic_labels")
 def q_topic_labels(spark, sf_dir):
-    """k-means labels (not comparable across libraries: rows-only check)."""
-    labelled, _, _, _ = TP.assign_topics(reviews_df(spark, sf_dir), None, CFG)
+    """k-means labels of the whole table as one corpus (not comparable across
+    libraries: rows-only check)."""
+    labelled, _, _, _ = TP.assign_topics(reviews_df(spark, sf_dir).drop("company"), None, CFG)
     return labelled.select("seq", "cluster")
 
 
@@ -263,9 +263,12 @@ K_FIXED = 8
 def labelled_df(spark, sf_dir):
     """Reviews with a deterministic topic label taken from the identity, so
     the per-topic operators can be checked exactly."""
-    r = reviews_df(spark, sf_dir)
+    return with_label(reviews_df(spark, sf_dir))
+
+
+def with_label(reviews):
     lab = F.when(F.col("review_id").isNull(), F.lit(0)).otherwise(F.ascii(F.substring("review_id", 32, 1)) % 8)
-    return r.withColumn("cluster", lab.cast("int"))
+    return reviews.withColumn("cluster", lab.cast("int"))
 
 
 TOPIC_CTES = dict(
@@ -276,9 +279,21 @@ TOPIC_CTES = dict(
                  round(coalesce((select sum(t.tfidf) from tfidf t join lab l on t.seq = l.seq
                                  where l.cluster = s.cluster and t.idx = v.idx), 0) / s.size, 9) as w
           from sizes s, vocab v""",
+    summ=f"""select company, id, n_recensioni, n_recensioni / sum(n_recensioni) over (partition by company) * 100 as pct, rating_medio,
+                    cast(row_number() over (partition by company order by n_recensioni desc, id) as integer) as rank
+             from (select g.company, cast(g.id as integer) as id, coalesce(s.n, 0) as n_recensioni, s.m as rating_medio
+                   from (select company, unnest(range({K_FIXED})) as id from (select distinct company from lab)) g
+                   left join (select company, cluster, count(*) as n, avg(rating) filter (where rating <> 0) as m from lab group by all) s
+                   on g.company = s.company and g.id = s.cluster)""",
+    exs="""select company, cluster as id, cast(rn as integer) as example, seq
+           from (select *, row_number() over (partition by company, cluster order by seq) as rn
+                 from (select company, cluster, coalesce(review_id, '~null') as ident, min(seq) as seq from lab group by all))
+           where rn <= 3""",
     top10="""select cluster, list(term order by rk) as top_terms from (
                select cluster, term, row_number() over (partition by cluster order by w desc, term desc) as rk from cw)
              where rk <= 10 group by cluster""",
+    kept5="""select cluster, list_slice(list_filter(top_terms, lambda t: length(t) > 3 and not regexp_full_match(t, '\\p{Nd}+')), 1, 5) as parole_chiave
+             from top10""",
 )
 
 
@@ -287,30 +302,44 @@ TOPIC_CTES = dict(
               list_slice(list_filter(top_terms, lambda t: length(t) > 3 and not regexp_full_match(t, '\\p{Nd}+')), 1, 5) as parole_chiave
        from top10""", **TOPIC_CTES))
 def q_topic_terms(spark, sf_dir):
-    lab = labelled_df(spark, sf_dir)
-    rows = FT.vocab_rows(FT.vocabulary(lab, CFG))
-    return TP.topic_terms(TP.topic_centroids(lab, rows), rows)
+    rows, cents = fixed_centroids(spark, sf_dir)
+    return TP.topic_terms(cents, rows)
 
 
-@register("topic_summary", S.with_ctes(f"""
-select id, n_recensioni, round(n_recensioni / sum(n_recensioni) over () * 100, 6) as percentuale,
-       round(rating_medio, 6) as rating_medio,
-       cast(row_number() over (order by n_recensioni desc, id) as integer) as rank
-from (select cast(g.id as integer) as id, coalesce(s.n, 0) as n_recensioni, s.m as rating_medio
-      from range({K_FIXED}) g(id)
-      left join (select cluster, count(*) as n, avg(rating) filter (where rating <> 0) as m from lab group by cluster) s
-      on g.id = s.cluster)""", **TOPIC_CTES))
+def fixed_centroids(spark, sf_dir):
+    """(vocabulary, centroids) of the deterministic topics, over all companies.
+    The SQL side rounds the weights to 9 places, so that equal ones tie."""
+    lab = labelled_df(spark, sf_dir)
+    rows = FT.vocab_rows(FT.vocabulary(lab, CFG))
+    cents = TP.topic_centroids(lab, rows)
+    return rows, materialize(cents.withColumn("weights", F.transform("weights", lambda x: F.round(x, 9))))
+
+
+@register("topic_assign", S.with_ctes(
+    """select seq, cast(cluster as integer) as cluster from (
+         select seq, cluster, row_number() over (partition by seq order by dist, cluster) as rk from (
+           select r.seq, n.cluster, round(coalesce(x.xx, 0) + n.ww - 2 * coalesce(x.xw, 0), 9) as dist
+           from (select seq from reviews) r
+           join (select cluster, sum(w * w) as ww from cw group by cluster) n on true
+           left join (select t.seq, c.cluster, sum(t.tfidf * t.tfidf) as xx, sum(t.tfidf * c.w) as xw
+                      from tfidf t join cw c on t.idx = c.idx group by all) x on r.seq = x.seq and n.cluster = x.cluster))
+       where rk = 1""", **TOPIC_CTES))
+def q_topic_assign(spark, sf_dir):
+    """The nearest of given centroids for every review."""
+    rows, cents = fixed_centroids(spark, sf_dir)
+    return TP.assign_nearest(reviews_df(spark, sf_dir), cents, rows).select("seq", "cluster")
+
+
+@register("topic_summary", S.with_ctes("""
+select company, id, n_recensioni, round(pct, 6) as percentuale, round(rating_medio, 6) as rating_medio, rank from summ""", **TOPIC_CTES))
 def q_topic_summary(spark, sf_dir):
     s = TP.order_topics(TP.topic_summary(labelled_df(spark, sf_dir), K_FIXED))
     return s.withColumn("percentuale", r6("percentuale")).withColumn("rating_medio", r6("rating_medio"))
 
 
 @register("topic_examples", S.with_ctes("""
-select p.cluster as id, cast(p.rn as integer) as example, p.seq, r.review_id, r.testo, r.rating, r.data, r.link
-from (select *, row_number() over (partition by cluster order by seq) as rn
-      from (select cluster, coalesce(review_id, '~null') as ident, min(seq) as seq from lab group by all)) p
-join reviews r on p.seq = r.seq
-where p.rn <= 3""", **TOPIC_CTES))
+select p.company, p.id, p.example, p.seq, r.review_id, r.testo, r.rating, r.data, r.link
+from exs p join reviews r on p.seq = r.seq""", **TOPIC_CTES))
 def q_topic_examples(spark, sf_dir):
     return TP.topic_examples(labelled_df(spark, sf_dir), K_FIXED, CFG)
 
@@ -320,37 +349,37 @@ def q_topic_examples(spark, sf_dir):
 from recensio.operators import blocks as BL  # noqa: E402
 
 BLOCK_CTES = dict(
-    offs="""select seq, cast(len(parole) as integer) as n_words,
-                   coalesce(sum(len(parole)) over (order by seq rows between unbounded preceding and 1 preceding), 0) as "offset",
+    offs="""select company, seq, cast(len(parole) as integer) as n_words,
+                   coalesce(sum(len(parole)) over (partition by company order by seq rows between unbounded preceding and 1 preceding), 0) as "offset",
                    parole
             from reviews""",
-    words="""select seq, "offset", unnest(parole) as word, unnest(generate_series(0, n_words - 1)) as i
+    words="""select company, seq, "offset", unnest(parole) as word, unnest(generate_series(0, n_words - 1)) as i
              from offs where n_words > 0""",
-    blocks=f"""select cast(("offset" + i) // {CFG.block_words} as bigint) as block_id, cast(count(*) as bigint) as n_words,
+    blocks=f"""select company, cast(("offset" + i) // {CFG.block_words} as bigint) as block_id, cast(count(*) as bigint) as n_words,
                       string_agg(word, ' ' order by "offset" + i) as testo
-               from words group by 1""",
+               from words group by 1, 2""",
 )
 
 
-@register("word_offsets", S.with_ctes('select seq, n_words, cast("offset" as bigint) as "offset" from offs', **BLOCK_CTES))
+@register("word_offsets", S.with_ctes('select company, seq, n_words, cast("offset" as bigint) as "offset" from offs', **BLOCK_CTES))
 def q_word_offsets(spark, sf_dir):
     return BL.word_offsets(reviews_df(spark, sf_dir), CFG).select(
-        "seq", F.col("n_words").cast("int").alias("n_words"), F.col("offset").cast("long").alias("offset"))
+        "company", "seq", F.col("n_words").cast("int").alias("n_words"), F.col("offset").cast("long").alias("offset"))
 
 
-@register("text_blocks", S.with_ctes("select block_id, n_words, testo from blocks", **BLOCK_CTES))
+@register("text_blocks", S.with_ctes("select company, block_id, n_words, testo from blocks", **BLOCK_CTES))
 def q_text_blocks(spark, sf_dir):
     return BL.text_blocks(reviews_df(spark, sf_dir), CFG)
 
 
 @register("block_count", S.with_ctes(
-    f"select cast(coalesce(sum(len(parole)), 0) as bigint) as n_words, cast(ceil(coalesce(sum(len(parole)), 0) / {CFG.block_words}) as bigint) as n_blocks from reviews"))
+    f"select company, cast(coalesce(sum(len(parole)), 0) as bigint) as n_words, cast(ceil(coalesce(sum(len(parole)), 0) / {CFG.block_words}) as bigint) as n_blocks from reviews group by company"))
 def q_block_count(spark, sf_dir):
     return BL.block_count(reviews_df(spark, sf_dir), CFG)
 
 
 @register("prompts", S.with_ctes(
-    f"select block_id, concat({S.q(BL.PROMPT_HEAD)}, testo, {S.q(BL.PROMPT_TAIL)}) as prompt from blocks", **BLOCK_CTES))
+    f"select company, block_id, concat({S.q(BL.PROMPT_HEAD)}, testo, {S.q(BL.PROMPT_TAIL)}) as prompt from blocks", **BLOCK_CTES))
 def q_prompts(spark, sf_dir):
     return BL.prompts(BL.text_blocks(reviews_df(spark, sf_dir), CFG))
 
@@ -378,6 +407,8 @@ def _answer_sql() -> str:
             it = f"case when block_id % 2 = 0 then list_concat(['Offerte Maggio'], {it}) else {it} end"
         if c == "leve_marketing":
             it = f"case when block_id % 6 <> 5 then {it} end"
+        if c == "suggerimenti_cro":
+            it = f"case when company <> 'c5' then {it} end"
         fields.append(f"{c} := {it}")
     fields.append("sentiment_counts := struct_pack(positivo := block_id % 7 + 1, "
                   "neutro := case when block_id % 4 <> 1 then block_id % 3 end, negativo := block_id % 2)")
@@ -390,24 +421,25 @@ _STRIP = ("regexp_replace(regexp_replace(content, '```json\\n?|```', '', 'g'), "
 
 INSIGHT_CTES = dict(
     BLOCK_CTES,
-    resp_js=f"select block_id, cast({_answer_sql()} as varchar) as js from (select block_id, string_split(testo, ' ') as words from blocks)",
+    resp_js=f"select company, block_id, cast({_answer_sql()} as varchar) as js from (select company, block_id, string_split(testo, ' ') as words from blocks)",
     responses=f"""
-      select block_id, a.attempt, js || ' trailing' as content from resp_js, (values (1), (2), (3)) a(attempt) where block_id % 5 = 4
-      union all select block_id, 1, '{{bad' from resp_js where block_id % 5 <> 4 and block_id % 3 = 0
-      union all select block_id, 2, {_SHOWN} from resp_js where block_id % 5 <> 4 and block_id % 3 = 0
-      union all select block_id, 1, {_SHOWN} from resp_js where block_id % 5 <> 4 and block_id % 3 <> 0""",
-    parsed=f"select block_id, attempt, cleaned, json_valid(cleaned) as valid from (select *, {_STRIP} as cleaned from responses)",
-    answers="""select p.block_id, p.attempt, p.cleaned from parsed p
-               join (select block_id, min(attempt) as attempt from parsed where valid and attempt <= 3 group by block_id) f
-               on p.block_id = f.block_id and p.attempt = f.attempt""",
+      select company, block_id, a.attempt, js || ' trailing' as content from resp_js, (values (1), (2), (3)) a(attempt) where block_id % 5 = 4
+      union all select company, block_id, 1, '{{bad' from resp_js where block_id % 5 <> 4 and block_id % 3 = 0
+      union all select company, block_id, 2, {_SHOWN} from resp_js where block_id % 5 <> 4 and block_id % 3 = 0
+      union all select company, block_id, 1, {_SHOWN} from resp_js where block_id % 5 <> 4 and block_id % 3 <> 0""",
+    parsed=f"""select company, block_id, attempt, cleaned,
+                      json_valid(cleaned) and coalesce(json_type(case when json_valid(cleaned) then cleaned end), 'NULL') in ('OBJECT', 'ARRAY', 'VARCHAR') as valid from (select *, {_STRIP} as cleaned from responses)""",
+    answers="""select p.company, p.block_id, p.attempt, p.cleaned from parsed p
+               join (select company, block_id, min(attempt) as attempt from parsed where valid and attempt <= 3 group by all) f
+               on p.company = f.company and p.block_id = f.block_id and p.attempt = f.attempt""",
     items=" union all ".join(
-        f"""select block_id, '{c}' as categoria, unnest(generate_series(0, len(l) - 1)) as item_pos, unnest(l) as elemento
-            from (select block_id, json_extract_string(cleaned, '$.{c}[*]') as l from answers)"""
+        f"""select company, block_id, '{c}' as categoria, unnest(generate_series(0, len(l) - 1)) as item_pos, unnest(l) as elemento
+            from (select company, block_id, json_extract_string(cleaned, '$.{c}[*]') as l from answers)"""
         for c in INSIGHT_CATEGORIES),
-    firsts="select categoria, elemento, min(block_id * 1000000 + item_pos) as k from items where elemento is not null group by all",
+    firsts="select company, categoria, elemento, min(block_id * 1000000 + item_pos) as k from items where elemento is not null group by all",
     kw_flag=f"""select *, not list_bool_or(list_transform({S.sql_list(KEYWORD_BLACKLIST)}, lambda t: contains(lower(elemento), t))) as allowed
                 from firsts""",
-    merged="""select categoria, cast(row_number() over (partition by categoria order by k) - 1 as bigint) as pos, elemento
+    merged="""select company, categoria, cast(row_number() over (partition by company, categoria order by k) - 1 as bigint) as pos, elemento
               from kw_flag where categoria <> 'parole_chiave' or allowed""",
 )
 
@@ -422,27 +454,27 @@ def insights_df(spark, sf_dir, reviews=None):
     return IN.merge_insights(answers_df(spark, sf_dir, reviews), CFG)
 
 
-@register("responses_parsed", S.with_ctes("select block_id, attempt, valid from parsed", **INSIGHT_CTES))
+@register("responses_parsed", S.with_ctes("select company, block_id, attempt, valid from parsed", **INSIGHT_CTES))
 def q_responses_parsed(spark, sf_dir):
     resp = SRC.responses_from_blocks(BL.text_blocks(reviews_df(spark, sf_dir), CFG))
-    return IN.parse_responses(resp).select("block_id", "attempt", "valid")
+    return IN.parse_responses(resp).select("company", "block_id", "attempt", "valid")
 
 
-@register("first_valid_attempt", S.with_ctes("select block_id, attempt from answers", **INSIGHT_CTES))
+@register("first_valid_attempt", S.with_ctes("select company, block_id, attempt from answers", **INSIGHT_CTES))
 def q_first_valid_attempt(spark, sf_dir):
-    return answers_df(spark, sf_dir).select("block_id", "attempt")
+    return answers_df(spark, sf_dir).select("company", "block_id", "attempt")
 
 
-@register("insight_merge", S.with_ctes("select categoria, pos, elemento from merged", **INSIGHT_CTES))
+@register("insight_merge", S.with_ctes("select company, categoria, pos, elemento from merged", **INSIGHT_CTES))
 def q_insight_merge(spark, sf_dir):
     return insights_df(spark, sf_dir)
 
 
 @register("keyword_blacklist", S.with_ctes(
-    "select elemento, allowed from kw_flag where categoria = 'parole_chiave'", **INSIGHT_CTES))
+    "select company, elemento, allowed from kw_flag where categoria = 'parole_chiave'", **INSIGHT_CTES))
 def q_keyword_blacklist(spark, sf_dir):
     m = IN.merge_insights(answers_df(spark, sf_dir), CFG, blacklist=False).filter(F.col("categoria") == "parole_chiave")
-    return m.select("elemento", IN.keyword_allowed(F.col("elemento"), CFG.keyword_blacklist).alias("allowed"))
+    return m.select("company", "elemento", IN.keyword_allowed(F.col("elemento"), CFG.keyword_blacklist).alias("allowed"))
 
 
 _SENT_SQL = ", ".join(
@@ -450,44 +482,45 @@ _SENT_SQL = ", ".join(
     for s in ("positivo", "neutro", "negativo"))
 
 
-@register("sentiment_distribution", S.with_ctes(f"select {_SENT_SQL} from answers", **INSIGHT_CTES))
+@register("sentiment_distribution", S.with_ctes(f"select company, {_SENT_SQL} from answers group by company", **INSIGHT_CTES))
 def q_sentiment_distribution(spark, sf_dir):
     return IN.sentiment_distribution(answers_df(spark, sf_dir))
 
 
 @register("sentiment_share", S.with_ctes(f"""
-select {', '.join(f"round(case when t > 0 then {s} / t * 100 else 0 end, 6) as {s}_pct" for s in ('positivo', 'neutro', 'negativo'))}
-from (select *, positivo + neutro + negativo as t from (select {_SENT_SQL} from answers)) where positivo > 0""", **INSIGHT_CTES))
+select company, {', '.join(f"round(case when t > 0 then {s} / t * 100 else 0 end, 6) as {s}_pct" for s in ('positivo', 'neutro', 'negativo'))}
+from (select *, positivo + neutro + negativo as t from (select company, {_SENT_SQL} from answers group by company)) where positivo > 0""", **INSIGHT_CTES))
 def q_sentiment_share(spark, sf_dir):
     s = IN.sentiment_share(IN.sentiment_distribution(answers_df(spark, sf_dir)))
-    return s.select(*[r6(c).alias(c) for c in s.columns])
+    return s.select("company", *[r6(c).alias(c) for c in s.columns if c != "company"])
 
 
 # Themes taken from the merged answers: the full analysis chain.
 MERGED_THEME_CTES = dict(
     INSIGHT_CTES,
-    themes="select categoria as tipo, cast(pos as integer) as theme_pos, elemento as punto from merged where categoria in ('punti_forza', 'punti_debolezza')",
+    themes="select company, categoria as tipo, cast(pos as integer) as theme_pos, elemento as punto from merged where categoria in ('punti_forza', 'punti_debolezza')",
     th=THEME_CTES["th"], band=THEME_CTES["band"], matches=THEME_CTES["matches"], sizes=THEME_CTES["sizes"],
 )
 
 
 def merged_themes(insights):
     return insights.filter(F.col("categoria").isin(TH.STRENGTHS, TH.WEAKNESSES)).select(
-        F.col("categoria").alias("tipo"), F.col("pos").cast("int").alias("theme_pos"), F.col("elemento").alias("punto"))
+        *RV.company_of(insights), F.col("categoria").alias("tipo"), F.col("pos").cast("int").alias("theme_pos"), F.col("elemento").alias("punto"))
 
 
-@register("theme_keywords", S.with_ctes("select tipo, theme_pos, kw from th", **MERGED_THEME_CTES))
+@register("theme_keywords", S.with_ctes("select company, tipo, theme_pos, kw from th", **MERGED_THEME_CTES))
 def q_theme_keywords(spark, sf_dir):
     th = TH.theme_keywords(merged_themes(insights_df(spark, sf_dir)))
-    return th.select("tipo", "theme_pos", "kw")
+    return th.select("company", "tipo", "theme_pos", "kw")
 
 
-FREQ_SQL = """select c.tipo, c.theme_pos, c.punto, c."count", round(c."count" / s.band_rows * 100, 6) as percentuale
-       from (select tipo, theme_pos, punto, count(distinct ident) as "count" from matches group by all) c
-       join sizes s on c.tipo = s.tipo"""
+FREQ_SQL = """select c.company, c.tipo, c.theme_pos, c.punto, c."count", c."count" / s.band_rows * 100 as pct,
+              round(c."count" / s.band_rows * 100, 6) as percentuale
+       from (select company, tipo, theme_pos, punto, count(distinct ident) as "count" from matches group by all) c
+       join sizes s on c.company = s.company and c.tipo = s.tipo"""
 
 
-@register("analysis_theme_frequency", S.with_ctes(FREQ_SQL, **MERGED_THEME_CTES))
+@register("analysis_theme_frequency", S.with_ctes(f"select * exclude (pct) from ({FREQ_SQL})", **MERGED_THEME_CTES))
 def q_analysis_theme_frequency(spark, sf_dir):
     """Reviews -> blocks -> answers -> merged strengths/weaknesses -> how
     often each is mentioned."""
@@ -506,7 +539,7 @@ REPORT_CTES = dict(
 
 
 @register("top_insights", S.with_ctes(
-    "select categoria, pos, elemento from merged m join (values " +
+    "select company, categoria, pos, elemento from merged m join (values " +
     ", ".join(f"('{k}', {v})" for k, v in CFG.top_n.items() if k != "topics") +
     ") n(c, lim) on m.categoria = n.c where pos < lim", **REPORT_CTES))
 def q_top_insights(spark, sf_dir):
@@ -514,117 +547,146 @@ def q_top_insights(spark, sf_dir):
 
 
 @register("report_general", S.with_ctes("""
-select 'Leve Marketing' as categoria, coalesce(string_agg(elemento, ' | ' order by pos), '') as insights from merged where categoria = 'leve_marketing' and pos < 10
+select company, 'Leve Marketing' as categoria, coalesce(string_agg(elemento, ' | ' order by pos) filter (where categoria = 'leve_marketing' and pos < 10), '') as insights from merged group by company
 union all
-select 'Parole Chiave', coalesce(string_agg(elemento, ' | ' order by pos), '') from merged where categoria = 'parole_chiave' and pos < 20""",
+select company, 'Parole Chiave', coalesce(string_agg(elemento, ' | ' order by pos) filter (where categoria = 'parole_chiave' and pos < 20), '') from merged group by company""",
     **REPORT_CTES))
 def q_report_general(spark, sf_dir):
     return RP.report_general(insights_df(spark, sf_dir), CFG)
 
 
 @register("report_channels", S.with_ctes(
-    "select cast(c.ord as integer) as ord, c.canale, m.pos, coalesce(m.elemento, '') as suggerimento from (values " +
+    "select k.company, cast(c.ord as integer) as ord, c.canale, m.pos, coalesce(m.elemento, '') as suggerimento from (select distinct company from merged) k, (values " +
     ", ".join(f"({i}, '{lab}', '{cat}')" for i, (lab, cat) in enumerate(RP.CHANNELS)) +
-    ") c(ord, canale, categoria) left join merged m on c.categoria = m.categoria", **REPORT_CTES))
+    ") c(ord, canale, categoria) left join merged m on k.company = m.company and c.categoria = m.categoria", **REPORT_CTES))
 def q_report_channels(spark, sf_dir):
     return RP.report_channels(insights_df(spark, sf_dir))
 
 
 @register("report_themes", S.with_ctes("""
-select tipo, cast(row_number() over (partition by tipo order by "count" desc, theme_pos) as integer) as rank, punto, "count", percentuale
+select company, tipo, cast(row_number() over (partition by company, tipo order by "count" desc, theme_pos) as integer) as rank, punto, "count", percentuale,
+       printf('%.1f%%', pct) as percentuale_txt
 from freq""", **REPORT_CTES))
 def q_report_themes(spark, sf_dir):
     r = chain_reviews(spark, sf_dir)
-    f = TH.theme_frequency(r, merged_themes(insights_df(spark, sf_dir, r)), CFG).withColumn("percentuale", r6("percentuale"))
-    return RP.report_themes(f).drop("percentuale_txt")
+    f = TH.theme_frequency(r, merged_themes(insights_df(spark, sf_dir, r)), CFG)
+    return RP.report_themes(f).withColumn("percentuale", r6("percentuale"))
 
 
 @register("themes_with_fallback", S.with_ctes("""
-select tipo, rank, punto, 'frequenza' as source from (
-  select tipo, cast(row_number() over (partition by tipo order by "count" desc, theme_pos) as integer) as rank, punto from freq) where rank <= 10
+select company, tipo, rank, punto, 'frequenza' as source from (
+  select company, tipo, cast(row_number() over (partition by company, tipo order by "count" desc, theme_pos) as integer) as rank, punto from counted) where rank <= 10
 union all
-select categoria, cast(pos + 1 as integer), elemento, 'elenco' from merged
-where categoria in ('punti_forza', 'punti_debolezza') and pos < 10 and categoria not in (select tipo from freq)""", **REPORT_CTES))
+select company, categoria, cast(pos + 1 as integer), elemento, 'elenco' from merged m
+where categoria in ('punti_forza', 'punti_debolezza') and pos < 10
+  and not exists (select 1 from counted f where f.company = m.company and f.tipo = m.categoria)""",
+    **REPORT_CTES, counted="select * from freq where not (company in ('c3', 'c4') and tipo = 'punti_debolezza')"))
 def q_themes_with_fallback(spark, sf_dir):
     r = chain_reviews(spark, sf_dir)
     ins = insights_df(spark, sf_dir, r)
     f = TH.theme_frequency(r, merged_themes(ins), CFG)
+    # Two companies without any frequency of one type show the plain list.
+    f = f.filter(~(F.col("company").isin("c3", "c4") & (F.col("tipo") == "punti_debolezza")))
     return RP.themes_with_fallback(f, ins, CFG)
 
 
-@register("headline", S.with_ctes(f"""
-select (select count(*) from reviews) as n_recensioni,
-       (select round(avg(rating) filter (where rating <> 0), 6) from reviews) as rating_medio,
-       (select count(*) from merged where categoria = 'punti_forza') as n_punti_forza,
-       (select count(*) from merged where categoria = 'punti_debolezza') as n_punti_debolezza,
-       {K_FIXED} as n_cluster""", **REPORT_CTES))
+@register("headline", S.with_ctes("""
+select r.company, r.n_recensioni, r.rating_medio, coalesce(m.f, 0) as n_punti_forza, coalesce(m.d, 0) as n_punti_debolezza, coalesce(t.n, 0) as n_cluster
+from (select company, count(*) as n_recensioni, round(avg(rating) filter (where rating <> 0), 6) as rating_medio from reviews group by company) r
+left join (select company, count(*) filter (where categoria = 'punti_forza') as f, count(*) filter (where categoria = 'punti_debolezza') as d
+           from merged group by company) m on r.company = m.company
+left join (select company, count(distinct cluster) as n from lab group by company) t on r.company = t.company""", **REPORT_CTES))
 def q_headline(spark, sf_dir):
-    r = reviews_df(spark, sf_dir)
-    h = RP.headline(r, insights_df(spark, sf_dir, r), K_FIXED)
+    r = chain_reviews(spark, sf_dir)
+    topics = TP.topic_summary(with_label(r), K_FIXED).filter("n_recensioni > 0")  # the topics that hold reviews
+    h = RP.headline(r, insights_df(spark, sf_dir, r), topics)
     return h.withColumn("rating_medio", r6("rating_medio"))
 
 
 @register("report_reviews", S.with_ctes(
-    "select seq, testo, rating, data, cast(cluster as varchar) as cluster, link from lab", **REPORT_CTES))
+    "select company, seq, testo, rating, data, cast(cluster as varchar) as cluster, link from lab", **REPORT_CTES))
 def q_report_reviews(spark, sf_dir):
     return RP.report_reviews(labelled_df(spark, sf_dir))
 
 
+def topic_rows_df(spark, sf_dir):
+    rows, cents = fixed_centroids(spark, sf_dir)
+    return TP.topic_rows(labelled_df(spark, sf_dir), cents, rows, K_FIXED, CFG)
+
+
+@register("topic_rows", S.with_ctes("""
+select s.company, s.rank, s.id, coalesce(t.parole_chiave, []) as parole_chiave, s.n_recensioni, round(s.pct, 6) as percentuale,
+       round(s.rating_medio, 6) as rating_medio, coalesce(e.esempi, []) as esempi
+from summ s left join kept5 t on s.id = t.cluster
+left join (select company, id, list(seq order by example) as esempi from exs group by all) e on s.company = e.company and s.id = e.id""", **TOPIC_CTES))
+def q_topic_rows(spark, sf_dir):
+    t = topic_rows_df(spark, sf_dir)
+    return t.withColumns({"percentuale": r6("percentuale"), "rating_medio": r6("rating_medio"), "esempi": F.transform("esempi", lambda e: e["seq"])})
+
+
 @register("report_topics", S.with_ctes("""
-select s.id, array_to_string(t.parole_chiave, ', ') as tematica, s.n_recensioni, s.percentuale, s.rating_medio
-from (select id, n_recensioni, round(n_recensioni / sum(n_recensioni) over () * 100, 6) as percentuale, round(rating_medio, 6) as rating_medio
-      from (select cast(g.id as integer) as id, coalesce(s.n, 0) as n_recensioni, s.m as rating_medio
-            from range(8) g(id) left join (select cluster, count(*) as n, avg(rating) filter (where rating <> 0) as m from lab group by cluster) s
-            on g.id = s.cluster)) s
-left join (select cluster, list_slice(list_filter(top_terms, lambda t: length(t) > 3), 1, 5) as parole_chiave from top10) t on s.id = t.cluster""",
-    **TOPIC_CTES))
+select s.company, s.rank, s.id, array_to_string(coalesce(t.parole_chiave, []), ', ') as tematica, s.n_recensioni, round(s.pct, 6) as percentuale,
+       round(s.rating_medio, 6) as rating_medio, printf('%.1f%%', s.pct) as percentuale_txt, coalesce(printf('%.1f', s.rating_medio), 'N/A') as rating_medio_txt
+from summ s left join kept5 t on s.id = t.cluster""", **TOPIC_CTES))
 def q_report_topics(spark, sf_dir):
-    lab = labelled_df(spark, sf_dir)
-    rows = FT.vocab_rows(FT.vocabulary(lab, CFG))
-    terms = TP.topic_terms(TP.topic_centroids(lab, rows), rows)
-    s = TP.topic_summary(lab, K_FIXED).withColumn("percentuale", r6("percentuale")).withColumn("rating_medio", r6("rating_medio"))
-    return RP.report_topics(s, terms).select("id", "tematica", "n_recensioni", "percentuale", "rating_medio")
+    s = RP.report_topics(topic_rows_df(spark, sf_dir))
+    return s.withColumns({"percentuale": r6("percentuale"), "rating_medio": r6("rating_medio")})
+
+
+@register("top_topics", S.with_ctes("select company, rank, id, n_recensioni from summ where rank <= 5", **TOPIC_CTES))
+def q_top_topics(spark, sf_dir):
+    return RP.top_topics(topic_rows_df(spark, sf_dir), CFG).select("company", "rank", "id", "n_recensioni")
 
 
 @register("example_cards", S.with_ctes("""
-select p.tipo, p.theme_pos, p.punto, cast(p.example as integer) as example,
+select p.company, p.tipo, p.theme_pos, p.punto, cast(p.example as integer) as example,
        repeat('⭐', case when r.rating is not null and r.rating <> 0 then r.rating else 3 end) as stelle,
        case when length(r.testo) > 200 then left(r.testo, 200) || '...' else r.testo end as testo_breve,
        r.data, r.link,
        case when p.tipo = 'punti_forza' then 'positive-review' else 'negative-review' end as classe
-from (select *, row_number() over (partition by tipo, theme_pos, punto order by seq) as example
-      from (select tipo, theme_pos, punto, ident, min(seq) as seq from matches where nkw > 0 group by all)) p
+from (select *, row_number() over (partition by company, tipo, theme_pos, punto order by seq) as example
+      from (select company, tipo, theme_pos, punto, ident, min(seq) as seq from matches where nkw > 0 group by all)) p
 join reviews r on p.seq = r.seq
 where p.example <= 2""", **THEME_CTES))
 def q_example_cards(spark, sf_dir):
-    ex = TH.theme_examples(reviews_df(spark, sf_dir), SRC.fixed_themes(spark), CFG)
+    ex = TH.theme_examples(reviews_df(spark, sf_dir), SRC.fixed_themes(spark), LITERAL_THEMES)
     return RP.example_cards(ex)
 
 
 # --- pages: scan, predicates, crawl prefix, HTML walk ----------------------------
 
-from dataclasses import replace as _replace  # noqa: E402
-
 from recensio.sources import pages as PG  # noqa: E402
 
-# The driver pages hold plain <article> elements without review attributes:
-# read them with one more fallback selector, any article.
-PAGES_CFG = _replace(CFG, fallback_selectors=CFG.fallback_selectors + (("article", None, None),))
 PAGES_SQL = """
-select 'c' || cast(floor(page_id / 10) as bigint) as company, cast(page_id % 10 + 1 as integer) as pagina, url,
-       cast(case when page_id % 23 = 7 then 404 when page_id % 19 = 4 then null else 200 end as integer) as status, html, page_id
+select 'c' || cast(page_id // 10 as varchar) as company, cast(page_id % 10 + 1 as integer) as pagina,
+       'https://reviews.example/review/c' || cast(page_id // 10 as varchar) || '?page=' || cast(page_id % 10 + 1 as varchar) as url,
+       cast(case when page_id % 23 = 7 then 404 when page_id % 19 = 4 then null else 200 end as integer) as status, html, page_id,
+       page_id % 10 = 0 and page_id // 10 % 4 = 1 as bare
 from pages"""
+# The listing's containers: the driver page's own articles (their number
+# follows from the start tags), then the two that the fixture adds.
+ARTICLES = "len(regexp_extract_all(html, " + S.q(r"(?i)<article[\s>/]") + "))"
 PAGE_CTES = dict(
     lp=PAGES_SQL,
     stops="select company, min(pagina) filter (where status is not null and status <> 200) as stop_at from lp group by company",
     kept="""select lp.* from lp join stops using (company)
             where status is not null and (stop_at is null or pagina < stop_at)""",
+    arts=f"select *, case when bare then 0 else {ARTICLES} + 2 end as n from kept",
+    found=f"""select company, pagina, url, page_id, n, cast(unnest(generate_series(0, n - 1)) as integer) as pos from arts where n > 0""",
+    conts="""select company, pagina, url, pos,
+                    case when pos < n - 2 then cast(page_id % 5 + 1 as varchar) when pos = n - 1 then '5' when page_id % 13 = 5 then 'five' else '2' end as rating_attr,
+                    case when pos < n - 2 and page_id % 7 <> 3 then 'p' || cast(page_id as varchar) end as m2_id,
+                    case when pos = n - 2 then 'k' || cast(page_id as varchar) end as m5_id, pos = n - 1 as short
+             from found""",
+    guarded="""select * from conts where company not in (select company from arts where pagina = 1 and n = 0)""",
+    page_reviews="select *, coalesce(m2_id, m5_id) as review_id from guarded where not short and rating_attr <> 'five'",
 )
 
 
-@register("company_key", f"select page_id, regexp_extract(url, {S.q('/review/([^/?]+)')}, 1) as company_key from pages")
+@register("company_key", S.with_ctes(f"""select page_id, regexp_extract(url, {S.q('/review/([^/?]+)')}, 1) as company_key from lp
+union all select page_id, '' from pages""", **PAGE_CTES))
 def q_company_key(spark, sf_dir):
-    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    p = PG.pages_from_table(spark, sf_dir).select("page_id", "url").unionByName(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"))
     return p.select("page_id", PG.company_key(F.col("url")).alias("company_key"))
 
 
@@ -638,33 +700,36 @@ def q_crawl_prefix(spark, sf_dir):
     return PG.crawl_prefix(PG.pages_from_table(spark, sf_dir)).select("company", "pagina", "status")
 
 
-@register("review_containers")
+@register("review_containers", S.with_ctes("select company, pagina, pos, rating_attr, m2_id, m5_id from conts", **PAGE_CTES))
 def q_review_containers(spark, sf_dir):
-    """HTML walk over the kept pages (Python parser: rows-only check)."""
+    """HTML walk over the kept pages."""
     kept = PG.crawl_prefix(PG.pages_from_table(spark, sf_dir))
-    return PG.extract_containers(kept, PAGES_CFG).select("company", "pagina", "pos", "testo")
+    return PG.extract_containers(kept, CFG).select("company", "pagina", "pos", "rating_attr", "m2_id", "m5_id")
 
 
-# Driver pages hold plain <article> elements (read with the extra "article"
-# selector), so container positions follow from the article start tags.
-ARTICLES = "len(regexp_extract_all(html, " + S.q(r"(?i)<article[\s>/]") + "))"
-
-
-@register("first_page_guard", S.with_ctes(f"""
-select company, pagina, cast(unnest(generate_series(0, n - 1)) as integer) as pos from arts
-where n > 0 and company not in (select company from arts where pagina = 1 and status = 200 and n = 0)""",
-    **PAGE_CTES, arts=f"select company, pagina, status, {ARTICLES} as n from kept"))
+@register("first_page_guard", S.with_ctes("select company, pagina, pos from guarded", **PAGE_CTES))
 def q_first_page_guard(spark, sf_dir):
-    kept = PG.crawl_prefix(PG.pages_from_table(spark, sf_dir))
-    c = PG.extract_containers(kept, PAGES_CFG)
-    return PG.first_page_guard(c, kept).select("company", "pagina", "pos")
+    walked = PG.walk_pages(PG.crawl_prefix(PG.pages_from_table(spark, sf_dir)), CFG)
+    return PG.first_page_guard(walked).select("company", "pagina", "pos")
 
 
-@register("html_reviews")
+@register("html_reviews", S.with_ctes(f"""
+select company, pagina, pos, review_id, cast(rating_attr as integer) as rating,
+       case when review_id is not null then {S.q(CFG.link_base)} || review_id else url end as link
+from page_reviews""", **PAGE_CTES))
 def q_html_reviews(spark, sf_dir):
     """pages -> reviews through the whole extraction path."""
-    raw = PG.raw_from_pages(PG.pages_from_table(spark, sf_dir), PAGES_CFG)
-    return RV.to_reviews(raw, PAGES_CFG).select("company", "seq", "pagina", "pos", "review_id", "rating", "data", "link", "testo_pulito")
+    raw = PG.raw_from_pages(PG.pages_from_table(spark, sf_dir), CFG)
+    return RV.to_reviews(raw, CFG).select("company", "pagina", "pos", "review_id", "rating", "link")
+
+
+@register("page_stats", S.with_ctes("""
+select company, count(*) as n_recensioni, count(*) as n_con_rating, round(avg(cast(rating_attr as integer)), 6) as rating_medio
+from page_reviews group by company""", **PAGE_CTES))
+def q_page_stats(spark, sf_dir):
+    """Corpus statistics of many companies straight from their pages."""
+    raw = PG.raw_from_pages(PG.pages_from_table(spark, sf_dir), CFG)
+    return RP.corpus_stats(RV.to_reviews(raw, CFG)).withColumn("rating_medio", r6("rating_medio"))
 
 
 ID_COLS_SQL = """
@@ -706,35 +771,50 @@ def q_review_id_chain(spark, sf_dir):
 
 
 @register("topic_cards", S.with_ctes("""
-select s.id, s.id + 1 as titolo, array_to_string(list_slice(t.parole_chiave, 1, 3), ', ') as tematiche, s.percentuale,
-       cast(e.example as integer) as example,
-       repeat('⭐', case when r.rating is not null and r.rating <> 0 then r.rating else 3 end) as stelle,
+select s.company, s.rank, s.id, s.id + 1 as titolo, array_to_string(list_slice(coalesce(t.parole_chiave, []), 1, 3), ', ') as tematiche, round(s.pct, 6) as percentuale,
+       e.example,
+       case when e.example is not null then repeat('⭐', case when r.rating is not null and r.rating <> 0 then r.rating else 3 end) end as stelle,
        case when length(r.testo) > 150 then left(r.testo, 150) || '...' else r.testo end as testo_breve, r.link
-from (select cast(g.id as integer) as id, round(coalesce(n, 0) / sum(coalesce(n, 0)) over () * 100, 6) as percentuale
-      from range(8) g(id) left join (select cluster, count(*) as n from lab group by cluster) c on g.id = c.cluster) s
-left join (select cluster, list_slice(list_filter(top_terms, lambda t: length(t) > 3), 1, 5) as parole_chiave from top10) t on s.id = t.cluster
-left join (select * from (select *, row_number() over (partition by cluster order by seq) as example
-                          from (select cluster, coalesce(review_id, '~null') as ident, min(seq) as seq from lab group by all)) where example <= 2) e
-  on s.id = e.cluster
+from summ s left join kept5 t on s.id = t.cluster
+left join (select * from exs where example <= 2) e on s.company = e.company and s.id = e.id
 left join reviews r on e.seq = r.seq""", **TOPIC_CTES))
 def q_topic_cards(spark, sf_dir):
-    lab = labelled_df(spark, sf_dir)
-    rows = FT.vocab_rows(FT.vocabulary(lab, CFG))
-    terms = TP.topic_terms(TP.topic_centroids(lab, rows), rows)
-    s = TP.topic_summary(lab, K_FIXED).withColumn("percentuale", r6("percentuale"))
-    ex = TP.topic_examples(lab, K_FIXED, CFG)
-    return RP.topic_cards(s, terms, ex)
+    return RP.topic_cards(topic_rows_df(spark, sf_dir)).withColumn("percentuale", r6("percentuale"))
 
 
-@register("report_json")
+JSON_CTES = dict(
+    TOPIC_CTES, **{k: v for k, v in REPORT_CTES.items() if k not in TOPIC_CTES and k not in ("sizes", "freq")},
+    bsizes=THEME_CTES["sizes"], freq=FREQ_SQL.replace("join sizes s", "join bsizes s"),
+)
+URL = "https://reviews.example/review/{company}"
+
+
+@register("report_json", S.with_ctes(f"""
+select st.company, 'metadati' as sezione, cast(st.n as varchar) as a, cast(coalesce(t.n, 0) as varchar) as b, replace({S.q(URL)}, '{{company}}', st.company) as c, round(st.m, 6) as x
+from (select company, count(*) as n, avg(rating) filter (where rating <> 0) as m from reviews group by company) st
+left join (select company, count(*) as n from summ group by company) t on st.company = t.company
+union all select company, 'sentiment', cast(positivo as varchar), cast(neutro as varchar), cast(negativo as varchar), null from (select company, {_SENT_SQL} from answers group by company)
+union all select company, 'tematica', cast(rank as varchar), cast(id as varchar), cast(n_recensioni as varchar), round(pct, 6) from summ
+union all select company, 'insight', categoria, cast(pos as varchar), elemento, null from merged
+union all select company, 'tema', tipo, cast(rank as varchar), punto, round(pct, 6)
+from (select *, row_number() over (partition by company, tipo order by "count" desc, theme_pos) as rank from freq) where rank <= 20""", **JSON_CTES))
 def q_report_json(spark, sf_dir):
-    """The JSON Lines report over the whole chain (labels from the identity;
-    rows-only check: JSON text is not compared across engines)."""
-    lab = labelled_df(spark, sf_dir)
-    r = reviews_df(spark, sf_dir)
-    ins = insights_df(spark, sf_dir, r)
-    rows = FT.vocab_rows(FT.vocabulary(lab, CFG))
-    terms = TP.topic_terms(TP.topic_centroids(lab, rows), rows)
-    summary = TP.topic_summary(lab, K_FIXED)
+    """The JSON Lines report of every company over the whole chain (labels
+    from the identity), read back from its JSON text."""
+    # Cleaned once: blocks, themes, topics and statistics read this table.
+    r = materialize(reviews_df(spark, sf_dir))
+    answers = materialize(answers_df(spark, sf_dir, r))
+    ins = materialize(IN.merge_insights(answers, CFG))
+    lab = with_label(r)
+    rows = FT.vocab_rows(FT.vocabulary(r, CFG))
+    topics = TP.topic_rows(lab, TP.topic_centroids(lab, rows), rows, K_FIXED, CFG)
     freq = TH.theme_frequency(r, merged_themes(ins), CFG)
-    return RP.report_json(RP.corpus_stats(r), summary, terms, ins, freq)
+    lines = RP.report_json(RP.corpus_stats(r), topics, ins, IN.sentiment_distribution(answers), freq, URL)
+    get = lambda p: F.get_json_object("json", f"$.{p}")
+    s = get("sezione")
+    pick = lambda *names: F.coalesce(*[F.when(s == sec, get(n)) for sec, n in zip(("metadati", "sentiment", "tematica", "insight", "tema"), names)])
+    return lines.select(
+        get("company").alias("company"), s.alias("sezione"),
+        pick("n_recensioni", "positivo", "rank", "categoria", "tipo").alias("a"), pick("n_cluster", "neutro", "id", "pos", "rank").alias("b"),
+        pick("url_analizzato", "negativo", "n_recensioni", "elemento", "punto").alias("c"),
+        r6(F.when(s.isin("tematica", "tema"), get("percentuale")).when(s == "metadati", get("rating_medio")).cast("double")).alias("x"))

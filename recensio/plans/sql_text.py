@@ -9,9 +9,9 @@ in the test tables.
 
 from __future__ import annotations
 
-from recensio.config import ITALIAN_MONTHS, ITALIAN_STOPWORDS
+from recensio.config import ITALIAN_MONTHS, ITALIAN_STOPWORDS, Config
 from recensio.functions.text import DIGIT, SPACE, WORD
-from recensio.sources.tables import FIXED_THEMES, REVIEWS_PER_PAGE
+from recensio.sources.tables import COMPANIES, FIXED_THEMES, REVIEWS_PER_PAGE
 
 
 def q(s: str) -> str:
@@ -68,11 +68,12 @@ def theme_keywords_sql(expr: str) -> str:
 
 
 RAW_REVIEWS = f"""
-select 'documents' as company,
+select 'c' || cast(d.doc_id % {COMPANIES} as varchar) as company,
        d.doc_id as seq,
-       cast(floor(d.doc_id / {REVIEWS_PER_PAGE}) as integer) + 1 as pagina,
-       cast(d.doc_id % {REVIEWS_PER_PAGE} as integer) as pos,
-       'https://reviews.example/documents?page=' || cast(cast(floor(d.doc_id / {REVIEWS_PER_PAGE}) as integer) + 1 as varchar) as page_url,
+       cast(d.doc_id // {COMPANIES} // {REVIEWS_PER_PAGE} as integer) + 1 as pagina,
+       cast(d.doc_id // {COMPANIES} % {REVIEWS_PER_PAGE} as integer) as pos,
+       'https://reviews.example/review/c' || cast(d.doc_id % {COMPANIES} as varchar) || '?page=' ||
+         cast(cast(d.doc_id // {COMPANIES} // {REVIEWS_PER_PAGE} as integer) + 1 as varchar) as page_url,
        case when d.doc_id % 97 = 0 then null else md5(d.text) end as review_id,
        case when l.quality = 1 and l.toxic = 0 then '5' when l.quality = 1 then '3'
             when l.toxic = 0 then '2' when l.toxic = 1 then '1' end as rating_attr,
@@ -86,7 +87,7 @@ select 'documents' as company,
 from documents d left join labels l on d.doc_id = l.doc_id
 """
 
-LINK_BASE = "https://it.trustpilot.com/reviews/"
+LINK_BASE = Config().link_base
 
 REVIEWS = f"""
 select company, seq, pagina, pos, review_id, testo, testo_pulito, parole, rating, data, link
@@ -114,9 +115,9 @@ case when rating is not null and rating <> 0 and rating >= 4 then 'punti_forza'
      when rating is not null and rating <> 0 and rating <= 2 then 'punti_debolezza' end
 """
 
-THEMES = "select * from (values " + ", ".join(
+THEMES = "select 'c' || cast(c as varchar) as company, t.* from (values " + ", ".join(
     f"({q(t)}, {p}, {q(s)})" for t, p, s in FIXED_THEMES
-) + ") t(tipo, theme_pos, punto)"
+) + f") t(tipo, theme_pos, punto), range({COMPANIES}) r(c)"
 
 
 def with_ctes(body: str, raw: str | None = None, **extra: str) -> str:

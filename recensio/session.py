@@ -7,7 +7,9 @@ same code runs in tests on ``local[*]``.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -48,14 +50,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf()
     path = conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if path:
-        if path.startswith("file:"):
-            path = path[5:]
-        spark.sparkContext.setCheckpointDir(path)
+        # As the session names it; whether all executors reach it is the
+        # launcher's part.
+        if not spark.sparkContext.getCheckpointDir():
+            spark.sparkContext.setCheckpointDir(path)
         return path
     if not spark.sparkContext.master.startswith("local"):
         # A folder on one machine is useless to executors elsewhere.
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
     path = tempfile.mkdtemp(prefix="recensio-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(path)
     return path
 
@@ -76,7 +80,9 @@ def ship_package(spark: SparkSession) -> None:
     if not sc.master.startswith("local") or sc.applicationId in _SHIPPED:
         return
     root = os.path.dirname(os.path.abspath(__file__))
-    out = os.path.join(tempfile.mkdtemp(prefix="recensio-pkg-"), "recensio.zip")
+    folder = tempfile.mkdtemp(prefix="recensio-pkg-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    out = os.path.join(folder, "recensio.zip")
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for dirpath, dirnames, files in os.walk(root):
             dirnames[:] = [d for d in dirnames if d != "__pycache__"]

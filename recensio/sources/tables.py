@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 REVIEWS_PER_PAGE = 20  # about 20 reviews per listing page
+COMPANIES = 24  # the reviews are dealt to so many companies
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,22 +21,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Round-robin the rows over the session's task slots when the scan
-    yields fewer splits than slots (e.g. one file with one row group, which
-    Parquet cannot split).  A large input already has many more splits than
-    slots and is left alone: no shuffle is added at scale."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
-        return df.repartition(slots)
-    return df
+    """Deal the rows of a scan with few splits (one file with one row group
+    cannot be split by Parquet) over the session's shuffle partitions.  A
+    large input has more splits and is left alone.  Only the speed of the
+    map-only steps depends on it, no result does."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
 def raw_reviews_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw review records (before the >= 50 chars filter and cleaning).
 
     Columns: company, seq, pagina, pos, page_url, review_id, rating_attr,
-    rating_div, testo.  ``seq`` orders reviews as the crawl would (page, then
-    position); exact copies of a text share an id, some reviews have none,
+    rating_div, testo.  ``seq`` orders a company's reviews as the crawl would
+    (page, then position); exact copies of a text share an id, some reviews have none,
     and Italian date/rating phrases are mixed into the text.
     """
     # Text cleaning is the heavy per-row work: give it every task slot.
@@ -57,13 +56,15 @@ def raw_reviews_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("toxic") == 0, F.lit("2"))
         .when(F.col("toxic") == 1, F.lit("1"))
     )
-    pagina = (F.floor(did / REVIEWS_PER_PAGE) + 1).cast("int")
+    company = F.concat(F.lit("c"), (did % COMPANIES).cast("string"))
+    nth = F.floor(did / COMPANIES)
+    pagina = (F.floor(nth / REVIEWS_PER_PAGE) + 1).cast("int")
     return j.select(
-        F.lit("documents").alias("company"),
+        company.alias("company"),
         did.alias("seq"),
         pagina.alias("pagina"),
-        (did % REVIEWS_PER_PAGE).cast("int").alias("pos"),
-        F.concat(F.lit("https://reviews.example/documents?page="), pagina.cast("string")).alias("page_url"),
+        (nth % REVIEWS_PER_PAGE).cast("int").alias("pos"),
+        F.concat(F.lit("https://reviews.example/review/"), company, F.lit("?page="), pagina.cast("string")).alias("page_url"),
         F.when(did % 97 == 0, F.lit(None).cast("string")).otherwise(F.md5("text")).alias("review_id"),
         rating_attr.alias("rating_attr"),
         F.lit(None).cast("string").alias("rating_div"),
@@ -86,28 +87,34 @@ FIXED_THEMES = (
 # -----------------------------------------------------------------------------
 
 
-def fixed_themes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(FIXED_THEMES), "tipo string, theme_pos int, punto string")
+def fixed_themes(spark: SparkSession, companies: int = COMPANIES) -> DataFrame:
+    """The fixed themes for every company: a literal table."""
+    rows = [(f"c{c}", *t) for c in range(companies) for t in FIXED_THEMES]
+    return spark.createDataFrame(rows, "company string, tipo string, theme_pos int, punto string")
 
 
 def responses_from_blocks(blocks: DataFrame) -> DataFrame:
     """Model answers derived from the text blocks, as the answer table
-    ``responses(block_id, attempt, content)`` the merge step reads.
+    ``responses(company, block_id, attempt, content)`` the merge step reads.
 
     Each list category holds up to five two-word items taken from places
     spread over the whole block (so items repeat across blocks and match
     reviews); some answers are
     fenced, some first attempts are broken, some blocks never get a valid
-    answer, one keyword is blacklisted and some lists or counts are missing.
+    answer, one keyword is blacklisted and some lists or counts are missing; company
+    c5 has no suggestion in one channel.
     """
     from recensio.config import INSIGHT_CATEGORIES
 
+    from recensio.operators.reviews import company_of
+
+    by = company_of(blocks)
     b = F.col("block_id")
     n_items = 5 * len(INSIGHT_CATEGORIES)
     # Item j is the word pair at position floor(j * n / n_items) of the
     # block's n words, so the items are drawn from the whole block.  The
     # block is split once, in its own projection.
-    blocks = blocks.select("block_id", F.split("testo", " ").alias("words"))
+    blocks = blocks.select(*by, "block_id", F.split("testo", " ").alias("words"))
     words = F.col("words")
 
     def at(j):
@@ -127,13 +134,15 @@ def responses_from_blocks(blocks: DataFrame) -> DataFrame:
             it = F.when(b % 2 == 0, F.concat(F.array(F.lit("Offerte Maggio")), it)).otherwise(it)
         if c == "leve_marketing":
             it = F.when(b % 6 != 5, it)
+        if c == "suggerimenti_cro" and by:
+            it = F.when(F.col("company") != "c5", it)
         fields.append(it.alias(c))
     sc = F.struct(
         (b % 7 + 1).alias("positivo"),
         F.when(b % 4 != 1, b % 3).alias("neutro"),
         (b % 2).alias("negativo"),
     )
-    blocks = blocks.select("block_id", F.to_json(F.struct(*fields, sc.alias("sentiment_counts"))).alias("js"))
+    blocks = blocks.select(*by, "block_id", F.to_json(F.struct(*fields, sc.alias("sentiment_counts"))).alias("js"))
     js = F.col("js")
     shown = F.when(b % 2 == 0, F.concat(F.lit("```json\n"), js, F.lit("\n```"))).otherwise(js)
     att = lambda n, c: F.struct(F.lit(n).alias("attempt"), c.alias("content"))
@@ -143,6 +152,6 @@ def responses_from_blocks(blocks: DataFrame) -> DataFrame:
         .when(b % 3 == 0, F.array(att(1, F.lit("{bad")), att(2, shown)))
         .otherwise(F.array(att(1, shown)))
     )
-    return blocks.select("block_id", F.explode(tries).alias("t")).select(
-        "block_id", F.col("t.attempt").cast("int").alias("attempt"), F.col("t.content").alias("content")
+    return blocks.select(*by, "block_id", F.explode(tries).alias("t")).select(
+        *by, "block_id", F.col("t.attempt").cast("int").alias("attempt"), F.col("t.content").alias("content")
     )

@@ -109,3 +109,25 @@ def test_review_id_methods_from_markup(spark):
     m5 = f'<article data-service-review-rating="3" data-consumer-review-id="m5id"><p>{LONG2}</p></article>'
     r = _reviews(spark, [("c", 1, "u1", 200, m1 + m3 + m3_not_review + m5)], cfg).collect()
     assert [x.review_id for x in r] == ["m1id", "m3id", "m4id", "m5id"]
+
+
+def test_last_of_repeated_attributes_counts(spark):
+    html = f'<article data-service-review-rating="1" data-service-review-rating="5"><p>{LONG}</p></article>'
+    assert [x.rating for x in _reviews(spark, [("c", 1, "u1", 200, html)]).collect()] == [5]
+
+
+def test_broken_container_drops_itself_only(spark, monkeypatch):
+    from recensio.functions import html as H
+
+    good = H.container_record
+    monkeypatch.setattr(H, "container_record", lambda c, a: 1 / 0 if c.attrs[a] == "4" else good(c, a))
+    rows = H.page_records(art(LONG, "5") + art(LONG2, "4") + art(LONG2, "3"), "data-service-review-rating", ())
+    assert [(p, r is not None, bool(e)) for p, r, e in rows] == [(0, True, False), (1, False, True), (2, True, False)]
+    raw = spark.createDataFrame([("c", 1, 1, 0, LONG, "5", None, None), ("c", 2, 1, 1, None, None, None, "container: x")],
+                                "company string, seq long, pagina int, pos int, testo string, rating_attr string, rating_div string, error string")
+    assert [(x.pos, x.reason) for x in RV.rejected(raw).collect()] == [(1, "container: x")]
+
+
+def test_one_walk_per_page(spark):
+    walked = PG.raw_from_pages(_pages(spark, [("c", 1, "u1", 200, art(LONG))]), Config())
+    assert "MapInPandas" not in walked._jdf.queryExecution().executedPlan().toString()  # the walk is written, not repeated

@@ -73,3 +73,19 @@ def test_malformed_key_counts_as_empty(spark):
     rows = [(0, 1, '{"punti_forza": null, "punti_debolezza": ["lento"]}')]
     m = IN.merge_insights(IN.first_valid(IN.parse_responses(_responses(spark, rows))))
     assert [(r.categoria, r.elemento) for r in m.collect()] == [("punti_debolezza", "lento")]
+
+
+def test_scalar_answers_ask_again(spark):
+    good = '{"punti_forza":["x"]}'
+    rows = [(b, 1, first) for b, first in enumerate(["123", "null", "true", "1.5", '"text"', "[1]", "{}"])] + [(b, 2, good) for b in range(7)]
+    a = {r.block_id: r.attempt for r in IN.first_valid(IN.parse_responses(_responses(spark, rows))).collect()}
+    assert a == {0: 2, 1: 2, 2: 2, 3: 2, 4: 1, 5: 1, 6: 1}
+
+
+def test_merge_within_each_company(spark):
+    rows = [("a", 0, 1, '{"punti_forza":["x","y"]}'), ("b", 0, 1, '{"punti_forza":["y"]}'), ("b", 1, 1, '{"punti_forza":["x","y"],"sentiment_counts":{"positivo":2}}')]
+    resp = spark.createDataFrame(rows, "company string, block_id bigint, attempt int, content string")
+    answers = IN.first_valid(IN.parse_responses(resp))
+    got = sorted((r.company, r.pos, r.elemento) for r in IN.merge_insights(answers).collect())
+    assert got == [("a", 0, "x"), ("a", 1, "y"), ("b", 0, "y"), ("b", 1, "x")]
+    assert {r.company: r.positivo for r in IN.sentiment_distribution(answers).collect()} == {"a": 0, "b": 2}

@@ -60,7 +60,7 @@ def test_examples_first_two_identities(spark):
 
 
 def test_word_index_plan_equals_broadcast_plan(spark):
-    reviews = Q.reviews_df(spark, SF_SMALL)
+    reviews = Q.reviews_df(spark, SF_SMALL).drop("company")
     words = [r[0] for r in reviews.select(F.explode("parole")).distinct().orderBy(F.col("col")).limit(400).collect()]
     rnd = random.Random(11)
     rows = []
@@ -78,14 +78,14 @@ def test_word_index_plan_equals_broadcast_plan(spark):
              ("punti_debolezza", 100, f"{common[1]} {common[1]} zzzzqq"),
              ("punti_debolezza", 101, "zzzzqq {0}".format(common[2]))]
     th = _themes(spark, rows)
-    a = TH.theme_frequency(reviews, th, replace(Q.CFG, theme_broadcast_rows=10 ** 6))
-    b = TH.theme_frequency(reviews, th, replace(Q.CFG, theme_broadcast_rows=0))
+    a = TH.theme_frequency(reviews, th, replace(Q.CFG, theme_plan="broadcast"))
+    b = TH.theme_frequency(reviews, th, replace(Q.CFG, theme_plan="index"))
     key = lambda x: (x.tipo, x.theme_pos, x["count"])
     got = sorted(map(key, a.collect()))
     assert got == sorted(map(key, b.collect()))
     assert {(t, p) for t, p, _ in got} >= {("punti_forza", 100), ("punti_forza", 101), ("punti_debolezza", 100)}
-    ea = TH.theme_examples(reviews, th, replace(Q.CFG, theme_broadcast_rows=10 ** 6))
-    eb = TH.theme_examples(reviews, th, replace(Q.CFG, theme_broadcast_rows=0))
+    ea = TH.theme_examples(reviews, th, replace(Q.CFG, theme_plan="broadcast"))
+    eb = TH.theme_examples(reviews, th, replace(Q.CFG, theme_plan="index"))
     ekey = lambda x: (x.tipo, x.theme_pos, x.example, x.seq)
     assert sorted(map(ekey, ea.collect())) == sorted(map(ekey, eb.collect()))
 
