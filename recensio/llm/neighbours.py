@@ -123,9 +123,15 @@ def fit_voters(docs: DataFrame, labels: DataFrame, label: str = "quality", keep=
     got = rows.join(F.broadcast(some), "doc_id").select("text", "y").mapInArrow(run, "y int, counts binary").collect()
     got = sorted((bytes(r.counts), r.y) for r in got)
     y = np.array([v for _, v in got], np.float64)
+    counts = [c for c, _ in got]
+    del got
     if not len(y):
         return Voters(idf, np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), y, 0.5, nearest)
-    x = _weigh(np.frombuffer(b"".join(c for c, _ in got), "<u2").reshape(-1, TERMS).astype(np.float32), idf)
+    # the one large array of the fit, filled and weighed in place
+    x = np.empty((len(y), TERMS), np.float32)
+    for i in range(len(y)):
+        x[i] = _weigh(np.frombuffer(counts[i], "<u2").astype(np.float32)[None, :], idf)[0]
+        counts[i] = b""
     rank = min(rank, len(x))
     # Randomised subspace iteration: the leading right singular vectors.
     q = np.random.default_rng(11).standard_normal((TERMS, rank + 16)).astype(np.float32)
