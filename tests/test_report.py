@@ -92,6 +92,20 @@ def test_analyze_two_companies_from_pages(spark, tmp_path):
         assert {x["company"] for x in lines} == {c} and {x["sezione"] for x in lines} == {"metadati", "sentiment", "tematica", "insight", "tema"}
 
 
+def test_analyze_too_few_reviews_for_topics(spark):
+    rows = [("c", s, 1, s, f"id{s}", "testo originale", "consegna veloce", ["consegna", "veloce"], 5, None, "l") for s in range(3)]
+    reviews = spark.createDataFrame(rows, "company string, seq bigint, pagina int, pos int, review_id string, testo string, testo_pulito string, "
+                                          "parole array<string>, rating int, data string, link string")
+    answers = spark.createDataFrame([("c", 0, 1, '{"punti_forza":["consegna veloce"],"punti_debolezza":["prezzo alto"]}')],
+                                    "company string, block_id bigint, attempt int, content string")
+    out = RP.analyze(reviews, answers)
+    assert [r.cluster for r in out["recensioni"].collect()] == ["", "", ""]
+    assert out["tematiche"].count() == 0 and out["headline"].first().n_cluster == 0
+    assert [(r.punto, r["count"]) for r in out["punti_forza"].collect()] == [("consegna veloce", 3)]
+    assert sorted((r.tipo, r.source) for r in out["temi"].collect()) == [("punti_debolezza", "elenco"), ("punti_forza", "frequenza")]
+    assert out["canali"].count() == 5 and out["json"].count() > 3
+
+
 def test_example_card_stars_and_cut(spark):
     ex = spark.createDataFrame(
         [("punti_forza", 0, "p", 1, None, "a" * 201, None, "l"), ("punti_debolezza", 0, "p", 1, 2, "b" * 200, None, "l")],
