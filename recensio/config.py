@@ -104,11 +104,11 @@ class Config:
     # it scans every review text once per keyword).  Measured at sf0.1: 3,057
     # themes take 52 s broadcast and 9 s through the index.
     theme_plan: str = "index"
-    # Partitions of the k-means vectors.  They are dealt by review key and
-    # sorted, so labels follow from the data and this number alone.  Every
-    # iteration is a job over all partitions: raise it with the corpus, to
-    # about one per 64 MB of vectors.
-    kmeans_partitions: int = 4
+    # Rows per partition of the k-means vectors (at most some 60 MB).  The
+    # vectors are dealt by review key and sorted, so labels follow from the
+    # data and the parameters alone.  Every iteration is a job over all
+    # partitions: many small ones cost scheduling, not work.
+    kmeans_rows: int = 50_000
 
     @staticmethod
     def italian() -> "Config":

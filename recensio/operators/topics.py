@@ -1,8 +1,8 @@
 """Topics: k-means over TF-IDF vectors and per-topic aggregates.
 
 ``assign_topics`` labels every review of one analysis (MLlib KMeans, best of
-``n_init`` seeded starts).  The vectors are dealt by review key into a fixed
-number of partitions and sorted there, so the labels follow from the data, not
+``n_init`` seeded starts).  The vectors are dealt by review key into so many
+partitions as their number asks for and sorted there, so the labels follow from the data, not
 from how the input was laid out or how many cores there are.  The per-topic
 operators take *any* review table with a ``cluster`` column; sizes, shares,
 ranks and examples are per company:
@@ -90,7 +90,7 @@ def assign_topics(reviews: DataFrame, k: int | None = None, cfg: Config = Config
             return reviews.withColumn("cluster", F.lit(None).cast("int")), empty_c, vocab, 0
         k = int(min(8, max(3, n // 10))) if k is None else int(k)
         feats = FT.with_vectors(words, rows).select(*key, "features")
-        feats = feats.repartition(cfg.kmeans_partitions, *key).sortWithinPartitions(*key).persist(StorageLevel.MEMORY_AND_DISK)
+        feats = feats.repartition(-(-n // cfg.kmeans_rows), *key).sortWithinPartitions(*key).persist(StorageLevel.MEMORY_AND_DISK)
         model = _fit_best(feats, k, cfg)
     finally:
         words.unpersist()

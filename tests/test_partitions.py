@@ -116,7 +116,7 @@ def test_topic_labels_do_not_depend_on_layout(spark):
     vocab = [f"parola{chr(97 + i)}" for i in range(12)]
     rows = [(s, [rnd.choice(vocab) for _ in range(6)]) for s in range(80)]
     df = spark.createDataFrame(rows, "seq bigint, parole array<string>")
-    cfg = Config(n_init=2, kmeans_max_iter=30)
+    cfg = Config(n_init=2, kmeans_max_iter=30, kmeans_rows=25)
     labels = []
     for layout in (df.coalesce(1), df.repartition(4), df.repartition(16, "seq").sortWithinPartitions(F.desc("seq"))):
         labels.append({x.seq: x.cluster for x in TP.assign_topics(layout, 4, cfg)[0].collect()})
