@@ -20,7 +20,7 @@ from tokenizers import Tokenizer
 #: Split pattern of the byte-level pre-tokenizer (fixed values).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-_EXACT = re.compile("[^\u0000-ɏ]|\\S{1000}|\\s{200}")
+_EXACT = re.compile("[^\\u0000-\\u024f]|\\S{1000}|\\s{200}")
 
 
 def default_path(name: str = "byte_bpe_50k.json") -> str:

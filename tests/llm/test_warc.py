@@ -7,7 +7,6 @@ import gzip
 import hashlib
 
 from oracle import compare, duck
-from pyspark.sql import functions as F
 from recensio.llm import warc as W
 
 
