@@ -216,12 +216,15 @@ def _compare(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.R
 def repeated_spans(docs: DataFrame, packed: DataFrame, threshold: int = THRESHOLD, block: int = BLOCK, crowd: int = CROWD) -> DataFrame:
     """(doc_id, h, start, stop): byte ranges made of repeated windows; they
     may overlap, and together they cover every byte that is to go."""
-    ctx = _occurrences(docs, threshold, block).groupBy("block", "ctx").agg(
-        F.count("*").alias("m"), F.min(F.struct("doc_id", "h", "start", "n")).alias("at"))
-    # per block: how many contexts, and whether anything under it can repeat
-    seen = _occurrences(docs, threshold, block)
-    per_block = ctx.groupBy("block").agg(F.count("*").alias("k"), F.sum("m").alias("total")).where("total > 1")
-    live = cut(ctx.join(per_block, "block").select("block", "ctx", "m", "k", "at"))
+    # pass 1: a block met once cannot be part of a repeated window
+    every = _occurrences(docs, threshold, block)
+    twice = every.groupBy("block").agg(F.count("*").alias("n")).where("n > 1").select("block")
+    seen = cut(every.join(twice, "block", "left_semi"))
+    # pass 2, on what is left: how often each context occurs (m), and how many
+    # contexts share its block (k)
+    ctx = seen.groupBy("block", "ctx").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "h", "start", "n")).alias("at"))
+    shared = ctx.groupBy("block").agg(F.count("*").alias("k"))
+    live = cut(ctx.join(shared, "block").where("m > 1 or k > 1").select("block", "ctx", "m", "k", "at"))
     full = seen.join(live.where("m > 1").select("block", "ctx"), ["block", "ctx"]).select(
         "doc_id", "h", "start", (F.col("start") + F.col("n") + (threshold - 1)).alias("stop"))
     # one occurrence of each context that shares its block with another context
