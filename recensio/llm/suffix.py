@@ -218,12 +218,13 @@ def repeated_spans(docs: DataFrame, packed: DataFrame, threshold: int = THRESHOL
     may overlap, and together they cover every byte that is to go."""
     # pass 1: a block met once cannot be part of a repeated window
     every = _occurrences(docs, threshold, block)
-    twice = every.groupBy("block").agg(F.count("*").alias("n")).where("n > 1").select("block")
+    # (written, so that the join deals both sides and AQE can split a hot block)
+    twice = cut(every.groupBy("block").agg(F.count("*").alias("n")).where("n > 1").select("block"))
     seen = cut(every.join(twice, "block", "left_semi"))
     # pass 2, on what is left: how often each context occurs (m), and how many
     # contexts share its block (k)
     ctx = seen.groupBy("block", "ctx").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "h", "start", "n")).alias("at"))
-    shared = ctx.groupBy("block").agg(F.count("*").alias("k"))
+    shared = cut(ctx.groupBy("block").agg(F.count("*").alias("k")))
     live = cut(ctx.join(shared, "block").where("m > 1 or k > 1").select("block", "ctx", "m", "k", "at"))
     full = seen.join(live.where("m > 1").select("block", "ctx"), ["block", "ctx"]).select(
         "doc_id", "h", "start", (F.col("start") + F.col("n") + (threshold - 1)).alias("stop"))
