@@ -1,9 +1,10 @@
 """BPE encoding by backtracking over longest token matches, and decoding by an
 offset table.
 
-Encoder.  The tokens of a word's byte letters are found by one Aho-Corasick
-pass, which gives the longest token starting at each position.  From the left,
-the longest token is taken if it is *compatible* with the one before it, else
+Encoder.  An Aho-Corasick machine over all tokens finds the longest ones of a
+word's byte letters from left to right in one pass.  Mostly that is the answer
+already; otherwise the machine is asked for the longest token at a position
+when it is needed.  From the left, the longest token is taken if it is *compatible* with the one before it, else
 the next shorter token that is its prefix, else the token before is given up
 and shortened in turn.  Two tokens are compatible if BPE, merging by rank,
 would leave exactly this border between them; this is decided by undoing
@@ -13,8 +14,8 @@ compatible at every border is what BPE gives, and it is unique, so the result
 equals merging by rank; a position given up is never tried again, so the time
 is linear in the word's length.
 
-Words (runs between white space) are encoded once per worker and kept in a
-bounded table; a text is then a join of table entries.
+Words (runs between white space) are kept in a bounded table of two
+generations, so the frequent ones stay; a text is then a join of table entries.
 
 Decoder.  All token strings lie in one byte array with an offset table; the
 bytes of a whole id sequence are gathered from it at once.
@@ -25,6 +26,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,10 +41,11 @@ from .tokens import byte_alphabet, default_path
 
 #: Stands for a word's end while matching; no byte letter.
 END = "\0"
-#: Words kept per worker; beyond it the table starts anew.
-WORDS = 300_000
+#: Words kept per worker and generation, and pairs in the compatibility table;
+#: a full generation becomes the old one, a full table starts anew.
+WORDS, PAIRS = 200_000, 500_000
 #: Code points that the tokenizer's \s matches (fixed values).
-SPACE = "\t\n\v\f\r \x85\xa0  -     　"
+SPACE = "\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 class Encoder:
@@ -70,6 +73,7 @@ class Encoder:
         self.machine.make_automaton()
         self.by_text = {text[i]: i for i in usable}
         self.text = text
+        self.widest = max(self.length.values(), default=0)
         self._shorter: dict[int, int] = {}
         self._fits: dict[tuple[int, int], bool] = {}
 
@@ -89,9 +93,22 @@ class Encoder:
         """Whether BPE leaves the border between two neighbouring tokens."""
         known = self._fits.get((left, right))
         if known is None:
+            if len(self._fits) >= PAIRS:
+                self._fits.clear()
             known = self._fits[left, right] = self._border(left, right)
         return known
 
+    def longest(self, s: str, at: int) -> int:
+        """The longest token of ``s`` at a position, or -1."""
+        tail = s[at: at + self.widest]
+        n, by_text = self.machine.longest_prefix(tail), self.by_text
+        while n:
+            found = by_text.get(tail[:n])
+            if found is not None:
+                return found
+            n -= 1
+        return -1
+
     def _border(self, left: int, right: int) -> bool:
         # Undo, step by step, the later of the two merges that touch the
         # border.  Before it was done, both neighbours stood side by side; a
@@ -116,21 +133,33 @@ class Encoder:
         """Ids of one word of byte letters (without the end mark)."""
         s = word + END
         n = len(s)
-        longest = [-1] * n
-        for end, token in self.machine.iter(s):
-            longest[end - self.length[token] + 1] = token  # ends rise: the last is the longest
+        length, fits = self.length, self.fits
+        # One pass: the longest tokens from the left, kept as far as they fit
+        # each other.  If they cover the word, they are what BPE gives.
+        out = [token for _, token in self.machine.iter_long(s)]
+        good = 1
+        while good < len(out) and fits(out[good - 1], out[good]):
+            good += 1
+        del out[good:]
+        at = sum(map(length.__getitem__, out))
+        if at == n:
+            return out
+        longest = self.longest
         open_ = [True] * (n + 1)
         open_[n - 1] = False  # the end mark belongs to the last letter
-        out: list[int] = []
-        at, token = 0, longest[0]
-        length, fits = self.length, self.fits
+        if out and at == n - 1:
+            last = out.pop()
+            at -= length[last]
+            token = self.shorter(last)
+        else:
+            token = longest(s, at)
         while at < n:
             while token >= 0:
                 stop = at + length[token]
                 if open_[stop] and (not out or fits(out[-1], token)):
                     out.append(token)
                     at = stop
-                    token = longest[at] if at < n else -1
+                    token = longest(s, at) if at < n else -1
                     break
                 token = self.shorter(token)
             else:
@@ -172,17 +201,27 @@ class Tokenizer:
         outer = self
 
         class Words(dict):
+            old: dict[str, bytes] = {}
+
             def __missing__(self, word: str) -> bytes:
-                ids = [i for piece in outer._pieces.findall(word) for i in outer.encoder("".join(outer._letter[b] for b in piece.encode()))]
-                if len(self) >= WORDS:
-                    self.clear()
+                out = self.old.get(word)
+                if out is None:
+                    out = array("i", outer._word(word)).tobytes()
                 if len(word) <= 64:
-                    self[word] = np.array(ids, "<i4").tobytes()
-                    return self[word]
-                return np.array(ids, "<i4").tobytes()
+                    if len(self) >= WORDS:
+                        self.old = dict(self)
+                        self.clear()
+                    self[word] = out
+                return out
 
         self._words = Words()
 
+    def _word(self, word: str) -> list[int]:
+        if word.isascii() and word.isalpha():  # one piece, each letter standing for itself
+            return self.encoder(word)
+        letter = self._letter
+        return [i for piece in self._pieces.findall(word) for i in self.encoder("".join(letter[b] for b in piece.encode()))]
+
     def encode(self, text: str) -> np.ndarray:
         out = []
         for k, part in enumerate(self._special.split(text)):
@@ -191,7 +230,7 @@ class Tokenizer:
                 continue
             if not part.isascii():
                 # lower case letter by letter: no final sigma
-                part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
+                part = unicodedata.normalize("NFC", part).replace("\u03a3", "\u03c3")
             part = part.lower()
             words = part.split() if not self._odd.search(part) else [w for w in self._space.split(part) if w]
             out.extend(map(self._words.__getitem__, words))
