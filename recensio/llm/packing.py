@@ -1,39 +1,37 @@
-"""Best-fit packing of token pieces into fixed-length sequences, in bulk
-synchronous rounds.
-
-Each round range-sorts the unplaced pieces and the open gaps by size, pieces
-before gaps of the same size, and sweeps them upwards: every gap takes the
-largest piece below it that no smaller gap has taken.  That is the matching of
-brackets (a piece opens, a gap closes), so a prefix sum gives each row the
-level it opens or closes, and on one level pieces and gaps that follow each
-other match.  Pieces that want the same gap are told apart by their rank, the
-level.  Placed pieces shrink their gap for the next round.  When no gap takes
-a piece, as many new sequences are opened as the rest needs at least.
-
-The prefix sum is a running sum per range partition plus the totals of the
-partitions before it (one number per partition).  A level holds at most one
-run of pieces and one of gaps per size, so at most 2 x capacity rows meet.
-All tables are narrow (id, size), and each round ends in a reliable
-checkpoint.
+"""Best-fit-decreasing packing of token pieces into fixed-length sequences, in
+bulk rounds.
+
+There is one round per size, from the largest down.  It sweeps the open gaps
+upwards: each gap takes as long a run of the round's equal pieces as it holds,
+and new sequences are opened for what is left.  This is best fit decreasing,
+piece by piece: what a piece leaves of the smallest gap is the smallest gap
+again, until no further piece of the size goes in.
+
+Gaps of one size whose sequences were numbered in a row are one row (size,
+first sequence, number of sequences).  A round splits at most one of them in
+three and opens at most two, so the rounds need no more than the number of
+pieces of each size, and their state is bounded by the capacity, not by the
+pieces.  A piece finds its place by its rank among the pieces of its size: a
+running count per range partition plus the totals of the partitions before it
+(one number per partition and size).
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import cut, keyed_text, prepare, small_batches, table
 from .tokens import default_path, token_ids
 
 CAPACITY, END_ID = 1024, 2
-#: More pieces than this per sequence are first bundled, to bound the rounds.
-CROWD = 16
 
 
 def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -63,94 +61,80 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID
     return keyed_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def _swept(pieces: DataFrame, gaps: DataFrame) -> DataFrame:
-    """One sweep: (size, kind, id, other, other_size), kind 0 a piece and 1 a
-    gap; other is the match, or null."""
-    spark = pieces.sparkSession
-    rows = pieces.select(F.col("size").cast("int").alias("size"), F.lit(0).cast("byte").alias("kind"), "id").unionByName(
-        gaps.select(F.col("size").cast("int").alias("size"), F.lit(1).cast("byte").alias("kind"), "id"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, depth = TaskContext.get().partitionId(), 0
-        for b in batches:
-            gap = b.column(1).to_numpy().astype(np.int64)
-            sums = depth + np.cumsum(1 - 2 * gap)
-            depth = int(sums[-1]) if len(sums) else depth
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(gap), part, np.int32)), pa.array(sums + gap)], ["size", "kind", "id", "part", "level"])
-
-    ordered = cut(rows.repartitionByRange("size", "kind", "id").sortWithinPartitions("size", "kind", "id").mapInArrow(run, "size int, kind byte, id long, part int, level long"))
-    totals = sorted(tuple(r) for r in ordered.groupBy("part").agg(F.sum(1 - 2 * F.col("kind"))).collect())
-    before, run_sum = [], 0
-    for part, total in totals:
-        before.append((part, run_sum))
-        run_sum += total
-    offsets = spark.createDataFrame(before, "part int, before long")  # a row per partition
-    leveled = ordered.join(F.broadcast(offsets), "part").withColumn("level", F.col("level") + F.col("before"))
-    w = Window.partitionBy("level").orderBy("size", "kind", "id")
-    piece = F.col("kind") == 0
-    after, ahead = F.lead("kind").over(w) == 1, F.lag("kind").over(w) == 0
-    pick = lambda c: F.when(piece & after, F.lead(c).over(w)).when(~piece & ahead, F.lag(c).over(w))
-    return leveled.select("size", "kind", "id", pick("id").alias("other"), pick("size").alias("other_size"))
-
-
-def _bundles(items: DataFrame, limit: int) -> DataFrame:
-    """(id, size, bundle, place): pieces up to ``limit``/2 long joined, in
-    order of size, to bundles of at most ``limit``; others alone."""
-    def run(batches):
-        name, used = 0, None
-        for b in batches:
-            bundle, place = [], []
-            for i, size in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if used is None or size * 2 > limit or used + size > limit:
-                    name, used = i, 0
-                bundle.append(name)
-                place.append(used)
-                used += size
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bundle, pa.int64()), pa.array(place, pa.int64())], ["id", "size", "bundle", "place"])
-
-    return items.select("id", F.col("size").cast("long").alias("size")).repartitionByRange("size", "id").sortWithinPartitions("size", "id").mapInArrow(run, "id long, size long, bundle long, place long")
+def rounds(counts: dict[int, int], capacity: int) -> dict[int, list[tuple[int, int, int, int]]]:
+    """Best fit decreasing of ``counts[size]`` pieces of each size.  Per size
+    rows (rank, first, each, place), by rank: from this rank on, each sequence
+    from ``first`` on takes ``each`` pieces, at ``place`` and after."""
+    gaps: dict[int, list[tuple[int, int]]] = {}  # free space -> (first sequence, number of sequences)
+    opened, out = 0, {}
+    for size in sorted(counts, reverse=True):
+        rank, left, rows = 0, counts[size], []
+
+        def take(free: int, first: int, n: int) -> None:
+            nonlocal rank, left
+            each = free // size
+            full = min(n, left // each)
+            for m, k in ((full, each), (int(full < n), left - full * each)):  # the second: one gap for the last few
+                if m and k:
+                    rows.append((rank, first, k, capacity - free))
+                    if free > k * size:
+                        gaps.setdefault(free - k * size, []).append((first, m))
+                    rank, left, first, n = rank + m * k, left - m * k, first + m, n - m
+            if n:
+                gaps.setdefault(free, []).append((first, n))
+
+        for free in sorted(g for g in gaps if g >= size):
+            if not left:
+                break
+            for first, n in gaps.pop(free):
+                take(free, first, n)
+        if left:
+            n = -(-left // (capacity // size))
+            opened += n
+            take(capacity, opened - n, n)
+        out[size] = rows
+    return out
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """items(id long, unique; size long, 1 to capacity) -> (id, sequence_id,
-    place): each item's sequence and its offset there, without gaps from 0.
-
-    An item over half the capacity, or filling it, opens its own sequence,
-    named by its id; sequences opened for the rest have negative names.
-    """
-    spark = items.sparkSession
-    opens = F.col("size") * 2 > capacity
-    stats = items.agg(F.count("*"), F.sum("size")).first()
-    if not stats[0]:
-        return items.select("id", F.col("id").alias("sequence_id"), F.lit(0).cast("long").alias("place"))
-    members = None
-    if stats[0] > CROWD * -(-stats[1] // capacity):
-        members = cut(_bundles(items, capacity // 8))
-        items = members.groupBy(F.col("bundle").alias("id")).agg(F.sum("size").alias("size"))
-    done = [items.where(opens).select("id", F.col("id").alias("sequence_id"), F.lit(0).cast("long").alias("place"))]
-    left = items.where(~opens).select("id", "size")
-    gaps = items.where(opens & (F.col("size") < capacity)).select("id", (capacity - F.col("size")).alias("size"))
-    rest = left.agg(F.count("*"), F.sum("size"), F.min("size")).first()
-    names = 0
-    while rest[0]:
-        gaps = gaps.where(F.col("size") >= rest[2])
-        swept = cut(_swept(left, gaps))
-        placed = (F.col("kind") == 0) & F.col("other").isNotNull()
-        done.append(swept.where(placed).select("id", F.col("other").alias("sequence_id"), (capacity - F.col("other_size")).cast("long").alias("place")))
-        left = swept.where((F.col("kind") == 0) & F.col("other").isNull()).select("id", F.col("size").cast("long").alias("size"))
-        gaps = swept.where("kind = 1").select("id", (F.col("size") - F.coalesce("other_size", F.lit(0))).cast("long").alias("size")).where("size > 0")
-        mine = (F.col("kind") == 0) & F.col("other").isNull()
-        rest = swept.agg(F.count(F.when(mine, 1)), F.sum(F.when(mine, F.col("size"))), F.min(F.when(mine, F.col("size"))), F.count(F.when(placed, 1)),
-                         F.max(F.when(F.col("kind") == 1, F.col("size") - F.coalesce("other_size", F.lit(0))))).first()
-        if rest[0] and (rest[4] or 0) < rest[2]:  # no open gap takes the smallest piece left
-            n = -(-rest[1] // capacity)
-            gaps = spark.range(n).select((-F.col("id") - 1 - names).alias("id"), F.lit(capacity).cast("long").alias("size"))
-            names += n
-    out = reduce(DataFrame.unionByName, done)
-    if members is not None:
-        at = out.withColumnsRenamed({"id": "bundle", "place": "base"})
-        out = members.join(at, "bundle").select("id", "sequence_id", (F.col("base") + F.col("place")).alias("place"))
-    return out
+    place): each item's sequence, numbered from 0, and its offset there,
+    without gaps from 0.  As many sequences as best fit decreasing makes."""
+    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, seen = TaskContext.get().partitionId(), None, 0
+        for b in batches:
+            size = b.column(1).to_numpy()
+            if not len(size):
+                continue
+            first = np.concatenate(([0], np.flatnonzero(np.diff(size)) + 1))
+            at = np.arange(len(size)) - np.repeat(first, np.diff(np.append(first, len(size))))
+            if size[0] == last:
+                at[: first[1] if len(first) > 1 else len(size)] += seen
+            last, seen = size[-1], int(at[-1]) + 1
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(size), part, np.int32)), pa.array(at)], ["id", "size", "part", "rank"])
+
+    ordered = cut(items.select("id", F.col("size").cast("long").alias("size")).repartitionByRange("size", "id").sortWithinPartitions("size", "id")
+                  .mapInArrow(ranked, "id long, size long, part int, rank long"))
+    before, counts = {}, Counter()  # a row per partition and size, and sizes lie in a row
+    for part, size, n in sorted(tuple(r) for r in ordered.groupBy("part", "size").agg(F.count("*")).collect()):
+        before[part, size] = counts[size]
+        counts[size] += n
+    sent = items.sparkSession.sparkContext.broadcast((before, rounds(counts, capacity)))
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, plan = sent.value
+        for b in batches:
+            sequence, place = [], []
+            for size, part, rank in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
+                rank += before[part, size]
+                rows = plan[size]
+                start, first, each, at = rows[bisect_right(rows, rank, key=lambda r: r[0]) - 1]
+                n, k = divmod(rank - start, each)
+                sequence.append(first + n)
+                place.append(at + k * size)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sequence, pa.int64()), pa.array(place, pa.int64())], ["id", "sequence_id", "place"])
+
+    return ordered.mapInArrow(placed, "id long, sequence_id long, place long")
 
 
 def packed_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str | None = None) -> DataFrame:

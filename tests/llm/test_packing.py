@@ -52,6 +52,29 @@ def test_pack(spark, kind):
     assert n <= max(best_fit_decreasing(sizes, 100) * 1.03, -(-sum(sizes) // 100) * 1.06) + 1
 
 
+@pytest.mark.parametrize("sizes", [[900] * 60 + [6] * 1200, [1] * 5000 + [700] * 40, [random.Random(i).choice([2, 5, 9, 30, 333, 600]) for i in range(4000)]])
+def test_pack_short_pieces(spark, sizes):
+    # far more than 16 pieces a sequence: short ones still fill every gap singly
+    items = spark.createDataFrame(list(enumerate(sizes)), "id long, size long").repartition(7)
+    got = packing.pack(items).collect()
+    assert sorted(r.id for r in got) == list(range(len(sizes)))
+    assert check_layout([(r.sequence_id, r.place, sizes[r.id]) for r in got], 1024) == best_fit_decreasing(sizes, 1024)
+
+
+def test_rounds_as_best_fit_decreasing():
+    rng = random.Random(8)
+    for _ in range(200):
+        capacity = rng.randint(1, 60)
+        sizes = [rng.randint(1, rng.randint(1, capacity)) for _ in range(rng.randint(1, 200))]
+        plan = packing.rounds({s: sizes.count(s) for s in set(sizes)}, capacity)
+        rows = []
+        for s in set(sizes):
+            for rank in range(sizes.count(s)):
+                start, first, each, at = [r for r in plan[s] if r[0] <= rank][-1]
+                rows.append((first + (rank - start) // each, at + (rank - start) % each * s, s))
+        assert check_layout(rows, capacity) == best_fit_decreasing(sizes, capacity)
+
+
 def test_pack_nothing(spark):
     assert packing.pack(spark.createDataFrame([], "id long, size long")).count() == 0
 
