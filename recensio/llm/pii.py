@@ -13,8 +13,11 @@ are replaced by made-up values of the same type and form.
   same gender.  Card numbers keep their check digit rule.
 * *Collision check.*  A surrogate must not be a value that really occurs.  All
   distinct values of the corpus are joined with all surrogates; those that
-  collide draw again under the next key until they are free and distinct.  If
-  a form has no free values left, the first draw stands, which is distinct.
+  collide draw again under the next key until they are free and distinct.  In
+  forms that the corpus fills densely, where draws rarely hit a free value,
+  the free values are listed and numbered after ``TRIES`` draws, and the open
+  values take them by number.  So the first draw, which is distinct, stands
+  only where that list is used up.
   The few values that drew again reach their documents by a join that is
   broadcast only if Spark finds its table small.
 
@@ -27,15 +30,22 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count
+from math import prod
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from recensio.operators.ordering import running_offset
+
 from .common import cut, prepare, small_batches, table
 from .warc import shared_folder
 
 KEY = "example key"
-TRIES = 8
+#: Draws before dense forms are numbered: those of at most ``DENSE`` values per value that occurs.
+TRIES, DENSE = 8, 8
+#: Values of a form listed by one row.
+LISTED = 1 << 16
 
 # ---- fixed values: titles, given names, alphabets --------------------------
 TITLES = {"m": ["Mr", "Herr", "Herrn", "Señor", "Sr", "Monsieur", "господин", "κύριος"],
@@ -211,6 +221,56 @@ def surrogate(kind: str, value: str, key: str, draw: int = 0) -> str:
     return _permuted(keep, _FREE, seed(form), fixed)
 
 
+def space(kind: str, value: str) -> tuple[str, int, int]:
+    """(form, strings, values): the values that ``surrogate`` permutes along
+    with this one are those ``member(kind, form, i)``, i < strings, that are
+    not None; ``values`` is about their number."""
+    part, _, rest = kind.partition("-")
+    if part == "ip":
+        first = int(value.split(".")[0])
+        low, size = (1, 223) if 1 <= first <= 223 else (224, 32) if first else (0, 1)
+        return f"i{low}", size << 24, size << 24
+    if part == "given" and value in (pool := GIVEN.get(tuple(rest.split("-")), [])):
+        return "p", len(pool), len(pool)
+    tag = "-"
+    if part == "card" and value.isdecimal() and value.isascii():
+        tag = "v" if _luhn(value) else "x"
+    elif part in ("token", "password") and value and all(c in HEX for c in value):
+        tag = "h"
+    alphabet, moves = _moves(part, tag, value)
+    size = prod(len(alphabet[value[i]]) for i in moves)
+    out = list(value)
+    for i in moves:
+        out[i] = alphabet[value[i]][0]
+    return tag + "".join(out), size, {"v": size // 10, "x": size - size // 10}.get(tag, size)
+
+
+def _moves(part: str, tag: str, value: str) -> tuple[dict[str, str], list[int]]:
+    """The alphabets, and the places whose characters move within them."""
+    alphabet = {c: HEX for c in HEX} if tag == "h" else _NAME if part in ("given", "surname") else _FREE
+    fixed = {"access": 4, "iban": 2, "phone": 1 if len(value) > 10 else 0}.get(part, 0)
+    stop = max(0, value.rfind(".")) if part == "mail" else len(value)
+    return alphabet, [i for i in range(fixed, stop) if value[i] in alphabet]
+
+
+def member(kind: str, form: str, i: int) -> str | None:
+    """The i-th string of a form (see ``space``); None if it is no value."""
+    part, _, rest = kind.partition("-")
+    tag, value = form[0], form[1:]
+    if tag == "i":
+        return ".".join(map(str, [(i >> 24) + int(value), i >> 16 & 255, i >> 8 & 255, i & 255]))
+    pool = GIVEN.get(tuple(rest.split("-")), []) if part == "given" else []
+    if tag == "p":
+        return pool[i]
+    alphabet, moves = _moves(part, tag, value)
+    out = list(value)
+    for at in reversed(moves):
+        i, d = divmod(i, len(alphabet[out[at]]))
+        out[at] = alphabet[out[at]][d]
+    out = "".join(out)
+    return None if out in pool or tag in "vx" and _luhn(out) != (tag == "v") else out
+
+
 def fill(raw: str, kind: str, stands: str) -> str:
     """The surrogate in the written form of ``raw``: its case and layout."""
     if kind == "ip":
@@ -272,22 +332,75 @@ def _drawn(values: DataFrame, key: str, draw: int) -> DataFrame:
     return values.select("kind", "value").mapInArrow(run, "kind string, value string, stands string")
 
 
+def _spaced(values: DataFrame) -> DataFrame:
+    """(kind, value, form, strings, size) by ``space``."""
+    def run(batches):
+        for b in batches:
+            got = [space(k, v) for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            numbers = [pa.array([min(g[i], 1 << 62) for g in got], pa.int64()) for i in (1, 2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([g[0] for g in got], pa.string()), *numbers], ["kind", "value", "form", "strings", "size"])
+
+    return values.select("kind", "value").mapInArrow(run, "kind string, value string, form string, strings long, size long")
+
+
+def _listed(forms: DataFrame, key: str) -> DataFrame:
+    """(kind, form, stands, mark): all values of ``forms(kind, form, strings)``;
+    mark orders them by the key."""
+    rows = forms.select("kind", "form", "strings", F.explode(F.expr(f"sequence(0L, (strings - 1) div {LISTED})")).alias("part")).repartition("kind", "form", "part")
+
+    def run(batches):
+        seed = hashlib.blake2b(f"{key}\0order".encode(), digest_size=32).digest()
+        for b in batches:
+            for row in b.to_pylist():
+                kind, form, first = row["kind"], row["form"], row["part"] * LISTED
+                got = [v for i in range(first, min(first + LISTED, row["strings"])) if (v := member(kind, form, i)) is not None]
+                marks = [int.from_bytes(hashlib.blake2b(v.encode(), key=seed, digest_size=8).digest(), "big", signed=True) for v in got]
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(got), pa.string()), pa.array([form] * len(got), pa.string()), pa.array(got, pa.string()), pa.array(marks, pa.int64())],
+                                                 ["kind", "form", "stands", "mark"])
+
+    return rows.mapInArrow(run, "kind string, form string, stands string, mark long")
+
+
 def drawn_again(values: DataFrame, key: str, tries: int = TRIES) -> DataFrame | None:
     """(kind, value, stands) of the distinct ``values(kind, value)`` whose
-    first surrogate really occurs; None if there are none."""
+    first surrogate really occurs and whose form has a free value for them;
+    None if no first surrogate occurs."""
     first = cut(_drawn(values, key, 0))
     real = values.select("kind", F.col("value").alias("stands"))
     open_ = cut(first.join(real, ["kind", "stands"], "left_semi").select("kind", "value"))
     used = first.select("kind", "stands")
     done = None
-    for draw in range(1, tries + 1):
-        if open_.isEmpty():
-            break
-        new = _drawn(open_, key, draw)
+
+    def settle(new: DataFrame) -> DataFrame:
+        """Of (kind, value, stands), those that are free, each for one value."""
+        nonlocal done, used
         free = new.join(real, ["kind", "stands"], "left_anti").join(used, ["kind", "stands"], "left_anti")
         won = cut(free.groupBy("kind", "stands").agg(F.min("value").alias("value")).select("kind", "value", "stands"))
         done = won if done is None else cut(done.unionByName(won))
         used = used.unionByName(won.select("kind", "stands"))
+        return won
+
+    for draw in count(1):
+        if open_.isEmpty():
+            break
+        if draw == tries + 1:
+            held = cut(_spaced(open_))
+            forms = _spaced(values).join(held.select("kind", "form").distinct(), ["kind", "form"], "left_semi").groupBy("kind", "form").agg(
+                F.count("*").alias("n"), F.max("strings").alias("strings"), F.max("size").alias("size"))
+            dense = cut(forms.where(F.col("size") <= F.col("n") * DENSE).select("kind", "form", "strings"))
+            open_ = cut(held.join(dense, ["kind", "form"], "left_anti").select("kind", "value"))
+            held = held.join(dense, ["kind", "form"], "left_semi").select("kind", "form", "value")
+            every = cut(_listed(dense, key))
+            while not held.isEmpty():
+                free = every.join(real, ["kind", "stands"], "left_anti").join(used, ["kind", "stands"], "left_anti")
+                free = running_offset(free, ["mark", "stands"], F.lit(1), ["kind", "form"], "number")
+                asked = running_offset(held, ["value"], F.lit(1), ["kind", "form"], "number")
+                won = settle(asked.join(free, ["kind", "form", "number"]).select("kind", "value", "stands"))
+                if won.isEmpty():  # no form of an open value has a free one
+                    break
+                held = cut(held.join(won, ["kind", "value"], "left_anti"))
+            continue
+        won = settle(_drawn(open_, key, draw))
         open_ = cut(open_.join(won, ["kind", "value"], "left_anti"))
     return done
 

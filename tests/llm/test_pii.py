@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import random
 import re
 
 import pytest
@@ -63,6 +64,37 @@ def test_collisions_draw_again(spark):
     assert not [k for k, s in final.items() if (k[0], s) in real]
 
 
+@pytest.mark.parametrize("kind,value", [("surname-latin", "li"), ("given-m-latin", "jan"), ("given-m-latin", "jon"), ("given-f-greek", "άννα"), ("token", "0a"), ("token", "z-9"), ("password", "!!"),
+                                        ("card", "0018"), ("card", "0019"), ("mail", "a@b.de"), ("access", "akia1z"), ("iban", "de1"), ("phone", "123"), ("ssn", "99")])
+def test_forms_are_listed_whole(kind, value):
+    form, strings, size = P.space(kind, value)
+    every = [v for v in (P.member(kind, form, i) for i in range(strings)) if v is not None]
+    assert len(set(every)) == len(every) and value in every and {P.surrogate(kind, v, "k") for v in every} == set(every)
+    assert {P.space(kind, v) for v in every} <= {(form, strings, size)} or kind in ("token", "password")  # "a-9" is no hex, "a09" is
+
+
+def test_addresses_are_listed():
+    for value, low, high in (("10.0.0.1", 1, 223), ("224.1.2.3", 224, 255), ("0.0.0.0", 0, 0)):
+        form, strings, _ = P.space("ip", value)
+        assert P.member("ip", form, 0) == f"{low}.0.0.0" and P.member("ip", form, strings - 1) == f"{high}.255.255.255"
+
+
+@pytest.mark.parametrize("n", [30, 45, 52, 80, 105])
+def test_dense_form_is_used_up(spark, n):
+    # two-letter surnames: 105 values, of which n occur; with the production draws
+    every = [c + v for c in P.CONSONANTS["latin"] for v in P.VOWELS["latin"]]
+    real = set(random.Random(n).sample(every, n))
+    df = spark.createDataFrame([("surname-latin", v) for v in sorted(real)] + [("card", "4111111111111111")], "kind string, value string")
+    first = {v: P.surrogate("surname-latin", v, "k") for v in real}
+    got = P.drawn_again(df, "k")
+    again = {r.value: r.stands for r in got.collect()} if got is not None else {}
+    final = {v: again.get(v) or s for v, s in first.items()}
+    assert len(set(final.values())) == n
+    colliding = sum(s in real for s in final.values())
+    free = len(every) - n  # values that do not occur
+    assert colliding == max(0, n - free), colliding
+
+
 def test_documents(spark, make_docs):
     rows = [(1, TEXT), (2, None), (3, ""), (None, "x a@b.de"), (4, "A@B.DE"), (4, "A@B.DE"), (5, "clean text 3. only 4.0."), (6, "y " * 60_000 + "a@b.de")]
     hit = P.surrogate("mail", "a@b.de", P.KEY)
