@@ -21,7 +21,8 @@ repeated window.  Digits are byte blocks, dealt by their hashes:
    themselves instead, so no task gathers it.
 
 Groups are compared by two independent 64-bit hashes, always of strings that
-agree on the passes before.  Counts are partial aggregates; the joins back to
+agree on the passes before.  Rows are told apart by a unique number that is
+written with them, whatever their ids and texts.  Counts are partial aggregates; the joins back to
 the occurrences are sort-merge joins whose crowded keys AQE splits.
 """
 
@@ -113,21 +114,34 @@ def runs(data: bytes, threshold: int, block: int) -> Iterator[tuple[np.ndarray,
         yield kh[p], ctx, a + base, b - a + 1, p - a
 
 
-def _row_key(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> DataFrame:
-    """(doc_id, h, data, rest): h tells rows apart that share an id; equal
-    rows share both, and then also what is removed."""
+def _numbered(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> DataFrame:
+    """(row, doc_id, z, rest), written: row is a unique number, z the text's
+    bytes compressed."""
     data = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     rest = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.struct(F.lit(None).cast("int").alias("none"))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(data).alias("h"), data.alias("data"), rest.alias("rest"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), data.alias("data"), rest.alias("rest"))
+    schema = T.StructType([f if f.name != "data" else T.StructField("z", T.BinaryType()) for f in rows.schema.fields])
+
+    def run(batches):
+        c = zstandard.ZstdCompressor(level=1)
+        for b in small_batches(batches):
+            z = pa.array([c.compress(x) for x in b.column(2).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), z, b.column(3)], [f.name for f in schema.fields])
 
+    return cut(rows.mapInArrow(run, schema))
 
-def _occurrences(docs: DataFrame, threshold: int, block: int) -> DataFrame:
+
+def _unpack(z: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(z)
+
+
+def _occurrences(rows: DataFrame, threshold: int, block: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
             cols: list[list] = [[], [], [], [], []]
             row = []
-            for i, data in enumerate(b.column(2).to_pylist()):
-                for part in runs(data, threshold, block):
+            for i, z in enumerate(b.column(1).to_pylist()):
+                for part in runs(_unpack(z), threshold, block):
                     row.append(np.full(len(part[0]), i))
                     for c, v in zip(cols, part):
                         c.append(v)
@@ -135,28 +149,11 @@ def _occurrences(docs: DataFrame, threshold: int, block: int) -> DataFrame:
                 row = pa.array(np.concatenate(row))
                 k, c, a, n, lead = (np.concatenate(x) for x in cols)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(row), b.column(1).take(row), pa.array(k.view(np.int64)), pa.array(c.view(np.int64)),
+                    [b.column(0).take(row), pa.array(k.view(np.int64)), pa.array(c.view(np.int64)),
                      pa.array(a.astype(np.int64)), pa.array(n.astype(np.int16)), pa.array(lead.astype(np.int16))],
-                    ["doc_id", "h", "block", "ctx", "start", "n", "lead"])
-
-    return docs.select("doc_id", "h", "data").mapInArrow(run, "doc_id long, h int, block long, ctx long, start long, n short, lead short")
+                    ["row", "block", "ctx", "start", "n", "lead"])
 
-
-def _packed(rows: DataFrame) -> DataFrame:
-    """The rows with their bytes compressed, for the shuffles."""
-    schema = T.StructType([f if f.name != "data" else T.StructField("z", T.BinaryType()) for f in rows.schema.fields])
-
-    def run(batches):
-        c = zstandard.ZstdCompressor(level=1)
-        for b in small_batches(batches):
-            z = pa.array([c.compress(x) for x in b.column(2).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), z, b.column(3)], [f.name for f in schema.fields])
-
-    return rows.mapInArrow(run, schema)
-
-
-def _unpack(z: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(z)
+    return rows.select("row", "z").mapInArrow(run, "row long, block long, ctx long, start long, n short, lead short")
 
 
 def _windows(data: list[bytes], threshold: int):
@@ -183,9 +180,9 @@ def _spans_of(who: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _compare(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by block (doc_id, h, block, start, data): the windows that
+    """Rows sorted by block (row, block, start, data): the windows that
     are equal to one of another context of the same block, as spans."""
-    names = ["doc_id", "h", "start", "stop"]
+    names = ["row", "start", "stop"]
 
     def solve(t: pa.Table) -> pa.RecordBatch:
         who, at, w0, w1 = _windows(t.column("data").to_pylist(), threshold)
@@ -198,7 +195,7 @@ def _compare(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.R
         row, a, b = _spans_of(who[hit], at[hit])
         base = t.column("start").to_numpy()[row]
         i = pa.array(row)
-        return pa.RecordBatch.from_arrays([t.column("doc_id").combine_chunks().take(i), t.column("h").combine_chunks().take(i), pa.array(base + a), pa.array(base + b + threshold)], names)
+        return pa.RecordBatch.from_arrays([t.column("row").combine_chunks().take(i), pa.array(base + a), pa.array(base + b + threshold)], names)
 
     left = None
     for b in small_batches(batches, 2048):
@@ -213,57 +210,56 @@ def _compare(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.R
         yield solve(left.combine_chunks())
 
 
-def repeated_spans(docs: DataFrame, packed: DataFrame, threshold: int = THRESHOLD, block: int = BLOCK, crowd: int = CROWD) -> DataFrame:
-    """(doc_id, h, start, stop): byte ranges made of repeated windows; they
-    may overlap, and together they cover every byte that is to go."""
+def repeated_spans(rows: DataFrame, threshold: int = THRESHOLD, block: int = BLOCK, crowd: int = CROWD) -> DataFrame:
+    """(row, start, stop) of ``rows(row, z)``, as ``_numbered`` writes them:
+    byte ranges made of repeated windows; they may overlap, and together they cover every byte that is to go."""
     # pass 1: a block met once cannot be part of a repeated window
-    every = _occurrences(docs, threshold, block)
+    every = _occurrences(rows, threshold, block)
     # (written, so that the join deals both sides and AQE can split a hot block)
     twice = cut(every.groupBy("block").agg(F.count("*").alias("n")).where("n > 1").select("block"))
     seen = cut(every.join(twice, "block", "left_semi"))
     # pass 2, on what is left: how often each context occurs (m), and how many
     # contexts share its block (k)
-    ctx = seen.groupBy("block", "ctx").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "h", "start", "n")).alias("at"))
+    ctx = seen.groupBy("block", "ctx").agg(F.count("*").alias("m"), F.min(F.struct("row", "start", "n")).alias("at"))
     shared = cut(ctx.groupBy("block").agg(F.count("*").alias("k")))
     live = cut(ctx.join(shared, "block").where("m > 1 or k > 1").select("block", "ctx", "m", "k", "at"))
     full = seen.join(live.where("m > 1").select("block", "ctx"), ["block", "ctx"]).select(
-        "doc_id", "h", "start", (F.col("start") + F.col("n") + (threshold - 1)).alias("stop"))
+        "row", "start", (F.col("start") + F.col("n") + (threshold - 1)).alias("stop"))
     # one occurrence of each context that shares its block with another context
-    need = live.where("k > 1").select("block", "k", "at.doc_id", "at.h", "at.start", "at.n").withColumnsRenamed({"doc_id": "d", "h": "g"})
-    z = packed.select("doc_id", "h", "z")
+    need = live.where("k > 1").select("block", "k", "at.row", "at.start", "at.n")
 
     def slices(batches):
         for b in small_batches(batches, 256):
-            got = [_unpack(z) for z in b.column(2).to_pylist()]
-            rows, block_, k_, start_, data_ = [], [], [], [], []
-            for i, (data, want) in enumerate(zip(got, b.column(3).to_pylist())):
+            got = [_unpack(z) for z in b.column(1).to_pylist()]
+            row, block_, k_, start_, data_ = [], [], [], [], []
+            for i, (data, want) in enumerate(zip(got, b.column(2).to_pylist())):
                 for w in want:
-                    rows.append(i)
+                    row.append(i)
                     block_.append(w["block"])
                     k_.append(w["k"])
                     start_.append(w["start"])
                     data_.append(data[w["start"]: w["start"] + w["n"] + threshold - 1])
-            i = pa.array(rows, pa.int64())
+            i = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(i), b.column(1).take(i), pa.array(block_, pa.int64()), pa.array(k_, pa.int64()), pa.array(start_, pa.int64()), pa.array(data_, pa.binary())],
-                ["doc_id", "h", "block", "k", "start", "data"])
+                [b.column(0).take(i), pa.array(block_, pa.int64()), pa.array(k_, pa.int64()), pa.array(start_, pa.int64()), pa.array(data_, pa.binary())],
+                ["row", "block", "k", "start", "data"])
 
-    asked = need.groupBy("d", "g").agg(F.collect_list(F.struct("block", "k", "start", "n")).alias("want"))
-    some = z.join(asked.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g"))).select("doc_id", "h", "z", "want")
-    parts = cut(some.mapInArrow(slices, "doc_id long, h int, block long, k long, start long, data binary"))
-    columns = "doc_id long, h int, start long, stop long"
-    near = parts.where(F.col("k") <= crowd).select("doc_id", "h", "block", "start", "data").repartition("block").sortWithinPartitions("block").mapInArrow(lambda it: _compare(it, threshold), columns)
+    asked = need.groupBy("row").agg(F.collect_list(F.struct("block", "k", "start", "n")).alias("want"))
+    some = rows.select("row", "z").join(asked.hint("merge"), "row").select("row", "z", "want")
+    parts = cut(some.mapInArrow(slices, "row long, block long, k long, start long, data binary"))
+    columns = "row long, start long, stop long"
+    near = parts.where(F.col("k") <= crowd).select("row", "block", "start", "data").repartition("block").sortWithinPartitions("block").mapInArrow(lambda it: _compare(it, threshold), columns)
 
     def explode(batches):
         for b in small_batches(batches, 1024):
-            who, at, w0, w1 = _windows(b.column(4).to_pylist(), threshold)
+            who, at, w0, w1 = _windows(b.column(3).to_pylist(), threshold)
             i = pa.array(who)
-            key = w0 ^ _mix(b.column(2).to_numpy().view(_U)[who])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(i), b.column(1).take(i), pa.array(b.column(3).to_numpy()[who] + at), pa.array(key.view(np.int64)), pa.array(w1.view(np.int64))], ["doc_id", "h", "start", "w0", "w1"])
+            key = w0 ^ _mix(b.column(1).to_numpy().view(_U)[who])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(i), pa.array(b.column(2).to_numpy()[who] + at), pa.array(key.view(np.int64)), pa.array(w1.view(np.int64))], ["row", "start", "w0", "w1"])
 
-    single = parts.where(F.col("k") > crowd).select("doc_id", "h", "block", "start", "data").mapInArrow(explode, "doc_id long, h int, start long, w0 long, w1 long")
+    single = parts.where(F.col("k") > crowd).select("row", "block", "start", "data").mapInArrow(explode, "row long, start long, w0 long, w1 long")
     twice = single.groupBy("w0", "w1").agg(F.count("*").alias("m")).where("m > 1").select("w0", "w1")
-    far = single.join(twice, ["w0", "w1"]).select("doc_id", "h", "start", (F.col("start") + threshold).alias("stop"))
+    far = single.join(twice, ["w0", "w1"]).select("row", "start", (F.col("start") + threshold).alias("stop"))
     return full.unionByName(near).unionByName(far)
 
 
@@ -275,15 +271,14 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, block: int = BLO
 
     Null and empty texts, and texts under ``threshold`` bytes, have nothing
     removed.  Repeated rows lose all their windows, each being repeated by the
-    other.  Rows that share an id but not the text are told apart; null ids
-    are kept.  An empty table gives an empty result.
+    other.  Every row is handled for itself, whatever rows share its id; null
+    ids are kept.  An empty table gives an empty result.
     """
     prepare(docs.sparkSession)
-    rows = _row_key(docs, id_col, text_col, list(carry))
-    packed = _packed(rows)
-    spans = repeated_spans(rows, packed, threshold, block, crowd)
-    mine = spans.groupBy(F.col("doc_id").alias("d"), F.col("h").alias("g")).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    joined = packed.join(mine.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left").select("doc_id", "z", "rest", "spans")
+    rows = _numbered(docs, id_col, text_col, list(carry))
+    spans = repeated_spans(rows, threshold, block, crowd)
+    mine = spans.groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    joined = rows.join(mine.hint("merge"), "row", "left").select("doc_id", "z", "rest", "spans")
     rest = joined.schema["rest"]
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("kept", T.StringType() if as_text else T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("spans", span), rest])

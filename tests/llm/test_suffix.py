@@ -7,6 +7,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from recensio.llm import suffix
 
@@ -50,6 +51,20 @@ def test_against_all_windows(make_docs, crowd):
     assert ours(make_docs(rows), crowd=crowd) == brute(rows, 200)
 
 
+def test_rows_that_share_an_id_are_apart(spark, make_docs):
+    # two texts of one 32-bit hash (Spark's murmur3) and no id: each has a
+    # repeated passage, at another place
+    rng = random.Random(12)
+    passage = words(rng, 90)
+    texts = [f"{words(rng, 60)} {passage} {i}" for i in range(8)]
+    near = spark.createDataFrame([(i,) for i in range(400_000)], "i int").selectExpr("i", "concat(repeat('q', 250), i) as t")
+    far = spark.createDataFrame([(i, texts[i % 8] + f" {i}") for i in range(80_000)], "i int, t string")
+    pair = near.join(far.withColumnsRenamed({"i": "j", "t": "u"}), F.expr("hash(cast(t as binary)) = hash(cast(u as binary))")).orderBy("i", "j").limit(1).collect()
+    assert pair
+    rows = [(None, pair[0].t), (None, pair[0].u), (1, passage), (None, pair[0].u), (None, pair[0].u)]
+    assert ours(make_docs(rows)) == brute(rows, 200)
+
+
 def test_long_text_in_chunks(make_docs, monkeypatch):
     rng = random.Random(1)
     base = words(rng, 30_000)
