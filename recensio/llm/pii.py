@@ -1,8 +1,9 @@
 """Personal data replaced by keyed surrogates.
 
 Detected values (mail addresses, phone and card numbers, IP addresses, bank and
-social security numbers, access keys, tokens, passwords, names after a title)
-are replaced by made-up values of the same type and form.
+social security numbers, access keys, tokens, passwords, names after a title
+and every further mention of their words in the same text) are replaced by
+made-up values of the same type and form.
 
 * *Keyed and consistent.*  The surrogate of a value is a keyed permutation of
   all values of its form (a Feistel network over the value's letters and
@@ -49,7 +50,8 @@ LISTED = 1 << 16
 
 # ---- fixed values: titles, given names, alphabets --------------------------
 TITLES = {"m": ["Mr", "Herr", "Herrn", "Señor", "Sr", "Monsieur", "господин", "κύριος"],
-          "f": ["Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "госпожа", "κυρία"]}
+          "f": ["Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "госпожа", "κυρία"],
+          "x": ["Dr", "Prof", "Professor"]}
 GIVEN = {
     ("m", "latin"): "adam alan carlos daniel david eric felix frank georg henri hugo jack james jan john jorge karl leon louis luis marco mark martin max oscar paul peter robert simon thomas victor walter".split(),
     ("f", "latin"): "alice amelie anna barbara carla carmen clara diana elena emma eva helen ines irene jane julia karin laura linda lucia maria marie martha mary nina olga petra rosa sara sofia susan vera".split(),
@@ -69,6 +71,7 @@ _NAME = {c: a for s in VOWELS for a in (VOWELS[s], CONSONANTS[s]) for c in a}
 
 _GAP = r"[^\w\n]{0,6}"
 _TITLE = "|".join(t for ts in TITLES.values() for t in ts)
+_SPACE = r"[ \t\u00a0]"
 PATTERN = re.compile(
     r"(?P<mail>(?<![\w.+-])[\w+-][\w.+-]*@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,})"
     r"|(?P<access>(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9]))"
@@ -80,9 +83,13 @@ PATTERN = re.compile(
     rf"|(?P<phone>\+\d{{1,3}}{_GAP}\d{{2,4}}(?:{_GAP}\d{{2,4}}){{2,4}}(?!\d)|(?<!\d)\(\d{{3}}\){_GAP}\d{{3}}-\d{{4}}(?!\d)|(?<![\d-])\d{{3}}-\d{{3}}-\d{{4}}(?![\d-]))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
     r"|(?P<card>(?<!\d)(?:\d{4}([ -]?)\d{4}\11\d{4}\11\d{4}|\d{13,19})(?!\d))"
-    rf"|(?:\b(?P<title>{_TITLE})\.? (?P<name>[^\W\d_]\w+(?: [^\W\d_]\w+)?))")
+    rf"|(?:\b(?P<title>(?:(?:{_TITLE})\.?{_SPACE}+)+)(?=[^\W\d_]))")
+#: A word of a name: apostrophes inside belong to it, a closing 's does not.
+_WORD = re.compile(r"(?<!\w)[^\W\d_]\w*(?:['’](?!s\b)[^\W\d_]\w*)*(?![\w.+-]*@)")
+_JOIN = re.compile(rf"-|{_SPACE}+")
+_INITIAL = re.compile(rf"\.?-|\.?{_SPACE}+|\.")
 #: A text without any of these holds nothing (also the JVM's first look).
-HINT = rf"[0-9@]|(?:{_TITLE})\.? |(?i:token|secret|api[_-]?key|passw|pwd)"
+HINT = rf"[0-9@]|(?:{_TITLE})\.?{_SPACE}|(?i:token|secret|api[_-]?key|passw|pwd)"
 _HINT = re.compile(HINT)
 
 
@@ -91,6 +98,58 @@ def script_of(word: str) -> str:
     return "cyrillic" if "Ѐ" <= c <= "ӿ" else "greek" if "Ͱ" <= c <= "Ͽ" or "ἀ" <= c <= "῿" else "latin"
 
 
+def _name(text: str, at: int, title: str) -> list[tuple[int, int, str, str]]:
+    """The words of the name that begins at ``at``, as in ``find``: capitalised
+    words and initials, joined by spaces or hyphens.  The last word, with what
+    hyphens join to it, is the surname."""
+    words = []  # (start, stop, whether a hyphen joins it to the word before)
+    hyphen = False
+    while (m := _WORD.match(text, at)) and m[0][0].isupper():
+        short = len(m[0]) == 1
+        go = (_INITIAL if short else _JOIN).match(text, m.end())
+        follows = go and (n := _WORD.match(text, go.end())) and n[0][0].isupper()
+        if short and words and not follows and text[m.end(): m.end() + 1] != ".":  # "Mr Smith I ..."
+            break
+        words.append((*m.span(), hyphen))
+        if not follows:
+            break
+        at, hyphen = go.end(), go[0].endswith("-")
+    if not words:
+        return []
+    last = max((i for i, (a, e, _) in enumerate(words) if e - a > 1), default=len(words) - 1)
+    head = last
+    while words[head][2]:
+        head -= 1
+    gender = next((g for g in "mf" if any(t.rstrip(".") in TITLES[g] for t in title.split())), None)
+    out = []
+    for i, (a, e, _) in enumerate(words):
+        word, script = text[a:e].lower(), script_of(text[a:e])
+        part = "surname" if head <= i <= last else f"given-{gender or next((g for g in 'fm' if word in GIVEN.get((g, script), [])), 'x')}"
+        out.append((a, e, f"{part}-{script}", word))
+    return out
+
+
+def _mentions(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """Further whole-word mentions of the words of detected names, outside
+    ``found``; a word that was found as two kinds is its first one."""
+    known: dict[str, str] = {}
+    for _, _, kind, value in found:
+        if kind.startswith(("given-", "surname-")) and len(value) > 1:
+            known.setdefault(value, kind)
+    if not known:
+        return []
+    out, k = [], 0
+    for m in _WORD.finditer(text):
+        kind = known.get(m[0].lower())
+        if kind is None or not m[0][0].isupper():
+            continue
+        while k < len(found) and found[k][1] <= m.start():
+            k += 1
+        if k == len(found) or found[k][0] >= m.end():
+            out.append((*m.span(), kind, m[0].lower()))
+    return out
+
+
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """(start, stop, kind, value) of each detected value, in order.  value is
     the normal form: lower case, and letters and digits only where punctuation
@@ -98,17 +157,14 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     out = []
     if not _HINT.search(text):
         return out
-    for m in PATTERN.finditer(text):
+    at = 0
+    while m := PATTERN.search(text, at):
+        at = m.end()
         kind = next(k for k, v in m.groupdict().items() if v is not None)
         if kind == "title":
-            gender = "m" if m["title"] in TITLES["m"] else "f"
-            words = [w for w in re.finditer(r"\w+", m["name"]) if w[0][0].isupper()]
-            if not words or words[0].start():
-                continue
-            for i, w in enumerate(words):
-                at = m.start("name") + w.start()
-                part = "surname" if i == len(words) - 1 else f"given-{gender}"
-                out.append((at, at + len(w[0]), f"{part}-{script_of(w[0])}", w[0].lower()))
+            name = _name(text, at, m["title"])
+            out += name
+            at = name[-1][1] if name else at
             continue
         kind = "token" if kind == "hex" else kind
         start, stop = m.span(kind if m[kind] is not None else "hex") if kind != "token" else m.span("token" if m["token"] is not None else "hex")
@@ -116,7 +172,8 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         plain = raw.lower() if len(raw.lower()) == len(raw) else raw
         value = "".join(c for c in plain if c.isalnum()) if kind in ("phone", "card", "ssn", "iban") else plain
         out.append((start, stop, kind, value))
-    return out
+    more = _mentions(text, out)
+    return sorted(out + more) if more else out
 
 
 # ---- the keyed permutation -------------------------------------------------
