@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import keyed_text, prepare, small_batches, table
-from .quality import sampled_labels
+from .quality import labelled_texts, sampled_labels
 
 HASHED = 1 << 13
 LEVELS = (0.02, 0.08, 0.2, 0.4)
@@ -116,11 +116,11 @@ def fit_voters(docs: DataFrame, labels: DataFrame, label: str = "quality", keep=
     def run(batches):
         for b in small_batches(batches, 256):
             m = _matrix(b.column(0).to_pylist())
-            packed = [v.tobytes() for v in np.minimum(m, 60_000).astype("<u2")]
+            packed = [v.astype("<u2" if v.max() < 1 << 16 else "<u4").tobytes() for v in m]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(packed, pa.binary())], ["y", "counts"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    got = rows.join(F.broadcast(some), "doc_id").select("text", "y").mapInArrow(run, "y int, counts binary").collect()
+    got = labelled_texts(rows, some).select("text", "y").mapInArrow(run, "y int, counts binary").collect()
     got = sorted((bytes(r.counts), r.y) for r in got)
     y = np.array([v for _, v in got], np.float64)
     counts = [c for c, _ in got]
@@ -130,7 +130,7 @@ def fit_voters(docs: DataFrame, labels: DataFrame, label: str = "quality", keep=
     # the one large array of the fit, filled and weighed in place
     x = np.empty((len(y), TERMS), np.float32)
     for i in range(len(y)):
-        x[i] = _weigh(np.frombuffer(counts[i], "<u2").astype(np.float32)[None, :], idf)[0]
+        x[i] = _weigh(np.frombuffer(counts[i], "<u2" if len(counts[i]) == 2 * TERMS else "<u4").astype(np.float32)[None, :], idf)[0]
         counts[i] = b""
     rank = min(rank, len(x))
     # Randomised subspace iteration: the leading right singular vectors.

@@ -209,6 +209,14 @@ def sampled_labels(labels: DataFrame, label: str, max_rows: int, keep=None) -> D
     return known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
 
 
+def labelled_texts(rows: DataFrame, some: DataFrame) -> DataFrame:
+    """(doc_id, text, y) of ``rows(doc_id, text)``: one row per labelled id, of
+    rows that share it the one whose text has the smallest hash."""
+    known = rows.join(F.broadcast(some), "doc_id")
+    one = known.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), F.col("text").alias("text"))).alias("one"))
+    return one.select("doc_id", F.col("one.text").alias("text"), "y")
+
+
 def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN, label: str = "quality") -> Trees:
     """Trees fitted on about ``max_rows`` labelled documents at most.  Without
     labels, or with one class only, the score is constant."""
@@ -220,7 +228,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN, l
         for b, c in _counted(batches, 1):
             yield pa.RecordBatch.from_arrays([b.column(2), pa.array(c.tolist(), pa.list_(pa.int64()))], ["y", "c"])
 
-    got = rows.join(F.broadcast(some), "doc_id").select("doc_id", "text", "y").mapInArrow(run, "y int, c array<long>").toPandas()
+    got = labelled_texts(rows, some).mapInArrow(run, "y int, c array<long>").toPandas()
     if not len(got):
         return fit_trees(np.zeros((0, len(FEATURES))), np.zeros(0), list(FEATURES.values()))
     got["key"] = got["c"].map(lambda v: tuple(v))

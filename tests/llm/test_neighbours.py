@@ -18,6 +18,19 @@ def fitted(spark):
     return docs, labels, N.fit_voters(docs, labels, keep=~N.held_out(F.col("doc_id")))
 
 
+def test_one_document_per_labelled_id(spark, make_docs):
+    rows = [(1, f"text {i} of one id " * 5) for i in range(60)] + [(1, "text 0 of one id " * 5)] * 60 + [(i, f"word{i} other " * 9) for i in range(2, 12)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 12)], "doc_id long, quality int")
+    a, b = (N.fit_voters(make_docs(r), labels) for r in (rows, rows[::-1]))
+    assert len(a.labels) == 11 and sorted(a.labels) == sorted(b.labels) and np.allclose(a.vectors, b.vectors, atol=1e-4)
+
+
+def test_long_texts_are_weighed_alike_in_fit_and_score(spark, make_docs):
+    texts = ["a" * 3_000_000 + " xyz" * 50_000, "a" * 1000, "xyz " * 100, "some other words " * 40]
+    voters = N.fit_voters(make_docs(list(enumerate(texts))), spark.createDataFrame([(0, 1), (1, 0), (2, 0), (3, 0)], "doc_id long, quality int"))
+    assert (voters.embed(N._matrix(texts[:1])) @ voters.vectors.T).max() > 0.9999
+
+
 def test_document_frequencies(spark, sf_texts):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     df, n = N.document_frequencies(docs.repartition(3))

@@ -72,6 +72,14 @@ def test_held_out(sf):
     assert sum((s >= 0.5) == q for q, s in want) / len(want) > 0.95
 
 
+def test_one_document_per_labelled_id(spark, make_docs, monkeypatch):
+    seen = []
+    monkeypatch.setattr(Q, "fit_trees", lambda x, y, *rest: seen.append(len(x)))
+    rows = [(1, f"text {i} of one id " * 5) for i in range(60)] + [(1, "copy")] * 60 + [(2, None), (3, "other")]
+    Q.fit_quality(make_docs(rows), spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, quality int"))
+    assert seen == [3]
+
+
 def test_edges(make_docs, sf):
     docs, labels = sf
     model = Q.fit_quality(docs, labels)
