@@ -107,6 +107,27 @@ class Tile:
             yield i + r, j, exact_products(q[i + r], c[j])
 
 
+def best_of_tiles(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """(query_id, vec_id, score): the ``k`` best of each query in each tile
+    (dim, qids, q, cids, c), sent tile by tile, so a task holds the heaps of
+    one query block only."""
+    tile = Tile(k)
+    for b in batches:
+        for r in range(b.num_rows):
+            best: dict[int, list] = {}
+            dim = b.column(0)[r].as_py()
+            qid, q, cid, c = (np.frombuffer(b.column(n)[r].as_py(), t) for n, t in ((1, "<i8"), (2, "<f8"), (3, "<i8"), (4, "<f8")))
+            for i, j, s in tile(qid, q.reshape(-1, dim), cid, c.reshape(-1, dim)):
+                for who, v, score in zip(qid[i].tolist(), cid[j].tolist(), s.tolist()):
+                    heap = best.setdefault(who, [])
+                    if len(heap) < k:
+                        heapq.heappush(heap, (score, -v))
+                    elif (score, -v) > heap[0]:
+                        heapq.heapreplace(heap, (score, -v))
+            rows = [(who, -v, score) for who, heap in best.items() for score, v in heap]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64())], ["query_id", "vec_id", "score"])
+
+
 def nearest(queries: DataFrame, candidates: DataFrame, k: int = K, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` candidates of largest inner
     product of each query, ties to the smaller id, fewer if there are fewer.
@@ -128,24 +149,7 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = K, block: int =
     sent = q.withColumn("cpart", F.explode(F.sequence(F.lit(0), F.lit(parts[1] - 1))))
     tiles = sent.hint("merge").join(c, ["dim", "cpart"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, list] = {}
-        tile = Tile(k)
-        for b in batches:
-            for r in range(b.num_rows):
-                dim = b.column(0)[r].as_py()
-                qid, q, cid, c = (np.frombuffer(b.column(n)[r].as_py(), t) for n, t in ((1, "<i8"), (2, "<f8"), (3, "<i8"), (4, "<f8")))
-                for i, j, s in tile(qid, q.reshape(-1, dim), cid, c.reshape(-1, dim)):
-                    for who, v, score in zip(qid[i].tolist(), cid[j].tolist(), s.tolist()):
-                        heap = best.setdefault(who, [])
-                        if len(heap) < k:
-                            heapq.heappush(heap, (score, -v))
-                        elif (score, -v) > heap[0]:
-                            heapq.heapreplace(heap, (score, -v))
-        rows = [(who, -v, score) for who, heap in best.items() for score, v in heap]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64())], ["query_id", "vec_id", "score"])
-
-    found = tiles.select("dim", "qids", "q", "cids", "c").mapInArrow(run, "query_id long, vec_id long, score double")
+    found = tiles.select("dim", "qids", "q", "cids", "c").mapInArrow(lambda it: best_of_tiles(it, k), "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.select("query_id", F.row_number().over(w).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from oracle import compare, duck
@@ -34,6 +35,22 @@ def ours(spark, queries, candidates, **kw):
     return sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got)
 
 
+def test_tiles_are_sent_one_by_one():
+    rng = np.random.default_rng(4)
+    taken = []
+
+    def tiles():
+        for n in range(3):
+            taken.append(n)
+            q, c = rng.normal(size=(5, 4)), rng.normal(size=(30, 4))
+            cells = [pa.array([v]) for v in (4, np.arange(5).tobytes(), q.tobytes(), np.arange(100 * n + 100, 100 * n + 130).tobytes(), c.tobytes())]
+            yield pa.RecordBatch.from_arrays(cells, ["dim", "qids", "q", "cids", "c"])
+
+    for n, out in enumerate(M.best_of_tiles(tiles(), 3)):
+        assert taken == list(range(n + 1)) and out.num_rows == 15  # no tile waits for the next
+    assert n == 2
+
+
 @pytest.mark.parametrize("block", [7, 4096])
 def test_against_all_products(spark, block):
     rng = np.random.default_rng(3)
