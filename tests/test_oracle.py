@@ -6,8 +6,7 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
-from oracle import compare, duck
+from oracle import SF_SMALL, compare, duck
 
 from recensio.plans.queries import ORACLE, QUERIES
 

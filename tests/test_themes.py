@@ -8,7 +8,7 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from oracle import SF_SMALL
 from recensio.config import Config
 from recensio.operators import themes as TH
 from recensio.plans import queries as Q
