@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .binary import op10_token_shards
 from .bpe import op1_bpe
+from .lexical import OP12_SQL, op12_ranked_search
 from .nearest import OP7_SQL, op7_nearest_blocks
 from .neighbours import op3_quality_votes
 from .packing import op9_best_fit_packing
@@ -24,9 +25,11 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_token_shards": op10_token_shards,
+    "op12_ranked_search": op12_ranked_search,
 }
 
 ORACLE: dict[str, str] = {
     "op4_warc": OP4_SQL,
     "op7_nearest_blocks": OP7_SQL,
+    "op12_ranked_search": OP12_SQL,
 }
