@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from .binary import op10_token_shards
 from .bpe import op1_bpe
+from .language import op13_language_codes
 from .lexical import OP12_SQL, op12_ranked_search
 from .nearest import OP7_SQL, op7_nearest_blocks
+from .negatives import OP11_SQL, op11_hard_negatives
 from .neighbours import op3_quality_votes
 from .packing import op9_best_fit_packing
 from .pii import op2_pii_surrogates
@@ -25,11 +27,14 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_token_shards": op10_token_shards,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_ranked_search": op12_ranked_search,
+    "op13_language_codes": op13_language_codes,
 }
 
 ORACLE: dict[str, str] = {
     "op4_warc": OP4_SQL,
     "op7_nearest_blocks": OP7_SQL,
+    "op11_hard_negatives": OP11_SQL,
     "op12_ranked_search": OP12_SQL,
 }
