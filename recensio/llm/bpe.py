@@ -14,6 +14,9 @@ compatible at every border is what BPE gives, and it is unique, so the result
 equals merging by rank; a position given up is never tried again, so the time
 is linear in the word's length.
 
+Texts with code points that Python's Unicode tables know no character for go
+through the tokenizers library: their classes differ between Unicode versions.
+
 Words (runs between white space) are kept in a bounded table of two
 generations, so the frequent ones stay; a text is then a join of table entries.
 
@@ -25,6 +28,7 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 import unicodedata
 from array import array
 from collections.abc import Iterator
@@ -172,11 +176,24 @@ class Encoder:
         return out
 
 
+@lru_cache(maxsize=1)
+def unassigned() -> re.Pattern:
+    """Any code point without an assigned character."""
+    edges, before = [], False
+    for c in range(sys.maxunicode + 2):
+        now = c <= sys.maxunicode and unicodedata.category(chr(c)) == "Cn"
+        if now != before:
+            edges.append(c if now else c - 1)
+        before = now
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(edges[::2], edges[1::2])) + "]")
+
+
 class Tokenizer:
     """A BPE tokenizer file whose words end with a suffix: normalisation,
     word split, encoding and decoding."""
 
     def __init__(self, path: str):
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -190,6 +207,7 @@ class Tokenizer:
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self._pieces = regex.compile(split.replace(r"\s", SPACE), regex.V0)
         self._odd = re.compile("[\x1c-\x1f]")
+        self._unknown = unassigned()
         self._space = re.compile(f"[{SPACE}]+")
         self._letter = {b: c for c, b in byte_alphabet().items()}
         strings = self.vocab | self.special
@@ -223,6 +241,10 @@ class Tokenizer:
         return [i for piece in self._pieces.findall(word) for i in self.encoder("".join(letter[b] for b in piece.encode()))]
 
     def encode(self, text: str) -> np.ndarray:
+        if not text.isascii() and self._unknown.search(text):
+            # Which of these are letters, and of which case, depends on the
+            # Unicode version of each library: only the tokenizer's own knows.
+            return np.array(library(self.path).encode(text, add_special_tokens=False).ids, np.int32)
         out = []
         for k, part in enumerate(self._special.split(text)):
             if k % 2:
@@ -259,6 +281,15 @@ def _gather(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> bytes:
     return data[at].tobytes()[:-1]
 
 
+@lru_cache(maxsize=2)
+def library(path: str):
+    """The tokenizers library on the same file, for texts with code points
+    that this Python knows no character for."""
+    from tokenizers import Tokenizer as Library
+
+    return Library.from_file(path)
+
+
 @lru_cache(maxsize=2)
 def tokenizer(path: str) -> Tokenizer:
     return Tokenizer(path)
@@ -266,7 +297,8 @@ def tokenizer(path: str) -> Tokenizer:
 
 def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids array<int>), one row per row of ``docs``, map-only.  Null
-    and empty texts have no ids; null ids and repeated rows are kept."""
+    and empty texts have no ids; null ids and repeated rows are kept; an empty
+    table gives an empty result; other columns are not read."""
     prepare(docs.sparkSession)
     path = path or default_path("word_bpe_49k.json")
 
@@ -285,7 +317,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
 def decode(encoded: DataFrame, path: str | None = None, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """``encoded`` with a text column of its ids decoded.  A null id sequence
     decodes to the empty text; null ids and ids outside the vocabulary are
-    left out."""
+    left out; an empty table gives an empty result."""
     prepare(encoded.sparkSession)
     path = path or default_path("word_bpe_49k.json")
     schema = T.StructType([*encoded.schema.fields, T.StructField(out_col, T.StringType())])
@@ -304,6 +336,7 @@ def decode(encoded: DataFrame, path: str | None = None, ids_col: str = "ids", ou
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of every document; edge cases as in ``encode``."""
     out = decode(encode(table(spark, sf_dir, "documents")))
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -39,6 +39,19 @@ def test_odd_texts(both):
         same(both, t)
 
 
+def test_every_code_point(both):
+    """Alone, between letters and beside its like; 1,000 to a text."""
+    ours, library = both
+    every = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(every), 1000):
+        text = " ".join(f"A{chr(c)}e x{chr(c)}{chr(c)} {chr(c)}1" for c in every[at:at + 1000])
+        want, got = library.encode(text, add_special_tokens=False).ids, ours.encode(text)
+        if got.tolist() != want:
+            for c in every[at:at + 1000]:
+                same(both, f"A{chr(c)}e x{chr(c)}{chr(c)} {chr(c)}1")
+        assert got.tolist() == want, hex(every[at])
+
+
 def test_merge_heavy_words(both):
     rng = random.Random(8)
     for _ in range(2000):
