@@ -16,6 +16,14 @@ Plan: the corpus is never shuffled by (review, term).
   ``Normalizer``: sparse vectors, map-only, JVM-side.
 * ``tfidf``: the long table (seq, idx, term, tfidf) exploded from those
   vectors, still map-only.
+
+Many companies, each a corpus of its own:
+* ``dictionaries``: one pass for all companies; the counts per (company, term)
+  are partial aggregates, the cut at ``max_features`` is a window group limit;
+  a row per company holds its terms.
+* ``company_vectors``: a review meets its company's dictionary (a join by
+  company with one small row per company; Spark broadcasts the table where it
+  is small) and counts its terms in place: tokens are never shuffled.
 """
 
 from __future__ import annotations
@@ -97,3 +105,61 @@ def tfidf(reviews: DataFrame, cfg: Config = Config(), vocab: DataFrame | None =
         none = lambda t: F.lit(None).cast(t)
         return words.filter(F.lit(False)).select(*key, none("int").alias("idx"), none("string").alias("term"), none("double").alias("tfidf"))
     return tfidf_from_vectors(with_vectors(words, rows), rows, tuple(key))
+
+
+# ---- a corpus per company ------------------------------------------------------
+
+def dictionaries(reviews: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """(company, n, terms, dfs, cfs, idfs): each company's number of reviews
+    and its vocabulary, in term order (empty arrays when no term is kept)."""
+    mark = lambda t, d, c: F.struct(t.cast("string").alias("term"), F.lit(d).alias("d"), F.lit(c).alias("c"))
+    # A review emits a mark of its own (no term), its distinct terms and all
+    # its tokens: one pass gives the sizes and both counts.
+    marks = F.concat(
+        F.array(mark(F.lit(None), 1, 0)),
+        F.transform(F.array_distinct("toks"), lambda t: mark(t, 1, 0)),
+        F.transform("toks", lambda t: mark(t, 0, 1)),
+    )
+    stats = (
+        reviews.select("company", T.feature_tokens(F.col("parole")).alias("toks"))
+        .select("company", F.explode(marks).alias("m"))
+        .groupBy("company", F.col("m.term").alias("term"))
+        .agg(F.sum("m.d").cast("long").alias("df"), F.sum("m.c").cast("long").alias("cf"))
+    )
+    # Both counts, so that this reads the same shuffle as the terms below.
+    sizes = stats.groupBy("company").agg(F.max(F.when(F.col("term").isNull(), F.col("df") + F.col("cf"))).alias("n"))
+    kept = stats.join(sizes, "company").filter(F.col("term").isNotNull() & (F.col("df") >= cfg.min_df) & (F.col("df") <= cfg.max_df * F.col("n")))
+    nth = F.row_number().over(Window.partitionBy("company").orderBy(F.desc("cf"), "term"))
+    top = kept.withColumn("nth", nth).filter(F.col("nth") <= cfg.max_features)
+    words = top.groupBy("company").agg(F.array_sort(F.collect_list(F.struct("term", "df", "cf"))).alias("v"))
+    v = F.coalesce("v", F.array().cast("array<struct<term:string,df:bigint,cf:bigint>>"))
+    idf = lambda t: F.log((F.lit(1.0) + F.col("n")) / (t["df"] + F.lit(1.0))) + F.lit(1.0)
+    return sizes.join(words, "company", "left").select("company", "n", v.alias("v")).select(
+        "company", "n", F.col("v.term").alias("terms"), F.col("v.df").alias("dfs"), F.col("v.cf").alias("cfs"), F.transform("v", idf).alias("idfs"))
+
+
+def company_vocabulary(dicts: DataFrame) -> DataFrame:
+    """(company, idx, term, df, cf, idf) of ``dictionaries``."""
+    zipped = F.arrays_zip(F.col("terms").alias("term"), F.col("dfs").alias("df"), F.col("cfs").alias("cf"), F.col("idfs").alias("idf"))
+    return dicts.select("company", F.posexplode(zipped).alias("idx", "t")).select("company", "idx", "t.*")
+
+
+def company_vectors(reviews: DataFrame, dicts: DataFrame) -> DataFrame:
+    """(company, seq, n, terms, idx array<int>, w array<double>): per review
+    the places of its company's terms it holds, rising, and their weights, of
+    length one together (none held: empty arrays)."""
+    r = reviews.select("company", "seq", "parole").join(dicts.select("company", "n", "terms", "idfs"), "company")
+    # in vocabulary order, each once
+    r = r.withColumn("held", F.array_intersect("terms", "parole"))
+    r = r.withColumn("idx", F.transform("held", lambda t: F.array_position("terms", t).cast("int") - 1))
+    r = r.withColumn("tf", F.transform("held", lambda t: F.size("parole") - F.size(F.array_remove("parole", t))))
+    r = r.select("company", "seq", "n", "terms", "idx", F.zip_with("tf", "idx", lambda c, i: c * F.get("idfs", i)).alias("raw"))
+    r = r.withColumn("norm", F.sqrt(F.aggregate("raw", F.lit(0.0), lambda s, x: s + x * x)))
+    return r.select("company", "seq", "n", "terms", "idx", F.transform("raw", lambda x: x / F.col("norm")).alias("w"))
+
+
+def company_tfidf(vectors: DataFrame) -> DataFrame:
+    """(company, seq, idx, term, tfidf): one row per non-zero weight."""
+    zipped = F.arrays_zip(F.col("idx").alias("idx"), F.col("w").alias("tfidf"))
+    return vectors.select("company", "seq", "terms", F.explode(zipped).alias("e")).select(
+        "company", "seq", F.col("e.idx").alias("idx"), F.get("terms", F.col("e.idx")).alias("term"), F.col("e.tfidf").alias("tfidf"))

@@ -1,9 +1,8 @@
 """Topics: k-means over TF-IDF vectors and per-topic aggregates.
 
-``assign_topics`` labels every review of one analysis (MLlib KMeans, best of
-``n_init`` seeded starts).  The vectors are dealt by review key into so many
-partitions as their number asks for and sorted there, so the labels follow from the data, not
-from how the input was laid out or how many cores there are.  The per-topic
+``assign_topics`` labels every review within its company: vocabulary, vectors,
+seeds and centres are the company's own, all companies in one run (k-means in
+whole numbers, see ``operators.kmeans``).  The per-topic
 operators take *any* review table with a ``cluster`` column; sizes, shares,
 ranks and examples are per company:
 
@@ -20,16 +19,18 @@ ranks and examples are per company:
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recensio.config import Config
 from recensio.operators import features as FT
+from recensio.operators import kmeans as KM
 from recensio.operators.reviews import company_of, review_key, with_identity
+from recensio.session import materialize
 
 TOP_TERMS = 10
 KEPT_TERMS = 5
+MIN_REVIEWS = 5
 
 
 def auto_k(n_reviews: Column | int) -> Column:
@@ -38,71 +39,40 @@ def auto_k(n_reviews: Column | int) -> Column:
     return F.least(F.lit(8), F.greatest(F.lit(3), F.floor(n / 10))).cast("int")
 
 
-def _fit_best(feats: DataFrame, k: int, cfg: Config):
-    """Best of ``cfg.n_init`` seeded k-means starts (lowest cost, then the
-    lowest seed).  The starts are independent Spark jobs over the same
-    cached vectors and are submitted from threads, so their many small
-    per-iteration jobs share the cluster instead of queueing one start
-    after another."""
-    from concurrent.futures import ThreadPoolExecutor
-
-    from pyspark.ml.clustering import KMeans
-
-    def fit(i):
-        km = KMeans(k=k, seed=cfg.kmeans_seed + i, maxIter=cfg.kmeans_max_iter, tol=cfg.kmeans_tol,
-                    featuresCol="features", predictionCol="cluster")
-        model = km.fit(feats)
-        return model.summary.trainingCost, i, model
-
-    with ThreadPoolExecutor(max_workers=max(1, cfg.n_init)) as pool:
-        fits = list(pool.map(fit, range(cfg.n_init)))
-    # Task results are merged in completion order, so equal solutions can
-    # differ in the last bits of their cost: compare 9 significant digits,
-    # then the seed, so the pick is repeatable.
-    return min(fits, key=lambda f: (float(f"{f[0]:.9g}"), f[1]))[2]
+def topic_vectors(words: DataFrame, dicts: DataFrame, k: int | None = None) -> DataFrame:
+    """What ``kmeans`` reads, from words(company, seq, parole): the companies
+    with enough reviews and a vocabulary, weights in whole millionths."""
+    able = dicts.filter((F.col("n") >= MIN_REVIEWS) & (F.size("terms") > 0))
+    v = FT.company_vectors(words, able)
+    return v.select(
+        "company", "seq", "n", F.size("terms").alias("dim"), (auto_k(F.col("n")) if k is None else F.lit(k)).alias("k"),
+        KM.draw_of(F.col("company"), F.col("seq")).alias("draw"), "idx", F.transform("w", lambda x: F.floor(x * KM.UNIT + 0.5)).alias("val"))
 
 
 def assign_topics(reviews: DataFrame, k: int | None = None, cfg: Config = Config()):
     """Returns (labelled reviews, centroids, vocab, k_used).
 
-    ``labelled`` is ``reviews`` plus ``cluster`` (NULL for every row when the
-    guard trips: fewer than 5 reviews or an empty vocabulary);
-    ``centroids`` is (cluster, weights array<double>) in vocabulary order.
-    Only the sparse vectors (key, features) are cached for the iterations,
-    and released with the words when the model stands; the labels are the
-    model's prediction on each row, without a join.
+    ``labelled`` is ``reviews`` plus ``cluster`` (NULL for the reviews of a
+    company with fewer than 5 of them or an empty vocabulary); ``centroids``
+    is (company, cluster, weights array<double>) in vocabulary order; ``vocab``
+    is (company, idx, term, df, cf, idf); k_used is the largest number of
+    topics a company has (fewer than asked for with fewer distinct vectors).
+    A table without companies is one company, and its results have no such
+    column.
     """
-    spark = reviews.sparkSession
-    n = reviews.count()
-    empty_c = spark.createDataFrame([], "cluster int, weights array<double>")
-    if n < 5:
-        return reviews.withColumn("cluster", F.lit(None).cast("int")), empty_c, None, 0
-    key = review_key(reviews)
-    # Words are read twice (vocabulary, then vectors): cleaned once.
-    words = reviews.select(*key, "parole").persist(StorageLevel.MEMORY_AND_DISK)
-    feats = None
-    try:
-        # At most max_features rows.
-        vocab = spark.createDataFrame([tuple(r) for r in FT.vocabulary(words, cfg, n_docs=n).orderBy("idx").collect()],
-                                      "idx int, term string, df long, cf long, idf double")
-        rows = FT.vocab_rows(vocab)
-        if not rows:
-            return reviews.withColumn("cluster", F.lit(None).cast("int")), empty_c, vocab, 0
-        k = int(min(8, max(3, n // 10))) if k is None else int(k)
-        feats = FT.with_vectors(words, rows).select(*key, "features")
-        feats = feats.repartition(-(-n // cfg.kmeans_rows), *key).sortWithinPartitions(*key).persist(StorageLevel.MEMORY_AND_DISK)
-        model = _fit_best(feats, k, cfg)
-    finally:
-        words.unpersist()
-        if feats is not None:
-            feats.unpersist()
-    labelled = model.transform(FT.with_vectors(reviews, rows)).drop("features")
-    labelled = labelled.withColumn("cluster", F.col("cluster").cast("int"))
-    # k x |vocabulary| numbers, bounded by the parameters.  With fewer
-    # distinct vectors than k, k-means returns fewer centres: k_used says so.
-    centers = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-    centroids = spark.createDataFrame(centers, "cluster int, weights array<double>")
-    return labelled, centroids, vocab, len(centers)
+    by = company_of(reviews)
+    keyed = reviews if by else reviews.withColumn("company", F.lit(""))
+    # Read twice (vocabulary, then vectors): cleaned once.
+    words = materialize(keyed.select("company", "seq", "parole"))
+    dicts = materialize(FT.dictionaries(words, cfg))
+    labels, centroids = KM.kmeans(topic_vectors(words, dicts, k), cfg)
+    centroids = materialize(centroids)
+    vocab = FT.company_vocabulary(dicts)
+    labelled = reviews.join(labels if by else labels.drop("company"), review_key(reviews), "left")
+    used = centroids.agg(F.max("cluster")).first()[0]
+    if not by:
+        centroids, vocab = centroids.drop("company"), vocab.drop("company")
+    return labelled, centroids, vocab, 0 if used is None else used + 1
 
 
 def assign_nearest(reviews: DataFrame, centroids: DataFrame, vocab: list[tuple[str, float]]) -> DataFrame:
@@ -159,8 +129,18 @@ def topic_terms(centroids: DataFrame, vocab: list[tuple[str, float]]) -> DataFra
     """(cluster, top_terms, parole_chiave): 10 heaviest terms (weight
     descending, ties by later term first), then the kept keywords."""
     # The vocabulary has at most max_features terms: it is a literal here.
-    lit_terms = F.array(*[F.lit(t) for t, _ in vocab])
-    pairs = F.arrays_zip(F.transform("weights", lambda x: F.round(x, 9)).alias("w"), lit_terms.alias("t"))
+    return centroids.select("cluster", *_heaviest(F.array(*[F.lit(t) for t, _ in vocab])))
+
+
+def company_topic_terms(centroids: DataFrame, vocab: DataFrame) -> DataFrame:
+    """The same for every company's (company, cluster, weights), by its own
+    vocabulary: (company, cluster, top_terms, parole_chiave)."""
+    terms = vocab.groupBy("company").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "term"))), lambda t: t["term"]).alias("terms"))
+    return centroids.join(terms, "company").select("company", "cluster", *_heaviest(F.col("terms")))
+
+
+def _heaviest(terms: Column) -> list[Column]:
+    pairs = F.arrays_zip(F.transform("weights", lambda x: F.round(x, 9)).alias("w"), terms.alias("t"))
     ranked = F.array_sort(
         pairs,
         lambda a, b: F.when(a["w"] > b["w"], -1).when(a["w"] < b["w"], 1)
@@ -168,7 +148,7 @@ def topic_terms(centroids: DataFrame, vocab: list[tuple[str, float]]) -> DataFra
     )
     top = F.transform(F.slice(ranked, 1, TOP_TERMS), lambda p: p["t"])
     kept = F.slice(F.filter(top, lambda t: (F.length(t) > 3) & ~t.rlike(r"^\p{Nd}+$")), 1, KEPT_TERMS)
-    return centroids.select("cluster", top.alias("top_terms"), kept.alias("parole_chiave"))
+    return [top.alias("top_terms"), kept.alias("parole_chiave")]
 
 
 def topic_summary(labelled: DataFrame, k: int) -> DataFrame:
@@ -231,16 +211,23 @@ def order_topics(summary: DataFrame) -> DataFrame:
     return summary.withColumn("rank", F.row_number().over(w))
 
 
-def topic_rows(labelled: DataFrame, centroids: DataFrame, vocab: list[tuple[str, float]], k: int, cfg: Config = Config()) -> DataFrame:
+def topic_rows(labelled: DataFrame, centroids: DataFrame, vocab: list[tuple[str, float]] | DataFrame, k: int, cfg: Config = Config()) -> DataFrame:
     """The topics as one table: (company, rank, id, parole_chiave,
     n_recensioni, percentuale, rating_medio, esempi), esempi being an array of
-    at most ``cfg.topic_examples`` reviews."""
-    by = company_of(labelled)
-    ranked = order_topics(topic_summary(labelled, k))
-    terms = topic_terms(centroids, vocab).select(F.col("cluster").alias("id"), "parole_chiave")
+    at most ``cfg.topic_examples`` reviews.  Centroids and vocabulary are
+    common to all companies, or each company's own (as ``assign_topics`` gives
+    them); then a company has the topics it has centroids for."""
+    by, summary = company_of(labelled), topic_summary(labelled, k)
+    own = company_of(centroids)
+    if isinstance(vocab, DataFrame) and not own:
+        vocab = FT.vocab_rows(vocab)
+    terms = (company_topic_terms if own else topic_terms)(centroids, vocab).select(*own, F.col("cluster").alias("id"), "parole_chiave")
+    if own:
+        summary = summary.join(terms.select(*own, "id"), [*own, "id"], "left_semi")
+    ranked = order_topics(summary)
     shown = F.struct("example", "seq", "review_id", "testo", "rating", "data", "link")
     examples = topic_examples(labelled, k, cfg).groupBy(*by, "id").agg(F.array_sort(F.collect_list(shown)).alias("esempi"))
     none = examples.schema["esempi"].dataType
-    return ranked.join(terms, "id", "left").join(examples, [*by, "id"], "left").select(
+    return ranked.join(terms, [*own, "id"], "left").join(examples, [*by, "id"], "left").select(
         *by, "rank", "id", F.coalesce("parole_chiave", F.array().cast("array<string>")).alias("parole_chiave"),
         "n_recensioni", "percentuale", "rating_medio", F.coalesce("esempi", F.array().cast(none)).alias("esempi"))

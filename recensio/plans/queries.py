@@ -17,7 +17,7 @@ from recensio.config import Config
 from recensio.operators import reviews as RV
 from recensio.operators import themes as TH
 from recensio.plans import sql_text as S
-from recensio.session import materialize
+from recensio.session import materialize, ship_package
 from recensio.sources import tables as SRC
 
 CFG = Config()
@@ -193,7 +193,10 @@ def q_theme_frequency_word_index(spark, sf_dir):
 
 # --- features and topics ---------------------------------------------------------
 
+from pyspark.sql import Window  # noqa: E402
+
 from recensio.operators import features as FT  # noqa: E402
+from recensio.operators import kmeans as KM  # noqa: E402
 from recensio.operators import topics as TP  # noqa: E402
 
 FEATURE_CTES = dict(
@@ -248,12 +251,163 @@ def q_topics_guard(spark, sf_dir):
         "n_recensioni", "n_terms", ((F.col("n_recensioni") >= 5) & (F.col("n_terms") > 0)).alias("clusters"))
 
 
+def own_numbers(reviews):
+    """The reviews with a ``seq`` that starts anew in every company."""
+    return reviews.withColumn("seq", F.floor(F.col("seq") / SRC.COMPANIES))
+
+
+COMPANY_CTES = dict(
+    mine=f"select * replace (seq // {SRC.COMPANIES} as seq) from reviews",
+    sizes_c="select company, count(*) as n from mine group by company",
+    toks_c="""select company, seq, unnest(list_filter(parole, lambda w: regexp_full_match(w, '[a-zA-Z]{3,}'))) as term from mine""",
+    tf_c="select company, seq, term, count(*) as tf from toks_c group by all",
+    stats_c="select company, term, count(*) as df, sum(tf) as cf from tf_c group by all",
+    vocab_c="""select company, n, cast(row_number() over (partition by company order by term) - 1 as integer) as idx, term, df, cf,
+                      ln((1.0 + n) / (df + 1.0)) + 1.0 as idf
+               from (select *, row_number() over (partition by company order by cf desc, term) as nth
+                     from stats_c join sizes_c using (company) where df >= 2 and df <= 0.8 * n)
+               where nth <= 100""",
+    w_c="select t.company, t.seq, v.idx, v.term, t.tf * v.idf as w from tf_c t join vocab_c v on t.company = v.company and t.term = v.term",
+    tfidf_c="select company, seq, idx, term, w / sqrt(sum(w * w) over (partition by company, seq)) as tfidf from w_c",
+)
+
+
+@register("company_vocabulary", S.with_ctes(
+    "select company, idx, term, df, cast(cf as bigint) as cf, round(idf, 6) as idf from vocab_c", **COMPANY_CTES))
+def q_company_vocabulary(spark, sf_dir):
+    """Each company's own vocabulary."""
+    dicts = FT.dictionaries(reviews_df(spark, sf_dir), CFG)
+    return FT.company_vocabulary(dicts).withColumn("idf", r6("idf"))
+
+
+@register("company_tfidf", S.with_ctes(
+    "select company, seq, idx, term, round(tfidf, 6) as tfidf from tfidf_c", **COMPANY_CTES))
+def q_company_tfidf(spark, sf_dir):
+    """Weights over each company's own vocabulary."""
+    words, dicts = company_words(spark, sf_dir)
+    return FT.company_tfidf(FT.company_vectors(words, dicts)).withColumn("tfidf", r6("tfidf"))
+
+
+def company_words(spark, sf_dir):
+    """(words, dictionaries) with review numbers that repeat over companies;
+    the text is cleaned once."""
+    words = materialize(own_numbers(reviews_df(spark, sf_dir)).select("company", "seq", "parole"))
+    return words, materialize(FT.dictionaries(words, CFG))
+
+
 @register("topic_labels")
 def q_topic_labels(spark, sf_dir):
-    """k-means labels of the whole table as one corpus (not comparable across
-    libraries: rows-only check)."""
-    labelled, _, _, _ = TP.assign_topics(reviews_df(spark, sf_dir).drop("company"), None, CFG)
-    return labelled.select("seq", "cluster")
+    """k-means labels of every company's reviews (SQL for its parts:
+    topic_seeds, topic_lloyd, topic_lloyd_labels)."""
+    labelled, _, _, _ = TP.assign_topics(reviews_df(spark, sf_dir), None, CFG)
+    return labelled.select("company", "seq", "cluster")
+
+
+# Turns, steps and starts that the SQL below spells out.
+SEED_TURNS, LLOYD_STEPS = 8, 3
+
+
+def _kmeans_ctes() -> dict[str, str]:
+    m = KM.PRIME
+    mult = ", ".join(f"({s}, {t}, {KM.multiplier(CFG.kmeans_seed, s, t)})" for s in range(CFG.n_init) for t in range(SEED_TURNS))
+    ctes = dict(
+        COMPANY_CTES,
+        able="select company, n, cast(least(8, greatest(3, n // 10)) as integer) as k from sizes_c where n >= 5 and company in (select company from vocab_c)",
+        xv="select company, seq, idx, cast(floor(tfidf * 1000000 + 0.5) as bigint) as x from tfidf_c",
+        pts=f"""select m.company, m.seq, a.k, coalesce(q.xx, 0) as xx,
+                       ('0x' || substr(md5(m.company || '/' || cast(m.seq as varchar)), 1, 8))::bigint % {m} as draw
+                from mine m join able a on m.company = a.company
+                left join (select company, seq, sum(x * x)::bigint as xx from xv group by all) q on m.company = q.company and m.seq = q.seq""",
+        mult=f"select * from (values {mult}) t(start, turn, a)",
+        times=f"""select p.company, p.seq, p.k, t.start, t.turn, -ln((((x2 * a + 1) % {m}) + 1) / ({m} + 1.0)) as time
+                  from (select company, seq, start, turn, a, (x1 * x1 + draw) % {m} as x2
+                        from (select company, seq, draw, start, turn, a, draw * a % {m} as x1 from pts, mult)) t
+                  join pts p on p.company = t.company and p.seq = t.seq""",
+        pairs="""select a.company, a.seq as a, b.seq as b, a.xx + b.xx - 2 * coalesce(g.dot, 0) as d
+                 from pts a join pts b on a.company = b.company
+                 left join (select x.company, x.seq as a, y.seq as b, sum(x.x * y.x)::bigint as dot
+                            from xv x join xv y on x.company = y.company and x.idx = y.idx group by all) g
+                 on g.company = a.company and g.a = a.seq and g.b = b.seq""",
+        seeds0="""select company, start, 0 as topic, seq from (
+                    select *, row_number() over (partition by company, start order by time, seq) as r from times where turn = 0) where r = 1""",
+    )
+    for t in range(1, SEED_TURNS):
+        ctes[f"seeds{t}"] = f"""select * from seeds{t - 1} union all
+            select company, start, {t} as topic, seq from (
+              select i.company, i.start, i.seq, row_number() over (partition by i.company, i.start order by i.time / q.d, i.seq) as r
+              from times i join (select s.company, s.start, p.a, min(p.d) as d from seeds{t - 1} s join pairs p on p.company = s.company and p.b = s.seq group by all) q
+              on i.company = q.company and i.start = q.start and i.seq = q.a
+              where i.turn = {t} and i.k > {t} and q.d > 0) where r = 1"""
+    # The given centres of the Lloyd steps: the reviews of lowest number drawn.
+    ctes["c0"] = """select f.company, f.topic, v.idx, v.x as w from (
+        select company, seq, k, row_number() over (partition by company order by draw, seq) - 1 as topic from pts) f
+        join xv v on v.company = f.company and v.seq = f.seq where f.topic < f.k"""
+    ctes["tops"] = "select company, unnest(range(k)) as topic from able"
+    for i in range(LLOYD_STEPS + 1):
+        ctes[f"near{i}"] = f"""select company, seq, topic, dist from (
+            select p.company, p.seq, t.topic, p.xx + coalesce(n.cc, 0) - 2 * coalesce(g.dot, 0) as dist,
+                   row_number() over (partition by p.company, p.seq order by p.xx + coalesce(n.cc, 0) - 2 * coalesce(g.dot, 0), t.topic) as r
+            from pts p join tops t on p.company = t.company
+            left join (select company, topic, sum(w * w)::bigint as cc from c{i} group by all) n on n.company = t.company and n.topic = t.topic
+            left join (select x.company, x.seq, c.topic, sum(x.x * c.w)::bigint as dot from xv x join c{i} c on x.company = c.company and x.idx = c.idx group by all) g
+            on g.company = p.company and g.seq = p.seq and g.topic = t.topic) where r = 1"""
+        ctes[f"c{i + 1}"] = f"""select s.company, s.topic, s.idx, ((2 * s.x + n.n) // (2 * n.n))::bigint as w
+            from (select l.company, l.topic, v.idx, sum(v.x)::bigint as x from near{i} l join xv v on v.company = l.company and v.seq = l.seq group by all) s
+            join (select company, topic, count(*) as n from near{i} group by all) n on n.company = s.company and n.topic = s.topic
+            union all select * from c{i} where (company, topic) not in (select (company, topic) from near{i})"""
+    return ctes
+
+
+def _kmeans_sql(body: str, upto: str) -> str:
+    """Only the CTEs up to one, each computed once."""
+    ctes = _kmeans_ctes()
+    names = list(ctes)
+    used = {k: v for k, v in ctes.items() if names.index(k) <= names.index(upto) and (k[:5] != "seeds" or upto[:5] == "seeds")}
+    sql = S.with_ctes(body, **used)
+    for k in used:
+        sql = sql.replace(f"\n{k} as (", f"\n{k} as materialized (", 1)
+    return sql
+
+
+def company_blocks(spark, sf_dir):
+    words, dicts = company_words(spark, sf_dir)
+    return KM.Blocks(TP.topic_vectors(words, dicts)), words
+
+
+@register("topic_seeds", _kmeans_sql(f"select company, start, topic, seq from seeds{SEED_TURNS - 1}", f"seeds{SEED_TURNS - 1}"))
+def q_topic_seeds(spark, sf_dir):
+    """The reviews that every start of every company begins with."""
+    ship_package(spark)
+    blocks, _ = company_blocks(spark, sf_dir)
+    return KM.seeds(blocks, CFG).select("company", "start", "topic", "seq")
+
+
+def lloyd_steps(spark, sf_dir):
+    ship_package(spark)
+    blocks, words = company_blocks(spark, sf_dir)
+    first = TP.topic_vectors(words, materialize(FT.dictionaries(words, CFG)))
+    nth = F.row_number().over(Window.partitionBy("company").orderBy("draw", "seq")) - 1
+    given = KM.packed_centres(first.withColumn("topic", nth).where(F.col("topic") < F.col("k")))
+    return blocks, KM.lloyd(blocks, materialize(given), 1, LLOYD_STEPS)
+
+
+@register("topic_lloyd", _kmeans_sql(
+    f"""select c.company, cast(c.topic as integer) as topic, c.idx, c.w, t.cost from c{LLOYD_STEPS} c
+        join (select company, sum(dist)::bigint as cost from near{LLOYD_STEPS - 1} group by company) t on t.company = c.company where c.w <> 0""", f"c{LLOYD_STEPS}"))
+def q_topic_lloyd(spark, sf_dir):
+    """Centres (in whole millionths) after three steps from given ones."""
+    _, c = lloyd_steps(spark, sf_dir)
+    w = KM.centre_weights(c.withColumn("cluster", F.col("topic"))).join(c.select("company", F.col("topic").alias("cluster"), "cost"), ["company", "cluster"])
+    return w.select("company", F.col("cluster").alias("topic"), "cost", F.posexplode("weights").alias("idx", "w")).select(
+        "company", "topic", "idx", F.round(F.col("w") * KM.UNIT).cast("long").alias("w"), "cost").where("w <> 0")
+
+
+@register("topic_lloyd_labels", _kmeans_sql(
+    f"select company, seq, cast(topic as integer) as cluster from near{LLOYD_STEPS}", f"near{LLOYD_STEPS}"))
+def q_topic_lloyd_labels(spark, sf_dir):
+    """Each review's nearest of those centres."""
+    blocks, c = lloyd_steps(spark, sf_dir)
+    return KM.nearest(blocks, c)
 
 
 LABEL_SQL = "case when review_id is null then 0 else ascii(substring(review_id, 32, 1)) % 8 end"

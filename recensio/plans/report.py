@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recensio.config import CHANNELS, SENTIMENT_CLASSES, Config
-from recensio.operators import features as FT
 from recensio.operators import insights as IN
 from recensio.operators import themes as TH
 from recensio.operators import topics as TP
@@ -194,17 +193,18 @@ def topic_cards(topics: DataFrame, per_card: int = 2, width: int = 150) -> DataF
 # --- one analysis ---
 
 def analyze(reviews: DataFrame, responses: DataFrame, cfg: Config = Config(), n_topics: int | None = None, url: str | None = None) -> dict[str, DataFrame]:
-    """The whole analysis of one company: its reviews (the ``reviews`` table,
-    from pages or ready-made) and the model's answers to its blocks, to the
-    six report tables, the headline, the lists and cards, and the JSON lines.
+    """The whole analysis of every company of a table: the reviews (the
+    ``reviews`` table, from pages or ready-made) and the model's answers to
+    their blocks, to the six report tables, the headline, the lists and cards, and the JSON lines.
 
     Reviews, topics, merged insights and frequencies are written once each and
     read from there, so the text is cleaned once and labelled once.
     """
+    reviews = materialize(reviews)
     labelled, centroids, vocab, k = TP.assign_topics(reviews, n_topics, cfg)
     labelled = materialize(labelled)
     if k:
-        topics = materialize(TP.topic_rows(labelled, centroids, FT.vocab_rows(vocab), k, cfg))
+        topics = materialize(TP.topic_rows(labelled, centroids, vocab, k, cfg))
     else:  # too few reviews or no vocabulary: no topics
         rows = TP.topic_rows(labelled.withColumn("cluster", F.lit(0)), reviews.sparkSession.createDataFrame([(0, [0.0])], "cluster int, weights array<double>"), [("-", 1.0)], 1, cfg)
         topics = materialize(rows.filter(F.lit(False)))

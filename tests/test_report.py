@@ -74,22 +74,25 @@ def test_analyze_two_companies_from_pages(spark, tmp_path):
     cfg = Config(n_init=2, kmeans_max_iter=20, max_df=0.9, block_words=60)
     reviews = RV.to_reviews(PG.raw_from_pages(pages, cfg), cfg)
     assert reviews.count() == 24 and reviews.select("seq").distinct().count() == 12  # seq counts within a company
+    blocks = BL.text_blocks(reviews, cfg)
+    answers = blocks.select("company", "block_id", F.lit(1).alias("attempt"), F.lit(
+        '{"punti_forza":["cliente soddisfatto","corriere puntuale"],"leve_marketing":["cura"],"sentiment_counts":{"positivo":1}}').alias("content"))
+    out = RP.analyze(reviews, answers, cfg, 2, "https://x/review/{company}")  # both at once
+    RP.write_report({k: out[k] for k in RP.SHEETS}, str(tmp_path))
+    sheet = {k: spark.read.parquet(f"{tmp_path}/{k}").collect() for k in RP.SHEETS}
+    heads = {r.company: r for r in out["headline"].collect()}
+    lines = [json.loads(r.json) for r in out["json"].collect()]
+    positive = {r.company: r["count"] for r in reviews.filter("rating >= 4").groupBy("company").count().collect()}
+    own = {"a": {"spedizione", "pacco"}, "b": {"assistenza", "rimborso"}}
     for c in ("a", "b"):
-        mine = reviews.filter(F.col("company") == c)
-        blocks = BL.text_blocks(mine, cfg)
-        answers = blocks.select("company", "block_id", F.lit(1).alias("attempt"), F.lit(
-            '{"punti_forza":["cliente soddisfatto","corriere puntuale"],"leve_marketing":["cura"],"sentiment_counts":{"positivo":1}}').alias("content"))
-        out = RP.analyze(mine, answers, cfg, 2, "https://x/review/{company}")
-        assert out["recensioni"].count() == 12 and out["recensioni"].filter("cluster = ''").count() == 0
-        assert sum(r.n_recensioni for r in out["tematiche"].collect()) == 12
-        forza = {r.punto: r["count"] for r in out["punti_forza"].collect()}
-        assert forza["cliente soddisfatto"] == mine.filter("rating >= 4").count()
-        head = out["headline"].first()
-        assert (head.company, head.n_recensioni, head.n_punti_forza, head.n_cluster) == (c, 12, 2, 2)
-        paths = RP.write_report({k: out[k] for k in RP.SHEETS}, str(tmp_path / c))
-        assert len(paths) == 6 and spark.read.parquet(paths[5]).count() == 5
-        lines = [json.loads(r.json) for r in out["json"].collect()]
-        assert {x["company"] for x in lines} == {c} and {x["sezione"] for x in lines} == {"metadati", "sentiment", "tematica", "insight", "tema"}
+        of = {k: [r for r in rows if r.company == c] for k, rows in sheet.items()}
+        assert len(of["recensioni"]) == 12 and all(r.cluster != "" for r in of["recensioni"])
+        assert sum(r.n_recensioni for r in of["tematiche"]) == 12 and sorted(r["rank"] for r in of["tematiche"]) == [1, 2]
+        assert not own["b" if c == "a" else "a"] & {w for r in of["tematiche"] for w in r.tematica.split(", ")}
+        assert {r.punto: r["count"] for r in of["punti_forza"]}["cliente soddisfatto"] == positive[c]
+        assert (heads[c].n_recensioni, heads[c].n_punti_forza, heads[c].n_cluster) == (12, 2, 2)
+        assert len(of["canali"]) == 5
+        assert {x["sezione"] for x in lines if x["company"] == c} == {"metadati", "sentiment", "tematica", "insight", "tema"}
 
 
 def test_analyze_too_few_reviews_for_topics(spark):
