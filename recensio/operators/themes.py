@@ -16,7 +16,12 @@ Two exact plans for the match:
   whitespace, so it is a substring of the text iff it is a substring of one
   of its words.  Substrings of every distinct word (only of the keyword
   lengths in use) are equi-joined with the distinct keywords; the result is
-  joined back to (review, word) pairs.  Themes then meet reviews only
+  joined back to (review, word) pairs.  For the frequencies, the reviews of
+  a keyword become a bitmap in 64-bit words, a theme is an AND / OR of at
+  most three of them, and the count is a count of bits (reviews that share
+  their identity with others are looked up): a keyword held by every review
+  costs a row per 64 reviews and theme, not one per review.  Where the pairs
+  themselves are wanted (examples), themes meet reviews only
   through their rarest keywords (prefix filter) and each candidate is
   verified.  All joins are equi-joins on shuffled keys, so nothing has to
   fit in one task.
@@ -39,6 +44,8 @@ from recensio.session import materialize
 THEME = ("tipo", "theme_pos", "punto")
 STRENGTHS = "punti_forza"
 WEAKNESSES = "punti_debolezza"
+SHIFT = 6
+BITS = 1 << SHIFT  # reviews to a word of a bitmap
 
 
 def theme_keys(df: DataFrame) -> list[str]:
@@ -97,18 +104,15 @@ def _kw_rows(themes: DataFrame) -> DataFrame:
     )
 
 
-def _presence(band: DataFrame, kw_rows: DataFrame) -> DataFrame | None:
-    """(company, seq, ident, tipo, kw): one row per keyword a band review
-    contains (None when there is no keyword at all)."""
-    key = review_key(band)
+def _word_keywords(words: DataFrame, kw_rows: DataFrame) -> DataFrame | None:
+    """(word, kw): the keywords that are substrings of each of words(word)
+    (None when there is no keyword at all)."""
     keywords = kw_rows.select("kw").distinct()
     # Distinct keyword lengths: a handful of small integers.
     lengths = sorted(r[0] for r in keywords.select(F.length("kw")).distinct().collect())
     if not lengths:
         return None
-    review_words = band.select(*key, "ident", "tipo", F.explode(F.array_distinct("parole")).alias("word"))
-    words = review_words.select("word").distinct()
-    subs = words.select(
+    subs = words.distinct().select(
         "word",
         F.explode(
             F.array_distinct(
@@ -124,12 +128,85 @@ def _presence(band: DataFrame, kw_rows: DataFrame) -> DataFrame | None:
             )
         ).alias("kw"),
     ).filter(F.length("kw") > 0)
-    word_kw = subs.join(keywords, "kw").select("word", "kw").distinct()
+    return subs.join(keywords, "kw").select("word", "kw").distinct()
+
+
+def _presence(band: DataFrame, kw_rows: DataFrame) -> DataFrame | None:
+    """(company, seq, ident, tipo, kw): one row per keyword a band review
+    contains (None when there is no keyword at all)."""
+    key = review_key(band)
+    review_words = band.select(*key, "ident", "tipo", F.explode(F.array_distinct("parole")).alias("word"))
+    word_kw = _word_keywords(review_words.select("word"), kw_rows)
+    if word_kw is None:
+        return None
     # (review, keyword) presence: one row per keyword a review contains.
     # Read three times (frequencies, candidates, verification): written once.
     return materialize(review_words.join(word_kw, "word").select(*key, "ident", "tipo", "kw").distinct())
 
 
+def _bit(seq: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), seq.bitwiseAND(BITS - 1).cast("int"))
+
+
+def keyword_bitmaps(band: DataFrame, kw_rows: DataFrame) -> DataFrame | None:
+    """(company, tipo, kw, w, bits): the reviews that hold each keyword, as
+    bits of 64-bit words; review seq is bit seq % 64 of word seq / 64.  Only
+    words with a bit set have a row, so a keyword costs a row per review at
+    most, and a row per 64 reviews where it is everywhere."""
+    by = company_of(band)
+    review_words = band.select(*by, "seq", "tipo", F.explode(F.array_distinct("parole")).alias("word"))
+    word_kw = _word_keywords(review_words.select("word"), kw_rows)
+    if word_kw is None:
+        return None
+    w = F.shiftright("seq", SHIFT).alias("w")
+    return materialize(review_words.join(word_kw, "word").groupBy(*by, "tipo", "kw", w).agg(F.bit_or(_bit(F.col("seq"))).alias("bits")))
+
+
+def _set_of(kw: Column) -> Column:
+    """The keywords of a theme (none holds a space) in a fixed order."""
+    return F.array_join(F.array_sort(kw), " ")
+
+
+def _matched_words(bitmaps: DataFrame, sets: DataFrame) -> DataFrame:
+    """(company, tipo, kws, w, bits): the reviews that match each keyword set,
+    an AND / OR of at most three bitmaps; no review is paired with a theme."""
+    by = company_of(sets)
+    slots = sets.select(*by, "tipo", "kws", F.posexplode(F.split("kws", " ")).alias("k", "kw"))
+    b = [F.coalesce(F.bit_or(F.when(F.col("k") == i, F.col("bits"))), F.lit(0).cast("long")).alias(f"b{i}") for i in range(3)]
+    held = slots.join(bitmaps, [*by, "tipo", "kw"]).groupBy(*by, "tipo", "kws", "w").agg(*b)
+    n = F.size(F.split("kws", " "))
+    both = lambda x, y: F.col(x).bitwiseAND(F.col(y))
+    bits = F.when(n == 1, F.col("b0")).when(n == 2, both("b0", "b1")).otherwise(both("b0", "b1").bitwiseOR(both("b0", "b2")).bitwiseOR(both("b1", "b2")))
+    return held.select(*by, "tipo", "kws", "w", bits.alias("bits")).filter(F.col("bits") != 0)
+
+
+def _identities(band: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(company, tipo, w, solo): bits of the reviews whose identity has no
+    other review in the band; and (company, tipo, seq, ident) of the others."""
+    by = company_of(band)
+    per = band.groupBy(*by, "tipo", "ident").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("seq"))
+    solo = per.filter("n = 1").groupBy(*by, "tipo", F.shiftright("seq", SHIFT).alias("w")).agg(F.bit_or(_bit(F.col("seq"))).alias("solo"))
+    several = per.filter("n > 1").select(*by, "tipo", "ident")
+    return solo, band.select(*by, "tipo", "seq", "ident").join(several, [*by, "tipo", "ident"])
+
+
+def _set_counts(band: DataFrame, bitmaps: DataFrame, sets: DataFrame) -> DataFrame:
+    """(company, tipo, kws, count): distinct identities among the reviews that
+    match each set.  Bits of identities with one review are counted in place;
+    only the bits of the others become rows, one per set and identity."""
+    by = company_of(band)
+    keys = [*by, "tipo", "kws"]
+    solo, others = _identities(band)
+    met = _matched_words(bitmaps, sets).join(solo, [*by, "tipo", "w"], "left")
+    mask = F.coalesce("solo", F.lit(0).cast("long"))
+    met = materialize(met.select(*keys, "w", F.bit_count(F.col("bits").bitwiseAND(mask)).cast("long").alias("n"), F.col("bits").bitwiseAND(F.bitwise_not(mask)).alias("rest")))
+    at = F.explode(F.filter(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda i: F.getbit(F.col("rest"), i) == 1))
+    bits = met.filter("rest != 0").select(*keys, "w", at.alias("i")).select(*keys, (F.col("w") * BITS + F.col("i")).alias("seq"))
+    idents = bits.join(others, [*by, "tipo", "seq"]).select(*keys, "ident").distinct()
+    rows = met.filter("n > 0").select(*keys, "n").unionByName(idents.select(*keys, F.lit(1).cast("long").alias("n")))
+    return rows.groupBy(*keys).agg(F.sum("n").alias("count"))
+
+
 def _pairs(present: DataFrame, kw_rows: DataFrame) -> DataFrame:
     """(company, tipo, theme_pos, punto, nkw, seq, ident) for every match."""
     keys, key = theme_keys(kw_rows), review_key(present)
@@ -190,24 +267,17 @@ def _keyword_matches(band: DataFrame, th: DataFrame, cfg: Config) -> DataFrame:
 
 def _keyword_counts(band: DataFrame, th: DataFrame, cfg: Config) -> DataFrame:
     """(tipo, theme_pos, punto, count) for themes with keywords.  In the
-    word-index plan a one-keyword theme matches exactly the reviews holding
-    its keyword, so it is counted once per (band, keyword), however many
-    themes share that keyword; only themes with 2+ keywords form pairs."""
+    index plan the reviews of each keyword are a bitmap; themes with the same
+    keywords are counted once."""
     distinct_idents, by, keys = F.countDistinct("ident").alias("count"), company_of(band), theme_keys(th)
     if cfg.theme_plan == "broadcast":
         return _matches_broadcast(band, th.filter(F.col("nkw") > 0)).groupBy(*keys).agg(distinct_idents)
-    kw_rows = _kw_rows(th)
-    present = _presence(band, kw_rows)
-    if present is None:
+    bitmaps = keyword_bitmaps(band, _kw_rows(th))
+    if bitmaps is None:
         return th.filter(F.lit(False)).select(*keys, F.lit(0).cast("long").alias("count"))
-    single = kw_rows.filter(F.col("nkw") == 1).select(*keys, "kw")
-    per_kw = (
-        present.join(single.select(*by, "tipo", "kw").distinct(), [*by, "tipo", "kw"], "left_semi")
-        .groupBy(*by, "tipo", "kw").agg(distinct_idents)
-    )
-    one = per_kw.join(single, [*by, "tipo", "kw"]).select(*keys, "count")
-    many = _pairs(present, kw_rows.filter(F.col("nkw") >= 2)).groupBy(*keys).agg(distinct_idents)
-    return one.unionByName(many)
+    named = th.filter(F.col("nkw") > 0).select(*keys, _set_of(F.col("kw")).alias("kws"))
+    sets = named.select(*by, "tipo", "kws").distinct()
+    return named.join(_set_counts(band, bitmaps, sets), [*by, "tipo", "kws"]).select(*keys, "count")
 
 
 def theme_matches(reviews: DataFrame, themes: DataFrame, cfg: Config = Config()) -> DataFrame:

@@ -124,3 +124,32 @@ def test_all_ids_null_count_once_and_text50(spark):
     assert (strict["count"], strict.percentuale) == (1, pytest.approx(100 / 3))
     loose = TH.theme_frequency(r, th, replace(Config(), identity="text50")).first()
     assert loose["count"] == 2
+
+
+def test_bitmaps_with_a_keyword_in_every_review(spark):
+    """Hot keywords, hot identity, sparse and dense review numbers, two
+    companies: counts as computed plainly, and rows per word, not per review."""
+    rnd = random.Random(4)
+    words = ["consegna", "veloce", "pacco", "rotto", "prezzo", "ottimo", "lento"]
+    rows = []
+    for c, n, spread in (("a", 700, 1), ("b", 300, 1 << 20)):
+        for s in range(n):
+            txt = " ".join(["sempre", *rnd.sample(words, 3)])
+            rows.append((c, s * spread, None if s % 3 == 0 else f"id{rnd.randrange(n)}", txt, txt.split(" "), rnd.choice([1, 2, 4, 5])))
+    r = spark.createDataFrame(rows, "company string, seq bigint, review_id string, testo_pulito string, parole array<string>, rating int").withColumn("testo", F.col("testo_pulito"))
+    puntos = ["sempre", "sempre consegna", "sempre veloce pacco", "rotto prezzo ottimo", "sempre sempre lento", "semp", "manca lento sempre", "consegna", "lento lento", "manca"]
+    themes = [(c, t, i, p) for c in "ab" for t in ("punti_forza", "punti_debolezza") for i, p in enumerate(puntos)]
+    th = spark.createDataFrame(themes, "company string, tipo string, theme_pos int, punto string")
+    got = {(x.company, x.tipo, x.theme_pos): x["count"] for x in TH.theme_frequency(r, th).collect()}
+    want = {}
+    for c, t, i, p in themes:
+        kw = p.split()[:3]
+        ids = {rid or "~null" for cc, _, rid, txt, _, rating in rows
+               if cc == c and (rating >= 4 if t == "punti_forza" else rating <= 2) and sum(k in txt for k in kw) >= min(2, len(kw))}
+        if ids:
+            want[(c, t, i)] = len(ids)
+    assert got == want and len(want) == 36
+    band, prepared = TH.band_reviews(r, Config()), TH.theme_keywords(th)
+    bitmaps = TH.keyword_bitmaps(band, TH._kw_rows(prepared))
+    assert bitmaps.filter("company = 'a' and kw = 'sempre'").count() <= 2 * 11
+    assert TH._matched_words(bitmaps, spark.createDataFrame([("a", "punti_forza", "consegna sempre")], "company string, tipo string, kws string")).count() <= 11
