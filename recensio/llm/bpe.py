@@ -177,15 +177,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=1)
-def unassigned() -> re.Pattern:
-    """Any code point without an assigned character."""
-    edges, before = [], False
-    for c in range(sys.maxunicode + 2):
-        now = c <= sys.maxunicode and unicodedata.category(chr(c)) == "Cn"
-        if now != before:
-            edges.append(c if now else c - 1)
-        before = now
-    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(edges[::2], edges[1::2])) + "]")
+def unassigned() -> frozenset[str]:
+    """The code points without an assigned character (none below U+0250)."""
+    return frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) == "Cn")
 
 
 class Tokenizer:
@@ -207,7 +201,7 @@ class Tokenizer:
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self._pieces = regex.compile(split.replace(r"\s", SPACE), regex.V0)
         self._odd = re.compile("[\x1c-\x1f]")
-        self._unknown = unassigned()
+        self._beyond = re.compile("[^\x00-\u024f]")
         self._space = re.compile(f"[{SPACE}]+")
         self._letter = {b: c for c, b in byte_alphabet().items()}
         strings = self.vocab | self.special
@@ -241,7 +235,7 @@ class Tokenizer:
         return [i for piece in self._pieces.findall(word) for i in self.encoder("".join(letter[b] for b in piece.encode()))]
 
     def encode(self, text: str) -> np.ndarray:
-        if not text.isascii() and self._unknown.search(text):
+        if not text.isascii() and self._beyond.search(text) and not unassigned().isdisjoint(text):
             # Which of these are letters, and of which case, depends on the
             # Unicode version of each library: only the tokenizer's own knows.
             return np.array(library(self.path).encode(text, add_special_tokens=False).ids, np.int32)

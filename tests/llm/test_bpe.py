@@ -40,9 +40,10 @@ def test_odd_texts(both):
 
 
 def test_every_code_point(both):
-    """Alone, between letters and beside its like; 1,000 to a text."""
+    """Alone, between letters and beside its like; 1,000 to a text.  Of the
+    planes that hold no letter (private, not assigned) every 97th."""
     ours, library = both
-    every = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    every = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x34000 or 0xE0000 <= c < 0xE0200 or c % 97 == 0)]
     for at in range(0, len(every), 1000):
         text = " ".join(f"A{chr(c)}e x{chr(c)}{chr(c)} {chr(c)}1" for c in every[at:at + 1000])
         want, got = library.encode(text, add_special_tokens=False).ids, ours.encode(text)
