@@ -27,9 +27,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import keyed_text, prepare, small_batches, table
+from .common import keyed_text, prepare, shared_folder, small_batches, table
 from .tokens import default_path, token_ids
-from .warc import shared_folder
 
 WIDTH, END_ID, SHARD_TOKENS = 2048, 50256, 1 << 22
 MAGIC, FOOT = b"IDSHARD1", b"\n#IDSHARD1 end#\n"

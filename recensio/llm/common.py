@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,48 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` dealt and sorted by columns and written as a checkpoint whose
+    layout Spark knows: joins on these columns do not move it again.  Adaptive
+    planning is off for this one write, as it would hide the layout."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df.repartition(*by).sortWithinPartitions(*by).checkpoint(eager=True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the session's shared folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+class Scratch:
+    """Tables written as Parquet in the shared folder, which take a fraction
+    of a checkpoint's room, until ``drop``."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        path = shared_folder(self.spark, name)
+        df.write.option("compression", "zstd").parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        """Remove the tables; nothing that is still to run may read them."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for path in self.paths:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+        self.paths.clear()
+
+
 def prepare(spark: SparkSession) -> None:
     """Make the package importable in the Python workers (local sessions)."""
     ship_package(spark)

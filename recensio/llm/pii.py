@@ -39,8 +39,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from recensio.operators.ordering import running_offset
 
-from .common import cut, prepare, small_batches, table
-from .warc import shared_folder
+from .common import cut, prepare, shared_folder, small_batches, table
 
 KEY = "example key"
 #: Draws before dense forms are numbered: those of at most ``DENSE`` values per value that occurs.

@@ -36,7 +36,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .common import cut, prepare, small_batches, table
+from .common import Scratch, cut, dealt, prepare, small_batches, table
 
 THRESHOLD, BLOCK, CROWD = 200, 64, 4096
 #: Window starts handled at once: bounds a task's arrays for any text length.
@@ -115,8 +115,9 @@ def runs(data: bytes, threshold: int, block: int) -> Iterator[tuple[np.ndarray,
 
 
 def _numbered(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> DataFrame:
-    """(row, doc_id, z, rest), written: row is a unique number, z the text's
-    bytes compressed."""
+    """(row, doc_id, z, rest), written, dealt by row: row is a unique number, z
+    the text's bytes compressed.  The text moves this once; later joins bring
+    spans and requests to it."""
     data = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     rest = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.struct(F.lit(None).cast("int").alias("none"))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), data.alias("data"), rest.alias("rest"))
@@ -128,7 +129,7 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) ->
             z = pa.array([c.compress(x) for x in b.column(2).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), z, b.column(3)], [f.name for f in schema.fields])
 
-    return cut(rows.mapInArrow(run, schema))
+    return dealt(rows.mapInArrow(run, schema), "row")
 
 
 def _unpack(z: bytes) -> bytes:
@@ -210,19 +211,19 @@ def _compare(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.R
         yield solve(left.combine_chunks())
 
 
-def repeated_spans(rows: DataFrame, threshold: int = THRESHOLD, block: int = BLOCK, crowd: int = CROWD) -> DataFrame:
+def repeated_spans(rows: DataFrame, scratch: Scratch, threshold: int = THRESHOLD, block: int = BLOCK, crowd: int = CROWD) -> DataFrame:
     """(row, start, stop) of ``rows(row, z)``, as ``_numbered`` writes them:
-    byte ranges made of repeated windows; they may overlap, and together they cover every byte that is to go."""
+    byte ranges made of repeated windows; they may overlap, and together they
+    cover every byte that is to go.  It reads the tables of ``scratch``."""
     # pass 1: a block met once cannot be part of a repeated window
     every = _occurrences(rows, threshold, block)
-    # (written, so that the join deals both sides and AQE can split a hot block)
-    twice = cut(every.groupBy("block").agg(F.count("*").alias("n")).where("n > 1").select("block"))
-    seen = cut(every.join(twice, "block", "left_semi"))
+    twice = scratch.keep(every.groupBy("block").agg(F.count("*").alias("n")).where("n > 1").select("block"), "blocks")
+    seen = scratch.keep(every.join(twice, "block", "left_semi"), "seen")
     # pass 2, on what is left: how often each context occurs (m), and how many
     # contexts share its block (k)
     ctx = seen.groupBy("block", "ctx").agg(F.count("*").alias("m"), F.min(F.struct("row", "start", "n")).alias("at"))
-    shared = cut(ctx.groupBy("block").agg(F.count("*").alias("k")))
-    live = cut(ctx.join(shared, "block").where("m > 1 or k > 1").select("block", "ctx", "m", "k", "at"))
+    shared = scratch.keep(ctx.groupBy("block").agg(F.count("*").alias("k")), "shared")
+    live = scratch.keep(ctx.join(shared, "block").where("m > 1 or k > 1").select("block", "ctx", "m", "k", "at"), "live")
     full = seen.join(live.where("m > 1").select("block", "ctx"), ["block", "ctx"]).select(
         "row", "start", (F.col("start") + F.col("n") + (threshold - 1)).alias("stop"))
     # one occurrence of each context that shares its block with another context
@@ -246,7 +247,7 @@ def repeated_spans(rows: DataFrame, threshold: int = THRESHOLD, block: int = BLO
 
     asked = need.groupBy("row").agg(F.collect_list(F.struct("block", "k", "start", "n")).alias("want"))
     some = rows.select("row", "z").join(asked.hint("merge"), "row").select("row", "z", "want")
-    parts = cut(some.mapInArrow(slices, "row long, block long, k long, start long, data binary"))
+    parts = scratch.keep(some.mapInArrow(slices, "row long, block long, k long, start long, data binary"), "parts")
     columns = "row long, start long, stop long"
     near = parts.where(F.col("k") <= crowd).select("row", "block", "start", "data").repartition("block").sortWithinPartitions("block").mapInArrow(lambda it: _compare(it, threshold), columns)
 
@@ -276,8 +277,10 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, block: int = BLO
     """
     prepare(docs.sparkSession)
     rows = _numbered(docs, id_col, text_col, list(carry))
-    spans = repeated_spans(rows, threshold, block, crowd)
-    mine = spans.groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    scratch = Scratch(docs.sparkSession)
+    spans = repeated_spans(rows, scratch, threshold, block, crowd)
+    mine = cut(spans.groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("spans")))
+    scratch.drop()
     joined = rows.join(mine.hint("merge"), "row", "left").select("doc_id", "z", "rest", "spans")
     rest = joined.schema["rest"]
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))

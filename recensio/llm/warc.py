@@ -19,16 +19,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import uuid
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from recensio.session import ensure_checkpoint_dir
-
-from .common import prepare, small_batches, table
+from .common import prepare, shared_folder, small_batches, table
 
 ARCHIVE_BYTES = 8 << 20
 DATE = "2024-01-01T00:00:00Z"
@@ -215,12 +212,6 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, "archive string, record_type string, record_id string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary, error string")
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder's path in the session's shared folder."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-
-
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     path = shared_folder(spark, "warc")

@@ -69,7 +69,7 @@ def test_spans_of_copies_stay_apart(spark, make_docs):
     rng = random.Random(13)
     rows = [(7, words(rng, 120))] * 40 + [(None, "copy of no id " * 30)] * 40
     assert ours(make_docs(rows)) == brute(rows, 200)
-    spans = suffix.repeated_spans(suffix._numbered(make_docs(rows), "doc_id", "text", []))
+    spans = suffix.repeated_spans(suffix._numbered(make_docs(rows), "doc_id", "text", []), suffix.Scratch(spark))
     assert spans.select("row").distinct().count() == len(rows)  # a group a row, of that row's spans only
 
 
