@@ -11,13 +11,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from recensio.llm.common import table
+from recensio.llm.common import shared_folder, table
 from recensio.llm.packing import packed_pieces
 from recensio.llm.pii import pseudonymise
 from recensio.llm.quality import fit_quality, quality_rules
 from recensio.llm.simhash import one_of_each
 from recensio.llm.suffix import remove_repeats
-from recensio.llm.warc import shared_folder
 
 
 def _with_text(rows: DataFrame, docs: DataFrame, text) -> DataFrame:
