@@ -1,17 +1,24 @@
 """Personal data replaced by keyed surrogates.
 
-Detected values (mail addresses, phone and card numbers, IP addresses, bank and
-social security numbers, access keys, tokens, passwords, names after a title
+Detected values (mail addresses, phone and card numbers, IP addresses of both
+versions, bank and social security numbers, access keys, tokens, passwords, names after a title
 and every further mention of their words in the same text) are replaced by
 made-up values of the same type and form.
 
+* *Coreference.*  Within a text a word of a name is one kind, whatever titles
+  its mentions carry (a surname anywhere is a surname; else any title that
+  tells a gender settles it), so all mentions get one surrogate.
+
 * *Keyed and consistent.*  The surrogate of a value is a keyed permutation of
   all values of its form (a Feistel network over the value's letters and
   digits, each staying in its own alphabet), so a value has one surrogate in
   the whole corpus, whatever its case or punctuation, and two values never
   share one.  Names keep their gender, script, length and their order of
   vowels and consonants; known given names become other given names of the
-  same gender.  Card numbers keep their check digit rule.
+  same gender.  Card numbers keep their check digit rule, addresses their range
+  (private, loopback, link-local, multicast, public).  Letters beyond the fixed
+  alphabets move among the letters of their own Unicode block, signs of a
+  password among signs; a value in which nothing can move gets a keyed value of another form.
 * *Collision check.*  A surrogate must not be a value that really occurs.  All
   distinct values of the corpus are joined with all surrogates; those that
   collide draw again under the next key until they are free and distinct.  In
@@ -28,8 +35,11 @@ Detection and replacement are map-only passes.
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
-from collections.abc import Iterator
+import secrets
+import unicodedata
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import count
 from math import prod
@@ -41,7 +51,8 @@ from recensio.operators.ordering import running_offset
 
 from .common import cut, prepare, shared_folder, small_batches, table
 
-KEY = "example key"
+#: The session setting that holds the secret key of the queries.
+KEY_CONF = "spark.recensio.pii.key"
 #: Draws before dense forms are numbered: those of at most ``DENSE`` values per value that occurs.
 TRIES, DENSE = 8, 8
 #: Values of a form listed by one row.
@@ -62,12 +73,67 @@ GIVEN = {
 VOWELS = {"latin": "aeiou", "accented": "àáâãäåèéêëìíîïòóôõöùúûü", "cyrillic": "аеиоуыэюя", "greek": "αεηιουω"}
 CONSONANTS = {"latin": "bcdfghjklmnpqrstvwxyz", "accented": "çñßý", "cyrillic": "бвгджзйклмнпрстфхцчшщ", "greek": "βγδζθκλμνξπρστφχψ"}
 DIGITS, HEX = "0123456789", "0123456789abcdef"
+SIGNS = "!#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 # ----------------------------------------------------------------------------
 
-_LETTERS = {s: VOWELS[s] + CONSONANTS[s] for s in VOWELS}
-_FREE = {c: a for a in [DIGITS, *_LETTERS.values()] for c in a}
-_NAME = {c: a for s in VOWELS for a in (VOWELS[s], CONSONANTS[s]) for c in a}
+_FIXED = {c: (s, v) for s in VOWELS for v, letters in ((True, VOWELS[s]), (False, CONSONANTS[s])) for c in letters}
+_BASES = frozenset("".join(VOWELS.values()))
+
+
+@lru_cache(maxsize=None)
+def _block(number: int, category: str, vowels: bool | None) -> str:
+    """Letters of one category in a block of 128 code points that are in no
+    fixed alphabet; of the vowels or consonants among them, or all (None).
+    Each is its own lower case, and its capital is one letter."""
+    out = []
+    for c in map(chr, range(number * 128, number * 128 + 128)):
+        if unicodedata.category(c) == category and c not in _FIXED and c.lower() == c and len(c.upper()) == 1 and c.upper().lower() == c:
+            if vowels is None or (unicodedata.normalize("NFD", c)[0] in _BASES) == vowels:
+                out.append(c)
+    return "".join(out)
+
+
+def _beyond(c: str, apart: bool) -> str:
+    """What may stand for a letter or digit of no fixed alphabet ('' if
+    nothing may)."""
+    category = unicodedata.category(c)
+    if category == "Nd":
+        zero = ord(c) - unicodedata.decimal(c)
+        return "".join(map(chr, range(zero, zero + 10)))
+    if category not in ("Ll", "Lo"):
+        return ""
+    letters = _block(ord(c) // 128, category, unicodedata.normalize("NFD", c)[0] in _BASES if apart else None)
+    return letters if c in letters else ""
+
+
+@lru_cache(maxsize=1 << 16)
+def free(c: str) -> str:
+    """The alphabet within which a character moves ('': it stays)."""
+    if c in _FIXED:
+        s = _FIXED[c][0]
+        return VOWELS[s] + CONSONANTS[s]
+    return DIGITS if c in DIGITS else _beyond(c, False)
 
+
+@lru_cache(maxsize=1 << 16)
+def named(c: str) -> str:
+    """The same in names: vowels and consonants apart."""
+    if c in _FIXED:
+        s, vowel = _FIXED[c]
+        return VOWELS[s] if vowel else CONSONANTS[s]
+    return "" if c in DIGITS else _beyond(c, True)
+
+
+def secret(c: str) -> str:
+    """The same in passwords: signs move too."""
+    return SIGNS if c in SIGNS else free(c)
+
+
+def hexed(c: str) -> str:
+    return HEX if c in HEX else ""
+
+
+_HEX4 = "[0-9a-fA-F]{1,4}"
 _GAP = r"[^\w\n]{0,6}"
 _TITLE = "|".join(t for ts in TITLES.values() for t in ts)
 _SPACE = r"[ \t\u00a0]"
@@ -78,16 +144,17 @@ PATTERN = re.compile(
     r"|(?:(?i:token|secret|api[_-]?key)[^\w\n]{1,8}(?P<token>[0-9A-Za-z_-]{16,}))"
     r"|(?P<hex>(?<![0-9A-Za-z])(?=[a-fA-F]*[0-9])[0-9a-fA-F]{32,}(?![0-9A-Za-z]))"
     r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
+    rf"|(?P<ip6>(?<![\w:.])(?:[23][0-9a-fA-F]{{3}}|[fF][c-fC-F][0-9a-fA-F]{{2}})(?:(?::{_HEX4}){{7}}|(?::{_HEX4}){{0,6}}::(?:{_HEX4}(?::{_HEX4}){{0,5}})?)(?![\w:]|\.\d))"
     r"|(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d))"
     rf"|(?P<phone>\+\d{{1,3}}{_GAP}\d{{2,4}}(?:{_GAP}\d{{2,4}}){{2,4}}(?!\d)|(?<!\d)\(\d{{3}}\){_GAP}\d{{3}}-\d{{4}}(?!\d)|(?<![\d-])\d{{3}}-\d{{3}}-\d{{4}}(?![\d-]))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
-    r"|(?P<card>(?<!\d)(?:\d{4}([ -]?)\d{4}\11\d{4}\11\d{4}|\d{13,19})(?!\d))"
+    r"|(?P<card>(?<!\d)(?:\d{4}(?P<gap>[ -]?)\d{4}(?P=gap)\d{4}(?P=gap)\d{4}|\d{13,19})(?!\d))"
     rf"|(?:\b(?P<title>(?:(?:{_TITLE})\.?{_SPACE}+)+)(?=[^\W\d_]))")
 #: A word of a name: apostrophes inside belong to it, a closing 's does not.
 _WORD = re.compile(r"(?<!\w)[^\W\d_]\w*(?:['’](?!s\b)[^\W\d_]\w*)*(?![\w.+-]*@)")
 _JOIN = re.compile(rf"-|{_SPACE}+")
 _INITIAL = re.compile(rf"\.?-|\.?{_SPACE}+|\.")
-#: A text without any of these holds nothing (also the JVM's first look).
+#: A text without any of these holds nothing.
 HINT = rf"[0-9@]|(?:{_TITLE})\.?{_SPACE}|(?i:token|secret|api[_-]?key|passw|pwd)"
 _HINT = re.compile(HINT)
 
@@ -122,33 +189,58 @@ def _name(text: str, at: int, title: str) -> list[tuple[int, int, str, str]]:
     gender = next((g for g in "mf" if any(t.rstrip(".") in TITLES[g] for t in title.split())), None)
     out = []
     for i, (a, e, _) in enumerate(words):
-        word, script = text[a:e].lower(), script_of(text[a:e])
+        word, script = lowered(text[a:e]), script_of(text[a:e])
         part = "surname" if head <= i <= last else f"given-{gender or next((g for g in 'fm' if word in GIVEN.get((g, script), [])), 'x')}"
         out.append((a, e, f"{part}-{script}", word))
     return out
 
 
+def _settled(found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """``found`` with one kind per word of a name: a surname if it is one
+    anywhere, else a given name of the first gender a title or list tells."""
+    kinds: dict[str, str] = {}
+    for _, _, kind, value in found:
+        part, _, rest = kind.partition("-")
+        if part == "surname":
+            kinds[value] = kind
+        elif part == "given" and kinds.get(value, "given-x").startswith("given-x"):
+            kinds[value] = kind
+    return [(a, e, kinds.get(v, k) if k.startswith(("given-", "surname-")) else k, v) for a, e, k, v in found]
+
+
 def _mentions(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
     """Further whole-word mentions of the words of detected names, outside
-    ``found``; a word that was found as two kinds is its first one."""
-    known: dict[str, str] = {}
-    for _, _, kind, value in found:
-        if kind.startswith(("given-", "surname-")) and len(value) > 1:
-            known.setdefault(value, kind)
+    ``found``."""
+    known = {v: k for _, _, k, v in found if k.startswith(("given-", "surname-")) and len(v) > 1}
     if not known:
         return []
     out, k = [], 0
     for m in _WORD.finditer(text):
-        kind = known.get(m[0].lower())
+        kind = known.get(lowered(m[0]))
         if kind is None or not m[0][0].isupper():
             continue
         while k < len(found) and found[k][1] <= m.start():
             k += 1
         if k == len(found) or found[k][0] >= m.end():
-            out.append((*m.span(), kind, m[0].lower()))
+            out.append((*m.span(), kind, lowered(m[0])))
     return out
 
 
+def lowered(text: str) -> str:
+    """Lower case, letter by letter: as long as the text."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
+def _address6(raw: str) -> str | None:
+    """An address in full, if it is one and names more than a network."""
+    try:
+        full = ipaddress.IPv6Address(raw).exploded
+    except ValueError:
+        return None
+    return full if any(g != "0000" for g in full.split(":")[1:]) else None
+
+
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """(start, stop, kind, value) of each detected value, in order.  value is
     the normal form: lower case, and letters and digits only where punctuation
@@ -165,12 +257,17 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
             out += name
             at = name[-1][1] if name else at
             continue
+        if kind == "ip6":
+            if full := _address6(m[0]):
+                out.append((*m.span(), "ip6", full))
+            continue
         kind = "token" if kind == "hex" else kind
         start, stop = m.span(kind if m[kind] is not None else "hex") if kind != "token" else m.span("token" if m["token"] is not None else "hex")
         raw = text[start:stop]
-        plain = raw.lower() if len(raw.lower()) == len(raw) else raw
+        plain = lowered(raw)
         value = "".join(c for c in plain if c.isalnum()) if kind in ("phone", "card", "ssn", "iban") else plain
         out.append((start, stop, kind, value))
+    out = _settled(out)
     more = _mentions(text, out)
     return sorted(out + more) if more else out
 
@@ -222,24 +319,76 @@ def _luhn(number: str) -> bool:
     return total % 10 == 0
 
 
-def _permuted(value: str, alphabet: dict[str, str], seed: bytes, fixed: int = 0) -> str:
-    """The value with each character moved within its own alphabet; the first
-    ``fixed`` characters and characters of no alphabet stay."""
-    at = [i for i, c in enumerate(value) if i >= fixed and c in alphabet]
-    digits = _shuffle([alphabet[value[i]].index(value[i]) for i in at], [len(alphabet[value[i]]) for i in at], seed)
+def _permuted(value: str, alphabet: Callable[[str], str], seed: bytes, moves: list[int]) -> str:
+    """The value with the characters at ``moves`` moved within their own
+    alphabets."""
+    sets = [alphabet(value[i]) for i in moves]
+    digits = _shuffle([a.index(value[i]) for i, a in zip(moves, sets)], [len(a) for a in sets], seed)
     out = list(value)
-    for i, d in zip(at, digits):
-        out[i] = alphabet[out[i]][d]
+    for i, d, a in zip(moves, digits, sets):
+        out[i] = a[d]
     return "".join(out)
 
 
-def surrogate(kind: str, value: str, key: str, draw: int = 0) -> str:
-    """The normal form that stands for a normal form.  For each key and draw
-    it is a permutation of the values of one kind and form."""
+# ---- address ranges ----
+
+def _range(a: list[int]) -> tuple[tuple[int, int], ...]:
+    """The range an address of version 4 stays in, as (first, size) per part."""
+    byte = (0, 256)
+    if a[0] in (0, 10, 127):
+        return ((a[0], 1), byte, byte, byte)
+    if a[0] == 172 and 16 <= a[1] < 32:
+        return ((172, 1), (16, 16), byte, byte)
+    if a[:2] in ([192, 168], [169, 254]):
+        return ((a[0], 1), (a[1], 1), byte, byte)
+    return ((224, 32) if a[0] >= 224 else (1, 223), byte, byte, byte)
+
+
+def _groups(value: str) -> list[int]:
+    """Places of the digits of an address of version 6 that move: those of
+    groups that are not zero, but for the first."""
+    return [i for g in range(1, 8) if value[5 * g:5 * g + 4] != "0000" for i in range(5 * g, 5 * g + 4)]
+
+
+# ---- forms ----
+
+def _form(kind: str, value: str) -> tuple[str, Callable[[str], str], list[int]]:
+    """(tag, alphabets, places that move) of a value that is no address and
+    no listed given name.  Tag: v and x are card numbers that keep and break
+    the check digit rule, h hexadecimal."""
+    part = kind.partition("-")[0]
+    tag, alphabet = "-", named if part in ("given", "surname") else secret if part == "password" else free
+    if part == "card" and value.isdecimal() and value.isascii():
+        tag = "v" if _luhn(value) else "x"
+    elif part in ("token", "password") and value and all(c in HEX for c in value):
+        tag, alphabet = "h", hexed
+    return tag, alphabet, _moves(part, value, alphabet)
+
+
+def _moves(part: str, value: str, alphabet: Callable[[str], str]) -> list[int]:
+    fixed = {"access": 4, "iban": 2, "phone": 1 if len(value) > 10 else 0}.get(part, 0)
+    stop = max(0, value.rfind(".")) if part == "mail" else len(value)  # the last label of a mail address stays
+    return [i for i in range(fixed, stop) if len(alphabet(value[i])) > 1]
+
+
+def _least(value: str, alphabet: Callable[[str], str], moves: list[int]) -> str:
+    out = list(value)
+    for i in moves:
+        out[i] = alphabet(value[i])[0]
+    return "".join(out)
+
+
+def _pool(kind: str) -> list[str]:
     part, _, rest = kind.partition("-")
+    return GIVEN.get(tuple(rest.split("-")), []) if part == "given" else []
+
 
+def surrogate(kind: str, value: str, key: str, draw: int = 0) -> str:
+    """The normal form that stands for a normal form.  For each key and draw
+    it is a permutation of the values of one kind and form; a value in which
+    nothing can move gets letters from a keyed hash instead."""
     def seed(form: str) -> bytes:
-        return hashlib.blake2b(f"{key}\0{draw}\0{kind}\0{form}".encode(), digest_size=32).digest()
+        return hashlib.blake2b(f"{key}\0{draw}\0{kind}\0{form}".encode("utf-8", "surrogatepass"), digest_size=32).digest()
 
     def walk(step, same):
         """Permute within the values for which ``same`` holds (it holds for
@@ -249,89 +398,86 @@ def surrogate(kind: str, value: str, key: str, draw: int = 0) -> str:
             v = step(v)
         return v
 
-    if part == "ip":
-        first, *others = map(int, value.split("."))
-        low, size = (1, 223) if 1 <= first <= 223 else (224, 32) if first else (0, 1)
-        d = _shuffle([first - low, *others], [size, 256, 256, 256], seed(str(low)))
-        return ".".join(map(str, [d[0] + low, *d[1:]]))
-    if part == "card":
-        rule = _luhn(value) if value.isdecimal() and value.isascii() else None
-        step = lambda v: _permuted(v, _FREE, seed(str(len(v))))
-        return walk(step, lambda v: _luhn(v) == rule) if rule is not None else step(value)
-    if part in ("token", "password") and value and all(c in HEX for c in value):
-        return _permuted(value, {c: HEX for c in HEX}, seed(f"hex {len(value)}"))
-    if part in ("given", "surname"):
-        pool = GIVEN.get(tuple(rest.split("-")), []) if part == "given" else []
-        if value in pool:
-            at = _shuffle([pool.index(value)], [len(pool)], seed("pool"))[0]
-            return pool[at]
-        form = lambda v: "".join(_NAME[c][0] if c in _NAME else c for c in v)
-        return walk(lambda v: _permuted(v, _NAME, seed(form(v))), lambda v: v not in pool)
-    fixed = {"access": 4, "iban": 2, "phone": 1 if len(value) > 10 else 0}.get(part, 0)
-    keep = value
-    if part == "mail":  # the last label of the address stays
-        value, dot, last = value.rpartition(".")
-        form = "".join(_FREE[c][0] if c in _FREE else c for c in value)
-        return _permuted(value, _FREE, seed(form + dot + last)) + dot + last
-    form = "".join(_FREE[c][0] if i >= fixed and c in _FREE else c for i, c in enumerate(keep))
-    return _permuted(keep, _FREE, seed(form), fixed)
+    if kind == "ip":
+        own = _range(list(map(int, value.split("."))))
+
+        def step(v):
+            d = _shuffle([x - low for x, (low, _) in zip(map(int, v.split(".")), own)], [n for _, n in own], seed(str(own)))
+            return ".".join(str(x + low) for x, (low, _) in zip(d, own))
+        return walk(step, lambda v: _range(list(map(int, v.split(".")))) == own)
+    if kind == "ip6":
+        moves = _groups(value)
+        return walk(lambda v: _permuted(v, hexed, seed(f"{value[:4]} {moves}"), moves), lambda v: _groups(v) == moves)
+    pool = _pool(kind)
+    if value in pool:
+        return pool[_shuffle([pool.index(value)], [len(pool)], seed("pool"))[0]]
+    tag, alphabet, moves = _form(kind, value)
+    if not moves:
+        h = hashlib.blake2b(value.encode("utf-8", "surrogatepass"), key=seed("none"), digest_size=14).digest()
+        return "".join((VOWELS if i % 2 else CONSONANTS)["latin"][x % (5 if i % 2 else 21)] for i, x in enumerate(h))
+    step = lambda v: _permuted(v, alphabet, seed(tag + _least(v, alphabet, moves)), moves)
+    if tag in "vx":
+        return walk(step, lambda v: _luhn(v) == (tag == "v"))
+    return walk(step, lambda v: v not in pool)
 
 
 def space(kind: str, value: str) -> tuple[str, int, int]:
     """(form, strings, values): the values that ``surrogate`` permutes along
     with this one are those ``member(kind, form, i)``, i < strings, that are
     not None; ``values`` is about their number."""
-    part, _, rest = kind.partition("-")
-    if part == "ip":
-        first = int(value.split(".")[0])
-        low, size = (1, 223) if 1 <= first <= 223 else (224, 32) if first else (0, 1)
-        return f"i{low}", size << 24, size << 24
-    if part == "given" and value in (pool := GIVEN.get(tuple(rest.split("-")), [])):
+    if kind == "ip":
+        own = _range(list(map(int, value.split("."))))
+        size = prod(n for _, n in own)
+        return "i" + " ".join(f"{low} {n}" for low, n in own), size, size
+    if kind == "ip6":
+        moves = _groups(value)
+        return "6" + "".join("f" if i in moves else c for i, c in enumerate(value)), 16 ** len(moves), 65535 ** (len(moves) // 4)
+    if value in (pool := _pool(kind)):
         return "p", len(pool), len(pool)
-    tag = "-"
-    if part == "card" and value.isdecimal() and value.isascii():
-        tag = "v" if _luhn(value) else "x"
-    elif part in ("token", "password") and value and all(c in HEX for c in value):
-        tag = "h"
-    alphabet, moves = _moves(part, tag, value)
-    size = prod(len(alphabet[value[i]]) for i in moves)
-    out = list(value)
-    for i in moves:
-        out[i] = alphabet[value[i]][0]
-    return tag + "".join(out), size, {"v": size // 10, "x": size - size // 10}.get(tag, size)
-
-
-def _moves(part: str, tag: str, value: str) -> tuple[dict[str, str], list[int]]:
-    """The alphabets, and the places whose characters move within them."""
-    alphabet = {c: HEX for c in HEX} if tag == "h" else _NAME if part in ("given", "surname") else _FREE
-    fixed = {"access": 4, "iban": 2, "phone": 1 if len(value) > 10 else 0}.get(part, 0)
-    stop = max(0, value.rfind(".")) if part == "mail" else len(value)
-    return alphabet, [i for i in range(fixed, stop) if value[i] in alphabet]
+    tag, alphabet, moves = _form(kind, value)
+    if not moves:
+        return "n", 0, 1 << 62  # never listed
+    size = prod(len(alphabet(value[i])) for i in moves)
+    return tag + _least(value, alphabet, moves), size, {"v": size // 10, "x": size - size // 10}.get(tag, size)
 
 
 def member(kind: str, form: str, i: int) -> str | None:
     """The i-th string of a form (see ``space``); None if it is no value."""
-    part, _, rest = kind.partition("-")
     tag, value = form[0], form[1:]
     if tag == "i":
-        return ".".join(map(str, [(i >> 24) + int(value), i >> 16 & 255, i >> 8 & 255, i & 255]))
-    pool = GIVEN.get(tuple(rest.split("-")), []) if part == "given" else []
+        n = list(map(int, value.split()))
+        out = []
+        for low, size in reversed(list(zip(n[::2], n[1::2]))):
+            i, d = divmod(i, size)
+            out.append(d + low)
+        out.reverse()
+        return ".".join(map(str, out)) if _range(out) == tuple(zip(n[::2], n[1::2])) else None
+    pool = _pool(kind)
     if tag == "p":
         return pool[i]
-    alphabet, moves = _moves(part, tag, value)
+    if tag == "6":
+        alphabet, moves = hexed, _groups(value)
+    else:
+        alphabet = hexed if tag == "h" else _form(kind, value)[1]
+        moves = _moves(kind.partition("-")[0], value, alphabet)
     out = list(value)
     for at in reversed(moves):
-        i, d = divmod(i, len(alphabet[out[at]]))
-        out[at] = alphabet[out[at]][d]
+        letters = alphabet(out[at])
+        i, d = divmod(i, len(letters))
+        out[at] = letters[d]
     out = "".join(out)
-    return None if out in pool or tag in "vx" and _luhn(out) != (tag == "v") else out
+    return None if out in pool or tag in "vx" and _luhn(out) != (tag == "v") or tag == "6" and _groups(out) != moves else out
 
 
 def fill(raw: str, kind: str, stands: str) -> str:
     """The surrogate in the written form of ``raw``: its case and layout."""
     if kind == "ip":
         return stands
-    if kind in ("phone", "card", "ssn", "iban"):
+    if kind == "ip6":
+        if len(raw) < len(stands):
+            stands = ipaddress.IPv6Address(stands).compressed
+        return stands.upper() if raw.isupper() else stands
+    if kind in ("phone", "card", "ssn", "iban") and len(stands) == sum(map(str.isalnum, raw)):
         it = iter(stands)
         stands = "".join(next(it) if c.isalnum() else c for c in raw)
     if len(stands) != len(raw):  # another given name
@@ -359,10 +505,17 @@ def replace(text: str, key: str, again: dict[tuple[str, str], str] | None = None
 
 # ---- operator --------------------------------------------------------------
 
-def entities(docs: DataFrame, by_doc: bool = False) -> DataFrame:
-    """(kind, value) of every detected value, with doc_id if ``by_doc``; once
-    per document."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").rlike(HINT))
+def text_hash(text):
+    """Names a text's list of values drawn again.  Were two texts to share a
+    hash, each would get the other's list besides its own, which changes
+    nothing."""
+    return F.xxhash64(text)
+
+
+def entities(docs: DataFrame) -> DataFrame:
+    """(h, kind, value) of every detected value, once per text; h is the
+    text's hash."""
+    rows = docs.select(text_hash(F.col("text")).alias("h"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
@@ -372,10 +525,9 @@ def entities(docs: DataFrame, by_doc: bool = False) -> DataFrame:
                     row.append(i)
                     kind.append(k)
                     value.append(v)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(kind, pa.string()), pa.array(value, pa.string())], ["doc_id", "kind", "value"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(kind, pa.string()), pa.array(value, pa.string())], ["h", "kind", "value"])
 
-    out = rows.mapInArrow(run, "doc_id long, kind string, value string")
-    return out if by_doc else out.select("kind", "value")
+    return rows.mapInArrow(run, "h long, kind string, value string").distinct()
 
 
 def _drawn(values: DataFrame, key: str, draw: int) -> DataFrame:
@@ -461,30 +613,38 @@ def drawn_again(values: DataFrame, key: str, tries: int = TRIES) -> DataFrame |
     return done
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text", check: bool = True) -> DataFrame:
+def key_of(spark: SparkSession) -> str:
+    """The session's secret key (``KEY_CONF``); without one, a new random key:
+    consistent within the run, and nobody can undo it."""
+    return spark.conf.get(KEY_CONF, None) or secrets.token_hex(16)
+
+
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", check: bool = True) -> DataFrame:
     """All columns of ``docs`` in a struct ``row``; text, with surrogates; and
     spans (array of start, stop, kind: where they stand in it).
 
     Null texts stay null and empty ones empty.  Rows keep their number;
-    repeated rows get the same surrogates.  Null ids are kept.  An empty table
-    gives an empty result.
+    repeated rows get the same surrogates.  Null ids are kept; rows that share
+    an id are handled each for itself.  Other columns may have any name.  Texts
+    of any length are read whole.  An empty table gives an empty result.
     """
+    if not key:
+        raise ValueError("surrogates need a secret key")
     spark = docs.sparkSession
     prepare(spark)
-    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).cast("string").alias("text"))
     again = None
     if check:
-        values = cut(entities(named).distinct())
-        again = drawn_again(values, key)
+        mine = cut(entities(rows))
+        again = drawn_again(cut(mine.select("kind", "value").distinct()), key)
     pair = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("kind", "value", "stands")]))
     if again is None or again.isEmpty():
-        rows = named.select("row", "text", F.lit(None).cast(pair).alias("again"))
+        rows = rows.select("row", "text", F.lit(None).cast(pair).alias("again"))
     else:
         # written, so that Spark knows its size when it plans the join
         path = shared_folder(spark, "again")
-        mine = entities(named, by_doc=True).join(again, ["kind", "value"]).distinct()
-        mine.groupBy(F.col("doc_id").alias("d")).agg(F.collect_list(F.struct("kind", "value", "stands")).alias("again")).write.parquet(path)
-        rows = named.join(spark.read.parquet(path), F.col("doc_id").eqNullSafe(F.col("d")), "left").select("row", "text", "again")
+        mine.join(again, ["kind", "value"]).groupBy("h").agg(F.collect_list(F.struct("kind", "value", "stands")).alias("again")).write.parquet(path)
+        rows = rows.withColumn("_h", text_hash(F.col("text"))).join(spark.read.parquet(path), F.col("_h") == F.col("h"), "left").select("row", "text", "again")
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType()), T.StructField("kind", T.StringType())]))
     schema = T.StructType([rows.schema["row"], T.StructField("text", T.StringType()), T.StructField("spans", span)])
 
@@ -503,5 +663,6 @@ def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text", check:
 
 
 def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Every document with surrogates; edge cases as in ``pseudonymise``."""
+    out = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key_of(spark))
     return out.select("row.doc_id", "text", F.size("spans").cast("long").alias("n_entities"), "spans")

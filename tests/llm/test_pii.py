@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ipaddress
 import itertools
 import random
 import re
@@ -103,9 +104,116 @@ def test_forms_are_listed_whole(kind, value):
 
 
 def test_addresses_are_listed():
-    for value, low, high in (("10.0.0.1", 1, 223), ("224.1.2.3", 224, 255), ("0.0.0.0", 0, 0)):
+    for value, first, last in (("10.0.0.1", "10.0.0.0", "10.255.255.255"), ("224.1.2.3", "224.0.0.0", "255.255.255.255"), ("0.0.0.0", "0.0.0.0", "0.255.255.255"),
+                               ("192.168.7.9", "192.168.0.0", "192.168.255.255"), ("172.20.1.1", "172.16.0.0", "172.31.255.255"), ("8.8.8.8", "1.0.0.0", "223.255.255.255")):
         form, strings, _ = P.space("ip", value)
-        assert P.member("ip", form, 0) == f"{low}.0.0.0" and P.member("ip", form, strings - 1) == f"{high}.255.255.255"
+        assert P.member("ip", form, 0) == first and P.member("ip", form, strings - 1) == last
+        for draw in range(5):
+            new = P.surrogate("ip", value, "k", draw)
+            assert P.space("ip", new) == P.space("ip", value)
+    form, strings, _ = P.space("ip", "8.8.8.8")
+    assert P.member("ip", form, 9 << 24) is None  # 10.0.0.0 is private
+    full = "2001:0db8:0000:0000:0000:0000:00ff:0042"
+    form, strings, size = P.space("ip6", full)
+    assert (strings, size) == (16 ** 12, 65535 ** 3) and P.member("ip6", form, 0) is None
+    assert P.member("ip6", form, strings - 1) == "2001:ffff:0000:0000:0000:0000:ffff:ffff"
+
+
+def test_version_six():
+    text = "from 2001:db8::ff:42, [2001:0DB8:0000:0000:0000:0000:00FF:0042] at 12:30:45, a::b, fe80::1%eth0, ::1, std::cout 2001: x"
+    got = [(text[s:e], v) for s, e, k, v in P.find(text) if k == "ip6"]
+    assert [g[0] for g in got] == ["2001:db8::ff:42", "2001:0DB8:0000:0000:0000:0000:00FF:0042", "fe80::1"] and got[0][1] == got[1][1]
+    new, spans = P.replace(text, "k")
+    at = [new[s:e] for s, e, k in spans if k == "ip6"]
+    assert ipaddress.IPv6Address(at[0]) == ipaddress.IPv6Address(at[1]) != ipaddress.IPv6Address("2001:db8::ff:42") and at[0].startswith("2001:") and "::" in at[0] and at[1].isupper()
+    assert at[2].startswith("fe80::")
+
+
+@pytest.mark.parametrize("text", ["Dr Alex Kim called. Mr Alex Kim left.", "Mr Smith Jones met Dr Jones Brown", "Prof Robin Li, Mrs Robin Li and Robin"])
+def test_one_kind_a_word(text):
+    new, spans = P.replace(text, "k")
+    stands = {}
+    for (s, e, kind), (a, b, _, v) in zip(spans, P.find(text)):
+        assert stands.setdefault(v, (kind, new[s:e])) == (kind, new[s:e])
+    if "Alex" in text:
+        assert stands["alex"][0] == "given-m-latin"
+
+
+def test_no_detected_value_stays(spark, make_docs):
+    texts = ["господин Ъёь ушёл", "password: !!!!**", "Mr Łukasz Żółć, Herr Ğüneş", "κύριος Άρης Ψάλτης", "pwd = пароль№1", "password=🔑🔑🔑🔑🔑", "İSTANBUL Mr İzmir Ñandú", "token: ________________"]
+    for t in texts:
+        new, spans = P.replace(t, "k")
+        before = {v: t[s:e] for s, e, _, v in P.find(t)}
+        assert before and len(spans) == len(P.find(t))
+        for old, (s, e, _) in zip([t[s:e] for s, e, _, _ in P.find(t)], spans):
+            assert new[s:e] != old
+    new, spans = P.replace(texts[2], "k")
+    for old, (s, e, _) in zip("Łukasz Żółć Ğüneş".split(), spans):
+        # every letter of these can move, and case and length stay
+        assert len(new[s:e]) == len(old) and [c.isupper() for c in new[s:e]] == [c.isupper() for c in old]
+    out = P.pseudonymise(make_docs(list(enumerate(texts))), "k").collect()
+    left = {x[2:] for r in out for x in P.find(r.text)}
+    assert not left & {x[2:] for t in texts for x in P.find(t) if len(x[3]) > 1}
+
+
+FIRST = {"m": "Peter Paul Walter Zoltan Igor".split(), "f": "Anna Clara Zelda Petra Mary".split()}
+LAST = "Stone Rivers O'Hara Miller-Bond Kovács Weißdorn Łaski Quill".split()
+
+
+def generated(rng):
+    """(text, [(value, entity)]): lower-case filler with known mentions; the
+    entity tells which mentions are the same person's or value's."""
+    words = "the report says that nobody came and then it was over before noon".split()
+    people = [(rng.choice(FIRST[g]), last, g) for last, g in zip(rng.sample(LAST, 2), rng.choices("mf", k=2))]
+    if people[0][0] == people[1][0]:
+        people.pop()
+    numbers = {"mail": f"{rng.choice(words)}.{rng.randrange(10**6)}@host{rng.randrange(99)}.org", "phone": f"+1 ({rng.randrange(200, 999)}) 555-{rng.randrange(10**4):04d}",
+               "ip": f"10.{rng.randrange(256)}.{rng.randrange(256)}.{rng.randrange(256)}", "ssn": f"{rng.randrange(100, 999)}-{rng.randrange(10, 99)}-{rng.randrange(1000, 9999)}"}
+    parts, known = [], []
+    for first, last, g in people:
+        # the first mention carries a title that tells the gender or not
+        for title in rng.sample([rng.choice(P.TITLES[g][:3]), "Dr", "Prof."], 2):
+            parts.append((f"{title} ", [(first, ("given", first)), (last, ("last", last))]))
+        parts.append(("", [(last, ("last", last))]))
+        parts.append(("", [(first, ("given", first)), (last, ("last", last))]))
+    for kind, v in numbers.items():
+        parts += [("", [(v, (kind, v))])] * rng.randint(1, 2)
+    rng.shuffle(parts)
+    out = []
+    for lead, mentions in parts:
+        out.append(" ".join(rng.choices(words, k=rng.randint(1, 6))) + ", " + lead + " ".join(v for v, _ in mentions) + ",")
+        known += mentions
+    return " ".join(out), known
+
+
+def test_against_known_entities(spark, make_docs):
+    """Found by construction, not by the finder: every mention goes, mentions
+    of one entity in a text get one surrogate, other entities others, and the
+    rest of the text stays."""
+    rng = random.Random(21)
+    made = [generated(rng) for _ in range(150)]
+    out = {r.row.doc_id: r.text for r in P.pseudonymise(make_docs([(i, t) for i, (t, _) in enumerate(made)]), "k").collect()}
+    total = gone = 0
+    corpus: dict = {}
+    for i, (text, known) in enumerate(made):
+        # The text around the mentions is unchanged, so it cuts the new one apart.
+        between, at = [], 0
+        for v, _ in known:
+            to = text.index(v, at)
+            between.append(re.escape(text[at:to]))
+            at = to + len(v)
+        m = re.fullmatch("(.+?)".join(between) + "(.+?)" + re.escape(text[at:]), out[i], re.S)
+        assert m, (text, out[i])
+        same: dict = {}
+        for (v, entity), new in zip(known, m.groups()):
+            total += 1
+            gone += new != v
+            assert same.setdefault(entity, new) == new
+            if entity[0] not in ("given", "last"):
+                assert corpus.setdefault(entity, new) == new  # the same in every text
+        assert len(set(same.values())) == len(same)
+    assert gone == total > 1500  # recall 1 on these
+    assert len(set(corpus.values())) == len(corpus)
 
 
 @pytest.mark.parametrize("n", [30, 45, 52, 80, 105])
@@ -126,20 +234,20 @@ def test_dense_form_is_used_up(spark, n):
 
 def test_documents(spark, make_docs):
     rows = [(1, TEXT), (2, None), (3, ""), (None, "x a@b.de"), (4, "A@B.DE"), (4, "A@B.DE"), (5, "clean text 3. only 4.0."), (6, "y " * 60_000 + "a@b.de")]
-    hit = P.surrogate("mail", "a@b.de", P.KEY)
+    hit = P.surrogate("mail", "a@b.de", "k")
     rows.append((7, hit))  # the first surrogate of a@b.de really occurs
-    got = {i: r for i, r in enumerate(sorted(P.pseudonymise(make_docs(rows).withColumnRenamed("source", "spans")).collect(), key=lambda r: (r.row.doc_id is None, r.row.doc_id)))}
+    got = {i: r for i, r in enumerate(sorted(P.pseudonymise(make_docs(rows).withColumnRenamed("source", "spans"), "k").collect(), key=lambda r: (r.row.doc_id is None, r.row.doc_id)))}
     by = {}
     for r in got.values():
         by.setdefault(r.row.doc_id, []).append(r)
     assert len(got) == len(rows) and by[2][0].text is None and by[3][0].text == "" and by[5][0].text == rows[6][1] and by[1][0].row["spans"] == "s"
     stands = by[None][0].text[2:]
     assert stands not in ("a@b.de", hit) and by[4][0].text == by[4][1].text == stands.upper() and by[6][0].text.endswith(stands) and by[7][0].text not in (hit, stands)
-    assert P.pseudonymise(make_docs([])).count() == 0
+    assert P.pseudonymise(make_docs([]), "k").count() == 0
 
 
 def test_driver_documents(spark, sf_texts):
-    out = {r.row.doc_id: r.text for r in P.pseudonymise(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).collect()}
+    out = {r.row.doc_id: r.text for r in P.pseudonymise(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), "k").collect()}
     values = {(k, v) for t in sf_texts.values() for _, _, k, v in P.find(t)}
     left = {(k, v) for t in out.values() for _, _, k, v in P.find(t)}
     assert values and not values & left and len(left) == len(values)
