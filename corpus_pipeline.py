@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from recensio.llm.common import shared_folder, table
 from recensio.llm.packing import packed_pieces
-from recensio.llm.pii import pseudonymise
+from recensio.llm.pii import key_of, pseudonymise
 from recensio.llm.quality import fit_quality, quality_rules
 from recensio.llm.simhash import one_of_each
 from recensio.llm.suffix import remove_repeats
@@ -50,7 +50,7 @@ def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with surrogates in place of personal data."""
-    return _with_text(pseudonymise(docs), docs, F.col("text"))
+    return _with_text(pseudonymise(docs, key_of(spark)), docs, F.col("text"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
