@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from recensio.config import Config
 from recensio.operators.ordering import running_offset
 from recensio.operators.reviews import company_of, review_key
+from recensio.session import materialize
 
 # Our own request wording; the block text goes between head and tail.
 PROMPT_HEAD = (
@@ -29,15 +30,20 @@ PROMPT_TAIL = "\n\nIgnore dates, months, weekdays and the word 'verificata'."
 def word_offsets(reviews: DataFrame, cfg: Config = Config()) -> DataFrame:
     """(company, seq, n_words, offset): the position of each review's first
     word in its company's word stream."""
-    r = reviews.select(*review_key(reviews), F.size("parole").alias("n_words"))
+    # Written first: dealing by range looks at its input twice.
+    r = materialize(reviews.select(*review_key(reviews), F.size("parole").alias("n_words")))
     return running_offset(r, order=["seq"], weight=F.col("n_words"), partition=company_of(reviews))
 
 
-def text_blocks(reviews: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """(company, block_id, n_words, testo); blocks are numbered per company."""
+def text_blocks(reviews: DataFrame, cfg: Config = Config(), written: bool = False) -> DataFrame:
+    """(company, block_id, n_words, testo); blocks are numbered per company.
+    written: ``reviews`` is a written table, reading it again costs little."""
     n, by, key = cfg.block_words, company_of(reviews), review_key(reviews)
+    # Read twice (offsets, then slices): cleaned once.
+    words = reviews.select(*key, "parole")
+    words = words if written else materialize(words)
     # The words meet their offsets only now: none pass through the window.
-    o = word_offsets(reviews, cfg).filter(F.col("n_words") > 0).join(reviews.select(*key, "parole"), key)
+    o = word_offsets(words, cfg).filter(F.col("n_words") > 0).join(words, key)
     first = F.floor(F.col("offset") / n)
     last = F.floor((F.col("offset") + F.col("n_words") - 1) / n)
     pieces = o.select(*key, "offset", "n_words", "parole", F.explode(F.sequence(first, last)).alias("block_id"))

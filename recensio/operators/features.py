@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from recensio.config import Config
 from recensio.functions import text as T
 from recensio.operators.reviews import review_key
+from recensio.session import materialize
 
 
 def term_stats(reviews: DataFrame) -> DataFrame:
@@ -98,7 +99,8 @@ def tfidf(reviews: DataFrame, cfg: Config = Config(), vocab: DataFrame | None =
     """(seq, idx, term, tfidf) for the vocabulary terms of each review;
     reviews without any vocabulary term have no rows."""
     key = review_key(reviews)
-    words = reviews.select(*key, "parole")
+    # Read three times (size, counts, vectors): cleaned once.
+    words = materialize(reviews.select(*key, "parole"))
     vocab = vocabulary(words, cfg) if vocab is None else vocab
     rows = vocab_rows(vocab)
     if not rows:

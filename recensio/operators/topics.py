@@ -49,7 +49,7 @@ def topic_vectors(words: DataFrame, dicts: DataFrame, k: int | None = None) -> D
         KM.draw_of(F.col("company"), F.col("seq")).alias("draw"), "idx", F.transform("w", lambda x: F.floor(x * KM.UNIT + 0.5)).alias("val"))
 
 
-def assign_topics(reviews: DataFrame, k: int | None = None, cfg: Config = Config()):
+def assign_topics(reviews: DataFrame, k: int | None = None, cfg: Config = Config(), written: bool = False):
     """Returns (labelled reviews, centroids, vocab, k_used).
 
     ``labelled`` is ``reviews`` plus ``cluster`` (NULL for the reviews of a
@@ -58,12 +58,13 @@ def assign_topics(reviews: DataFrame, k: int | None = None, cfg: Config = Config
     is (company, idx, term, df, cf, idf); k_used is the largest number of
     topics a company has (fewer than asked for with fewer distinct vectors).
     A table without companies is one company, and its results have no such
-    column.
+    column.  written: ``reviews`` is a written table.
     """
     by = company_of(reviews)
     keyed = reviews if by else reviews.withColumn("company", F.lit(""))
     # Read twice (vocabulary, then vectors): cleaned once.
-    words = materialize(keyed.select("company", "seq", "parole"))
+    words = keyed.select("company", "seq", "parole")
+    words = words if written else materialize(words)
     dicts = materialize(FT.dictionaries(words, cfg))
     labels, centroids = KM.kmeans(topic_vectors(words, dicts, k), cfg)
     centroids = materialize(centroids)

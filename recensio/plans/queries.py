@@ -17,7 +17,7 @@ from recensio.config import Config
 from recensio.operators import reviews as RV
 from recensio.operators import themes as TH
 from recensio.plans import sql_text as S
-from recensio.session import materialize, ship_package
+from recensio.session import ensure_checkpoint_dir, materialize, ship_package
 from recensio.sources import tables as SRC
 
 CFG = Config()
@@ -600,7 +600,7 @@ INSIGHT_CTES = dict(
 
 def answers_df(spark, sf_dir, reviews=None):
     r = reviews if reviews is not None else reviews_df(spark, sf_dir)
-    resp = SRC.responses_from_blocks(BL.text_blocks(r, CFG))
+    resp = SRC.responses_from_blocks(BL.text_blocks(r, CFG, written=reviews is not None))
     return IN.first_valid(IN.parse_responses(resp), CFG)
 
 
@@ -943,6 +943,19 @@ JSON_CTES = dict(
 URL = "https://reviews.example/review/{company}"
 
 
+def whole_chain(spark, sf_dir):
+    """(reviews, answers, insights, topics, frequencies), labels from the
+    identity.  Cleaned once: blocks, themes, topics and statistics read one
+    written table."""
+    r = materialize(reviews_df(spark, sf_dir))
+    answers = materialize(answers_df(spark, sf_dir, r))
+    ins = materialize(IN.merge_insights(answers, CFG))
+    lab = with_label(r)
+    rows = FT.vocab_rows(FT.vocabulary(r, CFG))
+    topics = TP.topic_rows(lab, TP.topic_centroids(lab, rows), rows, K_FIXED, CFG)
+    return r, answers, ins, topics, TH.theme_frequency(r, merged_themes(ins), CFG)
+
+
 @register("report_json", S.with_ctes(f"""
 select st.company, 'metadati' as sezione, cast(st.n as varchar) as a, cast(coalesce(t.n, 0) as varchar) as b, replace({S.q(URL)}, '{{company}}', st.company) as c, round(st.m, 6) as x
 from (select company, count(*) as n, avg(rating) filter (where rating <> 0) as m from reviews group by company) st
@@ -955,14 +968,7 @@ from (select *, row_number() over (partition by company, tipo order by "count" d
 def q_report_json(spark, sf_dir):
     """The JSON Lines report of every company over the whole chain (labels
     from the identity), read back from its JSON text."""
-    # Cleaned once: blocks, themes, topics and statistics read this table.
-    r = materialize(reviews_df(spark, sf_dir))
-    answers = materialize(answers_df(spark, sf_dir, r))
-    ins = materialize(IN.merge_insights(answers, CFG))
-    lab = with_label(r)
-    rows = FT.vocab_rows(FT.vocabulary(r, CFG))
-    topics = TP.topic_rows(lab, TP.topic_centroids(lab, rows), rows, K_FIXED, CFG)
-    freq = TH.theme_frequency(r, merged_themes(ins), CFG)
+    r, answers, ins, topics, freq = whole_chain(spark, sf_dir)
     lines = RP.report_json(RP.corpus_stats(r), topics, ins, IN.sentiment_distribution(answers), freq, URL)
     get = lambda p: F.get_json_object("json", f"$.{p}")
     s = get("sezione")
@@ -972,3 +978,86 @@ def q_report_json(spark, sf_dir):
         pick("n_recensioni", "positivo", "rank", "categoria", "tipo").alias("a"), pick("n_cluster", "neutro", "id", "pos", "rank").alias("b"),
         pick("url_analizzato", "negativo", "n_recensioni", "elemento", "punto").alias("c"),
         r6(F.when(s.isin("tematica", "tema"), get("percentuale")).when(s == "metadati", get("rating_medio")).cast("double")).alias("x"))
+
+
+# --- exports -----------------------------------------------------------------------
+
+from recensio.plans import export as EX  # noqa: E402
+
+
+def report_document(spark, sf_dir):
+    """The rows of the JSON document over the whole chain; numbers at six
+    places, so that both engines print them alike."""
+    r, answers, ins, topics, freq = whole_chain(spark, sf_dir)
+    topics = topics.withColumns({"percentuale": r6("percentuale"), "rating_medio": r6("rating_medio")})
+    stats = RP.corpus_stats(r).withColumn("rating_medio", r6("rating_medio"))
+    return EX.json_document(stats, topics, ins, IN.sentiment_distribution(answers), freq.withColumn("percentuale", r6("percentuale")), URL)
+
+
+def _document_sql() -> str:
+    after = "case when {0} > 0 then ',' else '' end || "
+    parts = []
+
+    def add(table: str, pos: str, text: str) -> None:
+        parts.append(f"select 1 as blocco, company, {len(parts)} as parte, cast({pos} as bigint) as pos, {text} as testo from {table}")
+
+    add("""(select h.*, coalesce(t.n, 0)::bigint as k, row_number() over (order by h.company) as nth from heads h left join (select company, count(*) as n from summ group by company) t using (company))""", "0",
+        f"""case when nth > 1 then ',' else '' end || to_json(company) || ':{{"metadata":' ||
+            to_json(struct_pack(n_recensioni := n, rating_medio := round(m, 6), n_clusters := k, url_analizzato := replace({S.q(URL)}, '{{company}}', company))) || ',"clusters":['""")
+    add("(select s.*, coalesce(t.parole_chiave, []) as kw from summ s left join kept5 t on s.id = t.cluster)", "rank - 1", after.format("rank - 1") +
+        "to_json(struct_pack(id := id, tematiche := kw, percentuale := round(pct, 6), rating_medio := round(rating_medio, 6)))")
+    for i, cat in enumerate(INSIGHT_CATEGORIES):
+        lead = '],"insights":{' if i == 0 else "],"
+        add("heads", "0", S.q(f'{lead}"{cat}":['))
+        add(f"(select * from merged where categoria = '{cat}')", "pos", after.format("pos") + "to_json(elemento)")
+    add("(select h.company, s.* exclude (company) from heads h left join sent s using (company))", "0",
+        """'],"sentiment_distribution":' || to_json(struct_pack(positivo := coalesce(positivo, 0), neutro := coalesce(neutro, 0), negativo := coalesce(negativo, 0))) || '}'""")
+    for tipo, lead in (("punti_forza", ',"frequenze":{'), ("punti_debolezza", "},")):
+        add("heads", "0", S.q(f'{lead}"{tipo}":{{'))
+        add(f"""(select *, row_number() over (partition by company order by "count" desc, theme_pos) as rank from freq where tipo = '{tipo}' qualify rank <= 20)""", "rank - 1",
+            after.format("rank - 1") + """to_json(punto) || ':' || to_json(struct_pack("count" := "count", percentuale := percentuale))""")
+    add("heads", "0", "'}}}'")
+    ends = "select 0 as blocco, cast(null as varchar) as company, 0 as parte, cast(0 as bigint) as pos, '{' as testo union all select 2, null, 0, 0, '}'"
+    return S.with_ctes("\nunion all ".join([ends, *parts]), **JSON_CTES,
+                       heads="select company, count(*) as n, avg(rating) filter (where rating <> 0) as m from reviews group by company",
+                       sent=f"select company, {_SENT_SQL} from answers group by company")
+
+
+@register("report_document", _document_sql())
+def q_report_document(spark, sf_dir):
+    """Every row of the JSON document, with its place."""
+    return report_document(spark, sf_dir)
+
+
+SHEET_TEXT = dict(recensioni="testo", tematiche="tematica", punti_forza="punto", punti_debolezza="punto", analisi_generale="insights", canali="suggerimento")
+
+
+@register("report_export", S.with_ctes("""
+select 'recensioni' as foglio, company, count(*) as righe, sum(length(testo))::bigint as caratteri from reviews group by company
+union all select 'tematiche', company, count(*), sum(length(array_to_string(coalesce(t.parole_chiave, []), ', ')))::bigint from summ s left join kept5 t on s.id = t.cluster group by company
+union all select tipo, company, count(*), sum(length(punto))::bigint from freq group by tipo, company
+union all select 'analisi_generale', company, 2, sum(length(insights))::bigint from ({general}) group by company
+union all select 'canali', company, count(*), sum(length(suggerimento))::bigint from ({channels}) group by company""".format(
+    general=ORACLE["report_general"], channels=ORACLE["report_channels"]), **JSON_CTES))
+def q_report_export(spark, sf_dir):
+    """The six sheets written as one export and read back: rows and letters
+    of every sheet and company."""
+    from uuid import uuid4
+
+    r, answers, ins, topics, freq = whole_chain(spark, sf_dir)
+    freq = materialize(freq)
+    themes = RP.report_themes(freq)
+    sheets = {
+        "recensioni": RP.report_reviews(with_label(r)), "tematiche": RP.report_topics(topics),
+        "punti_forza": themes.filter(F.col("tipo") == TH.STRENGTHS), "punti_debolezza": themes.filter(F.col("tipo") == TH.WEAKNESSES),
+        "analisi_generale": RP.report_general(ins, CFG), "canali": RP.report_channels(ins),
+    }
+    path = f"{ensure_checkpoint_dir(spark)}/export-{uuid4().hex}"
+    EX.export_report(spark, sheets, path)
+    back = EX.Export(spark, path).tables()
+    counted = [back[k].groupBy("company").agg(F.count(F.lit(1)).alias("righe"), F.sum(F.length(c)).cast("long").alias("caratteri")).select(F.lit(k).alias("foglio"), "company", "righe", "caratteri")
+               for k, c in SHEET_TEXT.items()]
+    out = counted[0]
+    for c in counted[1:]:
+        out = out.unionByName(c)
+    return out

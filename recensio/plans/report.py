@@ -201,7 +201,7 @@ def analyze(reviews: DataFrame, responses: DataFrame, cfg: Config = Config(), n_
     read from there, so the text is cleaned once and labelled once.
     """
     reviews = materialize(reviews)
-    labelled, centroids, vocab, k = TP.assign_topics(reviews, n_topics, cfg)
+    labelled, centroids, vocab, k = TP.assign_topics(reviews, n_topics, cfg, written=True)
     labelled = materialize(labelled)
     if k:
         topics = materialize(TP.topic_rows(labelled, centroids, vocab, k, cfg))
