@@ -867,14 +867,43 @@ def q_first_page_guard(spark, sf_dir):
     return PG.first_page_guard(walked).select("company", "pagina", "pos")
 
 
+def _visible_sql(inner: str) -> str:
+    """The text of a piece of the driver's markup: what stands between tags,
+    stripped, joined by one space (its articles hold no comments, scripts or
+    entities but quotes and ampersands)."""
+    strip = lambda x: f"regexp_replace(regexp_replace(replace({x}, '&quot;', chr(34)), '&amp;?', '&', 'g'), {S.q('^[' + SPACE + ']+|[' + SPACE + ']+$')}, '', 'g')"
+    return f"array_to_string(list_filter(list_transform(regexp_split_to_array({inner}, '<[^>]*>'), lambda x: {strip('x')}), lambda x: x <> ''), ' ')"
+
+
+OWN_ARTICLES = "regexp_extract_all(html, " + S.q(r"(?is)<article[\s>/].*?</article>") + ")"
+
+
 @register("html_reviews", S.with_ctes(f"""
-select company, pagina, pos, review_id, cast(rating_attr as integer) as rating,
-       case when review_id is not null then {S.q(CFG.link_base)} || review_id else url end as link
-from page_reviews""", **PAGE_CTES))
+select r.company, r.pagina, r.pos, r.review_id, cast(r.rating_attr as integer) as rating,
+       case when r.review_id is not null then {S.q(CFG.link_base)} || r.review_id else r.url end as link,
+       case when r.pos = a.n - 2 then 'Consegna del pacco numero ' || cast(a.page_id as varchar) || ' arrivata in ritardo, assistenza lenta e rimborso negato'
+            else {_visible_sql('a.own[r.pos + 1]')} || ' Recensione lasciata dopo un acquisto fatto nel negozio online' end as testo
+from page_reviews r join (select *, {OWN_ARTICLES} as own from arts) a on r.company = a.company and r.pagina = a.pagina""", **PAGE_CTES))
 def q_html_reviews(spark, sf_dir):
     """pages -> reviews through the whole extraction path."""
     raw = PG.raw_from_pages(PG.pages_from_table(spark, sf_dir), CFG)
-    return RV.to_reviews(raw, CFG).select("company", "pagina", "pos", "review_id", "rating", "link")
+    return RV.to_reviews(raw, CFG).select("company", "pagina", "pos", "review_id", "rating", "link", "testo")
+
+
+@register("html_fallback", f"""
+with pg as (select 'f' || cast(page_id // 10 as varchar) as company, cast(page_id % 10 + 1 as integer) as pagina, page_id, {OWN_ARTICLES} as own
+            from pages where page_id % 6 <> 5),
+bare as (select distinct 'f' || cast(page_id // 10 as varchar) as company from pages where page_id % 6 = 5 and page_id % 10 = 0),
+c as (select *, unnest(range(3 * len(own))) as pos from pg where company not in (select company from bare)),
+t as (select company, pagina, cast(pos as integer) as pos,
+             case when pos % 3 = 2 then 'Valutato 3 stelle su 5 Acquisto numero ' || cast(page_id as varchar) || ', consegna puntuale e imballo curato'
+                  else {_visible_sql('own[pos // 3 + 1]')} end as testo from c)
+select company, pagina, pos, {S.rating_from_text_sql('testo')} as rating, testo from t where length(testo) >= 50""")
+def q_html_fallback(spark, sf_dir):
+    """Pages without rated containers: the fallback selectors, nested hits
+    each a record, the rating from the text."""
+    raw = PG.raw_from_pages(PG.fallback_pages_from_table(spark, sf_dir), CFG)
+    return RV.to_reviews(raw, CFG).select("company", "pagina", "pos", "rating", "testo")
 
 
 @register("page_stats", S.with_ctes("""

@@ -158,3 +158,21 @@ def pages_from_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         company.alias("company"), pagina.alias("pagina"),
         F.concat(F.lit("https://reviews.example/review/"), company, F.lit("?page="), pagina.cast("string")).alias("url"),
         status.cast("int").alias("status"), listing.alias("html"), "page_id")
+
+
+def fallback_pages_from_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The driver's pages as listing pages of another layout: no container
+    has the rating attribute, so the fallback selectors count.  Each page's
+    own article lies in a section, both of them containers, and a review with
+    unclosed tags follows; every sixth page has no container at all."""
+    from recensio.sources.tables import read_table, spread
+
+    p = spread(read_table(spark, sf_dir, "pages"))
+    pid = F.col("page_id")
+    company = F.concat(F.lit("f"), F.floor(pid / 10).cast("string"))
+    more = F.concat(F.lit('</article></section><div class="box review-content"><b>Valutato 3 stelle su 5<p>Acquisto numero '), pid.cast("string"),
+                    F.lit(", consegna puntuale<br>e imballo curato<script>var x = 1;</script></div>"))
+    listing = F.when(pid % 6 == 5, F.lit("<html><body><p>no reviews here</p></body></html>")).otherwise(
+        F.replace(F.replace(F.col("html"), F.lit("<article"), F.lit('<section class="x reviewContentwrapper"><article class="card review-card"')), F.lit("</article>"), more))
+    return p.select(company.alias("company"), (pid % 10 + 1).cast("int").alias("pagina"), F.concat(F.lit("https://reviews.example/f?page="), pid.cast("string")).alias("url"),
+                    F.lit(200).alias("status"), listing.alias("html"))

@@ -131,3 +131,100 @@ def test_broken_container_drops_itself_only(spark, monkeypatch):
 def test_one_walk_per_page(spark):
     walked = PG.raw_from_pages(_pages(spark, [("c", 1, "u1", 200, art(LONG))]), Config())
     assert "MapInPandas" not in walked._jdf.queryExecution().executedPlan().toString()  # the walk is written, not repeated
+
+
+def _tree(html, void, hidden):
+    """A plain tree of a page, for comparison: [tag, attrs, parent, children]."""
+    from html.parser import HTMLParser
+
+    root = ["", {}, None, []]
+
+    class Build(HTMLParser):
+        cur = root
+
+        def handle_starttag(self, tag, attrs):
+            n = [tag, {k: v or "" for k, v in attrs}, self.cur, []]
+            self.cur[3].append(n)
+            if tag not in void:
+                self.cur = n
+
+        def handle_startendtag(self, tag, attrs):
+            self.cur[3].append([tag, {k: v or "" for k, v in attrs}, self.cur, []])
+
+        def handle_endtag(self, tag):
+            n = self.cur
+            while n is not root and n[0] != tag:
+                n = n[2]
+            if n is not root:
+                self.cur = n[2]
+
+        def handle_data(self, data):
+            self.cur[3].append(data)
+
+        def unknown_decl(self, data):
+            if data.startswith("CDATA["):
+                self.cur[3].append(data[6:])
+
+    b = Build(convert_charrefs=True)
+    b.feed(html)
+    b.close()
+    return root
+
+
+def _plain_records(html, attr, fallback):
+    from recensio.functions import html as H
+
+    root = _tree(html, H.VOID, H.HIDDEN_TEXT)
+
+    def below(n):
+        for c in n[3]:
+            if isinstance(c, list):
+                yield c
+                yield from below(c)
+
+    def text(n):
+        out = []
+        for c in ([] if n[0] in H.HIDDEN_TEXT else n[3]):
+            out += [c.strip()] if isinstance(c, str) else text(c)
+        return [x for x in out if x]
+
+    every = list(below(root))
+    found = [n for n in every if n[0] == "article" and attr in n[1]] or [n for n in every if any(n[0] == t and p in n[1].get(a, "") for t, a, p in fallback)]
+    out = []
+    for c in found:
+        first = lambda tag, ok: next((n for n in below(c) if n[0] == tag and ok(n[1])), None)
+        div, url, review = first("div", lambda a: attr in a), first("a", lambda a: "data-review-url" in a), first("a", lambda a: "/reviews/" in a.get("href", ""))
+        at = first("time", lambda a: "datetime" in a)
+        up = at and at[2]
+        while up and not (up[0] == "a" and "href" in up[1]):
+            up = up[2]
+        out.append({"testo": " ".join(text(c)), "rating_attr": c[1].get(attr), "rating_div": div and div[1][attr], "m1_url": url and url[1]["data-review-url"],
+                    "m2_id": c[1].get("data-service-review-id"), "m3_href": up[1]["href"] if up else None, "m4_href": review and review[1]["href"], "m5_id": c[1].get("data-consumer-review-id")})
+    return out
+
+
+def test_one_pass_equals_the_tree():
+    """Random markup, mostly broken: the events give what a tree gives."""
+    import random
+
+    from recensio.functions import html as H
+
+    attr, fallback = "data-service-review-rating", Config().fallback_selectors
+    bits = ["<article>", f'<article {attr}="4">', f'<article {attr}="" data-service-review-id="s1">', "</article>", '<article class="a review">', '<section class="reviewContentwrapper">', "</section>",
+            '<div class="review-content">', f'<div {attr}="2">', f'<div {attr}>', "</div>", "<p>", "</p>", "<b>", "</b>", "<br>", "<br/>", "<img src=x>", "<spacer>", '<a href="/reviews/r1?x#y">', '<a href="/users/9">',
+            '<a data-review-url="/it/reviews/u1">', "<a href>", "</a>", '<time datetime="2024">', "</time>", "<script>", "</script>", "<style>", "</style>", "<template>", "</template>", "<!-- no -->",
+            "<![CDATA[cd]]>", "&amp;", "&copy", " uno ", "due", "\n", "<", "tre &lt;", "</span>", f'<article {attr}="5"/>', "<article/>"]
+    rng = random.Random(6)
+    for i in range(6000):
+        some = [b for b in bits if attr not in b] if i % 3 == 0 else bits
+        html = "".join(rng.choices(some, k=rng.randint(0, 40)))
+        got = [r for _, r, _ in H.page_records(html, attr, fallback) if r]
+        assert got == _plain_records(html, attr, fallback), html
+
+
+def test_deep_markup_needs_no_recursion():
+    from recensio.functions import html as H
+
+    html = '<article data-service-review-rating="3">' + "<div>" * 50_000 + "fondo" + "</div>" * 50_000 + "dopo</article>fuori"
+    ((_, rec, _),) = H.page_records(html, "data-service-review-rating", ())
+    assert rec["testo"] == "fondo dopo"
