@@ -122,14 +122,14 @@ def dictionaries(reviews: DataFrame, cfg: Config = Config()) -> DataFrame:
         F.transform(F.array_distinct("toks"), lambda t: mark(t, 1, 0)),
         F.transform("toks", lambda t: mark(t, 0, 1)),
     )
-    stats = (
+    # Read for the sizes and for the terms: counted once.
+    stats = materialize(
         reviews.select("company", T.feature_tokens(F.col("parole")).alias("toks"))
         .select("company", F.explode(marks).alias("m"))
         .groupBy("company", F.col("m.term").alias("term"))
         .agg(F.sum("m.d").cast("long").alias("df"), F.sum("m.c").cast("long").alias("cf"))
     )
-    # Both counts, so that this reads the same shuffle as the terms below.
-    sizes = stats.groupBy("company").agg(F.max(F.when(F.col("term").isNull(), F.col("df") + F.col("cf"))).alias("n"))
+    sizes = stats.filter(F.col("term").isNull()).select("company", F.col("df").alias("n"))
     kept = stats.join(sizes, "company").filter(F.col("term").isNotNull() & (F.col("df") >= cfg.min_df) & (F.col("df") <= cfg.max_df * F.col("n")))
     nth = F.row_number().over(Window.partitionBy("company").orderBy(F.desc("cf"), "term"))
     top = kept.withColumn("nth", nth).filter(F.col("nth") <= cfg.max_features)
