@@ -46,6 +46,8 @@ STRENGTHS = "punti_forza"
 WEAKNESSES = "punti_debolezza"
 SHIFT = 6
 BITS = 1 << SHIFT  # reviews to a word of a bitmap
+# Keywords are broadcast up to this number (a few MB), beyond it shuffled.
+BROADCAST_KEYWORDS = 50_000
 
 
 def theme_keys(df: DataFrame) -> list[str]:
@@ -109,9 +111,12 @@ def _word_keywords(words: DataFrame, kw_rows: DataFrame) -> DataFrame | None:
     (None when there is no keyword at all)."""
     keywords = kw_rows.select("kw").distinct()
     # Distinct keyword lengths: a handful of small integers.
-    lengths = sorted(r[0] for r in keywords.select(F.length("kw")).distinct().collect())
+    sizes = keywords.groupBy(F.length("kw").alias("n")).count().collect()
+    lengths = sorted(r["n"] for r in sizes)
     if not lengths:
         return None
+    if sum(r["count"] for r in sizes) <= BROADCAST_KEYWORDS:
+        keywords = F.broadcast(keywords)  # a word's substrings meet them in place
     subs = words.distinct().select(
         "word",
         F.explode(
