@@ -51,9 +51,10 @@ def test_fingerprints(sf_texts):
         assert S.fingerprint(t) == plain_fingerprint(t), repr(t)[:100]
 
 
-def test_every_near_pair_meets_at_an_anchor():
-    code = S.covering_code(2)
-    assert code.radius == 4
+@pytest.mark.parametrize("wide,radius,bits_of", [(False, 4, 30), (True, 6, 46)])
+def test_every_near_pair_meets_at_an_anchor(wide, radius, bits_of):
+    code = S.covering_code(2, wide)
+    assert code.radius == radius
     rng = np.random.default_rng(0)
     a = rng.integers(-2**63, 2**63 - 1, 400)
     for bits in (0, 1, 2):
@@ -61,13 +62,16 @@ def test_every_near_pair_meets_at_an_anchor():
         for _ in range(bits):
             b ^= np.int64(1) << rng.integers(0, 63, 400)
         home = code.home(a)
-        assert all(bin((int(h) ^ int(x)) & (1 << 30) - 1).count("1") <= 4 for h, x in zip(home, a))
+        assert all(bin((int(h) ^ int(x)) & (1 << bits_of) - 1).count("1") <= radius for h, x in zip(home, a))
         row, anchor = code.anchors(b)
         sent = set(zip(row.tolist(), anchor.tolist()))
         assert all((i, int(h)) in sent for i, h in enumerate(home))
+        assert len(sent) == len(row) < 90 * len(b)
+        assert all(bin((int(k) ^ int(b[i])) & (1 << bits_of) - 1).count("1") <= radius + 2 for i, k in zip(row[:2000], anchor[:2000]))
 
 
-def test_links_against_all_pairs(spark):
+@pytest.mark.parametrize("wide", [False, True])
+def test_links_against_all_pairs(spark, wide):
     rng = random.Random(3)
     fps = {0, 1, -1, -2}
     for _ in range(60):
@@ -78,7 +82,7 @@ def test_links_against_all_pairs(spark):
                 g ^= 1 << rng.randrange(64)
             fps.add(g - (1 << 64) if g >> 63 else g)
     want = {(a, b) for a in fps for b in fps if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 2}
-    got = [tuple(r) for r in S.links(spark.createDataFrame([(f,) for f in fps], "fp long"), 2).collect()]
+    got = [tuple(r) for r in S.links(spark.createDataFrame([(f,) for f in fps], "fp long"), 2, wide).collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 50
 
 
