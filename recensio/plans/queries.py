@@ -78,7 +78,7 @@ def q_theme_frequency(spark, sf_dir):
     """select p.company, p.tipo, p.theme_pos, p.punto, cast(p.example as integer) as example, p.seq, r.review_id, r.testo, r.rating, r.data, r.link
        from (select *, row_number() over (partition by company, tipo, theme_pos, punto order by seq) as example
              from (select company, tipo, theme_pos, punto, ident, min(seq) as seq from matches where nkw > 0 group by all)) p
-       join reviews r on p.seq = r.seq
+       join reviews r on p.company = r.company and p.seq = r.seq
        where p.example <= 2""", **THEME_CTES))
 def q_theme_examples(spark, sf_dir):
     return TH.theme_examples(reviews_df(spark, sf_dir), SRC.fixed_themes(spark), LITERAL_THEMES)
@@ -200,15 +200,15 @@ from recensio.operators import kmeans as KM  # noqa: E402
 from recensio.operators import topics as TP  # noqa: E402
 
 FEATURE_CTES = dict(
-    toks="""select seq, unnest(list_filter(parole, lambda w: regexp_full_match(w, '[a-zA-Z]{3,}'))) as term from reviews""",
-    tf="select seq, term, count(*) as tf from toks group by all",
+    toks="""select company, seq, unnest(list_filter(parole, lambda w: regexp_full_match(w, '[a-zA-Z]{3,}'))) as term from reviews""",
+    tf="select company, seq, term, count(*) as tf from toks group by all",
     nd="select count(*) as n from reviews",
     stats="select term, count(*) as df, sum(tf) as cf from tf group by term",
     vocab="""select cast(row_number() over (order by term) - 1 as integer) as idx, term, df, cf,
                     ln((1.0 + nd.n) / (df + 1.0)) + 1.0 as idf
              from (select * from stats, nd where df >= 2 and df <= 0.8 * nd.n order by cf desc, term limit 100), nd""",
-    w="select tf.seq, v.idx, v.term, tf.tf * v.idf as w from tf join vocab v on tf.term = v.term",
-    tfidf="select seq, idx, term, w / sqrt(sum(w * w) over (partition by seq)) as tfidf from w",
+    w="select tf.company, tf.seq, v.idx, v.term, tf.tf * v.idf as w from tf join vocab v on tf.term = v.term",
+    tfidf="select company, seq, idx, term, w / sqrt(sum(w * w) over (partition by company, seq)) as tfidf from w",
 )
 
 
@@ -229,9 +229,9 @@ def q_vocabulary(spark, sf_dir):
     return v.withColumn("idf", r6("idf"))
 
 
-@register("tfidf", S.with_ctes("select seq, idx, term, round(tfidf, 6) as tfidf from tfidf", **FEATURE_CTES))
+@register("tfidf", S.with_ctes("select company, seq, idx, term, round(tfidf, 6) as tfidf from tfidf", **FEATURE_CTES))
 def q_tfidf(spark, sf_dir):
-    return FT.tfidf(reviews_df(spark, sf_dir).drop("company"), CFG).withColumn("tfidf", r6("tfidf"))
+    return FT.tfidf(reviews_df(spark, sf_dir), CFG).withColumn("tfidf", r6("tfidf"))
 
 
 @register("auto_k", S.with_ctes(
@@ -251,13 +251,8 @@ def q_topics_guard(spark, sf_dir):
         "n_recensioni", "n_terms", ((F.col("n_recensioni") >= 5) & (F.col("n_terms") > 0)).alias("clusters"))
 
 
-def own_numbers(reviews):
-    """The reviews with a ``seq`` that starts anew in every company."""
-    return reviews.withColumn("seq", F.floor(F.col("seq") / SRC.COMPANIES))
-
-
 COMPANY_CTES = dict(
-    mine=f"select * replace (seq // {SRC.COMPANIES} as seq) from reviews",
+    mine="select * from reviews",
     sizes_c="select company, count(*) as n from mine group by company",
     toks_c="""select company, seq, unnest(list_filter(parole, lambda w: regexp_full_match(w, '[a-zA-Z]{3,}'))) as term from mine""",
     tf_c="select company, seq, term, count(*) as tf from toks_c group by all",
@@ -289,9 +284,8 @@ def q_company_tfidf(spark, sf_dir):
 
 
 def company_words(spark, sf_dir):
-    """(words, dictionaries) with review numbers that repeat over companies;
-    the text is cleaned once."""
-    words = materialize(own_numbers(reviews_df(spark, sf_dir)).select("company", "seq", "parole"))
+    """(words, dictionaries); the text is cleaned once."""
+    words = materialize(reviews_df(spark, sf_dir).select("company", "seq", "parole"))
     return words, materialize(FT.dictionaries(words, CFG))
 
 
@@ -430,7 +424,7 @@ TOPIC_CTES = dict(
     lab=f"select *, cast({LABEL_SQL} as integer) as cluster from reviews",
     sizes="select cluster, count(*) as size from lab group by cluster",
     cw="""select s.cluster, v.idx, v.term,
-                 round(coalesce((select sum(t.tfidf) from tfidf t join lab l on t.seq = l.seq
+                 round(coalesce((select sum(t.tfidf) from tfidf t join lab l on t.company = l.company and t.seq = l.seq
                                  where l.cluster = s.cluster and t.idx = v.idx), 0) / s.size, 9) as w
           from sizes s, vocab v""",
     summ=f"""select company, id, n_recensioni, n_recensioni / sum(n_recensioni) over (partition by company) * 100 as pct, rating_medio,
@@ -470,18 +464,18 @@ def fixed_centroids(spark, sf_dir):
 
 
 @register("topic_assign", S.with_ctes(
-    """select seq, cast(cluster as integer) as cluster from (
-         select seq, cluster, row_number() over (partition by seq order by dist, cluster) as rk from (
-           select r.seq, n.cluster, round(coalesce(x.xx, 0) + n.ww - 2 * coalesce(x.xw, 0), 9) as dist
-           from (select seq from reviews) r
+    """select company, seq, cast(cluster as integer) as cluster from (
+         select company, seq, cluster, row_number() over (partition by company, seq order by dist, cluster) as rk from (
+           select r.company, r.seq, n.cluster, round(coalesce(x.xx, 0) + n.ww - 2 * coalesce(x.xw, 0), 9) as dist
+           from (select company, seq from reviews) r
            join (select cluster, sum(w * w) as ww from cw group by cluster) n on true
-           left join (select t.seq, c.cluster, sum(t.tfidf * t.tfidf) as xx, sum(t.tfidf * c.w) as xw
-                      from tfidf t join cw c on t.idx = c.idx group by all) x on r.seq = x.seq and n.cluster = x.cluster))
+           left join (select t.company, t.seq, c.cluster, sum(t.tfidf * t.tfidf) as xx, sum(t.tfidf * c.w) as xw
+                      from tfidf t join cw c on t.idx = c.idx group by all) x on r.company = x.company and r.seq = x.seq and n.cluster = x.cluster))
        where rk = 1""", **TOPIC_CTES))
 def q_topic_assign(spark, sf_dir):
     """The nearest of given centroids for every review."""
     rows, cents = fixed_centroids(spark, sf_dir)
-    return TP.assign_nearest(reviews_df(spark, sf_dir), cents, rows).select("seq", "cluster")
+    return TP.assign_nearest(reviews_df(spark, sf_dir), cents, rows).select("company", "seq", "cluster")
 
 
 @register("topic_summary", S.with_ctes("""
@@ -493,7 +487,7 @@ def q_topic_summary(spark, sf_dir):
 
 @register("topic_examples", S.with_ctes("""
 select p.company, p.id, p.example, p.seq, r.review_id, r.testo, r.rating, r.data, r.link
-from exs p join reviews r on p.seq = r.seq""", **TOPIC_CTES))
+from exs p join reviews r on p.company = r.company and p.seq = r.seq""", **TOPIC_CTES))
 def q_topic_examples(spark, sf_dir):
     return TP.topic_examples(labelled_df(spark, sf_dir), K_FIXED, CFG)
 
@@ -800,7 +794,7 @@ select p.company, p.tipo, p.theme_pos, p.punto, cast(p.example as integer) as ex
        case when p.tipo = 'punti_forza' then 'positive-review' else 'negative-review' end as classe
 from (select *, row_number() over (partition by company, tipo, theme_pos, punto order by seq) as example
       from (select company, tipo, theme_pos, punto, ident, min(seq) as seq from matches where nkw > 0 group by all)) p
-join reviews r on p.seq = r.seq
+join reviews r on p.company = r.company and p.seq = r.seq
 where p.example <= 2""", **THEME_CTES))
 def q_example_cards(spark, sf_dir):
     ex = TH.theme_examples(reviews_df(spark, sf_dir), SRC.fixed_themes(spark), LITERAL_THEMES)
@@ -960,7 +954,7 @@ select s.company, s.rank, s.id, s.id + 1 as titolo, array_to_string(list_slice(c
        case when length(r.testo) > 150 then left(r.testo, 150) || '...' else r.testo end as testo_breve, r.link
 from summ s left join kept5 t on s.id = t.cluster
 left join (select * from exs where example <= 2) e on s.company = e.company and s.id = e.id
-left join reviews r on e.seq = r.seq""", **TOPIC_CTES))
+left join reviews r on e.company = r.company and e.seq = r.seq""", **TOPIC_CTES))
 def q_topic_cards(spark, sf_dir):
     return RP.topic_cards(topic_rows_df(spark, sf_dir)).withColumn("percentuale", r6("percentuale"))
 

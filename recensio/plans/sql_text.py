@@ -69,7 +69,7 @@ def theme_keywords_sql(expr: str) -> str:
 
 RAW_REVIEWS = f"""
 select 'c' || cast(d.doc_id % {COMPANIES} as varchar) as company,
-       d.doc_id as seq,
+       d.doc_id // {COMPANIES} as seq,
        cast(d.doc_id // {COMPANIES} // {REVIEWS_PER_PAGE} as integer) + 1 as pagina,
        cast(d.doc_id // {COMPANIES} % {REVIEWS_PER_PAGE} as integer) as pos,
        'https://reviews.example/review/c' || cast(d.doc_id % {COMPANIES} as varchar) || '?page=' ||

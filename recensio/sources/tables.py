@@ -34,7 +34,7 @@ def raw_reviews_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Columns: company, seq, pagina, pos, page_url, review_id, rating_attr,
     rating_div, testo.  ``seq`` orders a company's reviews as the crawl would
-    (page, then position); exact copies of a text share an id, some reviews have none,
+    (page, then position) and starts anew in every company; exact copies of a text share an id, some reviews have none,
     and Italian date/rating phrases are mixed into the text.
     """
     # Text cleaning is the heavy per-row work: give it every task slot.
@@ -61,7 +61,7 @@ def raw_reviews_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     pagina = (F.floor(nth / REVIEWS_PER_PAGE) + 1).cast("int")
     return j.select(
         company.alias("company"),
-        did.alias("seq"),
+        nth.alias("seq"),
         pagina.alias("pagina"),
         (nth % REVIEWS_PER_PAGE).cast("int").alias("pos"),
         F.concat(F.lit("https://reviews.example/review/"), company, F.lit("?page="), pagina.cast("string")).alias("page_url"),
