@@ -45,6 +45,7 @@ def plain_stages(texts, model):
 
 @pytest.fixture(scope="module")
 def stages(spark):
+    spark.conf.set(pii.KEY_CONF, "k")
     docs, out = spark.read.parquet(f"{SF}/documents.parquet"), []
     for _, stage in C.STAGES:
         docs = stage(spark, docs, SF).cache()
