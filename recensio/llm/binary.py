@@ -148,7 +148,9 @@ def write_shards(docs: DataFrame, path: str, width: int = WIDTH, end_id: int = E
     """Write the ids of every document (and ``end_id`` after each) as shards.
 
     Null texts count as empty: one segment holding ``end_id``.  Repeated rows
-    and null ids are rows of their own.  An empty table writes no shard.
+    and null ids are rows of their own.  Other columns, whatever their names,
+    are not read.  A shard's ids, and so any one document's, are held in memory.
+    An empty table writes no shard.
     """
     prepare(docs.sparkSession)
     source = tokenizer or default_path()
@@ -207,6 +209,8 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document packed into shards and read back; edge cases as in
+    ``write_shards``."""
     path = shared_folder(spark, "shards")
     write_shards(table(spark, sf_dir, "documents"), path)
     return read_shards(spark, path).select("shard", "row", "n_tokens", "doc_ids", "starts", "cu_seqlens", "resets", F.sha2("ids", 256).alias("ids_sha256"))

@@ -135,7 +135,10 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = K, block: int =
     Both tables are (id long, vec array).  Unusable vectors (see ``usable``)
     and null ids take no part; a query meets only candidates of its own
     dimension and never the candidate with its own id.  Repeated candidate
-    rows (same id) count once per row.  Empty tables give an empty result.
+    rows (same id) count once per row.  Pairs whose product or its bound is no
+    finite number (components near 1e150 and more) are left out.  Other
+    columns, whatever their names, are not read.  Empty tables give an empty
+    result.
     """
     spark = candidates.sparkSession
     prepare(spark)
@@ -155,6 +158,7 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = K, block: int =
 
 
 def op7_nearest_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every 20th vector; edge cases as in ``nearest``."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     return nearest(e.where("id % 20 = 0"), e)
 

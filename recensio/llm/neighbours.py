@@ -144,7 +144,8 @@ def fit_voters(docs: DataFrame, labels: DataFrame, label: str = "quality", keep=
 
 def quality_votes(docs: DataFrame, voters: Voters) -> DataFrame:
     """(doc_id, score), one row per row of ``docs``, map-only.  Null and empty
-    texts have no terms and get the prior; null ids and repeated rows are kept."""
+    texts have no terms and get the prior; null ids and repeated rows are kept; other columns are not read; an empty table gives
+    an empty result.  Texts of any length are counted whole."""
     prepare(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(voters)
 
@@ -163,6 +164,7 @@ def held_out(doc_id):
 
 
 def op3_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document; edge cases as in ``quality_votes``."""
     docs = table(spark, sf_dir, "documents")
     voters = fit_voters(docs, table(spark, sf_dir, "labels"), keep=~held_out(F.col("doc_id")))
     out = quality_votes(docs, voters)

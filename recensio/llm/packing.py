@@ -140,8 +140,9 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def packed_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str | None = None) -> DataFrame:
     """The pieces of ``token_pieces`` with sequence_id and offset.
 
-    Repeated rows and shared or null ids are packed as rows of their own; an
-    empty table gives an empty result.
+    Repeated rows and shared or null ids are packed as rows of their own; other
+    columns, whatever their names, are not read; one document's ids are held
+    at a time; an empty table gives an empty result.
     """
     p = cut(token_pieces(docs, capacity, end_id, tokenizer)).withColumn("id", F.monotonically_increasing_id())
     at = pack(p.select("id", F.col("length").alias("size")), capacity)
@@ -149,4 +150,5 @@ def packed_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_I
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in sequences; edge cases as in ``packed_pieces``."""
     return packed_pieces(table(spark, sf_dir, "documents"))

@@ -242,7 +242,9 @@ def quality_rules(docs: DataFrame, model: Trees, least_score: float = 0.5) -> Da
     COUNTS), base_failed, score (probability of good quality) and kept.
 
     Null and empty texts have no words and fail the base rules.  Map-only:
-    rows keep their order and number, repeated rows included.
+    rows keep their order and number, repeated rows included.  Other columns
+    may have any name (they come in ``row``).  A text is counted whole, in
+    memory of a few times its size.  An empty table gives an empty result.
     """
     prepare(docs.sparkSession)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
@@ -258,6 +260,7 @@ def quality_rules(docs: DataFrame, model: Trees, least_score: float = 0.5) -> Da
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document; edge cases as in ``quality_rules``."""
     docs = table(spark, sf_dir, "documents")
     out = quality_rules(docs.select("doc_id", "text"), fit_quality(docs, table(spark, sf_dir, "labels")))
     return out.select("row.doc_id", *[F.col("counts")[i].alias(COUNTS[i]) for i in range(5)], "base_failed", "kept", "score")

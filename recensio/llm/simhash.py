@@ -250,5 +250,7 @@ def hex_fingerprint(fp):
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; edge cases as in
+    ``simhash_components``."""
     out = simhash_components(table(spark, sf_dir, "documents"))
     return out.select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")

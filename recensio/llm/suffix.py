@@ -313,6 +313,8 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, block: int = BLO
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removed bytes and the rest of every document; edge cases as in
+    ``remove_repeats``."""
     out = remove_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["stop"] - x["start"])
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

@@ -72,7 +72,9 @@ def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     payloads of at least ``least_bytes`` bytes, the smallest page_id is the
     response and the others revisit it.  Rows that share that smallest id are
     all responses; null ids revisit (they are responses only if no equal
-    payload has an id)."""
+    payload has an id).  Other columns, whatever their names, are not read; an
+    empty table gives an empty result."""
+    pages = pages.select("page_id", "url", "payload")
     digest = F.sha2("payload", 256)
     narrow = pages.where(F.octet_length("payload") >= least_bytes).select("page_id", digest.alias("digest"))
     first = narrow.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null").select("digest", "refers_to")
@@ -84,7 +86,8 @@ def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Write pages(page_id, url, payload, refers_to) as archives of at most
-    about ``archive_bytes`` (or one record) under ``path``."""
+    about ``archive_bytes`` (or one record, however long) under ``path``.  An
+    empty table writes no record."""
     prepare(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +192,10 @@ FIELDS = ["record_type", "record_id", "target_uri", "refers_to", "payload_digest
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """One row per record under ``path``: archive, record_type, record_id,
     target_uri, refers_to, payload_digest (bare base32), payload_bytes (of the
-    full payload), payload (responses only) and error (null if sound)."""
+    full payload), payload (responses only) and error (null if sound).  A file
+    is one binary row, decompressed record by record: archives should be of
+    some hundred MB at most (Spark reads none above 2 GB).  A folder without
+    archives gives an empty result."""
     prepare(spark)
     kinds = [pa.string()] * 5 + [pa.int64(), pa.binary(), pa.string()]
 
@@ -213,6 +219,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives and read back; edge cases as in
+    ``with_revisits``, ``write_archives`` and ``read_archives``."""
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     path = shared_folder(spark, "warc")
     write_archives(with_revisits(pages), path)

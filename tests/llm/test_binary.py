@@ -53,7 +53,7 @@ def test_best_fit(width):
 def test_round_trip(spark, make_docs, sf_texts, tmp_path):
     rows = list(sf_texts.items())[:60] + [(900, None), (901, ""), (902, "same"), (902, "same"), (None, "no id"), (903, "word " * 3000)]
     path = str(tmp_path / "s")
-    B.write_shards(make_docs(rows).repartition(3), path, width=256, shard_tokens=5000)
+    B.write_shards(make_docs(rows).withColumnsRenamed({"lang": "shard", "source": "ids"}).repartition(3), path, width=256, shard_tokens=5000)
     got = B.read_shards(spark, path).collect()
     library = Tokenizer.from_file(default_path())
     want = sorted((repr(i), tuple([*library.encode(t or "", add_special_tokens=False).ids, B.END_ID])) for i, t in rows)

@@ -83,7 +83,7 @@ def test_documents(make_docs, sf_texts):
     rows = list(sf_texts.items())[:80] + [(900, None), (901, ""), (902, "same"), (902, "same"), (None, "no id"), (903, "word " * 5000), (904, "日本語 text ①② ١٢٣"),
                                           (905, "a <|endoftext|> b"), (906, "x" * 5000 + "  \n\n   " * 300)]
     library = Tokenizer.from_file(default_path())
-    got = packing.packed_pieces(make_docs(rows)).collect()
+    got = packing.packed_pieces(make_docs(rows).withColumnsRenamed({"lang": "id", "source": "size", "n_chars": "part"})).collect()
     check_layout([(r.sequence_id, r.offset, r.length) for r in got], 1024)
     want = []
     for i, t in rows:

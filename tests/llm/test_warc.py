@@ -7,6 +7,8 @@ import gzip
 import hashlib
 
 from oracle import compare, duck
+from pyspark.sql import functions as F
+
 from recensio.llm import warc as W
 
 
@@ -46,6 +48,7 @@ def test_archives_are_plain_gzip(spark, tmp_path):
 
 def test_least_bytes(spark, tmp_path):
     df = spark.createDataFrame([(1, "u", b"ab"), (2, "u", b"ab"), (3, "u", b"abcdef"), (4, "u", b"abcdef")], "page_id long, url string, payload binary")
+    df = df.withColumns({"digest": F.lit("x"), "id": F.lit(0), "d": F.lit(1), "refers_to": F.lit(9)})  # names of its own columns
     got = {r.page_id: r.refers_to for r in W.with_revisits(df, 5).collect()}
     assert got == {1: None, 2: None, 3: None, 4: 3}
 
