@@ -154,9 +154,19 @@ PATTERN = re.compile(
 _WORD = re.compile(r"(?<!\w)[^\W\d_]\w*(?:['’](?!s\b)[^\W\d_]\w*)*(?![\w.+-]*@)")
 _JOIN = re.compile(rf"-|{_SPACE}+")
 _INITIAL = re.compile(rf"\.?-|\.?{_SPACE}+|\.")
-#: A text without any of these holds nothing.
-HINT = rf"[0-9@]|(?:{_TITLE})\.?{_SPACE}|(?i:token|secret|api[_-]?key|passw|pwd)"
-_HINT = re.compile(HINT)
+_NUMERIC = re.compile("[0-9@]")
+_TITLED = re.compile(rf"(?:{_TITLE})\.?{_SPACE}")
+_TITLES = tuple(t for ts in TITLES.values() for t in ts)
+_SECRETS = ("token", "secret", "api", "passw", "pwd")
+
+
+def hinted(text: str) -> bool:
+    """Whether a text may hold anything: a quick look for what every pattern
+    needs, by plain search first."""
+    if _NUMERIC.search(text):
+        return True
+    low = text.casefold()
+    return any(w in low for w in _SECRETS) or any(t in text for t in _TITLES) and _TITLED.search(text) is not None
 
 
 def script_of(word: str) -> str:
@@ -246,7 +256,7 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     the normal form: lower case, and letters and digits only where punctuation
     is mere layout."""
     out = []
-    if not _HINT.search(text):
+    if not hinted(text):
         return out
     at = 0
     while m := PATTERN.search(text, at):
