@@ -21,11 +21,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a scan with few splits (one file with one row group
-    cannot be split by Parquet) over the session's shuffle partitions.  A
-    large input has more splits and is left alone.  Only the speed of the
-    map-only steps depends on it, no result does."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Deal the rows of a scan with fewer splits than the session has cores
+    (one file with one row group cannot be split by Parquet).  A large input
+    has more splits and is left alone.  Only the speed of the map-only steps
+    depends on it, no result does."""
+    n = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
