@@ -20,9 +20,15 @@ Two plans with the same kernel, hence the same result:
 * a company of at most ``kmeans_rows`` reviews is one bounded group: all its
   starts run in one task, all companies in one job;
 * a larger one is dealt into blocks of ``BLOCK`` vectors, written once.  A turn
-  of the race, or a step, is one job for all such companies together: blocks
-  meet their company's centres, a task sends one partial result per (company,
-  start) and these are merged.  Starts that are done are left out.
+  of the race, or a pass of steps, is one job for all such companies together:
+  blocks meet their company's centres, a task sends one partial result per
+  (company, start) and these are merged.  Starts that are done are left out.
+  A pass takes more than one step where it can: besides the sums, blocks send
+  the few vectors that lie nearest to a border between two centres.  While no
+  centre has moved farther than the others' distance to a border allows, only
+  those few can change sides, so the merge goes on by itself, exactly; then the
+  next pass begins.  What is sent is bounded (``BORDER`` vectors per company and
+  start), and nothing is sent while centres still move far.
 """
 
 from __future__ import annotations
@@ -35,13 +41,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recensio.config import Config
-from recensio.session import materialize, ship_package
+from recensio.session import materialize, ship_package, stored
 
 UNIT = 1_000_000
 BLOCK = 2048
 #: Centres (n_init x k x dim numbers a company) are broadcast up to so many
 #: bytes in all; beyond, they are joined by shuffle.
 BROADCAST = 64 << 20
+#: About so many vectors of a company next to a border are sent in a pass.
+BORDER = 2048
+BORDER_BYTES = 32 << 20  # held by a task before it sends them
 #: The race's arithmetic is modulo this prime; ROOT is a primitive root of it.
 PRIME, ROOT = (1 << 31) - 1, 16807
 TURNS = 1024  # turns of one start that have a multiplier of their own
@@ -71,17 +80,21 @@ def race_times(draw: np.ndarray, seed: int, start: int, turn: int) -> np.ndarray
     return -np.log((x + 1) / (PRIME + 1.0))
 
 
-def distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    """Squared distances, exact."""
-    return (x * x).sum(axis=1)[:, None] - 2 * (x @ centres.T) + (centres * centres).sum(axis=1)[None, :]
+def squares(x: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,ij->i", x, x)
 
 
-def earliest(x: np.ndarray, seq: np.ndarray, draw: np.ndarray, centres: np.ndarray, seed: int, start: int) -> tuple[float, int] | None:
+def distances(x: np.ndarray, centres: np.ndarray, xx: np.ndarray | None = None) -> np.ndarray:
+    """Squared distances, exact; xx: the rows' squares, where known."""
+    return (squares(x) if xx is None else xx)[:, None] - 2 * (x @ centres.T) + squares(centres)[None, :]
+
+
+def earliest(x: np.ndarray, seq: np.ndarray, draw: np.ndarray, centres: np.ndarray, seed: int, start: int, xx: np.ndarray | None = None) -> tuple[float, int] | None:
     """(time, row) of the race's first arrival; None if every review lies on a
     centre."""
     time = race_times(draw, seed, start, len(centres))
     if len(centres):
-        d = distances(x, centres).min(axis=1)
+        d = distances(x, centres, xx).min(axis=1)
         time = np.where(d > 0, time / np.where(d > 0, d, 1), np.inf)
     best = time.min(initial=np.inf)
     if not np.isfinite(best):
@@ -90,13 +103,31 @@ def earliest(x: np.ndarray, seq: np.ndarray, draw: np.ndarray, centres: np.ndarr
     return float(best), int(tied[seq[tied].argmin()])
 
 
-def step(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, int, np.ndarray, np.ndarray]:
+def step(x: np.ndarray, centres: np.ndarray, xx: np.ndarray | None = None) -> tuple[np.ndarray, int, np.ndarray, np.ndarray]:
     """(labels, cost, members of each centre, their sums)."""
-    d = distances(x, centres)
+    d = distances(x, centres, xx)
     label = d.argmin(axis=1)
-    n = np.bincount(label, minlength=len(centres))
-    sums = np.stack([x[label == t].sum(axis=0) for t in range(len(centres))]).astype(np.int64)
-    return label, int(d.min(axis=1).sum()), n, sums
+    return label, int(d[np.arange(len(x)), label].sum()), *sums_by(x, label, len(centres))
+
+
+def sums_by(x: np.ndarray, label: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(members of each centre, their sums)."""
+    of = (label[None, :] == np.arange(k)[:, None]).astype(np.float64)
+    return np.bincount(label, minlength=k), (of @ x).astype(np.int64)
+
+
+def margins(d: np.ndarray) -> np.ndarray:
+    """How much farther than its nearest centre the next one is, per row of
+    squared distances."""
+    if d.shape[1] < 2:
+        return np.full(len(d), np.inf)
+    two = np.sqrt(np.maximum(np.partition(d, 1, axis=1)[:, :2], 0))
+    return two[:, 1] - two[:, 0]
+
+
+def farthest(old: np.ndarray, new: np.ndarray) -> float:
+    """The longest way of a centre."""
+    return float(np.sqrt(squares(new - old).max(initial=0)))
 
 
 def means(centres: np.ndarray, n: np.ndarray, sums: np.ndarray) -> np.ndarray:
@@ -106,14 +137,14 @@ def means(centres: np.ndarray, n: np.ndarray, sums: np.ndarray) -> np.ndarray:
 
 def cluster(x: np.ndarray, seq: np.ndarray, draw: np.ndarray, k: int, cfg: Config) -> tuple[np.ndarray, np.ndarray]:
     """(centres, labels) of one company."""
-    best = None
+    best, xx = None, squares(x)
     for start in range(cfg.n_init):
         centres = np.zeros((0, x.shape[1]))
-        while len(centres) < k and (got := earliest(x, seq, draw, centres, cfg.kmeans_seed, start)):
+        while len(centres) < k and (got := earliest(x, seq, draw, centres, cfg.kmeans_seed, start, xx)):
             centres = np.vstack([centres, x[got[1]]])
         cost = 0
         for _ in range(cfg.kmeans_max_iter):
-            _, cost, n, sums = step(x, centres)
+            _, cost, n, sums = step(x, centres, xx)
             new = means(centres, n, sums)
             same = (new == centres).all()
             centres = new
@@ -121,7 +152,7 @@ def cluster(x: np.ndarray, seq: np.ndarray, draw: np.ndarray, k: int, cfg: Confi
                 break
         if best is None or cost < best[0]:
             best = cost, centres
-    return best[1], distances(x, best[1]).argmin(axis=1)
+    return best[1], distances(x, best[1], xx).argmin(axis=1)
 
 
 def dense(ptr: np.ndarray, idx: np.ndarray, val: np.ndarray, dim: int) -> np.ndarray:
@@ -157,7 +188,9 @@ def _whole(vectors: DataFrame, cfg: Config) -> DataFrame:
         })
 
     cols = ("company", "seq", "dim", "k", "draw", "idx", "val")
-    return vectors.select(*cols).groupBy("company").applyInArrow(run, "company string, seq long, cluster int, dim int, vec binary")
+    # So many tasks: companies take long, whatever the bytes they hold.
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return vectors.select(*cols).repartition(tasks, "company").groupBy("company").applyInArrow(run, "company string, seq long, cluster int, dim int, vec binary")
 
 
 # ---- large companies: blocks and rounds ----------------------------------------
@@ -171,12 +204,12 @@ class Blocks:
 
             def out(company):
                 rows = held.pop(company)
-                dim, k = rows[0][0], rows[0][1]
-                ptr = np.concatenate([[0], np.cumsum([len(r[4]) for r in rows])])
-                cells = [np.array([r[2] for r in rows], "<i8"), np.array([r[3] for r in rows], "<i8"), ptr.astype("<i4"),
-                         np.concatenate([np.asarray(r[4], "<i4") for r in rows]), np.concatenate([np.asarray(r[5], "<i4") for r in rows])]
-                return pa.RecordBatch.from_arrays([pa.array([company]), pa.array([dim], pa.int32()), pa.array([k], pa.int32()), *[pa.array([c.tobytes()], pa.binary()) for c in cells]],
-                                                  ["company", "dim", "k", "seqs", "draws", "ptr", "idx", "val"])
+                n, dim, k = rows[0][:3]
+                ptr = np.concatenate([[0], np.cumsum([len(r[5]) for r in rows])])
+                cells = [np.array([r[3] for r in rows], "<i8"), np.array([r[4] for r in rows], "<i8"), ptr.astype("<i4"),
+                         np.concatenate([np.asarray(r[5], "<i4") for r in rows]), np.concatenate([np.asarray(r[6], "<i4") for r in rows])]
+                return pa.RecordBatch.from_arrays([pa.array([company]), pa.array([n], pa.int64()), pa.array([dim], pa.int32()), pa.array([k], pa.int32()), *[pa.array([c.tobytes()], pa.binary()) for c in cells]],
+                                                  ["company", "n", "dim", "k", "seqs", "draws", "ptr", "idx", "val"])
 
             for b in batches:
                 for company, *row in zip(*(c.to_pylist() for c in b.columns)):
@@ -188,15 +221,19 @@ class Blocks:
                 yield out(company)
 
         part = F.pmod(F.xxhash64("seq"), F.ceil(F.col("n") / size))
-        dealt = vectors.withColumn("part", part).repartition("company", "part").select("company", "dim", "k", "seq", "draw", "idx", "val")
-        self.rows = materialize(dealt.mapInArrow(pack, "company string, dim int, k int, seqs binary, draws binary, ptr binary, idx binary, val binary"))
+        # Passes over few bytes take long: a number of tasks of their own.
+        tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = vectors.withColumn("part", part).repartition(tasks, "company", "part").select("company", "n", "dim", "k", "seq", "draw", "idx", "val")
+        self.rows = stored(dealt.mapInArrow(pack, "company string, n long, dim int, k int, seqs binary, draws binary, ptr binary, idx binary, val binary"))
         sizes = self.rows.groupBy("company").agg(F.max("dim").alias("dim"), F.max("k").alias("k")).agg(
             F.count("*").alias("n"), F.max("k").alias("k"), F.sum(F.col("k").cast("long") * F.col("dim")).alias("cells")).first()
         self.companies, self.k, self.cells = sizes.n, sizes.k or 0, sizes.cells or 0
 
     def meet(self, centres: DataFrame, starts: int, how: str = "inner") -> DataFrame:
-        """Each block with its company's centres(company, start, topic, vec)."""
-        per = centres.groupBy("company").agg(F.array_sort(F.collect_list(F.struct("start", "topic", "vec"))).alias("c"))
+        """Each block with its company's centres(company, start, topic, vec)
+        and, where there are, the steps they took and the way of the last."""
+        cols = [c for c in ("start", "topic", "vec", "steps", "way") if c in centres.columns]
+        per = centres.groupBy("company").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("c"))
         small = self.cells * 8 * starts <= BROADCAST
         return self.rows.join(F.broadcast(per) if small else per, "company", how)
 
@@ -219,10 +256,10 @@ def seeds(blocks: Blocks, cfg: Config) -> DataFrame:
         for b in batches:
             for r in range(b.num_rows):
                 company, seq, draw, x, starts = _opened(b, r)
-                rows = []
+                rows, xx = [], squares(x)
                 for s in range(cfg.n_init):
                     centres = starts.get(s, np.zeros((0, x.shape[1])))
-                    got = earliest(x, seq, draw, centres, cfg.kmeans_seed, s) if len(centres) == turn else None
+                    got = earliest(x, seq, draw, centres, cfg.kmeans_seed, s, xx) if len(centres) == turn else None
                     if got:
                         rows.append((company, s, x.shape[1], got[0], int(seq[got[1]]), x[got[1]].astype("<i8").tobytes()))
                 kinds = (pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.binary())
@@ -239,23 +276,41 @@ def seeds(blocks: Blocks, cfg: Config) -> DataFrame:
 def lloyd(blocks: Blocks, centres: DataFrame, starts: int, max_iter: int) -> DataFrame:
     """(company, start, topic, dim, vec, cost, moved) after at most
     ``max_iter`` steps from the given centres; cost is that of the last step."""
+    spark = blocks.rows.sparkSession
+    state = CENTRES + ", cost long, moved boolean, steps int, way double"
+    names = ("company", "start", "dim", "steps", "way", "safe", "cost", "xx", "n", "sums", "old", "border")
+    kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), *[pa.binary()] * 4)
+    part = "company string, start int, dim int, steps int, way double, safe double, cost long, xx long, n binary, sums binary, old binary, border binary"
+
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, int], list] = {}
 
         def out():
-            rows = [(c, s, p[0].shape[1], p[1], p[2].astype("<i8").tobytes(), p[3].tobytes(), p[0].astype("<i8").tobytes()) for (c, s), p in held.items()]
+            rows = [(c, s, p["old"].shape[1], p["steps"], p["way"], p["safe"], p["cost"], p["xx"], p["n"].astype("<i8").tobytes(), p["sums"].astype("<i8").tobytes(),
+                     p["old"].astype("<i8").tobytes(), b"".join(a.tobytes() for a in p["border"])) for (c, s), p in held.items()]
             held.clear()
-            kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array([v[i] for v in rows], k) for i, k in enumerate(kinds)], ["company", "start", "dim", "cost", "n", "sums", "old"])
+            return pa.RecordBatch.from_arrays([pa.array([v[i] for v in rows], k) for i, k in enumerate(kinds)], list(names))
 
         for b in batches:
             for r in range(b.num_rows):
                 company, _, _, x, by_start = _opened(b, r)
+                n, xx = b.column("n")[r].as_py(), squares(x)
+                more = {c["start"]: (c["steps"], c["way"]) for c in b.column("c")[r].as_py() or []}
+                room = min(len(x) // 4, 2 * BORDER * len(x) // n + 1)
                 for s, c in by_start.items():
-                    _, cost, n, sums = step(x, c)
-                    p = held.get((company, s))
-                    held[company, s] = [c, cost, n, sums] if p is None else [c, p[1] + cost, p[2] + n, p[3] + sums]
-                if len(held) >= 1024:
+                    d = distances(x, c, xx)
+                    label = d.argmin(axis=1)
+                    members, sums = sums_by(x, label, len(c))
+                    steps, way = more[s]
+                    safe, near = _border(margins(d), room, way) if np.isfinite(way) else (0.0, [])
+                    p = held.setdefault((company, s), {"old": c, "steps": steps, "way": way, "safe": np.inf, "cost": 0, "xx": 0, "n": 0, "sums": 0, "border": []})
+                    p["cost"] += int(d[np.arange(len(x)), label].sum())
+                    p["xx"] += int(xx.sum())
+                    p["n"] = p["n"] + members
+                    p["sums"] = p["sums"] + sums
+                    p["safe"] = min(p["safe"], safe)
+                    p["border"] = [*p["border"], x[near].astype("<i4")] if p["safe"] > 0 else []
+                if len(held) >= 1024 or sum(a.nbytes for p in held.values() for a in p["border"]) > BORDER_BYTES:
                     yield out()
         if held:
             yield out()
@@ -264,37 +319,81 @@ def lloyd(blocks: Blocks, centres: DataFrame, starts: int, max_iter: int) -> Dat
         key, held = None, None
 
         def out():
-            dim, cost, n, sums, old = held
-            c = old.reshape(-1, dim).astype(np.float64)
-            new = means(c, n, sums.reshape(-1, dim))
-            m, moved = len(c), bool((new != c).any())
+            c, steps, moved, cost, way = _advance(*held, max_iter)
+            m, dim = c.shape
             return pa.RecordBatch.from_arrays(
                 [pa.array([key[0]] * m, pa.string()), pa.array([key[1]] * m, pa.int32()), pa.array(range(m), pa.int32()), pa.array([dim] * m, pa.int32()),
-                 pa.array([v.astype("<i8").tobytes() for v in new], pa.binary()), pa.array([cost] * m, pa.int64()), pa.array([moved] * m)],
-                ["company", "start", "topic", "dim", "vec", "cost", "moved"])
+                 pa.array([v.astype("<i8").tobytes() for v in c], pa.binary()), pa.array([cost] * m, pa.int64()), pa.array([moved] * m),
+                 pa.array([steps] * m, pa.int32()), pa.array([way] * m, pa.float64())],
+                ["company", "start", "topic", "dim", "vec", "cost", "moved", "steps", "way"])
 
         for b in batches:  # sorted by company and start
-            for company, s, dim, cost, *cells in zip(*(c.to_pylist() for c in b.columns)):
-                n, sums, old = (np.frombuffer(c, "<i8") for c in cells)
+            for company, s, dim, steps, _, safe, cost, xx, *cells in zip(*(c.to_pylist() for c in b.columns)):
+                n, sums, old = (np.frombuffer(c, "<i8") for c in cells[:3])
+                near = np.frombuffer(cells[3], "<i4").reshape(-1, dim) if safe > 0 else None
                 if (company, s) != key:
                     if key is not None:
                         yield out()
-                    key, held = (company, s), (dim, cost, n, sums, old)
+                    key, held = (company, s), [old.reshape(-1, dim).astype(np.float64), n, sums.reshape(-1, dim), cost, xx, steps, safe, [near]]
                 else:
-                    held = dim, held[1] + cost, held[2] + n, held[3] + sums, old
+                    held[1], held[2], held[3], held[4], held[6] = held[1] + n, held[2] + sums.reshape(-1, dim), held[3] + cost, held[4] + xx, min(held[6], safe)
+                    held[7] = [*held[7], near] if held[6] > 0 else []
         if key is not None:
             yield out()
 
-    schema = CENTRES + ", cost long, moved boolean"
-    now = centres.select("company", "start", "topic", "dim", "vec", F.lit(0).cast("long").alias("cost"), F.lit(True).alias("moved"))
-    for _ in range(max_iter):
-        going = now.where("moved")
-        if going.isEmpty():
-            break
-        sums = blocks.meet(going, starts).mapInArrow(partial, "company string, start int, dim int, cost long, n binary, sums binary, old binary")
-        new = sums.repartition("company", "start").sortWithinPartitions("company", "start").mapInArrow(merged, schema)
-        now = materialize(now.where("not moved").unionByName(new))
-    return now
+    now = centres.select("company", "start", "topic", "dim", "vec", F.lit(0).cast("long").alias("cost"), F.lit(True).alias("moved"),
+                         F.lit(0).alias("steps"), F.lit(float("inf")).alias("way"))
+    done, schema = spark.createDataFrame([], state), CENTRES + ", cost long, moved boolean"
+    while max_iter > 0:
+        sums = blocks.meet(now, starts).mapInArrow(partial, part)
+        new = materialize(sums.repartition("company", "start").sortWithinPartitions("company", "start").mapInArrow(merged, state))
+        # Starts that are done wait in the tables of their passes.
+        going = F.col("moved") & (F.col("steps") < max_iter)
+        done, now = done.unionByName(new.where(~going)), new.where(going)
+        if now.isEmpty():
+            return materialize(done.select(*schema_names(schema)))
+    return now.select(*schema_names(schema))
+
+
+def schema_names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def _border(margin: np.ndarray, room: int, way: float) -> tuple[float, np.ndarray]:
+    """(how far centres may move, the rows that may change sides by then): at
+    most ``room`` rows, those nearest to a border.  (0, none) where that would
+    not last for a step as long as the one before (``way``)."""
+    want = 16 * way + 1
+    near = margin <= 2 * want + 2
+    if near.sum() > room:
+        limit = np.partition(margin, room)[room] if room < len(margin) else np.inf
+        near = margin < limit
+        want = (limit - 2) / 2
+        if want < way:
+            return 0.0, np.zeros(0, int)
+    return max(want, 0.0), np.flatnonzero(near)
+
+
+def _advance(c: np.ndarray, n: np.ndarray, sums: np.ndarray, cost: int, xx: int, steps: int, safe: float, near: list, max_iter: int):
+    """(centres, steps, moved, cost of the last step, its longest way): the
+    step that n, sums and cost are of, then more of them while no centre is
+    farther than ``safe`` from where it was: until then only the rows ``near``
+    can change sides."""
+    old, new = c, means(c, n, sums)
+    steps, way = steps + 1, farthest(c, new)
+    if safe > 0:
+        x = np.concatenate(near).astype(np.float64)
+        sq = squares(x)
+        n_near, sums_near = sums_by(x, distances(x, old, sq).argmin(axis=1), len(old)) if len(x) else (0, 0)
+        n_far, sums_far = n - n_near, sums - sums_near
+        while way > 0 and steps < max_iter and farthest(old, new) <= safe:
+            c = new
+            n, sums = sums_by(x, distances(x, c, sq).argmin(axis=1), len(c)) if len(x) else (0, 0)
+            n, sums = n_far + n, sums_far + sums
+            cost = xx + sum(int(n[t]) * int(v @ v) - 2 * int(v @ sums[t]) for t, v in enumerate(c.astype(np.int64)))
+            new = means(c, n, sums)
+            steps, way = steps + 1, farthest(c, new)
+    return new, steps, way > 0, cost, way
 
 
 def nearest(blocks: Blocks, centres: DataFrame) -> DataFrame:
