@@ -17,6 +17,7 @@ from recensio.operators import features as FT
 from recensio.operators import kmeans as KM
 from recensio.operators import themes as TH
 from recensio.plans import queries as Q
+from recensio.plans import report as RP
 
 
 def _vectors(spark, n=1500, dim=12):
@@ -130,3 +131,51 @@ def test_blocks_of_words_with_spaces_and_nulls(spark):
 def test_blocks_move_one_text_per_review(spark):
     df = spark.createDataFrame([(0, ["uno", "due"]), (1, ["a b"])], "seq long, parole array<string>")
     assert [tuple(r) for r in BL.moved_words(df, ["seq"]).sort("seq").collect()] == [(0, "uno due", None), (1, "a b", ["a b"])]
+
+
+def test_themes_with_fallback_makes_the_frequencies_once(spark):
+    """Ranks and the types that have any come from one reading."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = [("a", TH.STRENGTHS, i, f"p{i}", 20 - i, 1.0) for i in range(14)]
+    freq = spark.createDataFrame(rows, "company string, tipo string, theme_pos int, punto string, count long, percentuale double")
+    ins = spark.createDataFrame([("a", TH.STRENGTHS, 0, "p0"), ("a", TH.WEAKNESSES, 0, "w0"), ("a", TH.WEAKNESSES, 10, "w10")], "company string, categoria string, pos long, elemento string")
+    out = RP.themes_with_fallback(freq.mapInArrow(run, freq.schema), ins).collect()
+    assert seen.value == len(rows)
+    assert sorted(map(tuple, out)) == sorted([("a", TH.STRENGTHS, i + 1, f"p{i}", "frequenza") for i in range(10)] + [("a", TH.WEAKNESSES, 1, "w0", "elenco")])
+
+
+def test_themes_with_fallback_query_counts_once(spark, monkeypatch):
+    """No second pass over the parts of the corpus."""
+    seen, counts = spark.sparkContext.accumulator(0), TH._set_counts
+
+    def counted(*a):
+        df = counts(*a)
+
+        def run(batches):
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+        return df.mapInArrow(run, df.schema)
+
+    monkeypatch.setattr(TH, "_set_counts", counted)
+    r = spark.createDataFrame([("a", i, f"id{i}", "buono prezzo", ["buono", "prezzo"], 5) for i in range(9)], "company string, seq long, review_id string, testo_pulito string, parole array<string>, rating int")
+    ins = spark.createDataFrame([("a", TH.STRENGTHS, 0, "buono prezzo"), ("a", TH.STRENGTHS, 1, "prezzo")], "company string, categoria string, pos long, elemento string")
+    out = RP.themes_with_fallback(TH.theme_frequency(r, Q.merged_themes(ins), Config(), written=True), ins).collect()
+    assert sorted(map(tuple, out)) == [("a", TH.STRENGTHS, 1, "buono prezzo", "frequenza"), ("a", TH.STRENGTHS, 2, "prezzo", "frequenza")] and seen.value == 2
+
+
+def test_keywords_of_words():
+    """As by looking for every keyword in every word, over more than one chunk of letters."""
+    rnd = random.Random(5)
+    word = lambda n: "".join(rnd.choices("abàc𝒳", k=n))
+    words = [word(rnd.randrange(12)) for _ in range(400)] + ["b" * (1 << 20) + "àca", "", "aaaa"]
+    keys = sorted({word(rnd.randrange(4, 9)) for _ in range(300)} | {"b" * 300, "aaaa"})
+    kw, at = TH._keywords_of(words, {k: i for i, k in enumerate(keys)})
+    assert list(zip(kw.tolist(), at.tolist())) == [(i, j) for i, k in enumerate(keys) for j, w in enumerate(words) if k in w]
+    assert [len(x) for x in TH._keywords_of([], {"aaaa": 0})] == [0, 0] == [len(x) for x in TH._keywords_of(["aaaa"], {})]
