@@ -24,6 +24,7 @@ from recensio.config import INSIGHT_CATEGORIES, SENTIMENT_CLASSES
 from recensio.operators import themes as TH
 from recensio.operators.reviews import company_of
 from recensio.plans import report as RP
+from recensio.session import materialize
 
 # ---- one JSON document -----------------------------------------------------------
 
@@ -89,8 +90,8 @@ def json_document(stats: DataFrame, topics: DataFrame, insights: DataFrame, sent
         add(mine, F.col("pos"), _after(_text(F.col("elemento")), F.col("pos")))
     counts = _json({s: F.coalesce(s, F.lit(0).cast("long")) for s in SENTIMENT_CLASSES})
     add(heads, 0, F.concat(F.lit('],"sentiment_distribution":'), counts, F.lit("}")))
-    # At most n_themes rows a company and type.
-    shown = TH.top_themes(freq, n_themes)
+    # At most n_themes rows a company and type, written: the frequencies are made once.
+    shown = materialize(TH.top_themes(freq, n_themes))
     for tipo, lead in ((TH.STRENGTHS, ',"frequenze":{'), (TH.WEAKNESSES, "},")):
         add(heads, 0, F.lit(f'{lead}"{tipo}":{{'))
         item = F.concat(_text(F.col("punto")), F.lit(":"), _json({"count": F.col("count"), "percentuale": _number("percentuale")}))

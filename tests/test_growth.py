@@ -3,6 +3,7 @@ passes, groups and moves."""
 
 from __future__ import annotations
 
+import json
 import random
 from collections import Counter
 from dataclasses import replace
@@ -16,6 +17,7 @@ from recensio.operators import blocks as BL
 from recensio.operators import features as FT
 from recensio.operators import kmeans as KM
 from recensio.operators import themes as TH
+from recensio.plans import export as EX
 from recensio.plans import queries as Q
 from recensio.plans import report as RP
 
@@ -179,3 +181,23 @@ def test_keywords_of_words():
     kw, at = TH._keywords_of(words, {k: i for i, k in enumerate(keys)})
     assert list(zip(kw.tolist(), at.tolist())) == [(i, j) for i, k in enumerate(keys) for j, w in enumerate(words) if k in w]
     assert [len(x) for x in TH._keywords_of([], {"aaaa": 0})] == [0, 0] == [len(x) for x in TH._keywords_of(["aaaa"], {})]
+
+
+def test_json_document_makes_the_frequencies_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    make = spark.createDataFrame
+    freq = make([("a", t, i, f"p{i}", 9 - i, 1.0) for t in (TH.STRENGTHS, TH.WEAKNESSES) for i in range(3)], "company string, tipo string, theme_pos int, punto string, count long, percentuale double")
+    doc = EX.json_document(
+        make([("a", 3, 4.0)], "company string, n_recensioni long, rating_medio double"),
+        make([("a", 1, 0, ["x"], 100.0, 4.0)], "company string, rank int, id int, parole_chiave array<string>, percentuale double, rating_medio double"),
+        make([("a", TH.STRENGTHS, 0, "p0")], "company string, categoria string, pos long, elemento string"),
+        make([("a", 1, 0, 0)], "company string, positivo long, neutro long, negativo long"), freq.mapInArrow(run, freq.schema))
+    text = "".join(r.testo for r in doc.orderBy(*EX.PLACE).collect())
+    got = json.loads(text)["a"]["frequenze"]
+    assert {t: [*v] for t, v in got.items()} == {t: ["p0", "p1", "p2"] for t in (TH.STRENGTHS, TH.WEAKNESSES)} and seen.value == 6
